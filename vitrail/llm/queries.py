@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam
+from . import bpe, decontam, langid, tokenfile
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
+    "op4_language_id": langid.query,
+    "op6_token_file": tokenfile.query,
     "op10_decontamination": decontam.query,
 }
 
