@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, tokenfile
+from . import bpe, decontam, langid, tokenfile, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op4_language_id": langid.query,
     "op6_token_file": tokenfile.query,
+    "op7_toxicity": toxicity.query,
     "op10_decontamination": decontam.query,
 }
 
