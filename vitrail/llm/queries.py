@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, tokenfile, toxicity
+from . import bpe, decontam, langid, quality, tokenfile, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op4_language_id": langid.query,
     "op6_token_file": tokenfile.query,
     "op7_toxicity": toxicity.query,
+    "op9_quality_rules": quality.query,
     "op10_decontamination": decontam.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_quality_rules": quality.SQL,
+}
