@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, quality, tokenfile, toxicity
+from . import bpe, decontam, langid, licenses, quality, tokenfile, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op4_language_id": langid.query,
+    "op5_license_scan": licenses.query,
     "op6_token_file": tokenfile.query,
     "op7_toxicity": toxicity.query,
     "op9_quality_rules": quality.query,
