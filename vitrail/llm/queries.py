@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, licenses, quality, tokenfile, toxicity
+from . import bpe, decontam, langid, licenses, quality, simhash, tokenfile, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -10,10 +10,12 @@ QUERIES = {
     "op5_license_scan": licenses.query,
     "op6_token_file": tokenfile.query,
     "op7_toxicity": toxicity.query,
+    "op8_simhash": simhash.query,
     "op9_quality_rules": quality.query,
     "op10_decontamination": decontam.query,
 }
 
 ORACLE: dict[str, str] = {
+    "op8_simhash": simhash.query,
     "op9_quality_rules": quality.SQL,
 }
