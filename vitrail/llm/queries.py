@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, licenses, quality, simhash, tokenfile, toxicity
+from . import bpe, decontam, langid, licenses, quality, simhash, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
+    "op2_substring_dedup": substrings.query,
     "op4_language_id": langid.query,
     "op5_license_scan": licenses.query,
     "op6_token_file": tokenfile.query,
