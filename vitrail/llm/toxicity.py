@@ -232,12 +232,18 @@ class Model:
         self.net, self.base, self.thresholds = net, base, thresholds
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", doc_id: str = "doc_id") -> Model:
-    """A model from labelled rows, of which a bounded sample is read."""
-    ids = S.by_label(labelled.where(F.length(f"`{text}`").between(1, SAMPLE_CHARS)), label, doc_id, SAMPLE_DOCS)
-    rows = labelled.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").alias("label"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"))
-    found = sorted(rows.join(F.broadcast(ids), ["id", "label"], "left_semi").dropDuplicates(["id"]).collect(), key=lambda r: r.id)
-    counts = dict(labelled.where(F.col(f"`{label}`").isNotNull()).groupBy(f"`{label}`").count().collect())
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", doc_id: str = "doc_id") -> Model:
+    """A model from ``labels`` (doc_id, label) and the texts of a bounded sample of them.
+
+    The sample is drawn from the labels alone; its ids, under 2 x SAMPLE_DOCS rows, are broadcast,
+    so no text is shuffled.
+    """
+    labels = labels.where(F.col(f"`{label}`").isin(0, 1))
+    ids = S.by_label(labels, label, doc_id, SAMPLE_DOCS)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"))
+    rows = rows.where(F.length("t").between(1, SAMPLE_CHARS)).join(F.broadcast(ids), "id").limit(4 * SAMPLE_DOCS)
+    found = sorted({r.id: r for r in rows.collect()}.values(), key=lambda r: r.id)
+    counts = dict(labels.groupBy(f"`{label}`").count().collect())
     base = counts.get(1, 0) / max(1, sum(counts.values()))
     y = np.array([r.label for r in found], np.int64)
     if len(set(y.tolist())) < 2:
@@ -304,8 +310,7 @@ def flag(scored: DataFrame, model: Model, lang: str = "lang") -> DataFrame:
 def fit_tables(spark, docs: DataFrame, sf_dir: str) -> Model:
     """The model of the table ``labels``, from its rows whose crc32(doc_id) mod 3 is not 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    labels = labels.where((S.fold("doc_id", 3) != 1) & F.col("toxic").isNotNull())
-    return fit(docs.select("doc_id", "text", "lang").join(labels, "doc_id"))
+    return fit(docs, labels.where(S.fold("doc_id", 3) != 1))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
