@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, licenses, quality, simhash, substrings, tokenfile, toxicity
+from . import bpe, decontam, langid, licenses, lm, quality, simhash, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op2_substring_dedup": substrings.query,
+    "op3_lm_score": lm.query,
     "op4_language_id": langid.query,
     "op5_license_scan": licenses.query,
     "op6_token_file": tokenfile.query,
