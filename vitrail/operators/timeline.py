@@ -166,7 +166,7 @@ def interaction_dimension(counted: DataFrame) -> DataFrame:
     def add(base: float, *parts: tuple[Column, float]) -> Column:
         out = N.dbl(base)
         for when, x in parts:
-            out = F.when(when, out + N.dbl(x)).otherwise(out)
+            out = out + F.when(when, N.dbl(x)).otherwise(N.dbl(0))
         return N.score3(out)
 
     some = lambda c: c > 0
