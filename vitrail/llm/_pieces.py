@@ -1,60 +1,164 @@
-"""Texts as pieces that tokenize independently, and a bounded cache of each piece's ids.
+"""Texts as pieces that tokenize independently, and a bounded table of each piece's ids.
 
 The split pattern of the rank files never lets one match cover a space that stands before a
 non-space and after anything: such a space always begins a match.  So a text may be cut before
 each of them, the pieces encoded one by one, and the ids put together, with the same result as for
-the whole text.  Natural text repeats its pieces, so most are found in the cache.
+the whole text.  Natural text repeats its pieces, so most are found in the table.
+
+Everything but the encoding of new pieces is done in numpy over the UTF-8 bytes of many texts: cuts,
+hashes of all pieces (differences of one running sum), look-ups, and the gathering of ids.  Pieces are
+known by 64-bit hash and length; those over MAX_PIECE bytes are encoded each time.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+
+from . import _common as C
+
+#: At this many pieces the table is emptied (under 60 MB); longer pieces are never kept.
+TABLE_PIECES, MAX_PIECE = 600_000, 200
+#: Bytes of text handled at once.
+CHUNK_BYTES = 1_000_000
+
+#: First bytes of characters before which a space may not be cut: white space, and all of the
+#: blocks E1 to E3, in which the other Unicode spaces lie (too few cuts do no harm).
+_UNSAFE = np.zeros(256, bool)
+_UNSAFE[[*range(9, 14), *range(28, 33), 0xE1, 0xE2, 0xE3]] = True
+
+_BASE = 0x9E3779B97F4A7C15
+_EMPTY = np.uint64(0)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class PieceTable:
+    """Ids of whole texts; ``encode`` gets the pieces (with their leading space) not yet known."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = TABLE_PIECES):
+        self.encode, self.limit = encode, limit
+        self.slots = 1 << (2 * limit - 1).bit_length()
+        self.power = self.inverse = np.ones(0, np.uint64)
+        self.clear()
 
-#: The cache is emptied at this many pieces.
-CACHE_PIECES = 400_000
+    def clear(self) -> None:
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.entry = np.zeros(self.slots, np.int32)
+        self.n, self.used = 0, 0
+        self.start, self.size = np.zeros(self.limit * 2, np.int64), np.zeros(self.limit * 2, np.int32)
+        self.store = np.zeros(1 << 20, np.uint32)
 
-_UNSAFE = re.compile(r" (?:\s|$)")
-_SAFE_CUT = re.compile(r" (?=\S)")
+    def _cut(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Starts of the pieces of texts that end at ``ends`` (empty texts have none)."""
+        space = np.flatnonzero(raw == 32)
+        inside = np.ones(len(raw) + 1, bool)
+        inside[ends - 1] = False  # a text's last character begins nothing
+        space = space[inside[space]]
+        after = raw[space + 1]
+        ok = ~_UNSAFE[after]
+        c2 = np.flatnonzero(after == 0xC2)
+        ok[c2] = ~np.isin(raw[np.minimum(space[c2] + 2, len(raw) - 1)], (0x85, 0xA0))
+        begin = np.concatenate(([0], ends[:-1]))
+        mark = np.zeros(len(raw), bool)
+        mark[space[ok]] = True
+        mark[begin[ends > begin]] = True
+        return np.flatnonzero(mark)
 
+    def _hash(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(raw)
+        if len(self.power) < n:
+            self.power = _powers(_BASE, n)
+            self.inverse = _powers(pow(_BASE, -1, 1 << 64), n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[:n], out=total[1:])
+        h = (total[ends] - total[starts]) * self.inverse[starts]
+        return C.scramble(h + (ends - starts).astype(np.uint64)) | np.uint64(1)
 
-class PieceCache:
-    """Ids of whole texts as little-endian 32-bit bytes; ``encode`` gets the pieces not yet known."""
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 where there is none."""
+        mask = self.slots - 1
+        slot = (h >> np.uint64(20)).astype(np.int64) & mask
+        out = np.full(len(h), -1, np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            k = self.keys[slot]
+            hit = k == h[todo]
+            out[todo[hit]] = self.entry[slot[hit]]
+            go = ~hit & (k != _EMPTY)
+            todo, slot = todo[go], (slot[go] + 1) & mask
+        return out
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
+    def _insert(self, h: np.ndarray, entries: np.ndarray) -> None:
+        mask = self.slots - 1
+        slot, todo = (h >> np.uint64(20)).astype(np.int64) & mask, np.arange(len(h))
+        while len(todo):
+            s = slot[todo]
+            free = self.keys[s] == _EMPTY
+            first = np.zeros(len(todo), bool)
+            first[np.unique(s, return_index=True)[1]] = True
+            put = free & first
+            self.keys[s[put]], self.entry[s[put]] = h[todo[put]], entries[todo[put]]
+            todo = todo[~put]
+            slot[todo] = (slot[todo] + 1) & mask
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Pieces of a text; all but the first stand for a space and themselves."""
-        return _SAFE_CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+    def _add(self, ids: list[bytes]) -> np.ndarray:
+        """Entries of newly encoded pieces."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        if self.used + len(flat) > len(self.store):
+            self.store = np.concatenate((self.store, np.zeros(max(len(self.store), len(flat)), np.uint32)))
+        if self.n + len(ids) > len(self.start):
+            grow = np.zeros(max(len(self.start), len(ids)), np.int64)
+            self.start, self.size = np.concatenate((self.start, grow)), np.concatenate((self.size, grow.astype(np.int32)))
+        own = np.arange(self.n, self.n + len(ids))
+        self.start[own] = self.used + np.cumsum(sizes) - sizes
+        self.size[own] = sizes
+        self.store[self.used : self.used + len(flat)] = flat
+        self.n += len(ids)
+        self.used += len(flat)
+        return own
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        cut = [self.cut(t) for t in texts]
-        new: set[str] = set()
-        firsts: dict[str, bytes] = dict.fromkeys(p[0] for p in cut)
-        for p in cut:
-            new.update(p)
-        fresh = [x for x in new if x not in known]
-        lead = list(firsts)
-        got = self.encode([" " + x for x in fresh] + lead)
-        known.update(zip(fresh, got))
-        firsts.update(zip(lead, got[len(fresh) :]))
-        at = known.__getitem__
-        return [firsts[p[0]] + b"".join(map(at, p[1:])) for p in cut]
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each UTF-8 text, as unsigned 32-bit arrays."""
+        if self.n > self.limit:
+            self.clear()
+        blob = b"".join(texts)
+        raw, ends = np.frombuffer(blob, np.uint8), np.cumsum([len(t) for t in texts])
+        if not len(raw):
+            return [np.zeros(0, np.uint32) for _ in texts]
+        starts = self._cut(raw, ends)
+        stops = np.append(starts[1:], len(raw))
+        h = self._hash(raw, starts, stops)
+        entry = self._find(h)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            _, first, of = np.unique(h[new], return_index=True, return_inverse=True)
+            at = new[first]
+            pieces = [blob[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), stops[at].tolist())]
+            own = self._add(self.encode(pieces))
+            entry[new] = own[of]
+            keep = np.flatnonzero(stops[at] - starts[at] <= MAX_PIECE)
+            self._insert(h[at[keep]], own[keep])
+        size = self.size[entry].astype(np.int64)
+        total = np.cumsum(size)
+        flat = self.store[np.arange(total[-1]) + np.repeat(self.start[entry] - (total - size), size)]
+        bounds = np.concatenate(([0], total))[np.searchsorted(starts, np.concatenate(([0], ends)))]
+        return [flat[s:e] for s, e in zip(bounds.tolist(), bounds[1:].tolist())]
 
 
-def batches(texts, chars: int = 1_500_000):
-    """Lists of texts (null: empty) of about so many characters together."""
+def batches(texts, size: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+    """Lists of the UTF-8 bytes of texts (null: empty), of about so many bytes together."""
     out, n = [], 0
-    for t in texts:
-        t = t.as_py() or ""
+    for t in C.as_bytes(texts):
         out.append(t)
         n += len(t)
-        if n >= chars:
+        if n >= size:
             yield out
             out, n = [], 0
     if out:

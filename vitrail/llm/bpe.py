@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import _common as C
-from ._pieces import PieceCache, batches
+from ._pieces import PieceTable, batches
 
 LONG = 1024
 NONE = np.int32(2**31 - 1)
@@ -84,7 +84,7 @@ class Codec:
             if t[:k] in ranks and t[k:] in ranks
         ]
         self.pairs = PairTable(*np.array(pairs or [(0, 0, 0)], np.int32)[: len(pairs)].T)
-        self.cache = PieceCache(self._pieces)
+        self.table = PieceTable(self._pieces)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         cut = [self.split(p) for p in pieces]
@@ -173,8 +173,8 @@ class Codec:
             i = end[i]
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b, "<u4") for b in self.cache.ids(texts)]
+    def encode(self, texts: list[str | bytes]) -> list[np.ndarray]:
+        return self.table.ids([t.encode() if isinstance(t, str) else t for t in texts])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
