@@ -90,21 +90,25 @@ class Network:
         """Pooled features of the documents of a flat run; with ``places`` where each maximum was."""
         n = len(offsets) - 1
         gap = max(WIDTHS) - 1
-        # Each document is set apart by padding, so that no window reaches into the next one.
+        # Each document is set apart by padding: no window that begins in it reaches the next one.
         starts = offsets[:-1] + gap * np.arange(n)
         ids = np.full((len(flat) + gap * n + gap, WAYS), BUCKETS, np.int32)
-        ids[np.arange(len(flat)) + gap * np.repeat(np.arange(n), np.diff(offsets))] = self.row[flat]
+        own = np.arange(len(flat)) + gap * np.repeat(np.arange(n), np.diff(offsets))
+        ids[own] = self.row[flat]
         x = self.e[ids[:, 0]]
         for j in range(1, WAYS):
             x += self.e[ids[:, j]]
         out, where = [], []
         total = len(ids) - gap
+        padding = np.ones(total, bool)
+        padding[own] = False
         for k in WIDTHS:
             h = x[:total] @ self.w[k][:DIM]
             for j in range(1, k):
                 h += x[j : total + j] @ self.w[k][j * DIM : (j + 1) * DIM]
             h += self.b[k]
             np.maximum(h, 0, out=h)
+            h[padding] = 0  # windows begin at words
             out.append(np.maximum.reduceat(h, starts))
             if places:
                 where.append(np.stack([starts[d] + h[starts[d] : (starts[d + 1] if d + 1 < n else total)].argmax(0) for d in range(n)]))
