@@ -5,6 +5,7 @@ Order is (at_ms, actions first, seq).  ``seq`` is the order of arrival, so every
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ LINK_MS = 1400
 #: The driver's events are hours apart; its checks link within six hours.
 CHECK_LINK_MS = 21_600_000
 ACTION_BUFFER, MUTATION_BUFFER, HOVER_MS = 180, 240, 120
+#: Width of the spans in which long sessions are sorted.
+SPAN_MS = 86_400_000
 TAGS, PREVIEW = 6, 140
 
 #: FIXED VALUES: labels of actions and transitions, and the attributes of visual states.
@@ -108,10 +111,20 @@ def project(linked: DataFrame) -> DataFrame:
     )
 
 
-def merge(timeline: DataFrame) -> DataFrame:
-    """``timeline`` with position, the place of each row in its session's merged timeline."""
-    w = W.partitionBy("capture_id").orderBy("at_ms", F.when(F.col("kind") == S.ACTION, 0).otherwise(1), "seq")
-    return timeline.withColumn("position", F.row_number().over(w))
+def merge(timeline: DataFrame, span_ms: int = SPAN_MS) -> DataFrame:
+    """``timeline`` with position, the place of each row in its session's merged timeline.
+
+    Rows are numbered inside spans of time; a span begins after the rows of all earlier ones, which
+    are summed over one row a span.  So a session of any length is sorted in many tasks.
+    """
+    span = F.floor(F.col("at_ms") / F.lit(span_ms)).cast("long")
+    t = timeline.withColumn("_span", span)
+    earlier = W.partitionBy("capture_id").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    sizes = t.groupBy("capture_id", "_span").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("capture_id", "_span", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    w = W.partitionBy("capture_id", "_span").orderBy("at_ms", F.when(F.col("kind") == S.ACTION, 0).otherwise(1), "seq")
+    placed = t.join(starts, ["capture_id", "_span"]).withColumn("position", (F.row_number().over(w) + F.col("_start")).cast("int"))
+    return placed.select(*timeline.columns, "position")
 
 
 def trailing(traces: DataFrame, actions: int = ACTION_BUFFER, mutations: int = MUTATION_BUFFER) -> DataFrame:
@@ -127,25 +140,27 @@ def trailing(traces: DataFrame, actions: int = ACTION_BUFFER, mutations: int = M
 def throttle_hovers(traces: DataFrame, pause_ms: int = HOVER_MS) -> DataFrame:
     """Hovers that are recorded: another target than the last recorded one, and ``pause_ms`` after it.
 
-    Whether a row is kept depends on rows kept before it, so each session's hovers are folded in
-    order; only (time, target) pairs of one session are held.
+    Whether a row is kept depends on rows kept before it, so a session is read in order.  Sessions
+    are sorted by Spark (which spills) and streamed through a fold that holds one row a session.
     """
-    hovers = traces.where((F.col("kind") == S.ACTION) & (F.col("type") == "hover"))
-    one = F.struct("at_ms", "seq", "selector")
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(one)),
-        F.struct(
-            F.lit(None).cast("long").alias("at"),
-            F.lit(None).cast("string").alias("target"),
-            F.array().cast("array<struct<at_ms:long,seq:long,selector:string>>").alias("kept"),
-        ),
-        lambda a, x: F.when(
-            ~x["selector"].eqNullSafe(a["target"]) & (a["at"].isNull() | (x["at_ms"] - a["at"] >= pause_ms)),
-            F.struct(x["at_ms"].alias("at"), x["selector"].alias("target"), F.concat(a["kept"], F.array(x)).alias("kept")),
-        ).otherwise(a),
-        lambda a: a["kept"],
-    )
-    return hovers.groupBy("capture_id").agg(folded.alias("k")).select("capture_id", F.inline("k"))
+    hovers = traces.where((F.col("kind") == S.ACTION) & (F.col("type") == "hover")).select("capture_id", "at_ms", "seq", "selector")
+    parts = int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = hovers.repartition(parts, "capture_id").sortWithinPartitions("capture_id", "at_ms", "seq")
+
+    def fold(batches):
+        session = at = target = None
+        for b in batches:
+            keep = []
+            for c, t, s in zip(b["capture_id"].to_pylist(), b["at_ms"].to_pylist(), b["selector"].to_pylist()):
+                if c != session:
+                    session, at, target = c, None, None
+                kept = s != target and (at is None or t - at >= pause_ms)
+                if kept:
+                    at, target = t, s
+                keep.append(kept)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(fold, hovers.schema)
 
 
 def counts(linked: DataFrame) -> DataFrame:

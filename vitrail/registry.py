@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold ``QUERIES`` (name -> (spark, sf_dir) -> DataFrame) and ``ORACLE`` (name -> SQL).
-MODULES: tuple[str, ...] = ("operators.timeline", "operators.htmltree", "operators.fidelity", "operators.resources", "operators.styles", "operators.shadow", "operators.matching", "operators.rewrite", "operators.export", "operators.report", "operators.fallback")
+MODULES: tuple[str, ...] = ("operators.timeline", "operators.htmltree", "operators.fidelity", "operators.resources", "operators.styles", "operators.shadow", "operators.matching", "operators.rewrite", "operators.export", "operators.report", "operators.fallback", "operators.projections", "plans.capture")
 
 
 def _all(attribute: str) -> dict:
