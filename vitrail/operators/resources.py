@@ -6,7 +6,7 @@ reference of a key gives its place.  Nodes are numbered inside a capture in orde
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,46 +16,54 @@ from ..sources import fixtures as X
 KINDS = ("stylesheet", "font", "image", "script", "svg-reference", "other")
 
 
-def _emitted(d: DataFrame, stage: int, origin, kind, url, ref, label, source: str, reason, *order) -> DataFrame:
-    """References in one shape; ``order`` sorts them inside their stage (numbers, in order)."""
-    place = F.array(F.lit(stage).cast("long"), *[o.cast("long") for o in order], *[F.lit(0).cast("long")] * (5 - len(order)))
-    return d.select(
-        "capture_id", place.alias("place"), origin.alias("origin"), kind.alias("kind"), url.alias("url"), ref.alias("ref"),
-        label.alias("label"), F.lit(source).alias("source"), reason.alias("reason"),
-    )
+_REFERENCE = "array<struct<kind:string,url:string,ref:string,label:string,reason:string,group:int,i:int>>"
+
+
+def _fragment_refs(value: Column, reason: Column) -> Column:
+    none = F.lit(None).cast("string")
+    found = U.fragments(value)
+    return F.transform(found, lambda r, i: F.struct(F.lit("svg-reference").alias("kind"), none.alias("url"), r.alias("ref"), r.alias("label"), reason.alias("reason"), F.lit(0).alias("group"), i.alias("i")))
+
+
+def _url_refs(urls: Column, base: Column, name: Column | None, reason: Column, group: int) -> Column:
+    """References to resolved addresses; fragments and what does not resolve are left out."""
+    none = F.lit(None).cast("string")
+    resolved = F.transform(urls, lambda u: U.resolve(u, base))
+    shaped = F.transform(
+        resolved, lambda u, i: F.struct(U.kind(u, name).alias("kind"), u.alias("url"), none.alias("ref"), u.alias("label"), reason.alias("reason"), F.lit(group).alias("group"), i.alias("i"))
+    )
+    return F.filter(shaped, lambda r: r["url"].isNotNull() & ~r["url"].startswith("#"))
+
+
+def _emitted(rows: DataFrame, stage: int, origin: Column, refs: Column, source: str, ordinal: Column) -> DataFrame:
+    """One row a reference, from one pass over ``rows``; place orders emission inside a capture."""
+    each = rows.select("capture_id", "seq", ordinal.cast("long").alias("o"), origin.alias("origin"), F.inline(refs.cast(_REFERENCE)))
+    place = F.array(F.lit(stage).cast("long"), F.col("seq"), F.col("o"), F.col("group").cast("long"), F.col("i").cast("long"), F.lit(0).cast("long"))
+    return each.select("capture_id", place.alias("place"), "origin", "kind", "url", "ref", "label", F.lit(source).alias("source"), "reason")
 
 
 def rule_references(rules: DataFrame, declarations: DataFrame) -> DataFrame:
     """Stylesheets of rules, and fragments and URLs of their declarations."""
-    none = F.lit(None).cast("string")
     # Every rule has an ordinal, which names its origin.
     origin = F.concat(F.lit("css-rule:"), F.col("seq").cast("string"))
-    sheets = rules.where(F.coalesce(F.trim("source_url"), F.lit("")) != "")
-    own = U.resolve(F.col("source_url"), F.col("page_url"))
-    out = _emitted(sheets, 1, origin, F.lit("stylesheet"), F.coalesce(own, F.col("source_url")), none, F.col("source_url"), "cssGraph", F.lit("matched-rule-stylesheet"), F.col("seq"))
-    reason = F.concat(F.lit("declaration:"), F.col("name"))
-    refs = declarations.select("*", F.posexplode(U.fragments(F.col("value"))).alias("i", "r"))
-    out = out.unionByName(
-        _emitted(refs, 1, origin, F.lit("svg-reference"), none, F.col("r"), F.col("r"), "cssGraph", reason, F.col("seq"), F.col("ordinal") + 1, F.lit(0), F.col("i"))
-    )
-    urls = declarations.select("*", F.posexplode(U.css_urls(F.col("value"))).alias("i", "u")).withColumn("r", U.resolve(F.col("u"), F.col("page_url")))
-    urls = urls.where(F.col("r").isNotNull() & ~F.col("r").startswith("#"))
-    return out.unionByName(
-        _emitted(urls, 1, origin, U.kind(F.col("r"), F.col("name")), F.col("r"), none, F.col("r"), "cssGraph", reason, F.col("seq"), F.col("ordinal") + 1, F.lit(1), F.col("i"))
+    url = F.coalesce(U.resolve(F.col("source_url"), F.col("page_url")), F.col("source_url"))
+    sheet = F.array(
+        F.struct(F.lit("stylesheet"), url, F.lit(None).cast("string"), F.col("source_url"), F.lit("matched-rule-stylesheet"), F.lit(0), F.lit(0))
     )
+    out = _emitted(rules.where(F.coalesce(F.trim("source_url"), F.lit("")) != ""), 1, origin, sheet, "cssGraph", F.lit(0))
+    reason = F.concat(F.lit("declaration:"), F.col("name"))
+    refs = F.concat(_fragment_refs(F.col("value"), reason), _url_refs(U.css_urls(F.col("value")), F.col("page_url"), F.col("name"), reason, 1))
+    return out.unionByName(_emitted(declarations, 1, origin, refs, "cssGraph", F.col("ordinal") + 1))
 
 
 def string_references(strings: DataFrame) -> DataFrame:
     """Fragments, CSS URLs and bare addresses in a snapshot's string table."""
-    none, origin = F.lit(None).cast("string"), F.lit("dom-snapshot:string-table")
-    s = strings.withColumn("t", F.trim("value")).where("t <> ''")
-    refs = s.select("*", F.posexplode(U.fragments(F.col("t"))).alias("i", "r"))
-    out = _emitted(refs, 3, origin, F.lit("svg-reference"), none, F.col("r"), F.col("r"), "domSnapshot", F.lit("dom-string"), F.col("seq"), F.lit(0), F.col("i"))
-    urls = s.select("*", F.posexplode(U.css_urls(F.col("t"))).alias("i", "u")).withColumn("r", U.resolve(F.col("u"), F.col("page_url")))
-    urls = urls.where(F.col("r").isNotNull() & ~F.col("r").startswith("#"))
-    out = out.unionByName(_emitted(urls, 3, origin, U.kind(F.col("r")), F.col("r"), none, F.col("r"), "domSnapshot", F.lit("dom-css-url"), F.col("seq"), F.lit(1), F.col("i")))
-    bare = s.where(U.likely_asset(F.col("t"))).withColumn("r", U.resolve(F.col("t"), F.col("page_url"))).where(F.col("r").isNotNull() & ~F.col("r").startswith("#"))
-    return out.unionByName(_emitted(bare, 3, origin, U.kind(F.col("r")), F.col("r"), none, F.col("r"), "domSnapshot", F.lit("dom-literal"), F.col("seq"), F.lit(2)))
+    t, base = F.trim("value"), F.col("page_url")
+    bare = F.when(U.likely_asset(t), F.array(t)).otherwise(F.array().cast("array<string>"))
+    refs = F.concat(
+        _fragment_refs(t, F.lit("dom-string")), _url_refs(U.css_urls(t), base, None, F.lit("dom-css-url"), 1), _url_refs(bare, base, None, F.lit("dom-literal"), 2)
+    )
+    return _emitted(strings.where(t != ""), 3, F.lit("dom-snapshot:string-table"), refs, "domSnapshot", F.lit(0))
 
 
 def nodes(references: DataFrame) -> DataFrame:
@@ -125,7 +133,7 @@ refs AS (
   UNION ALL SELECT capture_id, [1, seq, ordinal + 1, 0, 0, 0], 'css-rule:' || seq, 'svg-reference', NULL, value, value, 'cssGraph', 'declaration:' || name FROM fx_css_decls WHERE value LIKE '#_%'
   UNION ALL SELECT capture_id, [1, seq, ordinal + 1, 1, 0, 0], 'css-rule:' || seq, {sql_kind('r', 'name')}, r, NULL, r, 'cssGraph', 'declaration:' || name FROM (SELECT *, {sql_resolve('u', 'page_url')} AS r FROM ur)
   UNION ALL SELECT capture_id, [3, seq, 0, 0, 0, 0], 'dom-snapshot:string-table', 'svg-reference', NULL, u, u, 'domSnapshot', 'dom-string' FROM us WHERE u LIKE '#%'
-  UNION ALL SELECT capture_id, [3, seq, 2, 0, 0, 0], 'dom-snapshot:string-table', {sql_kind('r')}, r, NULL, r, 'domSnapshot', 'dom-literal' FROM (SELECT *, {sql_resolve('value', 'page_url')} AS r FROM fx_strings
+  UNION ALL SELECT capture_id, [3, seq, 0, 2, 0, 0], 'dom-snapshot:string-table', {sql_kind('r')}, r, NULL, r, 'domSnapshot', 'dom-literal' FROM (SELECT *, {sql_resolve('value', 'page_url')} AS r FROM fx_strings
     WHERE value LIKE 'http%' OR value LIKE 'data:%' OR regexp_matches(value, '(?i)^(/|\\./|\\.\\./).+\\.(css|mjs|cjs|js|woff2?|ttf|otf|eot|png|jpe?g|gif|webp|avif|svg|bmp|ico)([?#].*)?$'))),
 first AS (SELECT capture_id, kind, url, ref, label, source, min(place) AS place FROM refs GROUP BY ALL),
 nodes AS (SELECT capture_id, kind, url, ref, label, source, (row_number() OVER (PARTITION BY capture_id ORDER BY place, kind, label) - 1)::INT AS ordinal,

@@ -45,9 +45,10 @@ def link_mutations(traces: DataFrame, tolerance_ms: int = LINK_MS) -> DataFrame:
     before, so windows run over (session, span) and stay small in sessions of any length.
     """
     span = F.floor(F.col("at_ms") / F.lit(max(1, tolerance_ms))).cast("long")
-    rows = traces.withColumns({"_span": span, "_copy": F.lit(False)})
     cause = (F.col("kind") == S.ACTION) & (F.col("type") != "hover")
-    copies = traces.where(cause).withColumns({"_span": span + 1, "_copy": F.lit(True)})
+    place = lambda at, copy: F.struct(at.alias("_span"), F.lit(copy).alias("_copy"))
+    places = F.when(cause, F.array(place(span, False), place(span + 1, True))).otherwise(F.array(place(span, False)))
+    rows = traces.select("*", F.inline(places))
     w = (
         W.partitionBy("capture_id", "_span")
         .orderBy("at_ms", F.when(F.col("kind") == S.ACTION, 0).otherwise(1), "seq")
@@ -55,7 +56,7 @@ def link_mutations(traces: DataFrame, tolerance_ms: int = LINK_MS) -> DataFrame:
     )
     last = F.last(F.when(cause, F.struct("type", "at_ms", "seq")), ignorenulls=True).over(w)
     near = (F.col("kind") == S.MUTATION) & (F.col("at_ms") - F.col("_a.at_ms") <= tolerance_ms)
-    found = rows.unionByName(copies).withColumn("_a", last).where("not _copy")
+    found = rows.withColumn("_a", last).where("not _copy")
     return found.select(
         *traces.columns,
         F.when(near, F.col("_a.type")).alias("action_type"),
