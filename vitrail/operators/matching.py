@@ -19,7 +19,7 @@ POINTS = {
     "tag": 24, "id": 32, "class": 4, "class_cap": 18, "sibling": 7, "children_same": 5, "children_near": 2, "children_far": -4,
     "attribute": 4, "attribute_cap": 14, "ancestor_tag": 3, "ancestor_id": 4, "ancestor_class": 1, "ancestor_cap": 18,
 }
-LEVELS, RESOLVED, WINDOW, AMBIGUOUS = 5, 32, 9, 9
+LEVELS, RESOLVED, WINDOW = 5, 32, 9
 SELECTOR_CONFIDENCE = 0.28
 
 
@@ -87,7 +87,66 @@ def runtime_confidence(best: Column, margin: Column, penalty: Column, near: Colu
     return F.greatest(N.dbl(0.05), F.least(N.dbl(1), base + bonus - drift - crowd))
 
 
-def resolve(scored: DataFrame) -> DataFrame:
+#: FIXED VALUES: points of the signals of a match in the running page.
+RUNTIME_POINTS = {
+    "tag": 26, "id": 34, "class": 4, "class_cap": 20, "text_same": 18, "text_near": 8, "text_far": -8, "sibling": 8, "children_same": 6, "children_near": 2,
+    "children_far": -6, "attribute": 5, "attribute_cap": 18, "ancestor_tag": 4, "ancestor_cap": 20, "outside_shadow": 4, "overlap_high": 26, "overlap_mid": 16, "centre": 8,
+}
+RUNTIME_RESOLVED, RUNTIME_WINDOW, TEXT_OVERLAP = 28, 12, 0.45
+
+
+def texts(nodes: DataFrame, limit: int = 280) -> DataFrame:
+    """Compact lower-case text below each element, cut to ``limit``."""
+    below = nodes.where("kind = 'text'").select("capture_id", F.col("node_idx").alias("t"), "text", F.explode("path").alias("node_idx"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "text"))), lambda x: x["text"]), "")
+    return below.groupBy("capture_id", "node_idx").agg(F.substring(F.lower(T.compact(joined)), 1, limit).alias("content"))
+
+
+def box_points(fp: Column, own: Column) -> tuple[Column, Column]:
+    """Points for where an element is, and penalty points for drift (which do not lower the score)."""
+    cut = lambda p, s: F.greatest(N.dbl(0), F.least(fp[p] + fp[s], own[p] + own[s]) - F.greatest(fp[p], own[p]))
+    inter, area_a, area_b = cut("x", "width") * cut("y", "height"), fp["width"] * fp["height"], own["width"] * own["height"]
+    iou = inter / F.greatest(N.dbl(1), area_a + area_b - inter)
+    ratio = F.greatest(area_a, area_b) / F.greatest(N.dbl(1), F.least(area_a, area_b))
+    mid = lambda b, p, s: b[p] + b[s] / 2
+    near = N.hypotenuse_distance(mid(fp, "x", "width"), mid(fp, "y", "height"), mid(own, "x", "width"), mid(own, "y", "height"))
+    close = near / F.greatest(N.dbl(1), fp["width"], fp["height"]) <= 0.6
+    r = RUNTIME_POINTS
+    high = r["overlap_high"] + F.when(ratio <= 1.5, 4).when(ratio <= 2.2, 2).otherwise(0)
+    points = F.when(iou >= 0.6, high).when(iou >= 0.35, r["overlap_mid"] + F.when(ratio <= 1.8, 2).otherwise(0)).when(close, r["centre"]).otherwise(0)
+    drift = F.when((iou < 0.35) & ~close, F.when(ratio > 3, 14).otherwise(8)).otherwise(0)
+    return points, drift
+
+
+def runtime_score(elements: DataFrame, prints: DataFrame) -> DataFrame:
+    """Scores among elements of the fingerprint's tag in the light document.
+
+    ``elements`` have content and box beside what ``described`` gives, and element_idx and
+    element_children, which count elements only.
+    """
+    p = RUNTIME_POINTS
+    c = elements.join(prints, (elements.capture_id == prints.capture_id) & (elements.tag == prints["fp.tag"])).drop(prints.capture_id)
+    fp = lambda k: F.col(f"fp.{k}")
+    mine, theirs = F.coalesce("content", F.lit("")), F.substring(F.coalesce(fp("content"), F.lit("")), 1, 220)
+    contained = F.contains(mine, theirs) | F.contains(theirs, F.substring(mine, 1, 80))
+    words = lambda x: F.filter(F.split(x, " "), lambda t: t != "")
+    text = F.when((theirs == "") | (mine == ""), 0).when(contained, p["text_same"]).when(T.overlap(words(mine), words(theirs)) >= TEXT_OVERLAP, p["text_near"]).otherwise(p["text_far"])
+    apart = F.abs(F.col("element_children") - fp("element_children"))
+    children = F.when(apart == 0, p["children_same"]).when(apart <= 2, p["children_near"]).otherwise(p["children_far"])
+    levels = F.zip_with(F.col("ancestors"), fp("ancestors"), lambda a, b: F.when(a == b, p["ancestor_tag"]).otherwise(0))
+    points, drift = box_points(fp("box"), F.col("box"))
+    total = (
+        p["tag"] + F.when((F.col("id") != "") & (F.col("id") == fp("id")), p["id"]).otherwise(0)
+        + F.least(F.lit(p["class_cap"]), p["class"] * F.size(F.array_intersect(F.col("classes"), fp("classes")))) + text
+        + F.when(F.col("element_idx") == fp("element_idx"), p["sibling"]).otherwise(0) + children
+        + F.when((F.col("href") != "") & (F.col("href") == fp("href")), p["attribute"]).otherwise(0)
+        + F.least(F.lit(p["ancestor_cap"]), F.aggregate(levels, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))) + p["outside_shadow"] + points
+    )
+    penalty = F.when(text < 0, 8).otherwise(0) + F.when(apart > 2, 6).otherwise(0) + drift
+    return c.select("capture_id", "node_idx", "tag", total.alias("score"), penalty.alias("penalty"), F.col("fp.node_idx").alias("true_idx")).where("score > 0")
+
+
+def resolve(scored: DataFrame, calibrate=None, cut: int = RESOLVED, window: int = WINDOW) -> DataFrame:
     """The best candidate of each capture (ties: the first in the document), margin and confidence.
 
     One aggregation: the best three are kept by a partial sort of structs, near ones are counted
@@ -98,13 +157,13 @@ def resolve(scored: DataFrame) -> DataFrame:
     best, second = F.col("c")[0], F.get(F.col("c"), F.lit(1))
     top = -best["s"]
     margin = F.coalesce(top + second["s"], top)
-    near = F.size(F.filter("c", lambda x: top + x["s"] < WINDOW))
+    near = F.size(F.filter("c", lambda x: top + x["s"] < window))
     line = lambda x: F.concat(x["tag"], F.lit(":"), (-x["s"]).cast("string"), F.lit("(-"), x["penalty"].cast("string"), F.lit(")"))
     return d.select(
         "capture_id", best["node_idx"].alias("node_idx"), top.alias("score"), margin.alias("margin"), near.alias("near"),
-        N.thousandths(confidence(top, margin, best["penalty"], near)).alias("confidence"),
-        (top >= RESOLVED).alias("resolved"), F.size("c").alias("candidates"),
-        ((second.isNotNull() & (margin < AMBIGUOUS)) | (near > 1)).alias("ambiguous"),
+        N.thousandths((calibrate or confidence)(top, margin, best["penalty"], near)).alias("confidence"),
+        (top >= cut).alias("resolved"), F.size("c").alias("candidates"),
+        ((second.isNotNull() & (margin < window)) | (near > 1)).alias("ambiguous"),
         F.array_join(F.transform(F.slice("c", 1, 3), line), ", ").alias("top3"),
         (best["node_idx"] == best["true_idx"]).alias("is_true"),
     )
@@ -224,6 +283,18 @@ def _matched(s, d):
     return resolve(score(e, fingerprints(e)))
 
 
+def _runtime(s, d):
+    n = _nodes(s, d)
+    i = F.col("node_idx")
+    box = lambda shift: F.struct((i * 7 % 900 + shift).cast("double").alias("x"), (i * 13 % 700).cast("double").alias("y"), (i % 180 + 20).cast("double").alias("width"), (i % 60 + 10).cast("double").alias("height"))
+    places = H.siblings(n).select("capture_id", "node_idx", F.col("sibling_idx").alias("element_idx"))
+    kids = n.where("kind = 'element' and parent_idx is not null").groupBy("capture_id", F.col("parent_idx").alias("node_idx")).agg(F.count(F.lit(1)).cast("int").alias("element_children"))
+    key = ["capture_id", "node_idx"]
+    e = described(n).where("tag = 'a'").join(places, key).join(kids, key, "left").join(texts(n), key, "left")
+    e = e.withColumns({"element_children": F.coalesce("element_children", F.lit(0)), "box": box(0)})
+    return resolve(runtime_score(e, fingerprints(e.withColumn("box", box(9)))), runtime_confidence, RUNTIME_RESOLVED, RUNTIME_WINDOW)
+
+
 def _cascade(s, d):
     pages = s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("capture_id"), (F.col("page_id") % 3 != 0).alias("has_selector"))
     hints = pages.select("capture_id", (F.col("capture_id") % 5).alias("hints"))
@@ -237,6 +308,7 @@ def _elements(s, d):
 
 QUERIES = {
     "fingerprint_match": _matched,
+    "runtime_match": _runtime,
     "mapping_cascade": _cascade,
     "stable_selector": lambda s, d: _elements(s, d).select("capture_id", "node_idx", stable_selector(F.col("tag"), F.col("attrs")).alias("selector")),
     "component_kind": lambda s, d: _elements(s, d).groupBy(component_kind(F.col("tag"), F.col("attrs")).alias("kind")).agg(F.count(F.lit(1)).alias("n")),
@@ -265,7 +337,31 @@ matched AS (SELECT capture_id, node_idx, top::INT AS score, coalesce(top - secon
   - greatest(0::DOUBLE, least(0.28::DOUBLE, penalty::DOUBLE / 35::DOUBLE)) - CASE WHEN near > 1 THEN least(0.2::DOUBLE, (near - 1)::DOUBLE * 0.06::DOUBLE) ELSE 0::DOUBLE END))''')} AS confidence,
   top >= 32 AS resolved, candidates::INT AS candidates, (second IS NOT NULL AND top - second < 9) OR near > 1 AS ambiguous, top3, node_idx = true_idx AS is_true FROM rk JOIN nr USING (capture_id) WHERE r = 1)
 """
+_RUN = _ELEMENTS + f""", tx AS (SELECT capture_id, node_idx AS t, text, unnest(path) AS node_idx FROM nodes WHERE tag IS NULL),
+ct AS (SELECT capture_id, node_idx, lower(trim(regexp_replace(string_agg(text, '' ORDER BY t), '[\\s\\x{{00A0}}\\x{{FEFF}}]+', ' ', 'g')))[1:280] AS content FROM tx GROUP BY ALL),
+ek AS (SELECT capture_id, parent_idx AS node_idx, count(*)::INT AS n FROM nodes WHERE tag IS NOT NULL AND parent_idx IS NOT NULL GROUP BY ALL),
+es AS (SELECT capture_id, node_idx, row_number() OVER (PARTITION BY capture_id, parent_idx ORDER BY node_idx) - 1 AS element_idx FROM nodes WHERE tag IS NOT NULL),
+c AS (SELECT el.*, coalesce(ek.n, 0) AS ec, element_idx, coalesce(content, '') AS content, (node_idx * 7 % 900)::DOUBLE AS x, (node_idx * 13 % 700)::DOUBLE AS y, (node_idx % 180 + 20)::DOUBLE AS w, (node_idx % 60 + 10)::DOUBLE AS h
+  FROM el LEFT JOIN ek USING (capture_id, node_idx) JOIN es USING (capture_id, node_idx) LEFT JOIN ct USING (capture_id, node_idx) WHERE tag = 'a'),
+f2 AS (SELECT * REPLACE (x + 9 AS x) FROM c QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY node_idx) <= 2), f AS (SELECT * FROM f2 QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY node_idx DESC) = 1),
+b0 AS (SELECT c.*, f.node_idx AS true_idx, f.id AS fid, f.classes AS fclasses, f.content[1:220] AS ftext, f.element_idx AS fi, f.ec AS fec, f.href AS fhref, f.ancestors AS fanc, f.w AS fw, f.h AS fh,
+  greatest(0::DOUBLE, least(f.x + f.w, c.x + c.w) - greatest(f.x, c.x)) * greatest(0::DOUBLE, least(f.y + f.h, c.y + c.h) - greatest(f.y, c.y)) AS inter, sqrt((f.x + f.w / 2 - (c.x + c.w / 2)) * (f.x + f.w / 2 - (c.x + c.w / 2)) + (f.y + f.h / 2 - (c.y + c.h / 2)) * (f.y + f.h / 2 - (c.y + c.h / 2))) AS dist
+  FROM c JOIN f USING (capture_id)),
+b1 AS (SELECT *, inter / greatest(1::DOUBLE, fw * fh + w * h - inter) AS iou, greatest(fw * fh, w * h) / greatest(1::DOUBLE, least(fw * fh, w * h)) AS ratio, dist / greatest(1::DOUBLE, fw, fh) <= 0.6::DOUBLE AS close,
+  list_distinct(list_filter(string_split(content, ' '), lambda t: t <> '')) AS wa, list_distinct(list_filter(string_split(ftext, ' '), lambda t: t <> '')) AS wb FROM b0),
+b2 AS (SELECT *, CASE WHEN ftext = '' OR content = '' THEN 0 WHEN contains(content, ftext) OR contains(ftext, content[1:80]) THEN 18 WHEN len(list_intersect(wa, wb))::DOUBLE / greatest(len(wa), len(wb)) >= 0.45::DOUBLE THEN 8 ELSE -8 END AS tp FROM b1),
+sc AS (SELECT capture_id, node_idx, tag, true_idx, 26 + CASE WHEN id <> '' AND id = fid THEN 34 ELSE 0 END + least(20, 4 * len(list_intersect(classes, fclasses))) + tp + CASE WHEN element_idx = fi THEN 8 ELSE 0 END
+  + CASE WHEN ec = fec THEN 6 WHEN abs(ec - fec) <= 2 THEN 2 ELSE -6 END + CASE WHEN href <> '' AND href = fhref THEN 5 ELSE 0 END + least(20, coalesce(list_sum(list_transform(list_zip(ancestors, fanc), lambda z: CASE WHEN z[1] = z[2] THEN 4 ELSE 0 END)), 0)) + 4
+  + CASE WHEN iou >= 0.6::DOUBLE THEN 26 + CASE WHEN ratio <= 1.5::DOUBLE THEN 4 WHEN ratio <= 2.2::DOUBLE THEN 2 ELSE 0 END WHEN iou >= 0.35::DOUBLE THEN 16 + CASE WHEN ratio <= 1.8::DOUBLE THEN 2 ELSE 0 END WHEN close THEN 8 ELSE 0 END AS score,
+  CASE WHEN tp < 0 THEN 8 ELSE 0 END + CASE WHEN abs(ec - fec) > 2 THEN 6 ELSE 0 END + CASE WHEN iou < 0.35::DOUBLE AND NOT close THEN CASE WHEN ratio > 3 THEN 14 ELSE 8 END ELSE 0 END AS penalty FROM b2),
+rk AS (SELECT *, row_number() OVER w AS r, max(score) OVER (PARTITION BY capture_id) AS top, lead(score) OVER w AS second, count(*) OVER (PARTITION BY capture_id) AS candidates FROM sc WHERE score > 0 WINDOW w AS (PARTITION BY capture_id ORDER BY score DESC, node_idx)),
+nr AS (SELECT capture_id, count(*) FILTER (top - score < 12) AS near, string_agg(tag || ':' || score::INT || '(-' || penalty || ')', ', ' ORDER BY r) FILTER (r <= 3) AS top3 FROM rk GROUP BY capture_id)
+SELECT capture_id, node_idx, top::INT AS score, coalesce(top - second, top)::INT AS margin, near::INT AS near, {N.sql_round3('''greatest(0.05::DOUBLE, least(1::DOUBLE, greatest(0.18::DOUBLE, least(0.97::DOUBLE, top::DOUBLE / 130::DOUBLE)) + greatest(0::DOUBLE, least(0.08::DOUBLE, coalesce(top - second, top)::DOUBLE / 35::DOUBLE))
+  - greatest(0::DOUBLE, least(0.3::DOUBLE, penalty::DOUBLE / 45::DOUBLE)) - CASE WHEN near > 1 THEN least(0.22::DOUBLE, (near - 1)::DOUBLE * 0.07::DOUBLE) ELSE 0::DOUBLE END))''')} AS confidence,
+  top >= 28 AS resolved, candidates::INT AS candidates, (second IS NOT NULL AND top - second < 12) OR near > 1 AS ambiguous, top3, node_idx = true_idx AS is_true FROM rk JOIN nr USING (capture_id) WHERE r = 1
+"""
 ORACLE = {
+    "runtime_match": _RUN,
     "fingerprint_match": _MATCH + "SELECT * FROM matched",
     "mapping_cascade": _MATCH + f"""SELECT p.page_id AS capture_id, CASE WHEN m.resolved AND p.page_id % 4 <> 0 THEN 'dom-traversal' WHEN p.page_id % 3 <> 0 THEN 'selector-fallback' ELSE 'unresolved' END AS strategy,
       {N.sql_round3('''CASE WHEN m.resolved AND p.page_id % 4 <> 0 THEN greatest(0::DOUBLE, least(1::DOUBLE, m.confidence + CASE WHEN p.page_id % 5 = 0 THEN 0::DOUBLE ELSE least(0.06::DOUBLE, 0.015::DOUBLE + 0.01::DOUBLE * (p.page_id % 5)) END)) WHEN p.page_id % 3 <> 0 THEN 0.28::DOUBLE ELSE 0::DOUBLE END''')} AS confidence
