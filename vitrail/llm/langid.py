@@ -40,6 +40,7 @@ OUT = T.StructType(
     ]
 )
 
+_LETTER = regex.compile(r"\p{L}")
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -74,7 +75,7 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         raw = letters(text or "")
-        if not raw or not self.langs:
+        if not self.langs or not _LETTER.search(text or ""):
             return "und", 0.0, True
         sizes = [pack(raw) for pack in self.packers]
         order = sorted((len(x), i) for i, x in enumerate(sizes))
