@@ -6,6 +6,8 @@ there is no cross join, and each pair is scored in one projection.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -237,18 +239,27 @@ def target_class(nodes: DataFrame) -> DataFrame:
 def token_overlap(texts: DataFrame, previews: DataFrame, cut: float = 0.2) -> DataFrame:
     """Pairs of a text and a preview whose token overlap reaches ``cut``.
 
-    Joined on shared tokens, so pairs without any are never formed; the previews are few and short,
-    and tokens of over a thousandth of all texts still join by hash.
+    A pair over the cut shares at least ``cut`` of the preview's tokens, so it shares one of any
+    ``1 - cut`` of them and one more: only a preview's tokens that fewest previews have are joined,
+    which leaves the most common words out.  A text cannot have over 1 / cut times the tokens of the
+    longest preview, and a long one must share more.  Candidate pairs are then compared exactly.
     """
-    a = texts.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("a"))
+    # Generated columns are computed once; a plain projection would be repeated in filter and joins.
+    a = texts.select("doc_id", F.inline(F.array(F.struct(F.array_distinct(T.tokens(F.col("text"))).alias("a")))))
     b = previews.select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("b"))
-    shared = (
-        a.select("doc_id", F.size("a").alias("na"), F.explode("a").alias("t"))
-        .join(b.select("item_id", F.size("b").alias("nb"), F.explode("b").alias("t")), "t")
-        .groupBy("doc_id", "item_id", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
-    )
-    overlap = F.col("n").cast("double") / F.greatest("na", "nb").cast("double")
-    return shared.select("doc_id", "item_id", N.thousandths(overlap).alias("overlap")).where(F.col("overlap") >= cut)
+    longest = b.agg(F.max(F.size("b"))).first()[0] or 0
+    a = a.where(F.size("a") <= math.floor(longest / cut))
+    terms = b.select("item_id", F.size("b").alias("nb"), F.explode("b").alias("t"))
+    rarity = terms.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    order = F.row_number().over(W.partitionBy("item_id").orderBy("f", "t"))
+    rare = terms.join(rarity, "t").withColumn("r", order).where(F.col("r") <= F.col("nb") - F.ceil(F.col("nb") * cut) + 1)
+    shared = a.select("doc_id", F.size("a").alias("na"), F.explode("a").alias("t")).join(rare.select("item_id", "nb", "t"), "t")
+    counted = shared.groupBy("doc_id", "item_id", "na", "nb").agg(F.count(F.lit(1)).alias("m"))
+    # Of the tokens left out a pair shares all at most; the rest of what it needs must be here.
+    need = F.ceil(F.greatest("na", "nb") * cut) - F.ceil(F.col("nb") * cut) + 1
+    pairs = counted.where(F.col("m") >= need).select("doc_id", "item_id")
+    found = pairs.join(a, "doc_id").join(b, "item_id")
+    return found.select("doc_id", "item_id", N.thousandths(T.overlap(F.col("a"), F.col("b"))).alias("overlap")).where(F.col("overlap") >= cut)
 
 
 def box_overlap(a: DataFrame) -> DataFrame:
