@@ -61,11 +61,11 @@ def attributes(raw: Column) -> Column:
     return F.map_from_entries(F.arrays_zip(names.alias("k"), values.alias("v")))
 
 
-_NODE = "struct<node_idx:int,parent_idx:int,depth:int,tag:string,attrs:string,text:string,path:array<int>>"
+_NODE = "struct<node_idx:int,parent_idx:int,depth:int,tag:string,attrs:string,text:string,path:array<int>,path_tags:array<string>>"
 
 
 def parse(html: Column) -> Column:
-    """Nodes of a page in document order; path holds the indices of a node's open ancestors."""
+    """Nodes of a page in document order; path and path_tags are a node's open ancestors."""
     start = F.struct(
         F.array().cast("array<struct<i:int,tag:string>>").alias("stack"),
         F.lit(0).alias("n"),
@@ -86,6 +86,7 @@ def parse(html: Column) -> Column:
             t["attrs"].alias("attrs"),
             t["text"].alias("text"),
             F.transform(stack, lambda s: s["i"]).alias("path"),
+            tags.alias("path_tags"),
         )
         opens = t["tag"].isNotNull() & ~t["selfclosed"] & ~t["tag"].isin(*VOID)
         pushed = F.when(opens, F.concat(stack, F.array(F.struct(a["n"].alias("i"), t["tag"].alias("tag"))))).otherwise(stack)
@@ -96,7 +97,7 @@ def parse(html: Column) -> Column:
 
 
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(capture_id, node_idx, parent_idx, depth, kind, tag, attrs, text, path): one row a node."""
+    """(capture_id, node_idx, parent_idx, depth, kind, tag, attrs, text, path, path_tags): one row a node."""
     parsed = pages.select(F.col(key).alias("capture_id"), parse(F.col(html)).alias("nodes"))
     return parsed.select("capture_id", F.inline("nodes")).withColumns(
         {"kind": F.when(F.col("tag").isNotNull(), "element").otherwise("text"), "attrs": attributes(F.coalesce("attrs", F.lit("")))}
@@ -124,10 +125,8 @@ def siblings(table: DataFrame) -> DataFrame:
 
 def ancestry(table: DataFrame, limit: int = 8) -> DataFrame:
     """(capture_id, node_idx, level, tag) of the nearest ``limit`` ancestors of each element."""
-    own = table.where("kind = 'element'")
-    up = own.select("capture_id", "node_idx", F.posexplode(F.slice(F.reverse("path"), 1, limit)).alias("level", "ancestor"))
-    names = own.select("capture_id", F.col("node_idx").alias("ancestor"), F.col("tag").alias("ancestor_tag"))
-    return up.join(names, ["capture_id", "ancestor"])
+    up = F.posexplode(F.slice(F.reverse("path_tags"), 1, limit)).alias("level", "ancestor_tag")
+    return table.where("kind = 'element'").select("capture_id", "node_idx", up)
 
 
 def under(path: Column, marked: Column) -> Column:

@@ -27,14 +27,12 @@ SELECTOR_CONFIDENCE = 0.28
 
 def described(nodes: DataFrame) -> DataFrame:
     """Elements with what matching looks at: sibling and child counts, classes, ancestors' tags."""
-    own = nodes.where("kind = 'element'")
     # Place among all children, texts included, as a document walk counts them.
     w = W.partitionBy("capture_id", "parent_idx").orderBy("node_idx")
     placed = nodes.withColumn("sibling_idx", F.row_number().over(w) - 1).where("kind = 'element'")
     children = nodes.where("parent_idx is not null").groupBy("capture_id", F.col("parent_idx").alias("node_idx")).agg(F.count(F.lit(1)).cast("int").alias("children"))
-    names = own.groupBy("capture_id").agg(F.map_from_entries(F.collect_list(F.struct("node_idx", "tag"))).alias("names"))
-    d = placed.join(children, ["capture_id", "node_idx"], "left").join(names, "capture_id")
-    up = F.transform(F.slice(F.reverse("path"), 1, LEVELS), lambda i: F.try_element_at("names", i))
+    d = placed.join(children, ["capture_id", "node_idx"], "left")
+    up = F.slice(F.reverse("path_tags"), 1, LEVELS)
     attr = lambda k: F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit(""))
     return d.select(
         "capture_id", "node_idx", "tag", "sibling_idx", F.coalesce("children", F.lit(0)).alias("children"),
