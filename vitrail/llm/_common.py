@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A worker's word cache is emptied at this many entries, so memory stays bounded on any corpus.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Documents are joined into flat arrays of about this many words before numpy works on them.
 CHUNK_WORDS = 400_000
 

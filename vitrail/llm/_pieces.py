@@ -18,8 +18,8 @@ import numpy as np
 
 from . import _common as C
 
-#: At this many pieces the table is emptied (under 60 MB); longer pieces are never kept.
-TABLE_PIECES, MAX_PIECE = 600_000, 200
+#: At this many pieces the table is emptied (under 50 MB); longer pieces are never kept.
+TABLE_PIECES, MAX_PIECE = 500_000, 200
 #: Bytes of text handled at once.
 CHUNK_BYTES = 1_000_000
 

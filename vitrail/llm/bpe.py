@@ -102,7 +102,7 @@ class Codec:
             else:
                 by_width.setdefault(max(4, 1 << (len(w) - 1).bit_length()), []).append(w)
         for width, rows in by_width.items():
-            step = max(1, 2_000_000 // width)
+            step = max(1, 500_000 // width)
             for s in range(0, len(rows), step):
                 out.update(self._matrix(rows[s : s + step], width))
         return out

@@ -23,8 +23,6 @@ one label value, every text scores the base rate.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -54,20 +52,19 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class _Buckets(C.WordHashes):
-    """Word to the buckets of itself and of its prefixes (BUCKETS: it has no such prefix)."""
+    """Word to the buckets of itself and of its prefixes (BUCKETS: it has no such prefix), 20 bits each."""
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> int:
         letters = word.decode("utf-8", "replace")
-        parts = [b"w" + word] + [letters[:n].encode() for n in PREFIXES if len(letters) >= n]
-        ids = [xxhash.xxh32_intdigest(x) % BUCKETS for x in parts]
-        t = self[word] = (*ids, *[BUCKETS] * (1 + len(PREFIXES) - len(ids)))
-        return t
+        packed = xxhash.xxh32_intdigest(b"w" + word) % BUCKETS
+        for j, n in enumerate(PREFIXES, 1):
+            packed |= (xxhash.xxh32_intdigest(letters[:n].encode()) % BUCKETS if len(letters) >= n else BUCKETS) << 20 * j
+        self[word] = packed
+        return packed
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > C.CACHE_WORDS:
-            self.clear()
-        got = np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.int32, len(words) * WAYS)
-        return got.reshape(-1, WAYS)
+        packed = super().of(words)
+        return np.stack([((packed >> np.uint64(20 * j)) & np.uint64(0xFFFFF)).astype(np.int32) for j in range(WAYS)], 1)
 
 
 class Network:
