@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if conf:
         return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"vitrail-{spark.sparkContext.applicationId}")
     return f"file://{own}"

@@ -260,3 +260,21 @@ def brute(docs: list[tuple], items: list[tuple]) -> dict:
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out[d] = (len(w), len(hit), len(found), digest, bool(hit))
     return out
+
+
+#: The same rows in DuckDB SQL: windows as text, joined.
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = rf"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bx AS (SELECT item_id, least(len(w), {SPAN}) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM b),
+bg AS (SELECT item_id, n, string_agg(x, ' ') OVER o AS g, count(*) OVER o AS c FROM bx WINDOW o AS (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING)),
+items AS (SELECT DISTINCT item_id, n, g FROM bg WHERE c = n),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dx AS (SELECT doc_id, n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d, (SELECT DISTINCT n FROM items)),
+dg AS (SELECT doc_id, n, i, string_agg(x, ' ') OVER o AS g FROM dx WINDOW o AS (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING)),
+hits AS (SELECT doc_id, i, n, item_id FROM dg JOIN items USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM hits, range({SPAN}) AS t(j) WHERE j < n GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items, sha256(coalesce(found.ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)"""

@@ -19,5 +19,7 @@ QUERIES = {
 
 #: The other operators' results can't be written in SQL: tokenizers, models, compression, XXH64.
 ORACLE: dict[str, str] = {
+    "op2_substring_dedup": substrings.SQL,
     "op9_quality_rules": quality.SQL,
+    "op10_decontamination": decontam.SQL,
 }

@@ -254,3 +254,14 @@ def brute(docs: list[tuple], window: int = WINDOW) -> dict:
         left = b" ".join(x for i, x in enumerate(w) if i not in gone)
         out[d] = (len(w), len(gone), hashlib.sha256(left).hexdigest())
     return out
+
+
+#: The same rows in DuckDB SQL: windows as text, the first of each text in document order stays.
+SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT doc_id, i, count(*) OVER o AS n, string_agg(x, ' ') OVER o AS g FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g WHERE n = {WINDOW}) WHERE k > 1),
+h AS (SELECT DISTINCT doc_id, i + j AS i FROM r, range({WINDOW}) AS t(j)),
+k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM x ANTI JOIN h USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
