@@ -191,8 +191,15 @@ def anchor_html(pages: DataFrame) -> DataFrame:
     return d.select("capture_id", written.alias("html"), F.size("kept").alias("nodes"))
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """``pages`` over all cores: parsing costs far more than moving a page, so an input of fewer
+    partitions than cores (one small file) is dealt out; larger ones stay as they are."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 def _read(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
 
 
 QUERIES = {
