@@ -153,6 +153,22 @@ def test_lm_learns_order(spark):
     assert r.score > 0.9 * r.base_score
 
 
+def test_lm_gains_on_held_out_texts(docs):
+    held = [r for r in lm.score(docs, keep=["doc_id"]).collect() if zlib.crc32(str(r.doc_id).encode()) % 10 == 0]
+    assert sum(r.score - r.base_score for r in held) > 0.02 * sum(r.n_tokens for r in held)
+
+
+def test_lm_vocabulary_grows_and_bins_sum_to_one():
+    assert lm.vocabulary_size(0) >= 1000 and lm.vocabulary_size(10**8) > 2 * lm.vocabulary_size(10**7) > 4000
+    rng = np.random.default_rng(3)
+    vocabulary = np.sort(np.append(np.arange(1, 3000, dtype=np.uint64) << np.uint64(8), lm.END))
+    m = lm.Model(vocabulary, rng.zipf(1.3, len(vocabulary) + lm.CLASSES).clip(1, 10**6))
+    m.v[:], m.u[:] = rng.normal(0, 1, m.v.shape), rng.normal(0, 1, m.u.shape)
+    s = len(m.b)
+    p = np.exp(m.log_probability(np.tile(np.array([[5, 9]], np.int32), (s, 1)), np.arange(s)))
+    assert p.sum() == pytest.approx(1, abs=1e-4) and np.diff(m.first).max() > 1
+
+
 def test_lm_odd(spark, odd, none):
     got = {r.doc_id: r for r in lm.score(odd).collect()}
     assert got[5].n_tokens == got[6].n_tokens == 1 and got[8].n_tokens == 5003 and all(np.isfinite(r.score) for r in got.values())

@@ -1,19 +1,23 @@
 """Language-model scoring with a log-bilinear model.
 
-Model.  The prediction for a place is ``q = sum_j C_j r(w_-j) + d`` over the CONTEXT words before it;
-symbol s has the logit ``q . v(s) + b(s)``.  Symbols are the VOCABULARY most frequent training
-tokens, the end of a text, and RARE classes that all other words share by shape (final mark,
-ASCII or not, long or short).  A rare word has the probability of its class times its smoothed share
+Model.  The prediction for a place is ``q = sum_j C_j r(w_-j) + d`` over the CONTEXT words before it.
+Symbols are the most frequent training tokens (``vocabulary_size``, growing with the root of the
+corpus), the end of a text, and CLASSES classes that all other words share by shape (final mark,
+ASCII or not, long or short).  Words are factored: the vocabulary is cut into bins by frequency, a
+bin or class k has the logit ``q . u(k) + a(k)``, a word s among its bin's words ``q . v(s) + b(s)``.
+A rare word has the probability of its class times its smoothed share
 ``(c + 0.1) / (n + 0.1 (v + 1))`` of the class's training tokens n and distinct words v, unseen
 words being one more word of each class; so every text has a proper probability.
 
 Training (numpy, noise-contrastive estimation).  Each task runs over all training texts of its
-partition once, batch by batch: positives against NOISE samples a batch from the unigram
-distribution, by matrix products.  Tasks start from the same parameters; their results are averaged
-by tokens seen, in the shuffle; ROUNDS such rounds.  No text is left out and none is collected.
+partition once a round, batch by batch: positives against NOISE samples a batch from the unigram
+distribution, of words and of bins, by matrix products.  Tasks start from the same parameters; each
+row of their results is averaged by how often it was moved, in the shuffle; ROUNDS such rounds.  No
+text is left out and none is collected.
 
-Scoring.  Logits are normalised over all symbols: one matrix product for the distinct contexts of a
-run of tokens gives their log sums, which their tokens then share.
+Scoring.  Logits are normalised over bins and classes, one matrix product for the distinct contexts
+of a run of tokens, and over the words of each token's bin, one product a bin; so the work grows with
+the root of the vocabulary.
 
 Counts.  Base scores need the count of every word of every text.  Texts are dealt in batches by hash;
 a batch sends its distinct words' hashes with their training counts to parts, which add them up and
@@ -36,8 +40,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import _common as C
 from ._sample import fold
 
-VOCABULARY, CONTEXT, DIM, NOISE = 500, 2, 16, 40
-BATCH, RATE, ROUNDS = 4096, 0.1, 1
+#: The least vocabulary; it grows with the root of the corpus.
+VOCABULARY, CONTEXT, DIM, NOISE = 1000, 2, 24, 100
+BATCH, RATE, START, ROUNDS = 4096, 0.1, 1e-6, 2
 #: Rows of a logit matrix.
 BLOCK = 2048
 ALPHA = 0.1
@@ -116,21 +121,39 @@ def _symbols(flat: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Parameters of the log-bilinear model over S symbols; symbol S stands before a text."""
+    """Parameters of the log-bilinear model over S symbols; symbol S stands before a text.
+
+    The vocabulary is cut into bins of about equal sums of root counts, frequent words first, so
+    frequent words are almost alone in theirs.  A symbol has the probability of its bin (or shape
+    class) times, for a word, its probability among the bin's words.
+    """
 
     def __init__(self, vocabulary: np.ndarray, counts: np.ndarray):
         """``vocabulary``: sorted hashes, the end's among them; ``counts``: tokens of each symbol."""
         rng = np.random.default_rng(5)
-        self.vocabulary, s = vocabulary, len(counts)
+        self.vocabulary, s, n = vocabulary, len(counts), len(vocabulary)
+        self.members = np.argsort(-counts[:n], kind="stable")
+        mass = np.cumsum(np.sqrt(counts[self.members] + 1.0))
+        want = max(64, int(2 * n**0.5))
+        _, self.first, of = np.unique((mass / mass[-1] * want).astype(np.int64), return_index=True, return_inverse=True)
+        bins = len(self.first)
+        self.first = np.append(self.first, n)
+        self.outer = np.append(np.empty(n, np.int64), bins + np.arange(s - n))
+        self.outer[self.members] = of
+        self.place = np.zeros(s, np.int64)
+        self.place[self.members] = np.arange(n) - self.first[of]
         self.r = rng.normal(0, 0.1, (s + 1, DIM)).astype(np.float32)
         self.c = np.stack([np.eye(DIM, dtype=np.float32) * 0.5 for _ in range(CONTEXT)])
         self.d = np.zeros(DIM, np.float32)
         self.v = rng.normal(0, 0.01, (s, DIM)).astype(np.float32)
         self.unigram = (counts + 1.0) / (counts.sum() + s)
         self.b = np.log(self.unigram).astype(np.float32)
+        self.u = rng.normal(0, 0.01, (bins + s - n, DIM)).astype(np.float32)
+        self.outer_unigram = np.bincount(self.outer, self.unigram)
+        self.a = np.log(self.outer_unigram).astype(np.float32)
 
     def params(self) -> list[np.ndarray]:
-        return [self.r, self.c, self.d, self.v, self.b]
+        return [self.r, self.c, self.d, self.v, self.b, self.u, self.a]
 
     def vector(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.params()])
@@ -148,27 +171,42 @@ class Model:
         return q
 
     def log_probability(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target, normalised over all symbols."""
+        """Natural log probability of each target, normalised over bins and inside its bin."""
         s = len(self.b)
         key = np.zeros(len(ctx), np.int64)
         for j in range(CONTEXT):
             key = key * (s + 1) + ctx[:, j]
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
-        z = np.empty(len(first), np.float32)
+        z, q = np.empty(len(first), np.float32), np.empty((len(first), DIM), np.float32)
         for a in range(0, len(first), BLOCK):
-            x = self.predict(ctx[first[a : a + BLOCK]]) @ self.v.T
-            x += self.b
-            m = x.max(1)
-            x -= m[:, None]
-            np.exp(x, out=x)
-            z[a : a + BLOCK] = m + np.log(x.sum(1))
+            q[a : a + BLOCK] = self.predict(ctx[first[a : a + BLOCK]])
+            z[a : a + BLOCK] = _log_sum(q[a : a + BLOCK] @ self.u.T + self.a)
+        outer = self.outer[target]
         out = np.empty(len(ctx))
         for a in range(0, len(ctx), 8 * BLOCK):
-            own = slice(a, a + 8 * BLOCK)
-            out[own] = np.einsum("nd,nd->n", self.predict(ctx[own]), self.v[target[own]]) + self.b[target[own]] - z[of[own]]
+            at, o = of[a : a + 8 * BLOCK], outer[a : a + 8 * BLOCK]
+            out[a : a + 8 * BLOCK] = np.einsum("nd,nd->n", q[at], self.u[o]) + self.a[o] - z[at]
+        order = np.argsort(outer, kind="stable")
+        ends = np.searchsorted(outer[order], np.arange(len(self.first)))
+        for k in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.first) > 1)):
+            own = self.members[self.first[k] : self.first[k + 1]]
+            v, b, step = self.v[own].T, self.b[own], max(1, BLOCK * 256 // len(own))
+            for a in range(ends[k], ends[k + 1], step):
+                rows = order[a : min(a + step, ends[k + 1])]
+                x = q[of[rows]] @ v + b
+                hit = x[np.arange(len(rows)), self.place[target[rows]]]  # read before _log_sum overwrites x
+                out[rows] += hit - _log_sum(x)
         return out
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each row; ``x`` is overwritten."""
+    m = x.max(1)
+    x -= m[:, None]
+    np.exp(x, out=x)
+    return m + np.log(x.sum(1))
+
+
 def contexts(symbols: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray:
     """The CONTEXT symbols before each token of a flat run (``start`` before a text)."""
     n = len(symbols)
@@ -181,46 +219,73 @@ def contexts(symbols: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray
 
 
 class Trainer:
-    """Noise-contrastive steps with Adagrad."""
+    """Noise-contrastive steps with Adagrad, on words and on bins."""
 
-    def __init__(self, model: Model, seed: int):
-        self.m, self.rng, self.seen = model, np.random.default_rng(seed), 0
-        self.g2 = [np.full(p.shape, 0.1, np.float32) for p in model.params()]
-        self.cumulative = np.cumsum(model.unigram)
-        self.log_kp = np.log(NOISE * model.unigram).astype(np.float32)
+    def __init__(self, model: Model, seed: int, rate: float = RATE):
+        self.m, self.rng, self.seen, self.rate = model, np.random.default_rng(seed), 0, rate
+        self.g2 = [np.full(p.shape, START, np.float32) for p in model.params()]
+        #: How often each row of a parameter was moved: its weight in the average.
+        self.moved = [np.zeros(len(p) if p.ndim < 3 and n not in (1, 2) else 1, np.float32) for n, p in enumerate(model.params())]
+        self.noise = [(np.cumsum(p), np.log(NOISE * p).astype(np.float32)) for p in (model.unigram, model.outer_unigram)]
 
-    def _step(self, n: int, grad: np.ndarray, at: np.ndarray | None = None) -> None:
+    def _step(self, n: int, grad: np.ndarray, groups: tuple | None = None) -> None:
         p, g2 = self.m.params()[n], self.g2[n]
-        if at is None:
+        if groups is None:
             g2 += grad * grad
-            p -= RATE * grad / np.sqrt(g2)
+            p -= self.rate * grad / np.sqrt(g2)
+            self.moved[n] += 1
         else:
-            order = np.argsort(at, kind="stable")
-            u, first = np.unique(at[order], return_index=True)
+            order, first, u, times = groups
             g = np.add.reduceat(grad[order], first, axis=0)
-            g2[u] += g * g
-            p[u] -= RATE * g / np.sqrt(g2[u])
+            own = g2[u] + g * g
+            g2[u] = own
+            p[u] -= self.rate * g / np.sqrt(own)
+            self.moved[n][u] += times
+
+    def _contrast(self, level: int, q: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """One step of a level's vectors and biases; the gradient of ``q``."""
+        n, v, b = len(target), *self.m.params()[3 + 2 * level : 5 + 2 * level]
+        cumulative, log_kp = self.noise[level]
+        noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(b) - 1)
+        of_target, of_noise = v[target], v[noise]
+        pos = np.einsum("nd,nd->n", q, of_target) + b[target] - log_kp[target]
+        # d loss / d logit: sigma(x) - 1 for the data, sigma(x) for each noise symbol.
+        gp = (-1 / (1 + np.exp(np.clip(pos, -30, 30))) / n).astype(np.float32)
+        gn = q @ -of_noise.T
+        gn -= b[noise] - log_kp[noise]
+        np.minimum(gn, 30, out=gn)
+        np.exp(gn, out=gn)
+        gn += 1
+        np.divide(np.float32(1 / n), gn, out=gn)
+        groups = _groups(np.concatenate((target, noise)))
+        self._step(3 + 2 * level, np.concatenate((gp[:, None] * q, gn.T @ q)), groups)
+        self._step(4 + 2 * level, np.concatenate((gp, gn.sum(0))), groups)
+        of_target *= gp[:, None]
+        of_target += gn @ of_noise
+        return of_target
 
     def batch(self, ctx: np.ndarray, target: np.ndarray) -> None:
         m = self.m
-        n = len(target)
         q = m.predict(ctx)
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), len(m.b) - 1)
-        pos = np.einsum("nd,nd->n", q, m.v[target]) + m.b[target] - self.log_kp[target]
-        neg = q @ m.v[noise].T + (m.b[noise] - self.log_kp[noise])
-        # d loss / d logit: sigma(x) - 1 for the data, sigma(x) for each noise word.
-        gp = -1 / (1 + np.exp(np.clip(pos, -30, 30)))
-        gn = 1 / (1 + np.exp(-np.clip(neg, -30, 30)))
-        gp, gn = (gp / n).astype(np.float32), (gn / n).astype(np.float32)
-        dq = gp[:, None] * m.v[target] + gn @ m.v[noise]
-        self._step(3, np.concatenate((gp[:, None] * q, gn.T @ q)), np.concatenate((target, noise)))
-        self._step(4, np.concatenate((gp, gn.sum(0))), np.concatenate((target, noise)))
+        dq = self._contrast(0, q, target) + self._contrast(1, q, m.outer[target])
         self._step(2, dq.sum(0))
         dc = np.stack([m.r[ctx[:, j]].T @ dq for j in range(CONTEXT)])
         dr = np.concatenate([dq @ m.c[j].T for j in range(CONTEXT)])
-        self._step(0, dr, ctx.T.ravel())
+        self._step(0, dr, _groups(ctx.T.ravel()))
         self._step(1, dc)
-        self.seen += n
+        self.seen += len(target)
+
+    def weights(self) -> np.ndarray:
+        """Weight of every number of the model's vector."""
+        return np.concatenate([np.repeat(w, p.size // len(w)) for w, p in zip(self.moved, self.m.params())])
+
+
+def _groups(at: np.ndarray) -> tuple:
+    """Order by place, starts of equal places, the places, and how often each occurs."""
+    order = np.argsort(at, kind="stable")
+    own = at[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    return order, first, own[first], np.diff(np.append(first, len(at)))
 
 
 def _trained(doc_id: str):
@@ -228,20 +293,21 @@ def _trained(doc_id: str):
 
 
 def train(docs: DataFrame, model: Model, text: str, doc_id: str) -> Model:
-    """Rounds of training over all training texts; parameters averaged by tokens seen."""
+    """Rounds of training over all training texts; each row of a parameter is averaged by how often a
+    task moved it."""
     rows = docs.where(_trained(doc_id)).select(F.col(f"`{text}`").alias("t"))
     size, step = len(model.vector()), 4096
-    for _ in range(ROUNDS):
+    for n_round in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, rate=RATE / (1 + n_round)):
             from copy import deepcopy
 
             from pyspark import TaskContext
 
             context = TaskContext.get()
             own = deepcopy(shared.value)
-            t = Trainer(own, 1 + (context.partitionId() if context else 0))
+            t = Trainer(own, 1 + (context.partitionId() if context else 0), rate)
             for b in batches:
                 tokens = Tokens(C.as_bytes(b[0]))
                 symbol = _symbols(tokens.hashes, own.vocabulary)
@@ -252,21 +318,25 @@ def train(docs: DataFrame, model: Model, text: str, doc_id: str) -> Model:
                     for s in range(0, len(sym), n):
                         t.batch(ctx[s : s + n], sym[s : s + n])
             if t.seen:
-                x = own.vector().astype(np.float64) * t.seen
+                w = t.weights()
+                x = own.vector() * w
                 for i in range(0, size, step):
-                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([float(t.seen)]), pa.array([x[i : i + step].tolist()])], ["at", "w", "x"])
+                    if w[i : i + step].any():
+                        sums = [pa.array([y[i : i + step].tobytes()], pa.binary()) for y in (w, x)]
+                        yield pa.RecordBatch.from_arrays([pa.array([i]), *sums], ["at", "w", "x"])
 
         def add(table: pa.Table) -> pa.Table:
-            total = np.sum([np.asarray(c.as_py()) for c in table["x"]], axis=0)
-            return pa.table([pa.array([table["at"][0].as_py()]), pa.array([float(sum(table["w"].to_pylist()))]), pa.array([total.tolist()])], ["at", "w", "x"])
+            sums = [sum(np.frombuffer(y.as_py(), np.float32).astype(np.float64) for y in table[c]) for c in ("w", "x")]
+            return pa.table([pa.array([table["at"][0].as_py()]), *[pa.array([y.tobytes()], pa.binary()) for y in sums]], ["at", "w", "x"])
 
-        kind = "at long, w double, x array<double>"
+        kind = "at long, w binary, x binary"
         got = rows.mapInArrow(run, kind).groupBy("at").applyInArrow(add, kind).collect()  # one model in all
-        if got:
-            vector = np.zeros(size)
-            for at, w, x in got:
-                vector[at : at + len(x)] = np.asarray(x) / w
-            model.load(vector.astype(np.float32))
+        vector = model.vector()
+        for at, w, x in got:
+            w, x = np.frombuffer(bytes(w)), np.frombuffer(bytes(x))
+            own = vector[at : at + len(w)]
+            own[w > 0] = x[w > 0] / w[w > 0]
+        model.load(vector)
         shared.unpersist()
     return model
 
@@ -280,6 +350,9 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
     chars = docs.agg(F.sum(F.length(f"`{text}`"))).first()[0] or 0
     batches = max(LEAST, -(-chars // BATCH_CHARS))
     parts = batches
+    size = vocabulary_size(chars)
+    # Words fall into parts by hash: of the most frequent ones, more than this in a part is out of the question.
+    most = min(size, int(size / parts + 8 * (size / parts) ** 0.5 + 16))
     dealt = docs.select(
         *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
         F.col(f"`{text}`").alias("t"),
@@ -328,7 +401,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
         distinct, of = np.unique(h, return_inverse=True)
         total = np.bincount(of, c).astype(np.int64)
         each, ends = total[of], np.cumsum([0, *(len(w) // 8 for _, w, _ in got)])
-        top = np.argsort(-total, kind="stable")[:VOCABULARY]
+        top = np.argsort(-total, kind="stable")[:most]
         top = top[total[top] > 0]
         kind = np.minimum((distinct & np.uint64(15)).astype(np.int64), CLASSES)
         stats = np.concatenate(
@@ -346,7 +419,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
 
     sent = dealt.groupBy("batch").applyInArrow(send, "part int, batch int, words binary, counts binary")
     answers = C.materialise(sent.groupBy("part").applyInArrow(answer, "batch int, part int, totals binary"), "counts")
-    shared, model = _statistics(sc, answers)
+    shared, model = _statistics(sc, answers, size)
     model = train(docs, model, text, doc_id)
     trained = sc.broadcast(model)
 
@@ -383,24 +456,36 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
     return dealt.groupBy("batch").cogroup(answers.where("batch >= 0").groupBy("batch")).applyInArrow(finish, result)
 
 
-def _statistics(sc, answers: DataFrame):
-    """Broadcast totals, and an untrained model over the most frequent words.
+def vocabulary_size(chars: int) -> int:
+    """Words with a vector of their own in a corpus of so many characters."""
+    return max(VOCABULARY, int(0.75 * chars**0.5))
+
+
+def _statistics(sc, answers: DataFrame, size: int):
+    """Broadcast totals, and an untrained model over the ``size`` most frequent words.
 
-    One row a part comes to the driver: its class sums, and its VOCABULARY most frequent words at
-    most, of which the VOCABULARY most frequent of all parts are kept as rows arrive.
+    One row a part comes to the driver: its class sums, and its share of the most frequent words,
+    of which those of all parts are kept as rows arrive.
     """
     k = CLASSES + 1
     tokens, words = np.zeros(k, np.int64), np.zeros(k, np.int64)
-    top: list[tuple[int, int]] = []
+    h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def best(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((h, -c))[:size]
+        return h[order], c[order]
+
     for r in answers.where("batch = -1").select("totals").toLocalIterator():
         x = np.frombuffer(bytes(r.totals), np.int64)
         tokens, words, rest = tokens + x[:k], words + x[k : 2 * k], x[2 * k :]
         half = len(rest) // 2
-        top = sorted(top + list(zip((-rest[half:]).tolist(), rest[:half].view(np.uint64).tolist())))[:VOCABULARY]
-    top = sorted((h, -c) for c, h in top if h != int(END)) + [(int(END), int(tokens[CLASSES]))]
-    top.sort()
-    vocabulary = np.array([h for h, _ in top], np.uint64)
-    count = np.array([c for _, c in top], np.int64)
+        h, c = np.append(h, rest[:half].view(np.uint64)), np.append(c, rest[half:])
+        if len(h) > 4 * size:
+            h, c = best(h, c)
+    h, c = best(h, c)
+    h, c = np.append(h[h != END], END), np.append(c[h != END], tokens[CLASSES])
+    order = np.argsort(h)
+    vocabulary, count = h[order], c[order]
     kind = np.minimum((vocabulary & np.uint64(15)).astype(np.int64), CLASSES)
     class_tokens = tokens - np.bincount(kind, count, k).astype(np.int64)
     class_words = words - np.bincount(kind[count > 0], minlength=k)
