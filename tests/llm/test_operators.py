@@ -243,6 +243,19 @@ def test_license_overlaps(spark):
     assert found[4] == []
 
 
+def test_license_specific_rules_beat_their_container(spark):
+    names = {
+        "Mozilla Public License": "mpl",
+        "Eclipse Public License": "epl",
+        "GNU Lesser General Public License": "lgpl",
+        "GNU Affero General Public License": "agpl",
+        "Quite Unknown License": "other",
+    }
+    df = spark.createDataFrame([(i, f"x licensed under the {n} y") for i, n in enumerate(names)], "doc_id long, text string")
+    got = {r.doc_id: [x.label for x in r.detections] for r in licenses.scan(df).collect()}
+    assert got == {i: [label] for i, label in enumerate(names.values())}
+
+
 def test_license_odd(odd, none):
     out = licenses.scan(odd)
     assert kept_columns(out) and out.schema["n_words"].dataType == T.LongType()

@@ -3,8 +3,9 @@
 A text without any gate word is done after one regular expression.  The others become words (A-Z
 lowered; letters, digits and non-ASCII characters), one space before each.  Only rules whose keyword
 is among a text's words are tried; each match becomes an interval of words.  Overlaps are resolved
-in order of place: a detection inside a kept one is suppressed, and of two that overlap otherwise
-the one whose rule stands later.
+in order of place: a detection inside a kept one is suppressed, or takes its place if it has
+another label and its rule stands earlier; of two that overlap otherwise the one whose rule stands
+later is suppressed.
 
 Native: built-in functions only, and all inside one row; texts are neither exploded nor shuffled.
 
@@ -91,11 +92,13 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     def resolve(a: Column, x: Column) -> Column:
         inside = x["e"] <= a["end"]
         beaten = (x["s"] < a["end"]) & (x["priority"] > a["priority"])
-        lost = inside | beaten
+        better = inside & (x["priority"] < a["priority"]) & (x["label"] != F.try_element_at(a["out"], F.lit(-1))["label"])
+        lost = (inside | beaten) & ~better
+        kept = F.when(better, F.slice(a["out"], 1, F.size(a["out"]) - 1)).otherwise(a["out"])
         return F.struct(
             F.when(lost, a["end"]).otherwise(x["e"]).alias("end"),
             F.when(lost, a["priority"]).otherwise(x["priority"]).alias("priority"),
-            F.when(lost, a["out"]).otherwise(F.concat(a["out"], F.array(x))).alias("out"),
+            F.when(lost, a["out"]).otherwise(F.concat(kept, F.array(x))).alias("out"),
         )
 
     start = F.struct(F.lit(-1).alias("end"), F.lit(-1).alias("priority"), none.alias("out"))
