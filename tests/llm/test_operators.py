@@ -243,6 +243,44 @@ def test_license_overlaps(spark):
     assert found[4] == []
 
 
+def _samples(tree):
+    """Texts that a parsed pattern matches: every alternative, optional parts in and out."""
+    from itertools import product
+
+    def one(op, arg):
+        op = str(op)
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "IN":
+            return [chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else "x"]
+        if op == "BRANCH":
+            return [x for branch in arg[1] for x in _samples(branch)]
+        if op == "SUBPATTERN":
+            return _samples(arg[3])
+        assert op == "MAX_REPEAT", op
+        least, most, inner = arg
+        found = _samples(inner)
+        return [x * least for x in found] + (found if least == 0 else [])
+
+    return ["".join(x) for x in product(*(one(*part) for part in tree))]
+
+
+def test_license_keywords_reach_every_alternative():
+    import re
+    from re import _parser
+
+    from vitrail.llm import license_rules as L
+
+    gate = re.compile(r"(?<![a-z0-9])(?:" + "|".join(L.GATE) + r")(?![a-z0-9])")
+    missed = set()
+    for label, key, body, _ in L.rules():
+        for text in set(_samples(_parser.parse(body))):
+            assert re.fullmatch(body, text)
+            if key not in text.split() or not gate.search(text):
+                missed.add((label, key, text))
+    assert missed == set()
+
+
 def test_license_specific_rules_beat_their_container(spark):
     names = {
         "Mozilla Public License": "mpl",

@@ -1,7 +1,7 @@
 """Signature rules for licenses, over text as words: lower case, one space before every word.
 
 A rule is (label, keyword, body, weight).  ``body`` is a regular expression over words, found between
-word boundaries; the keyword is a word (or the start of one) without which the rule can't match.
+word boundaries; the keyword is a word without which the rule can't match.
 Rules stand in order of priority: where two detections overlap, the earlier rule's stays.
 
 Each family below is written by hand as names, short names, versions and notices; the rule list is
@@ -99,7 +99,8 @@ NOTICES = (
     ("public-domain", "domain", "(?:released|placed|dedicated|dedicate|dedicates)(?: \\S+){0,4} (?:in|into|to) the public domain", 0.8),
     ("wtfpl", "wtfpl", "wtfpl(?: version)?(?: 2(?: 0)?)?", 0.95),
     ("wtfpl", "fuck", "do what the fuck you want to(?: public licen[sc]e)?", 0.95),
-    ("beerware", "beer", "beer ?ware(?: licen[sc]e)?|the beer ware license", 0.9),
+    ("beerware", "beer", "beer ware(?: licen[sc]e)?|the beer ware license", 0.9),
+    ("beerware", "beerware", "beerware(?: licen[sc]e)?", 0.9),
     ("json", "evil", "the software shall be used for good not evil", 0.95),
     ("ofl", "scripts", "scripts sil org ofl", 0.9),
     ("cc", "creativecommons", "(?:www )?creativecommons org licenses", 0.7),
@@ -121,7 +122,8 @@ NOTICES = (
     ("mulan", "mulan", "mulan (?:permissive|psl)(?: \\S+){0,4}", 0.9),
     ("blueoak", "oak", "blue oak model licen[sc]e(?: 1 0 0)?", 0.95),
     ("llama", "llama", "llama(?: [23](?: [123])?)? community licen[sc]e", 0.95),
-    ("openrail", "openrail", "(?:creativeml |bigscience |bigcode )?open ?rail(?: m)?", 0.9),
+    ("openrail", "openrail", "(?:creativeml |bigscience |bigcode )?openrail(?: m)?", 0.9),
+    ("openrail", "rail", "(?:creativeml |bigscience |bigcode )?open rail(?: m)?", 0.9),
     ("proprietary", "proprietary", "proprietary(?: and confidential)? licen[sc]e|confidential and proprietary", 0.7),
     ("proprietary", "reserved", "copyright(?: \\S+){1,12} all rights reserved", 0.6),
 )
