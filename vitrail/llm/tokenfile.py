@@ -18,7 +18,9 @@ without the rest of its shard being decompressed.
 Ascending order comes from ranges of doc_id found on ids alone (``approx_percentile``), so the text
 itself is encoded once, before the shuffle, and only compressed frames are shuffled.
 
-Defined results: null texts are empty (only the end id); equal doc_ids keep all their rows.
+Defined results: null texts are empty (only the end id); equal doc_ids keep all their rows; the
+content of an added token inside a text ("<|endoftext|>") is ordinary text, as the library encodes it
+with ``encode_special_tokens`` set, and not that token's id, as it does by default.
 """
 
 from __future__ import annotations
