@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import types as T
 
 #: A worker's word cache is emptied at this many entries, so memory stays bounded on any corpus.
 CACHE_WORDS = 200_000
-#: Documents are joined into flat arrays of about this many words before numpy works on them.
-CHUNK_WORDS = 400_000
+#: Texts are joined into runs of about this many bytes before numpy works on them.
+CHUNK_BYTES = 2_000_000
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 #: Lower-cases A-Z and turns every byte that is no letter, digit or non-ASCII byte into a space.
@@ -96,36 +97,6 @@ def as_bytes(texts: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-class WordHashes(dict):
-    """Word bytes to 64-bit hash, computed when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def chunks(
-    texts: Iterable[bytes], words_of: Callable[[bytes], list[bytes]], cache: WordHashes
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Flat word hashes and document offsets, for runs of documents of about CHUNK_WORDS words."""
-    parts, ends, n = [], [0], 0
-    for t in texts:
-        h = cache.of(words_of(t))
-        parts.append(h)
-        n += len(h)
-        ends.append(n)
-        if n >= CHUNK_WORDS:
-            yield np.concatenate(parts), np.array(ends)
-            parts, ends, n = [], [0], 0
-    if len(ends) > 1:
-        yield np.concatenate(parts), np.array(ends)
-
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -136,6 +107,84 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes that are part of a word: all but ASCII space, or letters, digits and non-ASCII bytes.
+NO_SPACE, ALNUM = np.ones(256, bool), np.zeros(256, bool)
+NO_SPACE[[9, 10, 11, 12, 13, 32]] = False
+ALNUM[sorted(_KEEP)] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks of the lowest k bytes; 0 stands for all eight.
+_BYTES = np.array([2**64 - 1] + [2 ** (8 * k) - 1 for k in range(1, 8)], np.uint64)
+#: Words over so many bytes are hashed one by one.
+LONG_WORD = 256
+
+
+def hash_spans(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of ``raw``, which ends with eight spare bytes; no span is empty.
+
+    Eight bytes a step are mixed in, all spans at once.  Spans of one length of up to eight bytes never
+    collide; there is no algebra by which longer ones could be made to.
+    """
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    h = scramble((sizes.astype(np.uint64) * _MIX) ^ (eight[starts] & _BYTES[np.where(sizes < 8, sizes, 0)]))
+    at, k = np.flatnonzero(sizes > 8), 8
+    long = sizes[at] > LONG_WORD
+    for i in at[long].tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + sizes[i]].tobytes())
+    at = at[~long]
+    while len(at):
+        rest = sizes[at] - k
+        h[at] = scramble((h[at] * _MIX) ^ (eight[starts[at] + k] & _BYTES[np.where(rest < 8, rest, 0)]))
+        at, k = at[rest > 8], k + 8
+    return h
+
+
+class Words(NamedTuple):
+    """Words of a run of texts: hashes, offsets of the texts, and each word's bytes in ``raw``."""
+
+    hash: np.ndarray
+    offsets: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    raw: np.ndarray
+
+
+def words(texts: list[bytes], part_of_word: np.ndarray = NO_SPACE, lower: bool = False) -> Words:
+    blob = b" ".join(texts) + b" "
+    raw = np.frombuffer(blob + bytes(8), np.uint8)
+    if lower:
+        raw = _LOWER[raw]
+    inside = np.append(part_of_word[raw[: len(blob)]], False)
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.concatenate(([0], edge))
+    starts, ends = edge[::2], edge[1::2]
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return Words(hash_spans(raw, starts, ends - starts), np.searchsorted(starts, begin), starts, ends, raw)
+
+
+def chunks(texts: Iterable[bytes], part_of_word: np.ndarray = NO_SPACE, lower: bool = False) -> Iterator[Words]:
+    """Words of runs of texts of about CHUNK_BYTES bytes."""
+    run, n = [], 0
+    for t in texts:
+        run.append(t)
+        n += len(t)
+        if n >= CHUNK_BYTES:
+            yield words(run, part_of_word, lower)
+            run, n = [], 0
+    if run:
+        yield words(run, part_of_word, lower)
+
+
+class WordHashes(dict):
+    """Words to 64-bit values computed when first asked for; subclasses say what value."""
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def grams(flat: np.ndarray, k: int) -> np.ndarray:
     """Scrambled hash of the k words from each position (the last k-1 positions are cut off)."""
     n = max(0, len(flat) - k + 1)

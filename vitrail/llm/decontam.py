@@ -67,11 +67,9 @@ class Index:
     """Fingerprints of benchmark items, sorted by hash, with the place of each."""
 
     def __init__(self, items: list[tuple[str | None, str | None]]):
-        cache = C.WordHashes()
-        words = [cache.of(words_of((t or "").encode())) for _, t in items]
         self.ids = [i for i, _ in items]
-        self.flat = np.concatenate([*words, np.zeros(0, np.uint64)])
-        self.offsets = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+        self.flat, self.offsets, *_ = C.words([(t or "").encode() for _, t in items], C.ALNUM, lower=True)
+        words = [self.flat[s:e] for s, e in zip(self.offsets, self.offsets[1:])]
         long = np.diff(self.offsets) >= SPAN
         pos, h = winnow(self.flat, self.offsets)
         order = np.argsort(h, kind="stable")
@@ -178,11 +176,11 @@ def annotate(
 
 def _worker(index, carry: bool):
     def make():
-        cache, ix = C.WordHashes(), index.value
+        ix = index.value
 
         def work(texts: pa.Array, *prior: pa.Array) -> list[pa.Array]:
             n_words, spans, names = [], [], []
-            for flat, offsets in C.chunks(C.as_bytes(texts), words_of, cache):
+            for flat, offsets, *_ in C.chunks(C.as_bytes(texts), C.ALNUM, lower=True):
                 base = len(n_words)
                 hit, both = ix.hits(flat, offsets)
                 of: dict[int, set] = {}

@@ -9,11 +9,14 @@ A rare word has the probability of its class times its smoothed share
 ``(c + 0.1) / (n + 0.1 (v + 1))`` of the class's training tokens n and distinct words v, unseen
 words being one more word of each class; so every text has a proper probability.
 
-Training (numpy, noise-contrastive estimation).  Each task runs over all training texts of its
-partition once a round, batch by batch: positives against NOISE samples a batch from the unigram
-distribution, of words and of bins, by matrix products.  Tasks start from the same parameters; each
-row of their results is averaged by how often it was moved, in the shuffle; ROUNDS such rounds.  No
-text is left out and none is collected.
+Training (numpy, noise-contrastive estimation).  Texts are dealt by hash into units of
+``UNIT_CHARS_A_WORD x vocabulary`` characters, so that a unit's model stays small beside its text and
+their number grows with the root of the corpus.  A unit is trained in a fixed order, batch by batch:
+positives against NOISE samples a batch from the unigram distribution, of words and of bins, by
+matrix products.  Units start from the same parameters; each row of their results is averaged by how
+often it was moved, in a tree of shuffles; ROUNDS such rounds.  No text is left out and none is
+collected.  Seeds and order hang on the texts alone, so scores do not depend on how rows are
+partitioned (but for the last digits of float sums).
 
 Scoring.  Logits are normalised over bins and classes, one matrix product for the distinct contexts
 of a run of tokens, and over the words of each token's bin, one product a bin; so the work grows with
@@ -21,10 +24,13 @@ the root of the vocabulary.
 
 Counts.  Base scores need the count of every word of every text.  Texts are dealt in batches by hash;
 a batch sends its distinct words' hashes with their training counts to parts, which add them up and
-answer with totals; a part sees a word once a batch, so frequent words make no hot key.
+answer with totals; a part sees a word once a batch, so frequent words make no hot key.  With the
+answers each text is written once as symbols; training and scoring read those, not texts.
 
 Words are compared by 64-bit hash (of bytes, A-Z lowered).  Defined results: null and empty texts
-are one end token; without training tokens the model is the base model.
+are one end token; without training tokens the model is the base model; repeated rows are scored each
+(and learnt from each); a null doc_id is training data; an input column that has the name of an
+output column is dropped.
 """
 
 from __future__ import annotations
@@ -43,6 +49,10 @@ from ._sample import fold
 #: The least vocabulary; it grows with the root of the corpus.
 VOCABULARY, CONTEXT, DIM, NOISE = 1000, 2, 24, 100
 BATCH, RATE, START, ROUNDS = 4096, 0.1, 1e-6, 2
+#: Characters of a training unit for each word of the vocabulary; steps a round at least, if texts allow.
+UNIT_CHARS_A_WORD, STEPS = 4000, 1600
+#: Tokens worked on at once; models added up in one task.
+RUN_TOKENS, FAN = 400_000, 32
 #: Rows of a logit matrix.
 BLOCK = 2048
 ALPHA = 0.1
@@ -63,53 +73,29 @@ OUT = T.StructType(
 )
 
 
-def _hash(word: bytes) -> int:
-    """Hash of the lower-cased word; the low four bits are its shape class (0 to 11)."""
-    low = word.lower()
-    shape = _FINAL.get(low[-1], 0) + (0 if low.isascii() else 3) + (6 if len(low) > 6 else 0)
-    return (xxhash.xxh64_intdigest(low) & ~15) | shape
-
-
-_FINAL = {ord(c): 1 for c in ".!?"} | {ord(c): 2 for c in ",;:"}
-
-
-class _Numbered(dict):
-    """Words as written, numbered as they appear."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+#: Class of a word by its last byte: 1 ends a sentence, 2 a part of one.
+_FINAL = np.zeros(256, np.uint64)
+_FINAL[list(b".!?")], _FINAL[list(b",;:")] = 1, 2
 
 
 class Tokens:
-    """Some texts as numbers of their distinct tokens: ``hashes`` (ascending) and runs of (numbers,
-    offsets), each text with its end token."""
-
-    def __init__(self, texts):
-        seen = _Numbered()
-        parts, ends, runs, n = [], [0], [], 0
-
-        def close() -> None:
-            nonlocal parts, ends, n
-            runs.append((np.concatenate(parts), np.array(ends)))
-            parts, ends, n = [], [0], 0
-
-        for t in texts:
-            words = t.split()
-            own = np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
-            parts += (own, _LAST)
-            n += len(own) + 1
-            ends.append(n)
-            if n >= C.CHUNK_WORDS // 2:
-                close()
-        if n:
-            close()
-        raw = np.fromiter(map(_hash, seen), np.uint64, len(seen))
-        self.hashes, at = np.unique(np.append(raw, END), return_inverse=True)
-        self.runs = [(at[r], o) for r, o in runs]  # -1 is the last entry, the end token
-
-
-_LAST = np.array([-1], np.int32)
+    """Some texts as numbers of their distinct tokens: ``hashes`` (ascending), and ``numbers`` with
+    ``offsets`` of the texts, each with its end token."""
+
+    def __init__(self, texts: list[bytes]):
+        parts, offsets, n = [], [np.zeros(1, np.int64)], 0
+        for w in C.chunks(texts, lower=True):
+            foreign = np.cumsum(w.raw >= 128, dtype=np.int32)
+            plain = (foreign[w.ends - 1] == foreign[w.starts]) & (w.raw[w.starts] < 128)
+            shape = _FINAL[w.raw[w.ends - 1]] + np.where(plain, np.uint64(0), np.uint64(3)) + np.where(w.ends - w.starts > 6, np.uint64(6), np.uint64(0))
+            size = np.diff(w.offsets)
+            flat = np.full(len(w.hash) + len(size), END)
+            flat[np.arange(len(w.hash)) + np.repeat(np.arange(len(size)), size)] = (w.hash & ~np.uint64(15)) | shape
+            parts.append(flat)
+            offsets.append(n + np.cumsum(size + 1))
+            n += len(flat)
+        self.offsets = np.concatenate(offsets)
+        self.hashes, self.numbers = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_inverse=True)
 
 
 def _symbols(flat: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -125,7 +111,8 @@ class Model:
 
     The vocabulary is cut into bins of about equal sums of root counts, frequent words first, so
     frequent words are almost alone in theirs.  A symbol has the probability of its bin (or shape
-    class) times, for a word, its probability among the bin's words.
+    class) times, for a word, its probability among the bin's words.  The last column of ``v`` and
+    ``u`` is the bias.
     """
 
     def __init__(self, vocabulary: np.ndarray, counts: np.ndarray):
@@ -138,22 +125,21 @@ class Model:
         _, self.first, of = np.unique((mass / mass[-1] * want).astype(np.int64), return_index=True, return_inverse=True)
         bins = len(self.first)
         self.first = np.append(self.first, n)
-        self.outer = np.append(np.empty(n, np.int64), bins + np.arange(s - n))
+        self.outer = np.append(np.empty(n, np.int32), bins + np.arange(s - n, dtype=np.int32))
         self.outer[self.members] = of
-        self.place = np.zeros(s, np.int64)
+        self.place = np.zeros(s, np.int32)
         self.place[self.members] = np.arange(n) - self.first[of]
         self.r = rng.normal(0, 0.1, (s + 1, DIM)).astype(np.float32)
         self.c = np.stack([np.eye(DIM, dtype=np.float32) * 0.5 for _ in range(CONTEXT)])
         self.d = np.zeros(DIM, np.float32)
-        self.v = rng.normal(0, 0.01, (s, DIM)).astype(np.float32)
         self.unigram = (counts + 1.0) / (counts.sum() + s)
-        self.b = np.log(self.unigram).astype(np.float32)
-        self.u = rng.normal(0, 0.01, (bins + s - n, DIM)).astype(np.float32)
         self.outer_unigram = np.bincount(self.outer, self.unigram)
-        self.a = np.log(self.outer_unigram).astype(np.float32)
+        self.v, self.u = (
+            np.concatenate((rng.normal(0, 0.01, (len(p), DIM)), np.log(p)[:, None]), 1).astype(np.float32) for p in (self.unigram, self.outer_unigram)
+        )
 
     def params(self) -> list[np.ndarray]:
-        return [self.r, self.c, self.d, self.v, self.b, self.u, self.a]
+        return [self.r, self.c, self.d, self.v, self.u]
 
     def vector(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.params()])
@@ -164,49 +150,65 @@ class Model:
             p[...] = vector[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def predict(self, ctx: np.ndarray) -> np.ndarray:
-        q = np.tile(self.d, (len(ctx), 1))
-        for j in range(CONTEXT):
-            q += self.r[ctx[:, j]] @ self.c[j]
+    def predict(self, before: list[np.ndarray]) -> np.ndarray:
+        """The predicted vector from the vectors of the words before, and a last column of ones."""
+        q = np.empty((len(before[0]), DIM + 1), np.float32)
+        q[:, DIM] = 1
+        np.add(before[0] @ self.c[0], self.d, out=q[:, :DIM])
+        for x, c in zip(before[1:], self.c[1:]):
+            q[:, :DIM] += x @ c
         return q
 
     def log_probability(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target, normalised over bins and inside its bin."""
-        s = len(self.b)
+        s = len(self.v)
         key = np.zeros(len(ctx), np.int64)
         for j in range(CONTEXT):
             key = key * (s + 1) + ctx[:, j]
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
-        z, q = np.empty(len(first), np.float32), np.empty((len(first), DIM), np.float32)
+        z, q = np.empty(len(first), np.float32), np.empty((len(first), DIM + 1), np.float32)
         for a in range(0, len(first), BLOCK):
-            q[a : a + BLOCK] = self.predict(ctx[first[a : a + BLOCK]])
-            z[a : a + BLOCK] = _log_sum(q[a : a + BLOCK] @ self.u.T + self.a)
-        outer = self.outer[target]
+            q[a : a + BLOCK] = self.predict([self.r.take(ctx[first[a : a + BLOCK], j], axis=0) for j in range(CONTEXT)])
+            z[a : a + BLOCK] = _log_sum(q[a : a + BLOCK] @ self.u.T)
+        outer = self.outer.take(target)
         out = np.empty(len(ctx))
-        for a in range(0, len(ctx), 8 * BLOCK):
-            at, o = of[a : a + 8 * BLOCK], outer[a : a + 8 * BLOCK]
-            out[a : a + 8 * BLOCK] = np.einsum("nd,nd->n", q[at], self.u[o]) + self.a[o] - z[at]
-        order = np.argsort(outer, kind="stable")
-        ends = np.searchsorted(outer[order], np.arange(len(self.first)))
-        for k in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.first) > 1)):
-            own = self.members[self.first[k] : self.first[k + 1]]
-            v, b, step = self.v[own].T, self.b[own], max(1, BLOCK * 256 // len(own))
+        order = np.argsort(_narrow(outer, len(self.u)), kind="stable")
+        ends = np.searchsorted(outer[order], np.arange(len(self.u) + 1))
+        for k in np.flatnonzero(np.diff(ends) > 0):
+            words = k < len(self.first) - 1 and self.first[k + 1] > self.first[k] + 1
+            v = self.v[self.members[self.first[k] : self.first[k + 1]]].T if words else None
+            step = max(1, BLOCK * 256 // v.shape[1]) if words else 16 * BLOCK
             for a in range(ends[k], ends[k + 1], step):
                 rows = order[a : min(a + step, ends[k + 1])]
-                x = q[of[rows]] @ v + b
-                hit = x[np.arange(len(rows)), self.place[target[rows]]]  # read before _log_sum overwrites x
-                out[rows] += hit - _log_sum(x)
+                at = of.take(rows)
+                own = q.take(at, axis=0)
+                got = own @ self.u[k] - z.take(at)
+                if words:
+                    x = own @ v
+                    got += x[np.arange(len(rows)), self.place.take(target.take(rows))]  # read before _log_sum overwrites x
+                    got -= _log_sum(x)
+                out[rows] = got
         return out
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """Log of the sum of exponentials of each row; ``x`` is overwritten."""
+    m = x.max()
+    if -40 < m < 60:  # no sum can overflow; one that vanishes is done again below
+        total = np.exp(x).sum(1)
+        if total.min() > 0:
+            return np.log(total)
     m = x.max(1)
     x -= m[:, None]
     np.exp(x, out=x)
     return m + np.log(x.sum(1))
 
 
+def _narrow(at: np.ndarray, below: int) -> np.ndarray:
+    """In 16 bits where they suffice: numpy then sorts by radix."""
+    return at.astype(np.uint16) if below <= 1 << 16 else at
+
+
 def contexts(symbols: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray:
     """The CONTEXT symbols before each token of a flat run (``start`` before a text)."""
     n = len(symbols)
@@ -225,7 +227,7 @@ class Trainer:
         self.m, self.rng, self.seen, self.rate = model, np.random.default_rng(seed), 0, rate
         self.g2 = [np.full(p.shape, START, np.float32) for p in model.params()]
         #: How often each row of a parameter was moved: its weight in the average.
-        self.moved = [np.zeros(len(p) if p.ndim < 3 and n not in (1, 2) else 1, np.float32) for n, p in enumerate(model.params())]
+        self.moved = [np.zeros(1 if n in (1, 2) else len(p), np.float32) for n, p in enumerate(model.params())]
         self.noise = [(np.cumsum(p), np.log(NOISE * p).astype(np.float32)) for p in (model.unigram, model.outer_unigram)]
 
     def _step(self, n: int, grad: np.ndarray, groups: tuple | None = None) -> None:
@@ -236,43 +238,53 @@ class Trainer:
             self.moved[n] += 1
         else:
             order, first, u, times = groups
-            g = np.add.reduceat(grad[order], first, axis=0)
-            own = g2[u] + g * g
+            g = np.add.reduceat(grad.take(order, axis=0), first, axis=0)
+            own = g2.take(u, axis=0)
+            own += g * g
             g2[u] = own
-            p[u] -= self.rate * g / np.sqrt(own)
+            np.sqrt(own, out=own)
+            g *= self.rate
+            g /= own
+            p[u] = p.take(u, axis=0) - g
             self.moved[n][u] += times
 
     def _contrast(self, level: int, q: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """One step of a level's vectors and biases; the gradient of ``q``."""
-        n, v, b = len(target), *self.m.params()[3 + 2 * level : 5 + 2 * level]
+        """One step of a level's vectors and biases; the gradient of ``q``.
+
+        The loss of a logit x (less the log of its expected noise count) has the derivative
+        sigma(x) - 1 for the data and sigma(x) for each noise symbol; sigma(x) = (1 + tanh(x / 2)) / 2.
+        """
+        n, v = len(target), self.m.params()[3 + level]
         cumulative, log_kp = self.noise[level]
-        noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(b) - 1)
-        of_target, of_noise = v[target], v[noise]
-        pos = np.einsum("nd,nd->n", q, of_target) + b[target] - log_kp[target]
-        # d loss / d logit: sigma(x) - 1 for the data, sigma(x) for each noise symbol.
-        gp = (-1 / (1 + np.exp(np.clip(pos, -30, 30))) / n).astype(np.float32)
-        gn = q @ -of_noise.T
-        gn -= b[noise] - log_kp[noise]
-        np.minimum(gn, 30, out=gn)
-        np.exp(gn, out=gn)
-        gn += 1
-        np.divide(np.float32(1 / n), gn, out=gn)
-        groups = _groups(np.concatenate((target, noise)))
-        self._step(3 + 2 * level, np.concatenate((gp[:, None] * q, gn.T @ q)), groups)
-        self._step(4 + 2 * level, np.concatenate((gp, gn.sum(0))), groups)
+        noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(v) - 1)
+        of_target, of_noise = v.take(target, axis=0), v.take(noise, axis=0)
+        pos = np.einsum("nd,nd->n", q, of_target) - log_kp.take(target)
+        gp = (np.tanh(pos / 2) - 1) * np.float32(0.5 / n)
+        half = of_noise.copy()
+        half[:, DIM] -= log_kp[noise]
+        half *= 0.5
+        t = q @ half.T
+        np.tanh(t, out=t)
+        share = np.float32(0.5 / n)
+        grad = np.empty((n + NOISE, DIM + 1), np.float32)
+        np.multiply(q, gp[:, None], out=grad[:n])
+        grad[n:] = ((q.T @ t).T + q.sum(0)) * share
+        self._step(3 + level, grad, _groups(np.concatenate((target, noise)), len(v)))
         of_target *= gp[:, None]
-        of_target += gn @ of_noise
-        return of_target
+        of_noise *= share
+        of_target += t @ of_noise
+        of_target += of_noise.sum(0)
+        return of_target[:, :DIM]
 
     def batch(self, ctx: np.ndarray, target: np.ndarray) -> None:
         m = self.m
-        q = m.predict(ctx)
-        dq = self._contrast(0, q, target) + self._contrast(1, q, m.outer[target])
+        before = [m.r.take(ctx[:, j], axis=0) for j in range(CONTEXT)]
+        q = m.predict(before)
+        dq = self._contrast(0, q, target) + self._contrast(1, q, m.outer.take(target))
         self._step(2, dq.sum(0))
-        dc = np.stack([m.r[ctx[:, j]].T @ dq for j in range(CONTEXT)])
         dr = np.concatenate([dq @ m.c[j].T for j in range(CONTEXT)])
-        self._step(0, dr, _groups(ctx.T.ravel()))
-        self._step(1, dc)
+        self._step(0, dr, _groups(ctx.T.ravel(), len(m.r)))
+        self._step(1, np.stack([(dq.T @ x).T for x in before]))
         self.seen += len(target)
 
     def weights(self) -> np.ndarray:
@@ -280,9 +292,9 @@ class Trainer:
         return np.concatenate([np.repeat(w, p.size // len(w)) for w, p in zip(self.moved, self.m.params())])
 
 
-def _groups(at: np.ndarray) -> tuple:
+def _groups(at: np.ndarray, below: int) -> tuple:
     """Order by place, starts of equal places, the places, and how often each occurs."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(_narrow(at, below), kind="stable")
     own = at[order]
     first = np.flatnonzero(np.diff(own, prepend=-1))
     return order, first, own[first], np.diff(np.append(first, len(at)))
@@ -292,47 +304,72 @@ def _trained(doc_id: str):
     return fold(doc_id, 10) != 0
 
 
-def train(docs: DataFrame, model: Model, text: str, doc_id: str) -> Model:
-    """Rounds of training over all training texts; each row of a parameter is averaged by how often a
-    task moved it."""
-    rows = docs.where(_trained(doc_id)).select(F.col(f"`{text}`").alias("t"))
-    size, step = len(model.vector()), 4096
+def _texts_of(symbols: pa.Array, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in symbols]
+
+
+def _flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(texts).astype(np.int32), np.cumsum([0, *map(len, texts)])
+
+
+def train(rows: DataFrame, model: Model, kind: str, units: int, step: int) -> Model:
+    """Rounds of training over ``rows`` (unit, key, symbols), ``step`` tokens a step."""
+    dealt = rows.repartition(units, "unit").sortWithinPartitions("unit", "key")
+    size, cut = len(model.vector()), 4096
+    kind_of = "at long, unit long, w binary, x binary"
     for n_round in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = rows.sparkSession.sparkContext.broadcast(model)
 
         def run(batches, shared=shared, rate=RATE / (1 + n_round)):
             from copy import deepcopy
 
-            from pyspark import TaskContext
+            t, unit, texts, n = None, None, [], 0
 
-            context = TaskContext.get()
-            own = deepcopy(shared.value)
-            t = Trainer(own, 1 + (context.partitionId() if context else 0), rate)
-            for b in batches:
-                tokens = Tokens(C.as_bytes(b[0]))
-                symbol = _symbols(tokens.hashes, own.vocabulary)
-                for numbers, offsets in tokens.runs:
-                    sym = symbol[numbers]
-                    ctx = contexts(sym, offsets, len(own.b))
-                    n = max(128, min(BATCH, len(sym) // 48))  # little data: more, smaller steps
-                    for s in range(0, len(sym), n):
-                        t.batch(ctx[s : s + n], sym[s : s + n])
-            if t.seen:
+            def learn() -> None:
+                nonlocal texts, n
+                if texts:
+                    sym, offsets = _flat(texts)
+                    ctx = contexts(sym, offsets, len(t.m.v))
+                    for s in range(0, len(sym), step):
+                        t.batch(ctx[s : s + step], sym[s : s + step])
+                    texts, n = [], 0
+
+            def result():
                 w = t.weights()
-                x = own.vector() * w
-                for i in range(0, size, step):
-                    if w[i : i + step].any():
-                        sums = [pa.array([y[i : i + step].tobytes()], pa.binary()) for y in (w, x)]
-                        yield pa.RecordBatch.from_arrays([pa.array([i]), *sums], ["at", "w", "x"])
+                x = t.m.vector() * w
+                for i in range(0, size, cut):
+                    if w[i : i + cut].any():
+                        sums = [pa.array([y[i : i + cut].astype(np.float64).tobytes()], pa.binary()) for y in (w, x)]
+                        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([unit], pa.int64()), *sums], ["at", "unit", "w", "x"])
 
-        def add(table: pa.Table) -> pa.Table:
-            sums = [sum(np.frombuffer(y.as_py(), np.float32).astype(np.float64) for y in table[c]) for c in ("w", "x")]
-            return pa.table([pa.array([table["at"][0].as_py()]), *[pa.array([y.tobytes()], pa.binary()) for y in sums]], ["at", "w", "x"])
+            for b in batches:
+                for u, own in zip(b["unit"].to_pylist(), _texts_of(b["symbols"], kind)):
+                    if u != unit:
+                        if t:
+                            learn()
+                            yield from result()
+                        t, unit = Trainer(deepcopy(shared.value), 1 + u, rate), u
+                    texts.append(own)
+                    n += len(own)
+                    if n >= RUN_TOKENS:
+                        learn()
+            if t:
+                learn()
+                yield from result()
 
-        kind = "at long, w binary, x binary"
-        got = rows.mapInArrow(run, kind).groupBy("at").applyInArrow(add, kind).collect()  # one model in all
+        def add(table: pa.Table) -> pa.Table:
+            table = table.sort_by("unit")
+            sums = [sum(np.frombuffer(y.as_buffer()) for y in table[c]) for c in ("w", "x")]
+            return pa.table(
+                [table["at"][:1], pa.array([table["unit"][0].as_py() // FAN], pa.int64()), *[pa.array([y.tobytes()], pa.binary()) for y in sums]], ["at", "unit", "w", "x"]
+            )
+
+        got, left = dealt.mapInArrow(run, kind_of), units
+        while left > 1:
+            got = got.groupBy("at", F.floor(F.col("unit") / FAN).alias("g")).applyInArrow(lambda k, t: add(t), kind_of)
+            left = -(-left // FAN)
         vector = model.vector()
-        for at, w, x in got:
+        for at, _, w, x in got.collect():  # one model in all
             w, x = np.frombuffer(bytes(w)), np.frombuffer(bytes(x))
             own = vector[at : at + len(w)]
             own[w > 0] = x[w > 0] / w[w > 0]
@@ -351,32 +388,31 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
     batches = max(LEAST, -(-chars // BATCH_CHARS))
     parts = batches
     size = vocabulary_size(chars)
+    units = max(1, -(-chars // (UNIT_CHARS_A_WORD * size)))
     # Words fall into parts by hash: of the most frequent ones, more than this in a part is out of the question.
     most = min(size, int(size / parts + 8 * (size / parts) ** 0.5 + 16))
+    key = F.xxhash64(f"`{doc_id}`", f"`{text}`")
     dealt = docs.select(
         *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
         F.col(f"`{text}`").alias("t"),
         _trained(doc_id).alias("train"),
-        F.pmod(F.xxhash64(f"`{doc_id}`", f"`{text}`"), F.lit(batches)).cast("int").alias("batch"),
+        key.alias("key"),
+        F.pmod(key, F.lit(batches)).cast("int").alias("batch"),
     )
 
     def words(table: pa.Table):
         """The batch's tokens, and its distinct hashes by part."""
-        tokens = Tokens(C.as_bytes(table["t"].combine_chunks()))
+        tokens = Tokens(list(C.as_bytes(table["t"].combine_chunks())))
         every = tokens.hashes
         own = (C.scramble(every >> np.uint64(4)) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(own, kind="stable")
         which, starts = np.unique(own[order], return_index=True)
-        return tokens.runs, every, order, which, np.append(starts, len(own))
+        return tokens, every, order, which, np.append(starts, len(own))
 
     def send(table: pa.Table) -> pa.Table:
-        runs, every, order, which, bounds = words(table)
-        train, count, at = np.array(table["train"].to_pylist(), bool), np.zeros(len(every), np.int64), 0
-        for numbers, offsets in runs:
-            k = len(offsets) - 1
-            use = np.repeat(train[at : at + k], np.diff(offsets))
-            count += np.bincount(numbers[use], minlength=len(every))
-            at += k
+        tokens, every, order, which, bounds = words(table)
+        use = np.repeat(np.array(table["train"].to_pylist(), bool), np.diff(tokens.offsets))
+        count = np.bincount(tokens.numbers[use], minlength=len(every))
         h, c = every[order], count[order]
         cut = list(zip(bounds, bounds[1:]))
         return pa.table(
@@ -420,40 +456,80 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
     sent = dealt.groupBy("batch").applyInArrow(send, "part int, batch int, words binary, counts binary")
     answers = C.materialise(sent.groupBy("part").applyInArrow(answer, "batch int, part int, totals binary"), "counts")
     shared, model = _statistics(sc, answers, size)
-    model = train(docs, model, text, doc_id)
-    trained = sc.broadcast(model)
+    known, tokens_in_all = sc.broadcast(model.vocabulary), shared.value[0]
+    kind = "<u2" if len(model.v) < 1 << 16 else "<u4"
+    parts_of = [docs.schema[c] for c in keep]
+    symbols = T.StructType(
+        [T.StructField(f"k{i}", f.dataType, f.nullable) for i, f in enumerate(parts_of)]
+        + [
+            T.StructField("train", T.BooleanType()),
+            T.StructField("unit", T.IntegerType()),
+            T.StructField("key", T.LongType()),
+            T.StructField("n_known", T.LongType()),
+            T.StructField("base", T.DoubleType()),
+            T.StructField("share", T.DoubleType()),
+            T.StructField("symbols", T.BinaryType()),
+        ]
+    )
+    arrow_symbols = to_arrow_schema(symbols)
 
-    def finish(table: pa.Table, got: pa.Table) -> pa.Table:
+    def encode(table: pa.Table, got: pa.Table) -> pa.Table:
+        """Texts as symbols, with what the counts say of each: known tokens, base score, shares of classes."""
         if not table.num_rows:
-            return pa.table([pa.array([], f.type) for f in arrow_out], names=arrow_out.names)
-        tokens, distinct, class_tokens, class_words = shared.value
-        m = trained.value
-        runs, every, order, which, bounds = words(table)
+            return pa.table([pa.array([], f.type) for f in arrow_symbols], names=arrow_symbols.names)
+        total, distinct, class_tokens, class_words = shared.value
+        vocabulary = known.value
+        tokens, every, order, which, bounds = words(table)
         answered = dict(zip(got["part"].to_pylist(), got["totals"].to_pylist()))
         count = np.zeros(len(every), np.int64)
         for p, s, e in zip(which.tolist(), bounds, bounds[1:]):
             count[order[s:e]] = np.frombuffer(answered[p], "<i8")
-        base = np.log10((count + ALPHA) / (tokens + ALPHA * (distinct + 1)))
-        symbol = _symbols(every, m.vocabulary)
-        kind = np.minimum((every & np.uint64(15)).astype(np.int64), CLASSES)
-        share = np.where(symbol < len(m.vocabulary), 0.0, np.log10((count + ALPHA) / (class_tokens[kind] + ALPHA * (class_words[kind] + 1))))
-        out = [[], [], [], []]
-        for at, offsets in runs:
-            sym = symbol[at]
-            if tokens:
-                own = m.log_probability(contexts(sym, offsets, len(m.b)), sym) / np.log(10) + share[at]
-            else:
-                own = base[at]
-            for o, x in zip(out, (np.ones(len(at)), count[at] > 0, base[at], own)):
-                o.append(np.add.reduceat(x.astype(np.float64), offsets[:-1]))
-        n_tokens, n_known, b, s = (np.concatenate(o) for o in out)
+        base = np.log10((count + ALPHA) / (total + ALPHA * (distinct + 1)))
+        symbol = _symbols(every, vocabulary)
+        shape = np.minimum((every & np.uint64(15)).astype(np.int64), CLASSES)
+        share = np.where(symbol < len(vocabulary), 0.0, np.log10((count + ALPHA) / (class_tokens[shape] + ALPHA * (class_words[shape] + 1))))
+        at, begin = tokens.numbers, tokens.offsets[:-1]
+        sums = [np.add.reduceat(x[at].astype(np.float64), begin) for x in (count > 0, base, share)]
+        coded = symbol.astype(kind)[at]
+        unit = np.array(table["batch"].to_pylist(), np.int64) % units
         cols = [table.column(j).combine_chunks() for j in range(n)]
-        cols += [pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(b), tokens, np.int64)), pa.array(b), pa.array(s)]
-        return pa.table(cols, names=arrow_out.names)
+        cols += [table["train"].combine_chunks(), pa.array(unit.astype(np.int32)), table["key"].combine_chunks()]
+        cols += [pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        cols.append(pa.array([coded[s:e].tobytes() for s, e in zip(tokens.offsets.tolist(), tokens.offsets[1:].tolist())], pa.binary()))
+        return pa.table(cols, names=arrow_symbols.names)
+
+    answered = answers.where("batch >= 0").groupBy("batch")
+    coded = C.materialise(dealt.groupBy("batch").cogroup(answered).applyInArrow(encode, symbols), "symbols")
+    if tokens_in_all:
+        step = max(128, min(BATCH, tokens_in_all // STEPS))
+        model = train(coded.where("train").select("unit", "key", "symbols"), model, kind, units, step)
+    trained = sc.broadcast(model)
+    result = T.StructType(parts_of + list(OUT.fields))
+    titles = [f.name for f in result]
+
+    def finish(table: pa.RecordBatch, m: Model) -> pa.RecordBatch:
+        texts = _texts_of(table["symbols"], kind)
+        base, share = (table[c].to_numpy(zero_copy_only=False) for c in ("base", "share"))
+        own = base
+        if tokens_in_all:
+            sums, s, n_tokens = [], 0, np.cumsum([len(t) for t in texts])
+            while s < len(texts):
+                e = max(s + 1, int(np.searchsorted(n_tokens, (n_tokens[s - 1] if s else 0) + RUN_TOKENS, "right")))
+                sym, offsets = _flat(texts[s:e])
+                p = m.log_probability(contexts(sym, offsets, len(m.v)), sym)
+                sums.append(np.add.reduceat(p, offsets[:-1]))
+                s = e
+            own = np.concatenate(sums) / np.log(10) + share
+        cols = table.columns[:n] + [pa.array([len(t) for t in texts], pa.int64()), table["n_known"]]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(texts), tokens_in_all, np.int64)), table["base"], pa.array(own)], titles)
+
+    def run(batches):
+        m = trained.value
+        for b in batches:
+            if b.num_rows:
+                yield finish(b, m)
 
-    result = T.StructType([docs.schema[c] for c in keep] + list(OUT.fields))
-    arrow_out = to_arrow_schema(result)
-    return dealt.groupBy("batch").cogroup(answers.where("batch >= 0").groupBy("batch")).applyInArrow(finish, result)
+    return coded.select(*[f"k{i}" for i in range(n)], "n_known", "base", "share", "symbols").mapInArrow(run, result)
 
 
 def vocabulary_size(chars: int) -> int:

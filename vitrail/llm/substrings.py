@@ -73,9 +73,9 @@ def count_prefixes(docs: DataFrame, text: str) -> np.ndarray:
     """Suffixes in each slot of each level, over all documents: LEVELS x SLOTS numbers."""
 
     def run(batches):
-        cache, total = C.WordHashes(), np.zeros((len(LEVELS), SLOTS), np.int64)
+        total = np.zeros((len(LEVELS), SLOTS), np.int64)
         for b in batches:
-            for flat, offsets in C.chunks(C.as_bytes(b[0]), bytes.split, cache):
+            for flat, offsets, *_ in C.chunks(C.as_bytes(b[0])):
                 for n, h in enumerate(prefix_hashes(flat, offsets)[1]):
                     total[n] += np.bincount(_slot(h), minlength=SLOTS)
         at = np.flatnonzero(total)
@@ -122,11 +122,9 @@ class Batch:
         raw = list(C.as_bytes(texts))
         keys = [(i is not None, i or 0, t) for i, t in zip(ids.to_pylist(), raw)]
         self.order = sorted(range(len(raw)), key=keys.__getitem__)
-        cache = C.WordHashes()
-        self.words = [raw[i].split() for i in self.order]
-        hashed = [cache.of(w) for w in self.words]
-        self.offsets = np.cumsum([0, *map(len, hashed)])
-        self.at, levels = prefix_hashes(np.concatenate([*hashed, np.zeros(0, np.uint64)]), self.offsets)
+        self.raw = [raw[i] for i in self.order]
+        flat, self.offsets, *_ = C.words(self.raw)
+        self.at, levels = prefix_hashes(flat, self.offsets)
         windows, self.first, self.of = np.unique(levels[-1], return_index=True, return_inverse=True)
         own = route([h[self.first] for h in levels], part)
         self.by_part = np.argsort(own, kind="stable")  # within a part by hash
@@ -212,8 +210,8 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: li
         batch = Batch(table["i"].combine_chunks(), table["t"].combine_chunks(), shared.value[1])
         mask = batch.repeated(dict(zip(answers["part"].to_pylist(), answers["bits"].to_pylist())))
         n_words, n_removed, spans, kept = [], [], [], []
-        for w, s, e in zip(batch.words, batch.offsets.tolist(), batch.offsets[1:].tolist()):
-            own = mask[s:e]
+        for t, s, e in zip(batch.raw, batch.offsets.tolist(), batch.offsets[1:].tolist()):
+            w, own = t.split(), mask[s:e]
             gone = int(own.sum())
             n_words.append(e - s)
             n_removed.append(gone)

@@ -279,10 +279,8 @@ def annotate(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
         def work(texts: pa.Array) -> list[pa.Array]:
             out = []
-            for flat, offsets in C.chunks(C.as_bytes(texts), words_of, cache):
-                for s, e in _bounded(offsets):
-                    part = flat[offsets[s] : offsets[e]]
-                    out.append(m.net.score(part, offsets[s : e + 1] - offsets[s]) if m.net else np.full(e - s, m.base))
+            for run in _runs(cache.of(words_of(t)) for t in C.as_bytes(texts)):
+                out.append(m.net.score(*_flat(run)) if m.net else np.full(len(run), m.base))
             score = np.concatenate([*out, np.zeros(0)])
             return [pa.array(score), pa.array((score >= CUT).astype(np.int32))]
 
@@ -291,13 +289,17 @@ def annotate(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     return C.map_rows(docs, OUT, make, [text], keep)
 
 
-def _bounded(offsets: np.ndarray, words: int = 100_000):
+def _runs(texts, words: int = 100_000):
     """Runs of documents of about so many words: the feature maps of one run are held at once."""
-    s = 0
-    while s < len(offsets) - 1:
-        e = max(s + 1, int(np.searchsorted(offsets, offsets[s] + words, "right")) - 1)
-        yield s, e
-        s = e
+    run, n = [], 0
+    for t in texts:
+        run.append(t)
+        n += len(t)
+        if n >= words:
+            yield run
+            run, n = [], 0
+    if run:
+        yield run
 
 
 def flag(scored: DataFrame, model: Model, lang: str = "lang") -> DataFrame:
