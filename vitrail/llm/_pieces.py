@@ -6,8 +6,9 @@ each of them, the pieces encoded one by one, and the ids put together, with the
 the whole text.  Natural text repeats its pieces, so most are found in the table.
 
 Everything but the encoding of new pieces is done in numpy over the UTF-8 bytes of many texts: cuts,
-hashes of all pieces (differences of one running sum), look-ups, and the gathering of ids.  Pieces are
-known by 64-bit hash and length; those over MAX_PIECE bytes are encoded each time.
+hashes of all pieces, look-ups, and the gathering of ids.  Pieces are found by 64-bit hash, and every
+find is compared byte by byte, so no collision can change a result; pieces over MAX_PIECE bytes are
+encoded each time.
 """
 
 from __future__ import annotations
@@ -28,14 +29,28 @@ CHUNK_BYTES = 1_000_000
 _UNSAFE = np.zeros(256, bool)
 _UNSAFE[[*range(9, 14), *range(28, 33), 0xE1, 0xE2, 0xE3]] = True
 
-_BASE = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(0)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _eight(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
+def same_spans(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether spans of ``a`` and of ``b`` (arrays of bytes with eight spare ones) are equal, pair by pair."""
+    out = np.ones(len(sizes), bool)
+    wide = np.flatnonzero(sizes > C.LONG_WORD)
+    for i in wide.tolist():
+        out[i] = np.array_equal(a[at_a[i] : at_a[i] + sizes[i]], b[at_b[i] : at_b[i] + sizes[i]])
+    x, y, k = _eight(a), _eight(b), 0
+    todo = np.flatnonzero(sizes <= C.LONG_WORD) if len(wide) else np.arange(len(sizes))
+    while len(todo):
+        rest = sizes[todo] - k
+        differ = (x[at_a[todo] + k] ^ y[at_b[todo] + k]) & C._BYTES[np.where(rest < 8, rest, 0)]
+        out[todo[differ != 0]] = False
+        todo, k = todo[(rest > 8) & (differ == 0)], k + 8
+    return out
 
 
 class PieceTable:
@@ -44,7 +59,6 @@ class PieceTable:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = TABLE_PIECES):
         self.encode, self.limit = encode, limit
         self.slots = 1 << (2 * limit - 1).bit_length()
-        self.power = self.inverse = np.ones(0, np.uint64)
         self.clear()
 
     def clear(self) -> None:
@@ -53,6 +67,9 @@ class PieceTable:
         self.n, self.used = 0, 0
         self.start, self.size = np.zeros(self.limit * 2, np.int64), np.zeros(self.limit * 2, np.int32)
         self.store = np.zeros(1 << 20, np.uint32)
+        # The bytes of each piece, to compare with.
+        self.bytes_at, self.bytes_n = np.zeros(self.limit * 2, np.int64), np.zeros(self.limit * 2, np.int32)
+        self.bytes, self.bytes_used = np.zeros(1 << 20, np.uint8), 0
 
     def _cut(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Starts of the pieces of texts that end at ``ends`` (empty texts have none)."""
@@ -70,16 +87,6 @@ class PieceTable:
         mark[begin[ends > begin]] = True
         return np.flatnonzero(mark)
 
-    def _hash(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(raw)
-        if len(self.power) < n:
-            self.power = _powers(_BASE, n)
-            self.inverse = _powers(pow(_BASE, -1, 1 << 64), n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[:n], out=total[1:])
-        h = (total[ends] - total[starts]) * self.inverse[starts]
-        return C.scramble(h + (ends - starts).astype(np.uint64)) | np.uint64(1)
-
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 where there is none."""
         mask = self.slots - 1
@@ -115,7 +122,8 @@ class PieceTable:
             self.store = np.concatenate((self.store, np.zeros(max(len(self.store), len(flat)), np.uint32)))
         if self.n + len(ids) > len(self.start):
             grow = np.zeros(max(len(self.start), len(ids)), np.int64)
-            self.start, self.size = np.concatenate((self.start, grow)), np.concatenate((self.size, grow.astype(np.int32)))
+            self.start, self.bytes_at = (np.concatenate((x, grow)) for x in (self.start, self.bytes_at))
+            self.size, self.bytes_n = (np.concatenate((x, grow.astype(np.int32))) for x in (self.size, self.bytes_n))
         own = np.arange(self.n, self.n + len(ids))
         self.start[own] = self.used + np.cumsum(sizes) - sizes
         self.size[own] = sizes
@@ -124,26 +132,51 @@ class PieceTable:
         self.used += len(flat)
         return own
 
+    def _remember(self, pieces: list[bytes], entries: np.ndarray) -> None:
+        """Keep the bytes of pieces that go into the table."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        need = self.bytes_used + len(flat) + 8
+        if need > len(self.bytes):
+            self.bytes = np.concatenate((self.bytes, np.zeros(max(len(self.bytes), need), np.uint8)))
+        self.bytes_at[entries] = self.bytes_used + np.cumsum(sizes) - sizes
+        self.bytes_n[entries] = sizes
+        self.bytes[self.bytes_used : self.bytes_used + len(flat)] = flat
+        self.bytes_used += len(flat)
+
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text, as unsigned 32-bit arrays."""
         if self.n > self.limit:
             self.clear()
         blob = b"".join(texts)
-        raw, ends = np.frombuffer(blob, np.uint8), np.cumsum([len(t) for t in texts])
-        if not len(raw):
+        raw, ends = np.frombuffer(blob + bytes(8), np.uint8), np.cumsum([len(t) for t in texts])
+        if not len(blob):
             return [np.zeros(0, np.uint32) for _ in texts]
-        starts = self._cut(raw, ends)
-        stops = np.append(starts[1:], len(raw))
-        h = self._hash(raw, starts, stops)
+        starts = self._cut(raw[:-8], ends)
+        stops = np.append(starts[1:], len(blob))
+        sizes = stops - starts
+        h = C.hash_spans(raw, starts, sizes) | np.uint64(1)
         entry = self._find(h)
-        new = np.flatnonzero(entry < 0)
+        hit = np.flatnonzero(entry >= 0)
+        hit = hit[self.bytes_n[entry[hit]] == sizes[hit]]
+        hit = hit[same_spans(raw, starts[hit], self.bytes, self.bytes_at[entry[hit]], sizes[hit])]
+        found = np.zeros(len(entry), bool)
+        found[hit] = True
+        taken = entry >= 0  # by another piece, if not found
+        new = np.flatnonzero(~found)
         if len(new):
             _, first, of = np.unique(h[new], return_index=True, return_inverse=True)
-            at = new[first]
-            pieces = [blob[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), stops[at].tolist())]
-            own = self._add(self.encode(pieces))
-            entry[new] = own[of]
-            keep = np.flatnonzero(stops[at] - starts[at] <= MAX_PIECE)
+            head = new[first[of]]
+            alike = sizes[new] == sizes[head]
+            alike[alike] = same_spans(raw, starts[new[alike]], raw, starts[head[alike]], sizes[new[alike]])
+            # One of each hash, and every piece whose hash another piece has.
+            at = np.concatenate((new[first], new[~alike]))
+            pieces = [blob[s:e] for s, e in zip(starts[at].tolist(), stops[at].tolist())]
+            own = self._add(self.encode([x.decode("utf-8", "replace") for x in pieces]))
+            entry[new[alike]] = own[of[alike]]
+            entry[new[~alike]] = own[len(first) :]
+            keep = np.flatnonzero((sizes[at] <= MAX_PIECE) & ~taken[at] & (np.arange(len(at)) < len(first)))
+            self._remember([pieces[i] for i in keep.tolist()], own[keep])
             self._insert(h[at[keep]], own[keep])
         size = self.size[entry].astype(np.int64)
         total = np.cumsum(size)
