@@ -11,16 +11,18 @@ any store Spark knows).  One row is one shard of consecutive documents:
     frames            the zstandard frames, one after the other
 
 A frame holds a document's ids as little-endian unsigned 32-bit integers.  The dictionary is trained
-on the id arrays of at most SAMPLE_DOCS documents of at most SAMPLE_CHARS characters (those of least
-hash), and lies beside the shards; a reader checks its hash.  One document is read by its offsets,
+on the id arrays of at most SAMPLE_DOCS documents (those of least hash; of each a window of at most
+SAMPLE_CHARS characters that begins at a hashed place), and lies beside the shards; a reader checks
+its hash.  One document is read by its offsets,
 without the rest of its shard being decompressed.
 
 Ascending order comes from ranges of doc_id found on ids alone (``approx_percentile``), so the text
 itself is encoded once, before the shuffle, and only compressed frames are shuffled.
 
-Defined results: null texts are empty (only the end id); equal doc_ids keep all their rows; the
-content of an added token inside a text ("<|endoftext|>") is ordinary text, as the library encodes it
-with ``encode_special_tokens`` set, and not that token's id, as it does by default.
+Defined results: null texts are empty (only the end id); equal doc_ids keep all their rows; an added
+token inside a text ("<|endoftext|>") becomes its id, as in the library by default, or with
+``plain_added`` ordinary text, as with the library's ``encode_special_tokens``.  doc_id must be a
+whole number (or its text); columns other than doc_id and text are not part of the file.
 """
 
 from __future__ import annotations
@@ -75,8 +77,34 @@ _MATCHES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{
 _MARKS = frozenset('.,;:!?")')
 
 
-@lru_cache(2)
-def _encoder(path: str) -> PieceTable:
+class Encoder:
+    """Texts to ids: cut at added tokens, which become their ids, the rest by a table of pieces."""
+
+    def __init__(self, table: PieceTable, added: dict[bytes, int]):
+        self.table, self.added = table, added
+        longest = sorted(added, key=len, reverse=True)
+        self.cut = regex.compile(b"|".join(map(regex.escape, longest))) if added else None
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        marked = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not marked:
+            return self.table.ids(texts)
+        # A text with added tokens stands as its stretches between them, one after the other.
+        stretches = {i: self.cut.split(texts[i]) for i in marked}
+        tokens = {i: [np.array([self.added[m]], np.uint32) for m in self.cut.findall(texts[i])] for i in marked}
+        flat = [x for i, t in enumerate(texts) for x in stretches.get(i, (t,))]
+        got = iter(self.table.ids(flat))
+        out = []
+        for i in range(len(texts)):
+            parts = [next(got)]
+            for token in tokens.get(i, ()):
+                parts += (token, next(got))
+            out.append(np.concatenate(parts) if len(parts) > 1 else parts[0])
+        return out
+
+
+@lru_cache(4)
+def _encoder(path: str, plain_added: bool = False) -> Encoder:
     """The tokenizer of a file, one a worker process, over a table of pieces.
 
     Pieces are split into matches here, and the library's model merges each distinct match.  That
@@ -88,8 +116,14 @@ def _encoder(path: str) -> PieceTable:
     from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(path)
-    if tokenizer.normalizer is not None or not isinstance(tokenizer.pre_tokenizer, ByteLevel):
-        raise ValueError("pieces are independent for byte-level tokenizers without a normalizer only")
+    if tokenizer.normalizer is not None or not isinstance(tokenizer.pre_tokenizer, ByteLevel) or tokenizer.pre_tokenizer.add_prefix_space:
+        raise ValueError("pieces are independent for byte-level tokenizers without a normalizer and an added space only")
+    added = {}
+    for i, token in tokenizer.get_added_tokens_decoder().items():
+        if token.lstrip or token.rstrip or token.single_word:
+            raise ValueError("added tokens that hang on what stands beside them are not supported")
+        if not (plain_added and token.special):
+            added[token.content.encode()] = i
     split, merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
     if hasattr(tokenizer.model, "_resize_cache"):
         tokenizer.model._resize_cache(0)  # distinct matches never hit the model's own cache
@@ -134,31 +168,33 @@ def _encoder(path: str) -> PieceTable:
             out.append(b"".join(parts))
         return out
 
-    return PieceTable(encode)
+    return Encoder(PieceTable(encode), added)
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, text: str, doc_id: str) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, text: str, doc_id: str, plain_added: bool = False) -> bytes:
     """A zstandard dictionary from a bounded sample; empty if there is too little to train on."""
-    ids = S.by_label(docs.where(F.length(f"`{text}`").between(1, SAMPLE_CHARS)).withColumn("_all", F.lit(1)), "_all", doc_id, SAMPLE_DOCS)
+    ids = S.by_label(docs.where(F.length(f"`{text}`") > 0).withColumn("_all", F.lit(1)), "_all", doc_id, SAMPLE_DOCS)
     sample = docs.join(F.broadcast(ids.select(F.col("id").alias(doc_id))), doc_id, "left_semi")
-    rows = sample.select(F.col(f"`{text}`").alias("t")).where(F.length("t").between(1, SAMPLE_CHARS)).limit(2 * SAMPLE_DOCS).collect()
-    rows.sort()
-    samples = [x.tobytes() for x in _encoder(tokenizer).ids([r.t.encode() for r in rows])]
+    sample = sample.where(F.length(f"`{text}`") > 0).groupBy(doc_id).agg(F.min(S.window(text, doc_id, SAMPLE_CHARS)).alias("t"))
+    rows = sorted(sample.select("t").collect())  # at most SAMPLE_DOCS
+    samples = [x.tobytes() for x in _encoder(tokenizer, plain_added).ids([r.t.encode() for r in rows])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) > 20 else b""
     except zstandard.ZstdError:  # too few different bytes
         return b""
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, text: str = "text", doc_id: str = "doc_id") -> None:
+def write(
+    docs: DataFrame, tokenizer: str, end_id: int, path: str, text: str = "text", doc_id: str = "doc_id", plain_added: bool = False
+) -> None:
     """Encode ``docs`` and write shards and dictionary below ``path``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    dictionary = train_dictionary(docs, tokenizer, "text", "doc_id")
+    dictionary = train_dictionary(docs, tokenizer, "text", "doc_id", plain_added)
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     n = docs.count()
     buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, -(-n // BUCKET_DOCS)))
@@ -171,7 +207,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, text: str = "
 
     def make():
         dictionary, cuts = shared.value
-        own = _encoder(tokenizer)
+        own = _encoder(tokenizer, plain_added)
         zdict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if zdict:
             zdict.precompute_compress(level=LEVEL)
