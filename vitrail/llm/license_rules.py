@@ -124,14 +124,47 @@ NOTICES = (
     ("llama", "llama", "llama(?: [23](?: [123])?)? community licen[sc]e", 0.95),
     ("openrail", "openrail", "(?:creativeml |bigscience |bigcode )?openrail(?: m)?", 0.9),
     ("openrail", "rail", "(?:creativeml |bigscience |bigcode )?open rail(?: m)?", 0.9),
+    ("agpl", "affero", "under the terms of the gnu affero general public license as published by the free software foundation", 0.99),
+    ("gpl", "classpath", "gnu general public license(?: version 2)? with (?:the )?classpath exception", 0.95),
+    ("gfdl", "document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 0.99),
+    ("apache", "apache", "licensed under the apache license version 2 0 the license", 0.99),
+    ("apache", "apache", "this product includes software developed (?:by|at) the apache software foundation", 0.7),
+    ("epl", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license", 0.99),
+    ("ms-pl", "accompanying", "this license governs use of the accompanying software", 0.8),
+    ("mpl", "incompatible", "incompatible with secondary licenses as defined by the mozilla public license", 0.95),
+    ("cddl", "cddl", "subject to the terms of the common development and distribution license(?: version 1 0)? cddl", 0.95),
+    ("ofl", "font", "this font software is licensed under the sil open font license", 0.99),
+    ("odbl", "database", "made available under the open database license", 0.95),
+    ("cc0", "waived", "has waived all copyright and related or neighboring rights", 0.95),
+    ("cc-by-sa", "creative", "this work is licensed under a creative commons attribution share ?alike(?: [1234] [05])? international license", 0.98),
+    ("cc-by", "creative", "this work is licensed under a creative commons attribution(?: [1234] [05])? international license", 0.98),
+    ("cc-by-sa", "wikipedia", "text from wikipedia is available under the creative commons attribution share ?alike license", 0.9),
+    ("openssl", "openssl", "this product includes software developed by the openssl project", 0.9),
+    ("x11", "consortium", "the name of the x consortium shall not be used in advertising", 0.95),
+    ("hpnd", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose is hereby granted", 0.9),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice", 0.9),
+    ("bsd-3-clause", "contributors", "names of its contributors may be used to endorse or promote products", 0.9),
+    ("busl", "change", "change date(?: \\S+){1,6} change license", 0.85),
+    ("eupl", "eupl", "licensed under the eupl", 0.95),
+    ("psf", "psf", "psf license agreement for python", 0.95),
+    ("artistic", "artistic", "under the (?:terms of the )?artistic license", 0.95),
+    ("afl", "academic", "licensed under the academic free license", 0.95),
+    ("osl", "osl", "licensed under the open software license osl", 0.95),
+    ("public-domain", "domain", "this (?:work|file|document|text) is in the public domain", 0.9),
+    ("eula", "eula", "end user license agreement eula|eula end user license agreement", 0.8),
     ("proprietary", "proprietary", "proprietary(?: and confidential)? licen[sc]e|confidential and proprietary", 0.7),
     ("proprietary", "reserved", "copyright(?: \\S+){1,12} all rights reserved", 0.6),
 )
 
 
 def rules() -> list[tuple[str, str, str, float]]:
-    """All rules by priority: most specific first, contract phrases last."""
+    """All rules by priority: identifiers, then most specific first, contract phrases last."""
     out: list[tuple[str, str, str, float]] = []
+    for label, _, shorts, versions, suffixes in VERSIONED:
+        tail = "(?: " + "| ".join(suffixes) + ")?" if suffixes else ""
+        for v in reversed(versions):
+            if not v.endswith("0") or " " in v:
+                out += [(label, "spdx", f"spdx {LICENSE} identifier {s} {v}{tail}", 0.99) for s in shorts]
     for label, short, long in CC_KINDS:
         for v in CC_VERSIONS:
             if label == "cc0" and v != "1 0":
@@ -149,8 +182,6 @@ def rules() -> list[tuple[str, str, str, float]]:
             for s in shorts:
                 tail = "(?: " + "| ".join(suffixes) + ")?" if suffixes else ""
                 out.append((label, s.split(" ")[0], f"{s} v?{v}{tail}(?: {LICENSE})?", 0.9))
-                if not v.endswith("0") or " " in v:
-                    out.append((label, "spdx", f"spdx {LICENSE} identifier {s} {v}{tail}", 0.99))
         for s in shorts:
             out.append((label, s.split(" ")[0], f"{s} licen[sc]ed?", 0.85))
     out += NOTICES
@@ -177,5 +208,6 @@ GATE = (
     "afl", "cecill", "lppl", "ofl", "psf", "zpl", "apsl", "npl", "qpl", "odbl", "odc", "sspl", "busl", "rpl", "ncsa", "cern", "cc", "cc0",
     "apache", "artistic", "php", "elastic", "unicode", "w3c", "openssl", "ms", "creativecommons", "creative", "spdx", "permission", "warranty",
     "redistribution", "endorse", "advertising", "gnu", "mozilla", "altered", "zlib", "boost", "unlicense", "unencumbered", "domain", "wtfpl",
+    "classpath", "waived", "consortium", "redistributions", "contributors", "eula",
     "fuck", "beer", "beerware", "evil", "scripts", "mit (?:0|no)", "bsd", "0bsd", "perl", "mulan", "openrail", "rail", "proprietary", "reserved",
 )

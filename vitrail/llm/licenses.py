@@ -2,15 +2,16 @@
 
 A text without any gate word is done after one regular expression.  The others become words (A-Z
 lowered; letters, digits and non-ASCII characters), one space before each.  Only rules whose keyword
-is among a text's words are tried; each match becomes an interval of words.  Overlaps are resolved
-in order of place: a detection inside a kept one is suppressed, or takes its place if it has
-another label and its rule stands earlier; of two that overlap otherwise the one whose rule stands
-later is suppressed.
+is among a text's words are tried; each match becomes an interval of words.  Overlaps are resolved by
+priority: in the order of their rules (of one rule the longer, then the earlier first) detections are
+kept, and each kept one suppresses every later one that it contains or overlaps.  Only intervals that
+hang together by overlaps are held against each other.
 
 Native: built-in functions only, and all inside one row; texts are neither exploded nor shuffled.
 
 Defined results: null is an empty text; contract phrases count at every place, also where their
-detection is suppressed; score is the largest weight of a kept detection, 0 without any.
+detection is suppressed; score is the largest weight of a kept detection, 0 without any; repeated rows
+are scanned each; input columns named n_words, base, detections, _t, _n, _k or _m are dropped.
 """
 
 from __future__ import annotations
@@ -89,20 +90,28 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
         lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).when(a["e"] != b["e"], b["e"] - a["e"]).otherwise(a["priority"] - b["priority"]),
     )
 
-    def resolve(a: Column, x: Column) -> Column:
-        inside = x["e"] <= a["end"]
-        beaten = (x["s"] < a["end"]) & (x["priority"] > a["priority"])
-        better = inside & (x["priority"] < a["priority"]) & (x["label"] != F.try_element_at(a["out"], F.lit(-1))["label"])
-        lost = (inside | beaten) & ~better
-        kept = F.when(better, F.slice(a["out"], 1, F.size(a["out"]) - 1)).otherwise(a["out"])
-        return F.struct(
-            F.when(lost, a["end"]).otherwise(x["e"]).alias("end"),
-            F.when(lost, a["priority"]).otherwise(x["priority"]).alias("priority"),
-            F.when(lost, a["out"]).otherwise(F.concat(kept, F.array(x))).alias("out"),
-        )
-
-    start = F.struct(F.lit(-1).alias("end"), F.lit(-1).alias("priority"), none.alias("out"))
-    kept = F.when(F.size("_m") > 0, F.aggregate(ordered, start, resolve, lambda a: a["out"]))
+    def cluster(a: Column, x: Column) -> Column:
+        """Runs of intervals that hang together; ``x`` starts no earlier than those before it."""
+        last = F.concat(F.element_at(a["out"], -1), F.array(x))
+        joined = F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(last))
+        more = x["s"] < a["end"]
+        out = F.when(more, joined).otherwise(F.concat(a["out"], F.array(F.array(x))))
+        return F.struct(F.greatest(a["end"], x["e"]).alias("end"), out.alias("out"))
+
+    def resolve(found: Column) -> Column:
+        """What stays of one run."""
+        by_rule = F.array_sort(
+            found,
+            lambda a, b: F.when(a["priority"] != b["priority"], a["priority"] - b["priority"])
+            .when(a["e"] - a["s"] != b["e"] - b["s"], (b["e"] - b["s"]) - (a["e"] - a["s"])).otherwise(a["s"] - b["s"]),
+        )
+        over = lambda x: lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"])
+        kept = F.aggregate(by_rule, none, lambda a, x: F.when(F.exists(a, over(x)), a).otherwise(F.concat(a, F.array(x))))
+        return F.when(F.size(found) == 1, found).otherwise(F.array_sort(kept))
+
+    start = F.struct(F.lit(-1).alias("end"), F.array(none).alias("out"))
+    clusters = F.aggregate(ordered, start, cluster, lambda a: F.slice(a["out"], F.lit(2), F.greatest(F.size(a["out"]) - 1, F.lit(0))))
+    kept = F.when(F.size("_m") > 0, F.flatten(F.transform(clusters, resolve)))
     return d.select(
         *cols,
         "n_words",
