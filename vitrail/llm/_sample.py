@@ -11,6 +11,12 @@ def fold(doc_id: str, n: int):
     return F.coalesce(F.pmod(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")), F.lit(n)), F.lit(0).cast("long"))
 
 
+def window(text: str, doc_id: str, chars: int):
+    """At most ``chars`` characters of a text, from a place that hangs on the id's hash."""
+    start = F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.greatest(F.length(f"`{text}`") - chars, F.lit(0)) + 1)
+    return F.substring(F.col(f"`{text}`"), start.cast("int") + 1, F.lit(chars))
+
+
 def by_label(rows: DataFrame, label: str, doc_id: str, per_label: int) -> DataFrame:
     """At most ``per_label`` ids for each label: of each of so many hash buckets the least hash.
 

@@ -4,15 +4,19 @@ For each language a raw-content zstandard dictionary is filled with sample text;
 compressed with each of them, and the language of the smallest result wins.  Both sides are reduced
 to what tells languages apart: letters, lower case, other characters as single spaces.
 
-Where the best result is under NARROW better than the second the operator rejects: ``lang`` is null
-and ``rejected`` is true, while ``lang_pred`` still names the best.  ``score`` is the logistic of the
-margin in bits a character, from 0 (a tie, or no prediction) to 1.
+Where the best result is under NARROW better than the second the operator rejects: ``lang_id`` is
+null and ``rejected`` is true, while ``lang_pred`` still names the best.  ``score`` is
+``1 - exp(-STEEPNESS m)``, where m is the part by which the best result is smaller than the second:
+from 0 (a tie, or no prediction) to 1.
 
-Fitting reads a bounded sample: at most SAMPLE_DOCS documents a language, SAMPLE_CHARS characters
-of each, DICTIONARY_BYTES in all a language; at most MAX_LANGS languages, those with most rows.
+Fitting reads a bounded sample: SAMPLE_DOCS documents of each language at most (those of least hash),
+of each a window of SAMPLE_CHARS characters that begins at a hashed place.  Every language that a row
+names has a dictionary.  Predicting reads whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
-language with most rows, then to the first in the alphabet; with nothing to learn from every text is ``und``.
+language with most rows, then to the first in the alphabet; with nothing to learn from every text is
+``und``; repeated rows are predicted each, and one id counts once in the sample; input columns named
+lang_pred, score, rejected or lang_id are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import types as T
 from . import _common as C
 from . import _sample as S
 
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGS = 256, 4_000, 100_000, 200
+SAMPLE_DOCS, SAMPLE_CHARS = 256, 400
 LEVEL, NARROW, STEEPNESS = 6, 0.01, 12.0
 
 OUT = T.StructType(
@@ -50,18 +54,17 @@ def letters(text: str) -> bytes:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
     """Dictionary content of each language, most frequent first, from a bounded sample of ``docs``."""
-    top = (
-        docs.where(F.col(f"`{lang}`").isNotNull()).groupBy(F.col(f"`{lang}`").alias("lang")).count()
-        .orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    )
-    rows = docs.where(F.col(f"`{lang}`").isin([r.lang for r in top])) if top else docs.limit(0)
+    rows = docs.where(F.col(f"`{lang}`").isNotNull())
+    # One row a language.
+    top = rows.groupBy(F.col(f"`{lang}`").alias("lang")).count().orderBy(F.desc("count"), "lang").collect()
     ids = S.by_label(rows.where(F.length(f"`{text}`") > 0), lang, doc_id, SAMPLE_DOCS)
-    sample = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("label"), F.substring(f"`{text}`", 1, SAMPLE_CHARS).alias("t"))
-    found = sample.join(F.broadcast(ids), ["id", "label"], "left_semi").collect()
+    sample = rows.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("label"), S.window(text, doc_id, SAMPLE_CHARS).alias("t"))
+    # At most SAMPLE_DOCS ids a language; of rows with one id the least text.
+    found = sample.join(F.broadcast(ids), ["id", "label"], "left_semi").groupBy("id", "label").agg(F.min("t").alias("t")).collect()
     out: dict[str, list[bytes]] = {}
-    for r in sorted(found, key=lambda r: (r.label, len(r.t), r.id)):
-        out.setdefault(r.label, []).append(letters(r.t))
-    return {r.lang: b" ".join(out[r.lang])[-DICTIONARY_BYTES:] for r in top if any(out.get(r.lang, ()))}
+    for r in sorted(found, key=lambda r: (r.label, str(r.id))):
+        out.setdefault(r.label, []).append(letters(r.t or ""))
+    return {r.lang: b" ".join(out[r.lang]) for r in top if any(out.get(r.lang, ()))}
 
 
 class Classifier:
