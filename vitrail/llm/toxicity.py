@@ -13,12 +13,13 @@ network did not see.  Each language's threshold is the score from which a held-b
 language is likelier toxic than not (``thresholds``, used by ``flagged``); languages with under
 MIN_LANG held-back rows share the common one.  ``predicted`` uses 0.7 for all.
 
-Fitting reads a bounded sample of labelled rows: SAMPLE_DOCS a label value, those of least hash,
-of at most SAMPLE_CHARS characters (so that the driver's memory is bounded); scoring reads whole
-texts.  The language is no input of the network.
+Fitting reads a bounded sample of labelled rows: SAMPLE_DOCS a label value, those of least hash, with
+their whole texts; scoring reads whole texts, long ones in pieces whose maxima are pooled.  The
+language is no input of the network.
 
 Defined results: null and empty texts score as a text without words; with no labelled row, or only
-one label value, every text scores the base rate.
+one label value, every text scores the base rate; repeated rows are scored each, and of labelled rows
+with one id the least text teaches; input columns named score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ from . import _common as C
 from . import _sample as S
 
 BUCKETS, DIM, FILTERS, WIDTHS, MIN_SEEN = 1 << 18, 8, 12, (1, 2, 3), 5
-SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS, BATCH, RATE = 3_000, 30_000, 6, 32, 0.03
+SAMPLE_DOCS, EPOCHS, BATCH, RATE = 3_000, 6, 32, 0.03
+#: Words whose feature maps are held at once.
+PIECE = 100_000
 MIN_LANG, CUT = 40, 0.7
 PREFIXES = (5, 7)
 WAYS = 1 + len(PREFIXES)
@@ -83,8 +86,11 @@ class Network:
         self.c = np.float32(0)
         self.a, self.s = 1.0, 0.0  # calibration: logistic(a * z + s)
 
-    def features(self, flat: np.ndarray, offsets: np.ndarray, places: bool = False):
-        """Pooled features of the documents of a flat run; with ``places`` where each maximum was."""
+    def features(self, flat: np.ndarray, offsets: np.ndarray, places: bool = False, blind: np.ndarray | None = None):
+        """Pooled features of the documents of a flat run; with ``places`` where each maximum was.
+
+        No window begins at the words of ``blind`` (which stand for what follows a piece of a text).
+        """
         n = len(offsets) - 1
         gap = max(WIDTHS) - 1
         # Each document is set apart by padding: no window that begins in it reaches the next one.
@@ -99,6 +105,8 @@ class Network:
         total = len(ids) - gap
         padding = np.ones(total, bool)
         padding[own] = False
+        if blind is not None:
+            padding[own[blind]] = True
         for k in WIDTHS:
             h = x[:total] @ self.w[k][:DIM]
             for j in range(1, k):
@@ -112,7 +120,57 @@ class Network:
         return np.concatenate(out, 1), ids, where
 
     def logits(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return self.features(flat, offsets)[0] @ self.o + self.c
+        size = np.diff(offsets)
+        if not len(size) or size.max() <= 2 * PIECE:
+            return self.features(flat, offsets)[0] @ self.o + self.c
+        return np.array([self._long(flat[s:e]) for s, e in zip(offsets, offsets[1:])])
+
+    def _long(self, flat: np.ndarray) -> float:
+        """Logit of one text of any length: features are maxima, so pieces are pooled by their maxima."""
+        gap, best = max(WIDTHS) - 1, None
+        for s in range(0, max(1, len(flat)), PIECE):
+            own = flat[s : s + PIECE + gap]
+            after = np.arange(PIECE, len(own))  # windows that begin here belong to the next piece
+            f = self.features(own, np.array([0, len(own)]), blind=after)[0][0]
+            best = f if best is None else np.maximum(best, f)
+        return best @ self.o + self.c
+
+    def _steps(self, flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+        """Gradients of the mean weighted loss, by parameter: (gradient, rows of the embedding it is for).
+
+        The gradient of a pooled feature flows to the one place that had its maximum.
+        """
+        f, ids, where = self.features(flat, offsets, places=True)
+        z = f @ self.o + self.c
+        d = ((1 / (1 + np.exp(-z)) - y) * weight / len(y)).astype(np.float32)
+        df = d[:, None] * self.o * (f > 0)
+        out = {"o": (f.T @ d, None), "c": (d.sum(), None)}
+        for n, k in enumerate(WIDTHS):
+            g = df[:, n * FILTERS : (n + 1) * FILTERS]
+            gw = np.zeros_like(self.w[k])
+            at, ge = [], []
+            for j in range(k):
+                w_j = slice(j * DIM, (j + 1) * DIM)
+                own = ids[where[n] + j]  # (document, filter, way)
+                gw[w_j] = np.einsum("nfd,nf->df", self.e[own].sum(2), g)
+                at.append(own.reshape(-1, WAYS))
+                ge.append((g[:, :, None] * self.w[k][w_j].T[None]).reshape(-1, DIM))
+            out["w", k], out["b", k] = (gw, None), (g.sum(0), None)
+            at, ge = np.concatenate(at), np.concatenate(ge)
+            for j in range(WAYS):
+                inside = at[:, j] < BUCKETS
+                out["e", k, j] = ge[inside], at[inside, j]
+        return out
+
+    def gradients(self, flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+        """The same, added up in the shape of each parameter."""
+        out = {"e": np.zeros_like(self.e)}
+        for key, (grad, at) in self._steps(flat, offsets, y, weight).items():
+            if at is None:
+                out[key] = grad
+            else:
+                np.add.at(out["e"], at, grad)
+        return out
 
     def score(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         z = self.logits(flat, offsets).astype(np.float64)
@@ -186,28 +244,15 @@ def train(texts: list[str], y: np.ndarray, seed: int = 1) -> tuple[Network, np.n
         for s in range(0, len(fit), BATCH):
             rows_at = fit[s : s + BATCH]
             flat, offsets = _flat([rows[i] for i in rows_at])
-            f, ids, where = net.features(flat, offsets, places=True)
-            z = f @ net.o + net.c
-            d = ((1 / (1 + np.exp(-z)) - y[rows_at]) * weight[rows_at] / len(rows_at)).astype(np.float32)
-            df = d[:, None] * net.o * (f > 0)
-            step("o", net.o, f.T @ d + 1e-4 * net.o)
-            net.c -= RATE * d.sum()
-            for n, k in enumerate(WIDTHS):
-                g = df[:, n * FILTERS : (n + 1) * FILTERS]
-                gw = np.zeros_like(net.w[k])
-                at, ge = [], []
-                for j in range(k):
-                    w_j = slice(j * DIM, (j + 1) * DIM)
-                    own = ids[where[n] + j]  # (document, filter, way)
-                    gw[w_j] = np.einsum("nfd,nf->df", net.e[own].sum(2), g)
-                    at.append(own.reshape(-1, WAYS))
-                    ge.append((g[:, :, None] * net.w[k][w_j].T[None]).reshape(-1, DIM))
-                step(("w", k), net.w[k], gw)
-                step(("b", k), net.b[k], g.sum(0))
-                at, ge = np.concatenate(at), np.concatenate(ge)
-                for j in range(WAYS):
-                    inside = at[:, j] < BUCKETS
-                    step("e", net.e, ge[inside], at[inside, j])
+            for key, (grad, at) in net._steps(flat, offsets, y[rows_at], weight[rows_at]).items():
+                if key == "c":
+                    net.c -= RATE * grad
+                elif key == "o":
+                    step(key, net.o, grad + 1e-4 * net.o)
+                elif key[0] == "e":
+                    step("e", net.e, grad, at)
+                else:
+                    step(key, getattr(net, key[0])[key[1]], grad)
         fit = rng.permutation(fit)
     if len(held):
         net.a, net.s = _calibrate(net.logits(*_flat([rows[i] for i in held])).astype(np.float64), y[held])
@@ -242,8 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     labels = labels.where(F.col(f"`{label}`").isin(0, 1))
     ids = S.by_label(labels, label, doc_id, SAMPLE_DOCS)
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"))
-    rows = rows.where(F.length("t").between(1, SAMPLE_CHARS)).join(F.broadcast(ids), "id").limit(4 * SAMPLE_DOCS)
-    found = sorted({r.id: r for r in rows.collect()}.values(), key=lambda r: r.id)
+    # At most SAMPLE_DOCS ids a label value, broadcast; of rows with one id the least text.
+    rows = rows.where(F.length("t") > 0).join(F.broadcast(ids), "id")
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct("t", "l")).alias("x")).select("id", "label", "x.*")
+    found = sorted({r.id: r for r in rows.orderBy("id", "label").collect()}.values(), key=lambda r: r.id)
     counts = dict(labels.groupBy(f"`{label}`").count().collect())
     base = counts.get(1, 0) / max(1, sum(counts.values()))
     y = np.array([r.label for r in found], np.int64)
@@ -289,8 +336,8 @@ def annotate(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     return C.map_rows(docs, OUT, make, [text], keep)
 
 
-def _runs(texts, words: int = 100_000):
-    """Runs of documents of about so many words: the feature maps of one run are held at once."""
+def _runs(texts, words: int = PIECE):
+    """Runs of documents of about so many words."""
     run, n = [], 0
     for t in texts:
         run.append(t)
