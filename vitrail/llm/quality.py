@@ -9,7 +9,9 @@ hashed, hash and position are packed into one long and sorted, and neighbours wi
 occurrences of one window; no row is exploded, so no group of any size is gathered.
 
 Defined results: a null text has no words, lines or symbols and fails ``too_short``; blank lines are
-no duplicates; documents without words have ratios of 0.
+no duplicates; documents without words have ratios of 0; repeated rows are measured each; an input
+column that has the name of a measurement, failed_bits or kept, or one of the working names _t, _w,
+_h, _win, _p, _q, _r and _pos, is dropped or replaced.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def mask(policy: str) -> int:
 
 def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the measurements (an input column of such a name is dropped)."""
-    own = {*MEASURES, "_t", "_w", "_h", "_win", "_pos"}
+    own = {*MEASURES, "_t", "_w", "_h", "_win", "_p", "_q", "_r", "_pos", "failed_bits", "kept"}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
     cols = [F.col(f"`{c}`") for c in keep]
     d = docs.select(*cols, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
@@ -89,6 +91,12 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     place = lambda x: x.bitwiseAND(position).cast("int")
     pairs = F.array_sort(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
+    def mixed(s: Column) -> Column:
+        """Whether different windows share the packed bits, so that their places may stand mixed."""
+        bits = lambda x: x.bitwiseAND(F.bitwise_not(position))
+        differ = lambda a, b: F.get(F.col("_win"), place(a)) != F.get(F.col("_win"), place(b))
+        return F.size(F.filter(s, lambda x, i: (i > 0) & (bits(x) == bits(F.get(s, i - 1))) & differ(x, F.get(s, i - 1)))) > 0
+
     def flagged(ordered: Column, at) -> Column:
         """Positions, ascending, of the entries whose neighbour in ``ordered`` is the same window."""
         same = lambda a, b: F.get(F.col("_win"), at(a)) == F.get(F.col("_win"), at(b))
@@ -98,7 +106,9 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         )
         return F.array_sort(F.transform(near(ordered), at))
 
-    d = d.select(*kept, "_win", F.when(repeats & (F.size("_win") < PACKED_WORDS), packed).alias("_p"), F.when(repeats & (F.size("_win") >= PACKED_WORDS), pairs).alias("_q"))
+    d = d.select(*kept, "_win", F.when(repeats & (F.size("_win") < PACKED_WORDS), packed).alias("_p"), repeats.alias("_r"))
+    d = d.select(*kept, "_win", F.when(~F.coalesce(mixed(F.col("_p")), F.lit(False)), F.col("_p")).alias("_p"), "_r")
+    d = d.select(*kept, "_win", "_p", F.when(F.col("_r") & F.col("_p").isNull(), pairs).alias("_q"))
     d = d.select(*kept, F.coalesce(F.when(F.col("_p").isNotNull(), flagged(F.col("_p"), place)), F.when(F.col("_q").isNotNull(), flagged(F.col("_q"), lambda x: x["i"]))).alias("_pos"))
     # A flagged window adds the words that the one before it has not covered.
     covered = F.aggregate(

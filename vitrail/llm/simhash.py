@@ -21,7 +21,7 @@ Components grow from these by alternating large and small stars, one written tab
 
 Defined results: null or wordless texts have fingerprint zero, linked like any other; texts of under
 three words are one shingle; equal doc_ids are separate rows; a null doc_id never is a component's
-smallest unless all its members' are null.
+smallest unless all its members' are null; input columns named fingerprint or component_id are replaced.
 """
 
 from __future__ import annotations
@@ -240,7 +240,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def classes(fps: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``fps`` (doc_id, fingerprint) with component_id, the least doc_id that links reach."""
-    fps = C.materialise(fps, "fingerprints")
+    fps = C.materialise(fps.drop(*[c for c in fps.columns if c.lower() == "component_id"]), "fingerprints")
     nodes = C.materialise(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(f"`{doc_id}`").alias("least")), "nodes")
     found = components(links(nodes.select("fp")))
     roots = nodes.join(found, nodes.fp == found.node).select("fp", "root", "least")
