@@ -7,13 +7,14 @@ kept fingerprint in common.  Fingerprints of documents are looked up among those
 each hit is extended word by word on both sides; spans of under ten words are dropped.  An item of
 fewer than ten words is one window of its own length, of which every position is kept (WIDTH 1).
 
-The items' fingerprints go to the workers only while their text is under ``block_chars``; a larger
-benchmark is dealt in blocks of that size, one pass over the documents for each, with the hits so
-far written to the shared folder in between.  Documents are never shuffled.
+The items' fingerprints go to the workers in blocks of ``block_chars`` characters of item text; a
+worker loads one block at a time and holds each batch of documents against it, so a benchmark of any
+size takes one pass over the documents, which are never shuffled.
 
 Defined results: null or wordless documents have no words and no hits; wordless items never occur;
 an item without an id counts as hit words but is not listed; rows with equal ids are separate rows;
-equal item ids are listed once; an empty benchmark leaves every document clean.
+equal item ids are listed once; an empty benchmark leaves every document clean; input columns named
+n_words, hit_spans or hit_items are replaced.
 """
 
 from __future__ import annotations
@@ -157,52 +158,40 @@ def annotate(
 
     ``keep`` names the input columns to hand through, all by default.
     """
-    items = items.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t"))
+    items = items.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).distinct()
     chars = items.agg(F.sum(F.length("t") + F.lit(16))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     key = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
-    out, prior = docs, []
-    for b in range(blocks):
-        index = docs.sparkSession.sparkContext.broadcast(
-            Index([tuple(r) for r in items.where(key == b).collect()])
-        )
-        last = b + 1 == blocks
-        out = C.map_rows(out, OUT, _worker(index, bool(prior)), [text, *prior], keep if last else None)
-        if not last:
-            prior = ["hit_spans", "hit_items"]
-            out = C.materialise(out, "decontam")
-    return out
+    share = docs.sparkSession.sparkContext.broadcast
+    # One block at a time is collected and indexed here.
+    indexes = [share(Index([tuple(r) for r in items.where(key == b).collect()])) for b in range(blocks)]
+    return C.map_rows(docs, OUT, _worker(indexes), [text], keep)
+
 
+def _worker(indexes):
+    def loaded():
+        for index in indexes:
+            yield index.value
+            if len(indexes) > 1:
+                index.__dict__.pop("_value", None)  # a worker holds one block
 
-def _worker(index, carry: bool):
     def make():
-        ix = index.value
-
-        def work(texts: pa.Array, *prior: pa.Array) -> list[pa.Array]:
-            n_words, spans, names = [], [], []
-            for flat, offsets, *_ in C.chunks(C.as_bytes(texts), C.ALNUM, lower=True):
-                base = len(n_words)
-                hit, both = ix.hits(flat, offsets)
-                of: dict[int, set] = {}
-                for d, i in both.tolist():
-                    if ix.ids[i] is not None:
-                        of.setdefault(d, set()).add(ix.ids[i])
-                dirty = np.flatnonzero(np.add.reduceat(np.append(hit, False), offsets[:-1]) > 0) if len(hit) else []
-                n_words += np.diff(offsets).tolist()
-                spans += [[]] * (len(offsets) - 1)
-                names += [[]] * (len(offsets) - 1)
-                for d in dirty:
-                    if offsets[d] == offsets[d + 1]:
-                        continue
-                    s, e = C.runs(hit[offsets[d] : offsets[d + 1]])
-                    spans[base + d] = np.stack((s, e), 1).tolist()
-                    names[base + d] = sorted(of.get(int(d), ()))
-            if carry:
-                old_spans, old_names = (x.to_pylist() for x in prior)
-                for i, (s, k) in enumerate(zip(old_spans, old_names)):
-                    if s:
-                        spans[i] = _union(s + spans[i])
-                        names[i] = sorted({*k, *names[i]})
+        def work(texts: pa.Array) -> list[pa.Array]:
+            runs = [(w.hash, w.offsets) for w in C.chunks(C.as_bytes(texts), C.ALNUM, lower=True)]
+            n_words = [n for _, offsets in runs for n in np.diff(offsets).tolist()]
+            spans, names = [[] for _ in n_words], [set() for _ in n_words]
+            for ix in loaded():
+                base = 0
+                for flat, offsets in runs:
+                    hit, both = ix.hits(flat, offsets)
+                    for d, i in both.tolist():
+                        if ix.ids[i] is not None:
+                            names[base + d].add(ix.ids[i])
+                    for d in np.unique(np.searchsorted(offsets, np.flatnonzero(hit), "right") - 1).tolist():
+                        own = np.stack(C.runs(hit[offsets[d] : offsets[d + 1]]), 1).tolist()
+                        spans[base + d] = _union(spans[base + d] + own)
+                    base += len(offsets) - 1
+            names = [sorted(x) for x in names]
             return [
                 pa.array(n_words, pa.int64()),
                 pa.array(spans, pa.list_(pa.list_(pa.int64()))),

@@ -17,7 +17,9 @@ its distinct windows and gets one bit back: is it in an earlier batch?  However
 a passage, a part sees it once a batch.
 
 Defined results: null texts have no words; documents of under WINDOW words lose nothing; rows of
-equal doc_id are ordered by text, null ids and texts first; kept words are joined by one space.
+equal doc_id are ordered by text, null ids and texts first; kept words are joined by one space;
+doc_id must be a whole number or its text; an input column that has the name of an output column is
+dropped.
 """
 
 from __future__ import annotations
