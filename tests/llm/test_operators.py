@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -165,11 +166,49 @@ def test_substring_spans_are_the_removed_words(spark):
     assert r.removed_spans == [[2, 27]] and r.kept_text == "x y z"
 
 
-def test_prefix_plan_covers_every_slot():
-    counts = np.random.default_rng(1).integers(0, 9000, (len(substrings.LEVELS), substrings.SLOTS))
-    counts[0, 0] = 10**8
-    part, parts = substrings.plan(counts)
-    assert (part[-1] >= 0).all() and part.max() < parts and (part[0] < 0).any()
+def test_deep_nodes_are_the_repeated_windows():
+    rng = np.random.default_rng(1)
+    for n_words, depth in ((3, 5), (2, 20), (2000, 20), (1 << 40, 20), (4, 1)):
+        numbers = rng.integers(0, n_words, 600)
+        numbers[300:360] = numbers[100:160]
+        at = np.arange(len(numbers) - depth + 1)
+        node = substrings.deep_nodes(numbers, at, depth)
+        later = substrings.later_leaves(node)
+        windows = [tuple(numbers[i : i + depth].tolist()) for i in at]
+        for i, w in enumerate(windows):
+            assert (node[i] >= 0) == (windows.count(w) > 1)
+            assert later[i] == (w in windows[:i])
+        inner = [(w, k) for w, k in zip(windows, node.tolist()) if k >= 0]
+        assert len(set(inner)) == len({w for w, _ in inner}) == len({k for _, k in inner})
+
+
+def test_equal_windows_meet_in_one_part():
+    """Whatever slots are overfull, the part of a window hangs on its words only."""
+    rng = np.random.default_rng(2)
+    flat = rng.integers(0, 50, 400).astype(np.uint64)
+    flat[200:240] = flat[50:90]
+    at = np.arange(len(flat) - substrings.WINDOW + 1)
+    for share in (0, 0.5, 1):
+        hot = [np.flatnonzero(rng.random(64) < share) for _ in substrings.GRAMS[1:]]
+        own = substrings.Plan(5, 64, hot).route(flat, at)
+        assert (own[200:221] == own[50:71]).all() and len(set(own.tolist())) > 1
+    # Without overfull slots neighbours mostly share their part.
+    own = substrings.Plan(1000, 64, [np.zeros(0, np.int64)] * 2).route(flat, at)
+    assert (np.diff(own) == 0).mean() > 0.7
+
+
+def test_substrings_do_not_hang_on_hashes(monkeypatch):
+    """Words and windows of equal hash stay apart: only bytes decide."""
+    grams, hashes = C.grams, C.hash_spans
+    monkeypatch.setattr(substrings.C, "grams", lambda flat, k: grams(flat, k) % np.uint64(97))
+    monkeypatch.setattr(substrings.C, "hash_spans", lambda raw, s, n: np.where(n > 8, np.uint64(5), hashes(raw, s, n)))
+    texts = ["alpha beta " * 30 + "longestword otherlongword " * 30, "x y z " * 40, "otherlongword longestword " * 20]
+    words = [w for t in texts for w in t.split()]
+    numbers = substrings.word_numbers(C.words([t.encode() for t in texts])).tolist()
+    assert len(set(zip(words, numbers))) == len(set(words)) == len(set(numbers))
+    batch = substrings.Batch(pa.array([1, 2, 3]), pa.array(texts), substrings.Plan(3, 64, [np.zeros(0, np.int64)] * 2))
+    windows = [tuple(words[i : i + substrings.WINDOW]) for i in batch.at.tolist()]
+    assert all(windows[f] == w for f, w in zip(batch.first[batch.of].tolist(), windows))
 
 
 # 3. Language model
