@@ -8,8 +8,8 @@ embedding channel starts as the word's log-odds in the training sample, less two
 (0 if that changes its sign).  Buckets seen in under MIN_SEEN training texts share one embedding of
 zero, which is never trained: what is rare in the sample tells nothing about other texts.
 
-Scores are calibrated: a logistic of the network's output is fitted on part of the sample that the
-network did not see.  Each language's threshold is the score from which a held-back text of that
+Scores are calibrated: a logistic of the network's output is fitted on all of the sample, each part of
+it (of FOLDS) by a network that did not see it.  Each language's threshold is the score from which a held-back text of that
 language is likelier toxic than not (``thresholds``, used by ``flagged``); languages with under
 MIN_LANG held-back rows share the common one.  ``predicted`` uses 0.7 for all.
 
@@ -38,7 +38,7 @@ BUCKETS, DIM, FILTERS, WIDTHS, MIN_SEEN = 1 << 18, 8, 12, (1, 2, 3), 5
 SAMPLE_DOCS, EPOCHS, BATCH, RATE = 3_000, 6, 32, 0.03
 #: Words whose feature maps are held at once.
 PIECE = 100_000
-MIN_LANG, CUT = 40, 0.7
+MIN_LANG, CUT, FOLDS = 40, 0.7, 3
 PREFIXES = (5, 7)
 WAYS = 1 + len(PREFIXES)
 
@@ -135,16 +135,18 @@ class Network:
             best = f if best is None else np.maximum(best, f)
         return best @ self.o + self.c
 
-    def _steps(self, flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
-        """Gradients of the mean weighted loss, by parameter: (gradient, rows of the embedding it is for).
+    def _steps(self, flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray):
+        """Gradients of the mean weighted loss: parameter, gradient, rows of the embedding it is for.
 
-        The gradient of a pooled feature flows to the one place that had its maximum.
+        The gradient of a pooled feature flows to the one place that had its maximum.  One width comes
+        after the other, so that who takes a step for each trains a width on what the last one changed.
         """
         f, ids, where = self.features(flat, offsets, places=True)
         z = f @ self.o + self.c
         d = ((1 / (1 + np.exp(-z)) - y) * weight / len(y)).astype(np.float32)
         df = d[:, None] * self.o * (f > 0)
-        out = {"o": (f.T @ d, None), "c": (d.sum(), None)}
+        yield "o", f.T @ d, None
+        yield "c", d.sum(), None
         for n, k in enumerate(WIDTHS):
             g = df[:, n * FILTERS : (n + 1) * FILTERS]
             gw = np.zeros_like(self.w[k])
@@ -155,17 +157,17 @@ class Network:
                 gw[w_j] = np.einsum("nfd,nf->df", self.e[own].sum(2), g)
                 at.append(own.reshape(-1, WAYS))
                 ge.append((g[:, :, None] * self.w[k][w_j].T[None]).reshape(-1, DIM))
-            out["w", k], out["b", k] = (gw, None), (g.sum(0), None)
             at, ge = np.concatenate(at), np.concatenate(ge)
+            yield ("w", k), gw, None
+            yield ("b", k), g.sum(0), None
             for j in range(WAYS):
                 inside = at[:, j] < BUCKETS
-                out["e", k, j] = ge[inside], at[inside, j]
-        return out
+                yield "e", ge[inside], at[inside, j]
 
     def gradients(self, flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
         """The same, added up in the shape of each parameter."""
         out = {"e": np.zeros_like(self.e)}
-        for key, (grad, at) in self._steps(flat, offsets, y, weight).items():
+        for key, grad, at in self._steps(flat, offsets, y, weight):
             if at is None:
                 out[key] = grad
             else:
@@ -209,13 +211,27 @@ def distinct(rows: list[np.ndarray], y: np.ndarray) -> list[int]:
     return kept
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 1) -> tuple[Network, np.ndarray]:
-    """A calibrated network, and the indices of the rows held back for calibration."""
+def train(texts: list[str], y: np.ndarray, seed: int = 1) -> tuple[Network, np.ndarray, np.ndarray]:
+    """A network of all rows (near copies once), calibrated on each row by networks that did not see it.
+
+    Also returns the indices of the rows it learnt from, and their calibrated held-back scores.
+    """
     rng = np.random.default_rng(seed)
     cache = _Buckets()
     rows = [cache.of(words_of(t.encode())) for t in texts]
     order = rng.permutation(np.array(distinct(rows, y), np.int64))
-    held, fit = order[: len(order) // 5], order[len(order) // 5 :]
+    net = _fitted(rows, y, order, rng)
+    z = np.zeros(len(order))
+    for fold in range(FOLDS):
+        held = np.arange(len(order)) % FOLDS == fold
+        if held.any() and len(set(y[order[~held]].tolist())) == 2:
+            z[held] = _fitted(rows, y, order[~held], rng).logits(*_flat([rows[i] for i in order[held]]))
+    net.a, net.s = _calibrate(z, y[order])
+    return net, order, 1 / (1 + np.exp(-np.clip(net.a * z + net.s, -30, 30)))
+
+
+def _fitted(rows: list[np.ndarray], y: np.ndarray, fit: np.ndarray, rng: np.random.Generator) -> Network:
+    """A network trained on the rows ``fit``."""
     seen = np.zeros((2, BUCKETS))
     for i in fit:
         seen[y[i], np.setdiff1d(rows[i], BUCKETS)] += 1
@@ -244,19 +260,17 @@ def train(texts: list[str], y: np.ndarray, seed: int = 1) -> tuple[Network, np.n
         for s in range(0, len(fit), BATCH):
             rows_at = fit[s : s + BATCH]
             flat, offsets = _flat([rows[i] for i in rows_at])
-            for key, (grad, at) in net._steps(flat, offsets, y[rows_at], weight[rows_at]).items():
+            for key, grad, at in net._steps(flat, offsets, y[rows_at], weight[rows_at]):
                 if key == "c":
                     net.c -= RATE * grad
                 elif key == "o":
                     step(key, net.o, grad + 1e-4 * net.o)
-                elif key[0] == "e":
-                    step("e", net.e, grad, at)
+                elif key == "e":
+                    step(key, net.e, grad, at)
                 else:
                     step(key, getattr(net, key[0])[key[1]], grad)
         fit = rng.permutation(fit)
-    if len(held):
-        net.a, net.s = _calibrate(net.logits(*_flat([rows[i] for i in held])).astype(np.float64), y[held])
-    return net, held
+    return net
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -296,9 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     y = np.array([r.label for r in found], np.int64)
     if len(set(y.tolist())) < 2:
         return Model(None, base, {})
-    net, held = train([r.t for r in found], y)
-    cache = _Buckets()
-    z = net.score(*_flat([cache.of(words_of(found[i].t.encode())) for i in held]))
+    net, held, z = train([r.t for r in found], y)
     langs = np.array([found[i].l or "" for i in held])
     thresholds = {"": _threshold(z, y[held])}
     for k in set(langs.tolist()) - {""}:
