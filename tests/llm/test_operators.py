@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import types as T
 
 from vitrail.llm import _common as C
-from vitrail.llm import bpe, decontam, langid, licenses, lm, quality, queries, simhash, substrings, tokenfile, toxicity
+from vitrail.llm import bpe, decontam, langid, licenses, lm, nearsets, quality, queries, simhash, substrings, tokenfile, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, N_Words string, score string, batch string"
 LONG = "long " * 5000 + "Ünïcode " + "x" * 20_000
@@ -729,6 +729,52 @@ def test_simhash_odd(odd, none):
     assert simhash.classes(simhash.annotate(none, keep=["doc_id"])).count() == 0
 
 
+def test_near_copies_match_brute_force(spark, monkeypatch):
+    """Templates with a few words changed, passages in common, short texts, and one large group."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(words, k=40)
+    texts = []
+    for _ in range(12):
+        base = rng.choices(words, k=rng.randint(3, 120))
+        for _ in range(rng.randint(1, 6)):
+            own = list(base)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own + passage if rng.random() < 0.3 else own))
+    base = rng.choices(words, k=150)
+    for i in range(60):  # under every shingle a large group, in several components
+        own = list(base)
+        for _ in range(rng.choice((1, 2, 9))):
+            own[rng.randrange(len(own))] = f"x{i}"
+        texts.append(" ".join(own))
+    texts += ["", " ", "one two", "One  two", "a b c d e", "a b c d e f", "a b c d e f g h i", "a b c d e f g h i j", texts[0].upper()]
+    rows = list(enumerate(texts))
+    want = {i: d for i, (_, d, _) in nearsets.brute(rows).items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = simhash.near_copies(df).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id for r in got if r.stays} == set(want.values())
+    assert 30 < len(set(want.values())) < len(rows) - 40
+    assert simhash.near_copies(df.limit(0)).count() == 0
+
+
+def test_near_copies_discard_nothing_that_links():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = a[rng.random(len(a)) < rng.choice((0.7, 0.8, 0.85, 0.95))]
+        b = np.unique(np.append(b, rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)))
+        both = len(np.intersect1d(a, b))
+        differ = np.abs(nearsets.coordinates(a).astype(int) - nearsets.coordinates(b)).sum()
+        assert differ <= len(a) + len(b) - 2 * both
+        if nearsets.alike(len(a), len(b), both):
+            assert nearsets.lengths_fit(len(a), len(b))
+            first = [set(np.sort(x)[: nearsets.prefix_size(len(x))].tolist()) for x in (a, b)]
+            assert first[0] & first[1]
+
+
 # 9. Quality rules
 
 

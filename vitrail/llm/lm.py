@@ -500,6 +500,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
 
     answered = answers.where("batch >= 0").groupBy("batch")
     coded = C.materialise(dealt.groupBy("batch").cogroup(answered).applyInArrow(encode, symbols), "symbols")
+    C.discard(answers)
     if tokens_in_all:
         step = max(128, min(BATCH, tokens_in_all // STEPS))
         model = train(coded.where("train").select("unit", "key", "symbols"), model, kind, units, step)

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _common as C
+from . import nearsets
 
 SHINGLE, SEED, RADIUS, BANDS = 3, 42, 2, 4
 PIVOTS, LARGE, BLOCK = 16, 4_000, 1_000
@@ -227,7 +228,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = C.materialise(tied.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, e = e, C.materialise(tied.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        C.discard(old)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -252,6 +254,11 @@ def classes(fps: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return fps.join(per_fp, "fingerprint")
 
 
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, node, stays) of groups of near copies: word shingles of five, similarity 0.8 (``nearsets``)."""
+    return nearsets.classes(docs, components, text, doc_id)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = classes(annotate(docs, keep=["doc_id"]))
