@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of page text: ASCII white space, no-break space and byte-order mark.
-SPACES = r"[\s ﻿]+"
-EDGES = r"^[\s ﻿]+|[\s ﻿]+$"
+SPACES = r"[\s\u00a0\ufeff]+"
+EDGES = r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$"
 SQL_SPACES = r"[\s\x{00A0}\x{FEFF}]+"
 
 

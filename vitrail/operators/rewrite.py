@@ -69,7 +69,7 @@ class Element:
 _TOKEN = re.compile(r"<!--.*?-->|</?[a-zA-Z][^>]*>|[^<]+", re.S)
 _ATTRIBUTE = re.compile(H.ATTRIBUTE)
 _ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
-_BLANK = re.compile("[\\s ﻿]+")
+_BLANK = re.compile("[\\s\u00a0\ufeff]+")
 
 
 def squeeze(text: str) -> str:
@@ -101,7 +101,7 @@ def parse(html: str) -> list:
             if not alone and node.tag not in VOID:
                 open_.append(node)
         elif text := _decoded(_BLANK.sub(" ", t)):
-            if text.strip("  ﻿"):
+            if text.strip(" \u00a0\ufeff"):
                 open_[-1].children.append(text)
     return top.children
 
