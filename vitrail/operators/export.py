@@ -10,7 +10,12 @@ from ..functions import text as T
 from ..sources import fixtures as X
 from . import fidelity as Q
 
-PRIMITIVE = r"(?i)<(piece|square|coord|coords|circle|rect|path|polygon|polyline|line|ellipse|canvas|img|image)\b"
+#: FIXED VALUES: elements that draw a scene, and words that its layers are named by.
+PRIMITIVES = (
+    "canvas", "svg", "video", "img", "piece", "square", "cg-board", "cg-container", "model-viewer", "three-model", "spline-viewer", "lottie-player",
+    "dotlottie-player", "iframe",
+)
+LAYERS = ("board", "scene", "canvas", "layer", "sprite", "piece", "square", "viewport", "stage", "overlay", "backdrop")
 
 
 def target(c: DataFrame) -> DataFrame:
@@ -48,17 +53,24 @@ def choose(c: DataFrame) -> DataFrame:
     return d.withColumn("tier", tier(F.col("failure").isNull(), F.col("quality"), F.col("fallback_nodes")))
 
 
-def html_counts(html: Column) -> Column:
-    """What an exported fragment holds: elements, text, scene primitives and layers."""
-    text = T.compact(F.regexp_replace(F.regexp_replace(html, "(?is)<script.*?</script>", " "), "<[^>]*>", " "))
-    n = lambda p: F.regexp_count(html, F.lit(p))
+def html_counts(html: Column, target_class: Column) -> Column:
+    """What an exported fragment holds, scripts aside: elements, text, scene primitives and layers; and
+    whether it is an empty shell, looks like a scene, or is too thin to stand for what was picked."""
+    shown = F.regexp_replace(html, r"(?is)<script\b.*?</script>", "")
+    n = lambda p: F.regexp_count(shown, F.lit(p))
+    text = F.length(T.compact(F.regexp_replace(shown, "<[^>]+>", " ")))
+    elements, ends = n("<[a-zA-Z][^>]*>"), n("</[a-zA-Z][^>]*>")
+    values = lambda name: F.transform(F.regexp_extract_all(shown, F.lit(rf"(?is)\b(?:{name})\s*=\s*[\x22\x27]([^\x22\x27]*)[\x22\x27]"), 1), F.lower)
+    named = lambda v: F.exists(F.array(*map(F.lit, LAYERS)), lambda w: F.contains(v, w))
+    primitives = n(rf"(?i)<(?:{'|'.join(PRIMITIVES)})(?![a-z0-9_])")
+    layers = F.size(F.filter(values("class|id|data-[a-z0-9_-]+"), named))
+    absolute = F.size(F.filter(values("style"), lambda v: v.rlike(r"position\s*:\s*absolute")))
+    thin = (elements <= 3) & (text <= 8)
     return F.struct(
-        n("<[a-zA-Z][^>]*>").alias("elements"),
-        F.length(text).alias("text_length"),
-        n(PRIMITIVE).alias("primitives"),
-        n(r"(?i)position\s*:\s*absolute").alias("absolute_layers"),
-        n(r'(?i)class="[^"]*(?:board|layer|overlay|scene)[^"]*"').alias("layer_hints"),
-    )
+        elements.alias("elements"), text.alias("text_length"), primitives.alias("primitives"), absolute.alias("absolute_layers"), layers.alias("layer_hints"),
+        ((elements <= 1) & (ends <= 1) & (text == 0)).alias("only_shell"), ((primitives + absolute + layers >= 2) | (primitives >= 1)).alias("scene_like"),
+        thin.alias("thin"), (thin & (target_class != "render-scene")).alias("fragile"),
+    )
 
 
 def structure_check(html: Column, script: Column) -> Column:
@@ -126,7 +138,11 @@ def _crops(s, d):
 
 
 def _html(s, d):
-    return s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("capture_id"), html_counts(F.col("html")).alias("h")).select("capture_id", "h.*")
+    p = F.col("page_id")
+    # Every fifth page is only its footer, or a shell.
+    html = F.when(p % 5 == 0, F.regexp_extract("html", "(?s)<footer.*</footer>", 0)).when(p % 5 == 1, F.lit("<div id='s'><script>x < y</script></div>")).otherwise(F.col("html"))
+    kind = F.when(p % 2 == 0, "render-scene").otherwise("semantic-ui")
+    return X.varied_pages(s, d).select(p.alias("capture_id"), html_counts(html, kind).alias("h")).select("capture_id", "h.*")
 
 
 QUERIES = {
@@ -142,10 +158,16 @@ ORACLE = {
         WHEN NOT has_target_subtree AND NOT has_candidate AND shadow_roots > 0 THEN 'empty-shell-export' END AS failure, coalesce(class_hint = 'render-scene', false) OR scene AS is_scene FROM d)
       SELECT capture_id, selector, failure, CASE WHEN failure IS NULL AND NOT (NOT covers_descendants AND capture_id % 3 > 0) THEN 'capsule' ELSE 'portable-fallback' END AS tier, CASE WHEN is_scene THEN 'render-scene' ELSE 'semantic-ui' END AS target_class,
       CASE WHEN is_scene THEN 'render-scene-freeze' ELSE 'semantic-ui-portable' END AS export_mode FROM f""",
-    "export_html_counts": r"""SELECT page_id AS capture_id, len(regexp_extract_all(html, '<[a-zA-Z][^>]*>'))::INT AS elements,
-      length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g')))::INT AS text_length,
-      len(regexp_extract_all(html, '(?i)<(piece|square|coord|coords|circle|rect|path|polygon|polyline|line|ellipse|canvas|img|image)\b'))::INT AS primitives, len(regexp_extract_all(html, '(?i)position\s*:\s*absolute'))::INT AS absolute_layers,
-      len(regexp_extract_all(html, '(?i)class="[^"]*(?:board|layer|overlay|scene)[^"]*"'))::INT AS layer_hints FROM pages""",
+    "export_html_counts": f"WITH {X.VARIED_SQL}, " + r"""h AS (SELECT page_id AS capture_id, CASE WHEN page_id % 5 = 0 THEN regexp_extract(html, '(?s)<footer.*</footer>') WHEN page_id % 5 = 1 THEN '<div id=''s''><script>x < y</script></div>' ELSE html END AS html FROM vpages),
+      t AS (SELECT capture_id, regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g') AS h FROM h),
+      tags AS (SELECT capture_id, unnest(regexp_extract_all(h, '<[a-zA-Z][^>]*>')) AS tag FROM t),
+      g AS (SELECT capture_id, count(*)::INT AS elements,
+          count(*) FILTER (lower(regexp_extract(tag, '^<([a-zA-Z0-9-]+)', 1)) IN ('canvas','svg','video','img','piece','square','cg-board','cg-container','model-viewer','three-model','spline-viewer','lottie-player','dotlottie-player','iframe'))::INT AS primitives,
+          count(*) FILTER (regexp_matches(regexp_extract(tag, '\bstyle="([^"]*)"', 1), 'position\s*:\s*absolute'))::INT AS absolute_layers,
+          coalesce(sum(len(list_filter(regexp_extract_all(tag, '\b(?:class|id|data-[a-z]+)=["'']([^"'']*)["'']', 1), lambda v: regexp_matches(v, 'board|scene|canvas|layer|sprite|piece|square|viewport|stage|overlay|backdrop')))), 0)::INT AS layer_hints FROM tags GROUP BY ALL),
+      c AS (SELECT t.capture_id, elements, primitives, absolute_layers, layer_hints, length(trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g')))::INT AS text_length, len(regexp_extract_all(h, '</[a-zA-Z]')) AS ends FROM t JOIN g USING (capture_id))
+      SELECT capture_id, elements, text_length, primitives, absolute_layers, layer_hints, elements <= 1 AND ends <= 1 AND text_length = 0 AS only_shell, primitives + absolute_layers + layer_hints >= 2 OR primitives >= 1 AS scene_like,
+        elements <= 3 AND text_length <= 8 AS thin, elements <= 3 AND text_length <= 8 AND capture_id % 2 = 1 AS fragile FROM c""",
     "screenshot_crop": """WITH c AS (SELECT page_id AS capture_id, (page_id % 50 - 5)::DOUBLE AS x, (page_id % 70)::DOUBLE AS y, (page_id % 90)::DOUBLE AS width, (page_id % 33 + 1)::DOUBLE AS height, (page_id % 3 + 1)::DOUBLE AS ratio FROM pages),
       s AS (SELECT *, least(floor(greatest(0::DOUBLE, x * ratio))::BIGINT, 199) AS crop_x, least(floor(greatest(0::DOUBLE, y * ratio))::BIGINT, 99) AS crop_y FROM c)
       SELECT capture_id, crop_x, crop_y, greatest(1, least(floor(width * ratio + 0.5::DOUBLE)::BIGINT, 200 - crop_x)) AS crop_width, greatest(1, least(floor(height * ratio + 0.5::DOUBLE)::BIGINT, 100 - crop_y)) AS crop_height FROM s""",

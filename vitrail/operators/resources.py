@@ -102,8 +102,15 @@ def _q_classes(s, d):
     )
 
 
+def _q_tokens(s, d):
+    v = X.css_values(s, d)
+    urls, refs = U.css_urls(F.col("value")), U.fragments(F.col("value"))
+    return v.select("capture_id", "seq", F.array_join(urls, " ; ").alias("urls"), F.array_join(refs, " ; ").alias("refs"), U.likely_asset(F.coalesce(F.get(urls, F.lit(0)), F.lit("../x.webp?y"))).alias("asset"))
+
+
 QUERIES = {
     "url_classification": _q_classes,
+    "url_tokens": _q_tokens,
     "resource_nodes": lambda s, d: nodes(references(s, d)),
     "resource_edges": lambda s, d: edges(references(s, d)),
     "resource_diagnostics": lambda s, d: diagnostics(nodes(references(s, d))),
@@ -141,6 +148,11 @@ nodes AS (SELECT capture_id, kind, url, ref, label, source, (row_number() OVER (
 """
 
 ORACLE = {
+    "url_tokens": f"""WITH {X.VALUES_SQL}, c AS (SELECT *, capture_id::VARCHAR AS p FROM fx_values),
+      m AS (SELECT capture_id, seq, value, list_transform(regexp_extract_all(value, '(?i)url\\(\\s*("[^"]*"\\s*\\)|''[^'']*''\\s*\\)|[^)]*\\))'), lambda t: trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)^url\\(\\s*', ''), '\\s*\\)$', ''), '^"([^"]*)"$|^''([^'']*)''$', '\\1\\2'))) AS found FROM c),
+      f AS (SELECT capture_id, seq, value, list_filter(found, lambda t: t <> '') AS urls FROM m)
+      SELECT capture_id, seq, array_to_string(urls, ' ; ') AS urls, array_to_string(CASE WHEN value LIKE '#_%' THEN [value] ELSE list_filter(urls, lambda t: t LIKE '#_%') END, ' ; ') AS refs,
+        CASE WHEN len(urls) = 0 THEN true ELSE urls[1] LIKE 'data:%' END AS asset FROM f""",
     "url_classification": f"WITH {X.STRINGS_SQL}, r AS (SELECT capture_id, seq, {sql_resolve('value', 'page_url')} AS resolved FROM fx_strings) SELECT *, {sql_kind('resolved')} AS kind, CASE WHEN resolved LIKE 'data:%' THEN 'inline-data' WHEN resolved IS NOT NULL THEN 'network' ELSE 'unresolved' END AS fetch_mode FROM r",
     "resource_nodes": _REFS + "SELECT * FROM nodes",
     "resource_edges": _REFS + "SELECT DISTINCT capture_id, origin, kind, label, source, reason FROM refs",

@@ -22,7 +22,7 @@ ANIMATION_WORDS = (
 def fingerprint() -> Column:
     """Key of a rule; absent parts keep their place."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return F.concat_ws("|", part("origin"), part("sheet_id"), part("start_line"), F.array_join("selectors", ","))
+    return F.concat_ws("|", part("origin"), part("sheet_id"), part("start_line"), part("start_column"), F.array_join("selectors", ","))
 
 
 def distinct_rules(rules: DataFrame) -> DataFrame:
@@ -56,6 +56,24 @@ def variables(value: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(value, F.lit(r"var\(\s*(--[A-Za-z0-9_-]+)\s*(?:[,)]|$)"), 1))
 
 
+def computed_projection(rows: DataFrame) -> DataFrame:
+    """Computed properties with a name, names and values trimmed."""
+    return rows.withColumns({"name": T.present(F.col("name")), "value": T.trim(F.coalesce("value", F.lit("")))}).where("name is not null")
+
+
+def keyframe_sources(sheets: DataFrame, runtime: DataFrame) -> DataFrame:
+    """Keyframes of style sheets and of the running page, these last: their ordinals go on from there."""
+    last = sheets.groupBy("capture_id").agg(F.max("ordinal").alias("_last"))
+    later = runtime.join(last, "capture_id", "left").withColumn("ordinal", F.col("ordinal") + F.coalesce(F.col("_last") + 1, F.lit(0))).drop("_last")
+    return sheets.withColumn("source", F.lit("sheet")).unionByName(later.withColumn("source", F.lit("runtime")))
+
+
+def runtime_keyframes(rows: DataFrame) -> DataFrame:
+    """Keyframes that a page reports: vendor prefixes are noted and taken off."""
+    vendor = r"(?i)^\s*@-(?:webkit|moz|o|ms)-keyframes"
+    return rows.withColumns({"prefixed": F.col("css_text").rlike(vendor), "css_text": F.regexp_replace("css_text", vendor, "@keyframes")})
+
+
 def resolve_variables(declarations: DataFrame, computed: DataFrame) -> DataFrame:
     """References to custom properties with their computed value: of repeats the first, '' if none."""
     refs = declarations.select("capture_id", "seq", "ordinal", F.explode(variables(F.col("value"))).alias("name"))
@@ -131,23 +149,38 @@ def stylesheet_text(rules: DataFrame, declarations: DataFrame) -> DataFrame:
     return blocks.groupBy("capture_id").agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("css"))
 
 
+def _blanks(s, d):
+    c = X.computed(s, d)
+    blank = F.when(F.col("ordinal") == 1, F.lit("  ")).when((F.col("ordinal") == 2) & (F.col("capture_id") % 2 == 0), F.lit(None)).otherwise(F.concat(F.lit(" "), "name", F.lit("\t")))
+    return c.select("capture_id", "ordinal", blank.alias("name"), F.concat(F.lit("\u00a0"), "value", F.lit(" ")).alias("value"))
+
+
+def _runtime(s, d):
+    k = X.keyframes(s, d).where("ordinal < 2")
+    prefix = F.when(F.col("capture_id") % 2 == 0, F.lit("@-WebKit-keyframes ")).otherwise(F.lit("@keyframes "))
+    return runtime_keyframes(k.select("capture_id", "ordinal", "name", F.concat(prefix, F.lit("r"), F.col("ordinal").cast("string")).alias("css_text")))
+
+
 QUERIES = {
-    "css_rule_dedup": lambda s, d: distinct_rules(X.css_rules(s, d)).select("capture_id", "fingerprint", "seq"),
+    "css_rule_dedup": lambda s, d: distinct_rules(X.repeated_rules(s, d)).select("capture_id", "fingerprint", "seq"),
     "css_diagnostics": lambda s, d: diagnostics(X.css_rules(s, d)),
     "custom_property_resolution": lambda s, d: resolve_variables(X.css_declarations(s, d), X.computed(s, d)),
     "custom_property_counts": lambda s, d: variable_counts(X.css_declarations(s, d), X.computed(s, d)),
     "animation_names": lambda s, d: animation_names(X.css_declarations(s, d)),
     "keyframe_resolution": lambda s, d: resolve_keyframes(animation_names(X.css_declarations(s, d)), X.keyframes(s, d)),
-    "subtree_only_rules": lambda s, d: subtree_only(X.css_rules(s, d), X.css_rules(s, d).where("seq < 2")).select("capture_id", "fingerprint", "seq"),
+    "subtree_only_rules": lambda s, d: subtree_only(X.repeated_rules(s, d), X.css_rules(s, d).where("seq < 2")).select("capture_id", "fingerprint", "seq"),
+    "computed_projection": lambda s, d: computed_projection(_blanks(s, d)),
+    "keyframe_sources": lambda s, d: resolve_keyframes(animation_names(X.css_declarations(s, d)), keyframe_sources(X.keyframes(s, d), _runtime(s, d))).select("capture_id", "name", "css_text"),
     "css_text": lambda s, d: stylesheet_text(X.css_rules(s, d), X.css_declarations(s, d)),
 }
 
-_RULES = f"WITH {X.RULES_SQL}, r AS (SELECT *, concat_ws('|', coalesce(origin, ''), coalesce(sheet_id, ''), coalesce(start_line::VARCHAR, ''), array_to_string(selectors, ',')) AS fingerprint FROM fx_css_rules)"
+_PRINT = "concat_ws('|', coalesce(origin, ''), coalesce(sheet_id, ''), coalesce(start_line::VARCHAR, ''), coalesce(start_column::VARCHAR, ''), array_to_string(selectors, ',')) AS fingerprint"
+_RULES = f"WITH {X.RULES_SQL}, {X.REPEATED_SQL}, r AS (SELECT *, {_PRINT} FROM fx_rules_twice)"
 _VARS = f"WITH {X.DECLS_SQL}, {X.COMPUTED_SQL}, refs AS (SELECT DISTINCT capture_id, seq, ordinal, unnest(regexp_extract_all(value, 'var\\(\\s*(--[A-Za-z0-9_-]+)\\s*(?:[,)]|$)', 1)) AS name FROM fx_css_decls), vals AS (SELECT capture_id, name, arg_min(value, ordinal) AS value FROM fx_computed GROUP BY ALL)"
 _NAMES = f"WITH {X.DECLS_SQL}, {X.KEYFRAMES_SQL}, names AS (SELECT capture_id, seq, ordinal, 0 AS place, regexp_extract(value, '(\\S+)$', 1) AS name FROM fx_css_decls WHERE name = 'animation')"
 ORACLE = {
     "css_rule_dedup": _RULES + " SELECT capture_id, fingerprint, min(seq) AS seq FROM r GROUP BY ALL",
-    "css_diagnostics": _RULES + """ SELECT capture_id, count(*) AS rules, count(DISTINCT sheet_id) AS sheets, count(origin) AS with_origin, count(*) - count(origin) AS without_origin, count(*) FILTER (len(selectors) = 0) AS without_selector,
+    "css_diagnostics": f"WITH {X.RULES_SQL}, r AS (SELECT * FROM fx_css_rules)" + """ SELECT capture_id, count(*) AS rules, count(DISTINCT sheet_id) AS sheets, count(origin) AS with_origin, count(*) - count(origin) AS without_origin, count(*) FILTER (len(selectors) = 0) AS without_selector,
       count(*) FILTER (origin = 'user-agent') AS user_agent, count(*) FILTER (coalesce(origin, '') <> 'inline' AND (sheet_id IS NULL) <> (source_url IS NULL)) AS incomplete FROM r GROUP BY capture_id""",
     "custom_property_resolution": _VARS + " SELECT capture_id, seq, ordinal, name, coalesce(value, '') AS value, value IS NOT NULL AS resolved FROM refs LEFT JOIN vals USING (capture_id, name)",
     "custom_property_counts": _VARS + """, n AS (SELECT DISTINCT capture_id, name FROM refs), dec AS (SELECT DISTINCT capture_id, name FROM fx_css_decls WHERE name LIKE '--%')
@@ -157,5 +190,9 @@ ORACLE = {
     "keyframe_resolution": _NAMES + """, best AS (SELECT capture_id, name, arg_max(css_text, (NOT prefixed)::INT * 100 + ordinal) AS css_text FROM fx_keyframes GROUP BY ALL), w AS (SELECT capture_id, name, min(seq * 100 + ordinal) AS f FROM names GROUP BY ALL)
       SELECT capture_id, name, row_number() OVER (PARTITION BY capture_id ORDER BY f)::INT AS place, css_text, CASE WHEN css_text IS NULL THEN 'keyframes-name-undefined:' || name END AS warning FROM w LEFT JOIN best USING (capture_id, name)""",
     "subtree_only_rules": _RULES + " SELECT capture_id, fingerprint, min(seq) AS seq FROM r WHERE (capture_id, fingerprint) NOT IN (SELECT capture_id, fingerprint FROM r WHERE seq < 2) GROUP BY ALL",
+    "computed_projection": f"WITH {X.COMPUTED_SQL} SELECT capture_id, ordinal, name, value FROM fx_computed WHERE ordinal <> 1 AND NOT (ordinal = 2 AND capture_id % 2 = 0)",
+    "keyframe_sources": _NAMES + """, rt AS (SELECT capture_id, ordinal + 4 AS ordinal, name, capture_id % 2 = 0 AS prefixed, '@keyframes r' || ordinal AS css_text FROM fx_keyframes WHERE ordinal < 2),
+      k AS (SELECT capture_id, ordinal, name, prefixed, css_text FROM fx_keyframes UNION ALL SELECT * FROM rt), best AS (SELECT capture_id, name, arg_max(css_text, (NOT prefixed)::INT * 100 + ordinal) AS css_text FROM k GROUP BY ALL)
+      SELECT DISTINCT capture_id, name, css_text FROM names LEFT JOIN best USING (capture_id, name)""",
     "css_text": f"WITH {X.RULES_SQL}, {X.DECLS_SQL}, b AS (SELECT capture_id, seq, string_agg(name || ': ' || value || ';', ' ' ORDER BY ordinal) AS body FROM fx_css_decls GROUP BY ALL) SELECT capture_id, string_agg(array_to_string(selectors, ', ') || ' {{ ' || body || ' }}', chr(10) ORDER BY seq) AS css FROM fx_css_rules JOIN b USING (capture_id, seq) WHERE len(selectors) > 0 GROUP BY capture_id",
 }

@@ -55,16 +55,79 @@ def css_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(F.col("k") % 4, "regular", "user-agent", None, "inline").alias("origin"),
         F.when(F.col("k") != 3, F.concat(F.lit("s"), ((F.col("p") + F.col("k")) % 3).cast("string"))).alias("sheet_id"),
         F.when(F.col("k") % 2 == 0, F.concat(F.lit("/css/"), _s("p"), F.lit(".css"))).alias("source_url"),
-        (F.col("k") % 3).alias("start_line"),
+        (F.col("k") % 3).alias("start_line"), (F.col("k") % 2).alias("start_column"),
         F.when(F.col("k") == 4, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(".c"), (F.col("k") % 3).cast("string")))).alias("selectors"),
     )
 
 
 RULES_SQL = """fx_css_rules AS (SELECT page_id AS capture_id, url AS page_url, k AS seq, CASE k % 4 WHEN 0 THEN 'regular' WHEN 1 THEN 'user-agent' WHEN 3 THEN 'inline' END AS origin,
-  CASE WHEN k <> 3 THEN 's' || ((page_id + k) % 3) END AS sheet_id, CASE WHEN k % 2 = 0 THEN '/css/' || page_id || '.css' END AS source_url, k % 3 AS start_line,
+  CASE WHEN k <> 3 THEN 's' || ((page_id + k) % 3) END AS sheet_id, CASE WHEN k % 2 = 0 THEN '/css/' || page_id || '.css' END AS source_url, k % 3 AS start_line, k % 2 AS start_column,
   CASE WHEN k = 4 THEN []::VARCHAR[] ELSE ['.c' || (k % 3)] END AS selectors FROM pages, range(5) AS r(k))"""
 
 
+def repeated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that come twice: the same again on even pages, from the next column on odd ones."""
+    once = css_rules(spark, sf_dir)
+    return once.unionByName(once.withColumns({"seq": F.col("seq") + 5, "start_column": F.col("start_column") + F.col("capture_id") % 2}))
+
+
+REPEATED_SQL = """fx_rules_twice AS (SELECT * FROM fx_css_rules UNION ALL SELECT * REPLACE (seq + 5 AS seq, start_column + capture_id % 2 AS start_column) FROM fx_css_rules)"""
+
+
+def css_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with url tokens of every form: quoted, with parentheses, data, unclosed, several, fragments."""
+    d = _series(spark, sf_dir, 7)
+    p = _s("p")
+    value = _pick(
+        F.col("k"),
+        F.concat(F.lit('url("a('), p, F.lit(').png") no-repeat')),
+        F.concat(F.lit("URL( 'b "), p, F.lit(".gif' ), url(c"), p, F.lit(".svg)")),
+        F.concat(F.lit("url(data:image/svg+xml,<svg x='"), p, F.lit("'/>)")),
+        F.concat(F.lit('url("data:image/svg+xml,<g fill=url(#in)>") url(#out'), p, F.lit(")")),
+        F.concat(F.lit('url("open'), p, F.lit(") url(d.png)")),
+        F.concat(F.lit("#frag"), p),
+        F.lit("url() none"),
+        F.concat(F.lit("url( '#q"), p, F.lit("' )")),
+    )
+    return d.select(F.col("p").alias("capture_id"), F.col("url").alias("page_url"), F.col("k").alias("seq"), value.alias("value"))
+
+
+VALUES_SQL = """fx_values AS (SELECT page_id AS capture_id, url AS page_url, k AS seq, CASE k WHEN 0 THEN 'url("a(' || page_id || ').png") no-repeat' WHEN 1 THEN 'URL( ''b ' || page_id || '.gif'' ), url(c' || page_id || '.svg)'
+  WHEN 2 THEN 'url(data:image/svg+xml,<svg x=' || chr(39) || page_id || chr(39) || '/>)' WHEN 3 THEN 'url("data:image/svg+xml,<g fill=url(#in)>") url(#out' || page_id || ')' WHEN 4 THEN 'url("open' || page_id || ') url(d.png)'
+  WHEN 5 THEN '#frag' || page_id WHEN 6 THEN 'url() none' ELSE 'url( ' || chr(39) || '#q' || page_id || chr(39) || ' )' END AS value FROM pages, range(8) AS r(k))"""
+
+#: What stands in for what in the pages with varied structure: (text, its replacement, on pages with this remainder of 3 or all).
+VARIED = (
+    ('<div class="ad">', '<div class="board layer" id="stage1" style="top:0; position : absolute" data-k="x">', None),
+    ('<footer>', '<svg viewBox="0 0 9 9" onload="x()"><path d="M0" fill="url(#g1)"></path><use href="#g1"></use></svg><iframe src="/f"></iframe><footer role="note" aria-label="a&amp;b&#39;s" onclick="go()">', 0),
+    ('<footer>', '<linearGradient id="g1"><stop></stop></linearGradient><footer style="position:absolute" data-scene="1">', 1),
+    ("<li>", '<li data-state="open" tabindex="0" draggable="true">', 1),
+    ("<b>", '<b class="t1 overlay" style="color:red">', 2),
+    ("<h1>", '<h1 title="x &lt; y"><span></span>', None),
+)
+
+
+def varied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with attributes, scenes, graphics and references put into their HTML."""
+    html = F.col("html")
+    for old, new, only in VARIED:
+        changed = F.replace(html, F.lit(old), F.lit(new))
+        html = changed if only is None else F.when(F.col("page_id") % 3 == only, changed).otherwise(html)
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", html.alias("html"))
+
+
+def _varied_sql() -> str:
+    html = "html"
+    for old, new, only in VARIED:
+        quoted = [x.replace("'", "''") for x in (old, new)]
+        changed = f"replace({html}, '{quoted[0]}', '{quoted[1]}')"
+        html = changed if only is None else f"CASE WHEN page_id % 3 = {only} THEN {changed} ELSE {html} END"
+    return f"vpages AS (SELECT page_id, url, {html} AS html FROM pages)"
+
+
+VARIED_SQL = _varied_sql()
+
+
 def css_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _series(spark, sf_dir, 4).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     i = (F.col("k") + F.col("d")) % 4
@@ -113,11 +176,12 @@ def shadow_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("p").alias("capture_id"), F.col("k").alias("ordinal"), (F.col("k") % 2 + 1).alias("depth"), F.lit("x-card").alias("tag"),
         F.when(F.col("k") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("h"), _s("k"))).alias("host_id"),
+        F.when(F.col("p") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("host_classes"),
         _pick((F.col("p") + F.col("k")) % 4, "open", "closed", "unknown", "open").alias("mode"),
     )
 
 
-SHADOW_SQL = """fx_shadow AS (SELECT page_id AS capture_id, k AS ordinal, k % 2 + 1 AS depth, 'x-card' AS tag, CASE WHEN k % 2 = 0 THEN '' ELSE 'h' || k END AS host_id,
+SHADOW_SQL = """fx_shadow AS (SELECT page_id AS capture_id, k AS ordinal, k % 2 + 1 AS depth, 'x-card' AS tag, CASE WHEN k % 2 = 0 THEN '' ELSE 'h' || k END AS host_id, CASE WHEN page_id % 4 = 0 THEN ['a', 'b'] ELSE []::VARCHAR[] END AS host_classes,
   (['open', 'closed', 'unknown', 'open'])[((page_id + k) % 4 + 1)::INT] AS mode FROM pages, LATERAL (SELECT unnest(range(page_id % 3 + 1)) AS k))"""
 
 
@@ -127,10 +191,12 @@ def shadow_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("p").alias("capture_id"), F.col("k").alias("ordinal"), F.lit(1).cast("long").alias("depth"), F.lit("x-card").alias("tag"),
         F.when((F.col("p") % 3 == 1) & (F.col("k") == 1), "zz").otherwise("").alias("host_id"), (F.col("k") + 1).alias("sheets"),
+        F.when(F.col("p") % 8 == 4, F.array(F.lit("b"), F.lit("a"))).when(F.col("p") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("host_classes"),
     )
 
 
-SHEETS_SQL = """fx_sheets AS (SELECT page_id AS capture_id, k AS ordinal, 1::BIGINT AS depth, 'x-card' AS tag, CASE WHEN page_id % 3 = 1 AND k = 1 THEN 'zz' ELSE '' END AS host_id, k + 1 AS sheets FROM pages, range(2) AS r(k))"""
+SHEETS_SQL = """fx_sheets AS (SELECT page_id AS capture_id, k AS ordinal, 1::BIGINT AS depth, 'x-card' AS tag, CASE WHEN page_id % 3 = 1 AND k = 1 THEN 'zz' ELSE '' END AS host_id, k + 1 AS sheets,
+  CASE WHEN page_id % 8 = 4 THEN ['b', 'a'] WHEN page_id % 4 = 0 THEN ['a', 'b'] ELSE []::VARCHAR[] END AS host_classes FROM pages, range(2) AS r(k))"""
 
 #: Presence of each part of a capture, by a divisor of page_id: absent where the remainder is 0.
 PRESENCE = {
