@@ -225,16 +225,23 @@ tok AS (SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY k
     CASE WHEN tagged AND NOT closing THEN regexp_extract(inside, '(?s)^\S*\s(.*)$', 1) END AS raw
   FROM tok2 WHERE tagged OR trim(body, E' \n\t\r') <> ''),
 walk AS (
-  SELECT capture_id, 0::BIGINT AS k, []::VARCHAR[] AS tags, []::INT[] AS path, 0 AS n, NULL::INT AS node_idx, NULL::INT[] AS own_path, NULL::VARCHAR AS tag, NULL::VARCHAR AS raw, NULL::VARCHAR AS body FROM (SELECT DISTINCT capture_id FROM tok)
+  SELECT capture_id, 0::BIGINT AS k, []::VARCHAR[] AS tags, []::INT[] AS path, 0 AS n, NULL::INT AS node_idx, NULL::INT[] AS own_path, NULL::VARCHAR[] AS own_tags, NULL::VARCHAR AS tag, NULL::VARCHAR AS raw, NULL::VARCHAR AS body FROM (SELECT DISTINCT capture_id FROM tok)
   UNION ALL
   SELECT w.capture_id, t.k,
     CASE WHEN t.closing THEN CASE WHEN list_contains(w.tags, t.tag) THEN w.tags[1:len(w.tags) - list_position(list_reverse(w.tags), t.tag)] ELSE [] END
          WHEN t.tagged AND NOT t.selfclosed AND t.tag NOT IN ('area','base','br','col','embed','hr','img','input','link','meta','source','track','wbr') THEN list_append(w.tags, t.tag) ELSE w.tags END,
     CASE WHEN t.closing THEN CASE WHEN list_contains(w.tags, t.tag) THEN w.path[1:len(w.tags) - list_position(list_reverse(w.tags), t.tag)] ELSE [] END
          WHEN t.tagged AND NOT t.selfclosed AND t.tag NOT IN ('area','base','br','col','embed','hr','img','input','link','meta','source','track','wbr') THEN list_append(w.path, w.n) ELSE w.path END,
-    CASE WHEN t.closing THEN w.n ELSE w.n + 1 END, CASE WHEN t.closing THEN NULL ELSE w.n END, w.path, t.tag, t.raw, CASE WHEN t.tagged THEN NULL ELSE t.body END
+    CASE WHEN t.closing THEN w.n ELSE w.n + 1 END, CASE WHEN t.closing THEN NULL ELSE w.n END, w.path, w.tags, t.tag, t.raw, CASE WHEN t.tagged THEN NULL ELSE t.body END
   FROM walk w JOIN tok t ON t.capture_id = w.capture_id AND t.k = w.k + 1),
-nodes AS (SELECT capture_id, node_idx, own_path[-1] AS parent_idx, (len(own_path) + 1)::INT AS depth, tag, raw, body AS text, own_path AS path FROM walk WHERE node_idx IS NOT NULL)"""
+nodes AS (SELECT capture_id, node_idx, own_path[-1] AS parent_idx, (len(own_path) + 1)::INT AS depth, tag, raw, body AS text, own_path AS path, own_tags AS path_tags FROM walk WHERE node_idx IS NOT NULL)"""
+
+
+
+def sql_over(table: str) -> str:
+    """The same over another table of pages."""
+    return SQL.replace("FROM pages)", f"FROM {table})")
+
 
 _NOISE_SQL = """, noise AS (SELECT capture_id, list(node_idx) AS noise FROM nodes WHERE tag IN ('script','style','template','slot','noscript','defs','symbol') GROUP BY capture_id)"""
 

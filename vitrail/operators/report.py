@@ -6,36 +6,100 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..functions import text as T
 from ..sources import fixtures as X
 from . import fidelity as Q
 
-#: A registry row: (id, group, expected class, expected subtype).  Parameters, not data of the engine.
-SCENARIOS = tuple((f"scenario-{i:02d}", g, c, s) for i, (g, c, s) in enumerate((
-    ("search", "semantic-shell", "search-like"), ("feed", "noisy-container", "generic"), ("board", "render-scene", "board-like"),
-    ("chart", "render-scene", "chart-like"), ("chart", "render-scene", "chart-like"), ("form", "interactive-composite", "form-like"),
-    ("toolbar", "semantic-shell", "toolbar-like"), ("leaf", "semantic-leaf", "generic"), ("form", "interactive-composite", "form-like"),
-), 1))
+#: FIXED VALUES: the scenarios (id, title, expected class, expected subtype), and which are in a matrix.
+SCENARIOS = (
+    ("google-search-bar", "Google search bar", "semantic-shell", "search-like"),
+    ("reddit-header", "Reddit header", "interactive-composite", "generic"),
+    ("lichess-board", "Lichess board", "render-scene", "board-like"),
+    ("primary-cta-button", "Primary CTA button", "semantic-leaf", "generic"),
+    ("login-form-card", "Login form card", "interactive-composite", "form-like"),
+    ("marketing-hero-section", "Marketing hero section", "noisy-container", "generic"),
+    ("editor-toolbar-cluster", "Editor toolbar cluster", "semantic-shell", "toolbar-like"),
+    ("analytics-chart-card", "Analytics chart card", "render-scene", "chart-like"),
+    ("pricing-card", "Pricing card", "semantic-shell", "card-like"),
+    ("mini-board", "Mini strategy board", "render-scene", "board-like"),
+    ("city-map", "City map", "render-scene", "map-like"),
+    ("canvas-revenue-chart", "Canvas revenue chart", "render-scene", "chart-like"),
+    ("dashboard-hero", "Dashboard hero", "noisy-container", "generic"),
+)
+LIVE = ("google-search-bar", "reddit-header", "lichess-board")
+
+
+def groups(scenarios=SCENARIOS, live=LIVE) -> dict[str, list[str]]:
+    """Named groups: one for each expected class, the scenarios on live sites, those that are not, all."""
+    out: dict[str, list[str]] = {}
+    for id_, _, kind, _ in scenarios:
+        out.setdefault(f"class:{kind}", []).append(id_)
+        out.setdefault("matrix:extended", []).append(id_)
+        out.setdefault("matrix:core" if id_ in live else "matrix:deterministic", []).append(id_)
+    return out
+
+
+def _relation(spark: SparkSession, rows, names: tuple[str, ...]) -> DataFrame:
+    """Rows of literals."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])))
 
 
 def registry(spark: SparkSession, scenarios=SCENARIOS) -> DataFrame:
-    """The scenarios, as a relation of literals."""
-    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("id", "group", "target_class", "subtype"), r)]) for r in scenarios])
-    return spark.range(1).select(F.inline(rows))
+    return _relation(spark, scenarios, ("id", "title", "target_class", "subtype"))
 
 
-def expand(wanted: DataFrame, scenarios: DataFrame) -> DataFrame:
+def expand(spark: SparkSession, wanted: DataFrame, scenarios=SCENARIOS) -> DataFrame:
     """Distinct scenarios named by ``name``: an id, a group, or ``all``.  Unknown names raise."""
-    s = scenarios
-    known = s.select(F.col("id").alias("name"), "id").unionByName(s.select(F.col("group").alias("name"), "id")).unionByName(s.select(F.lit("all").alias("name"), "id"))
-    found = wanted.join(known.distinct(), "name", "left")
+    ids = [r[0] for r in scenarios]
+    members = [(g, i) for g, of in groups(scenarios).items() for i in of] + [(x, i) for i in ids for x in (i, "all")]
+    found = wanted.join(_relation(spark, members, ("name", "id")), "name", "left")
     checked = F.when(F.col("id").isNull(), F.raise_error(F.concat(F.lit("unknown scenario: "), "name"))).otherwise(F.col("id"))
-    return found.select(checked.alias("id")).distinct().join(s, "id")
+    return found.select(checked.alias("id")).distinct().join(registry(spark, scenarios), "id")
 
 
 def status(structural_failure: Column, scored: Column) -> Column:
     return F.when(structural_failure, "failed").when(scored, "passed").otherwise("skipped")
 
 
+def _or_none(x: Column) -> Column:
+    return F.coalesce(T.present(x), F.lit("n/a"))
+
+
+def _difference(name: str, ratio: Column, pixels: Column, same: Column) -> Column:
+    return F.concat(F.lit(f"{name}: "), F.when(ratio.isNull(), "not available").otherwise(F.concat(F.lit("mismatch="), T.fixed(ratio), F.lit(" pixels="), pixels.cast("string"), F.lit(" dimensionsMatch="), same.cast("string"))))
+
+
+def _structure(name: str, warnings: Column, evidence: Column, kept: Column) -> Column:
+    texts = {"warnings": warnings, "evidence": evidence, "preservation": kept}
+    full = F.concat_ws(" | ", *[F.concat(F.lit(f"{k}="), F.when(F.size(v) > 0, F.array_join(v, ", ")).otherwise("none")) for k, v in texts.items()])
+    nothing = (F.size(warnings) <= 0) & (F.size(evidence) <= 0) & (F.size(kept) <= 0)
+    return F.concat(F.lit(f"{name}: "), F.when(nothing, "not available").otherwise(full))
+
+
+def scenario_report(d: DataFrame) -> Column:
+    """The text report of one scenario's result; sections without a score are left out."""
+    head = {
+        "Status": F.col("status"), "URL": F.col("url"), "Selector": _or_none(F.col("selector")), "Original selector": _or_none(F.col("original_selector")),
+        "Promoted selector": _or_none(F.col("promoted_selector")), "Promotion reason": _or_none(F.col("promotion_reason")),
+        "Promotion path": _or_none(F.array_join("promotion_path", " -> ")), "Export tier": _or_none(F.col("tier")), "Expected target class": _or_none(F.col("expected_class")),
+        "Expected target subtype": _or_none(F.col("expected_subtype")), "Target class": _or_none(F.col("target_class")), "Target subtype": _or_none(F.col("target_subtype")),
+        "Target class reasons": _or_none(F.array_join("reasons", ", ")), "Started": F.col("started"), "Completed": F.col("completed"),
+    }
+    lines = [F.lit("Benchmark scenario"), F.concat(F.lit("Scenario: "), "title", F.lit(" ("), "id", F.lit(")"))]
+    lines += [F.concat(F.lit(f"{k}: "), v) for k, v in head.items()]
+    lines.append(F.when(F.col("baseline").isNotNull(), F.concat(F.lit("Baseline: "), "baseline", F.lit(" (updated="), F.col("baseline_updated").cast("string"), F.lit(")"))))
+    lines.append(F.when(F.col("baseline").isNotNull(), _difference("Baseline drift", F.col("drift_ratio"), F.col("drift_pixels"), F.col("drift_same"))))
+    lines += [F.when(F.size(F.col(c)) > 0, F.concat(F.lit(f"{c.capitalize()}: "), F.array_join(c, ", "))) for c in ("warnings", "notes")]
+    for part in ("replay", "portable"):
+        c = lambda n: F.col(f"{part}_{n}")  # noqa: B023, E731
+        section = F.concat_ws(
+            "\n", F.lit(""), c("report"), _difference(f"{part.capitalize()} diff", c("ratio"), c("pixels"), c("same")),
+            _structure(f"{part.capitalize()} structure", c("warnings"), c("evidence"), c("kept")),
+        )
+        lines.append(F.when(c("report").isNotNull(), section))
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"))
+
+
 def drift(current: DataFrame, baseline: DataFrame, limit: float = 0.02) -> DataFrame:
     """Each capture against its old baseline: new, same or drifted, and by how much."""
     j = current.join(baseline.select("capture_id", F.col("score").alias("old")), "capture_id", "left")
@@ -86,10 +150,27 @@ def _drift(s, d):
     return drift(now, old)
 
 
+def _scenario_rows(s, d):
+    p = F.col("page_id")
+    text = lambda n, t: F.when(p % n != 0, F.concat(F.lit(t), p.cast("string")))
+    some = lambda n, *v: F.when(p % n != 0, F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>"))
+    cols = {
+        "id": F.concat(F.lit("s"), p.cast("string")), "title": F.concat(F.lit("Page "), p.cast("string")), "status": status(p % 11 == 0, p % 5 != 0), "selector": text(2, "#s"), "original_selector": text(3, "#o"), "promoted_selector": F.lit(" "),
+        "promotion_reason": text(4, "why"), "promotion_path": some(3, "a", "b"), "tier": F.lit("capsule"), "expected_class": text(5, "e"), "expected_subtype": F.lit(None).cast("string"), "target_class": text(6, "t"),
+        "target_subtype": F.lit("generic"), "reasons": some(2, "r1", "r2"), "started": F.lit("t0"), "completed": F.lit("t1"), "baseline": text(3, "/b/"), "baseline_updated": p % 2 == 0,
+        "drift_ratio": F.when(p % 4 > 0, (p % 4).cast("double") / 8), "drift_pixels": p % 7, "drift_same": p % 3 == 1, "warnings": some(5, "w"), "notes": some(2, "n1", "n2"),
+        "replay_report": text(2, "R"), "replay_ratio": F.lit(0.5), "replay_pixels": p, "replay_same": F.lit(True), "replay_warnings": some(3, "x"), "replay_evidence": some(4, "y", "z"), "replay_kept": F.array().cast("array<string>"),
+        "portable_report": text(3, "P"), "portable_ratio": F.lit(None).cast("double"), "portable_pixels": p, "portable_same": F.lit(False), "portable_warnings": some(7, "q"), "portable_evidence": some(5, "v"), "portable_kept": some(2, "k"),
+    }
+    return s.read.parquet(f"{d}/pages.parquet").select(p.alias("capture_id"), "url", *[c.alias(n) for n, c in cols.items()])
+
+
 QUERIES = {
+    "scenario_report": lambda s, d: _scenario_rows(s, d).select("capture_id", scenario_report(None).alias("report")),
     "suite_summary": lambda s, d: suite(_results(s, d)),
     "baseline_drift": _drift,
-    "scenario_expansion": lambda s, d: expand(s.range(3).select(F.element_at(F.array(F.lit("chart"), F.lit("scenario-01"), F.lit("form")), (F.col("id") + 1).cast("int")).alias("name")), registry(s)),
+    "scenario_expansion": lambda s, d: expand(s, s.range(3).select(F.element_at(F.array(F.lit("class:render-scene"), F.lit("google-search-bar"), F.lit("matrix:core")), (F.col("id") + 1).cast("int")).alias("name"))),
+    "scenario_groups": lambda s, d: expand(s, s.range(1).select(F.lit("matrix:deterministic").alias("name"))),
     "log_ring": lambda s, d: log_ring(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), "event_type")),
 }
 
@@ -101,6 +182,16 @@ ORACLE = {
       'passed ' || count(*) FILTER (status = 'passed') || ', failed ' || count(*) FILTER (status = 'failed') || ', skipped ' || count(*) FILTER (status = 'skipped') AS line FROM res GROUP BY suite""",
     "baseline_drift": _R + f""", o AS (SELECT capture_id, {N.sql_round3('score - (capture_id % 5)::DOUBLE / 100')} AS old FROM res WHERE capture_id % 6 <> 0),
       j AS (SELECT capture_id, score, old, {N.sql_round3('abs(score - old)')} AS drift FROM res LEFT JOIN o USING (capture_id)) SELECT *, CASE WHEN old IS NULL THEN 'new' WHEN drift > 0.02::DOUBLE THEN 'drifted' ELSE 'same' END AS state FROM j""",
-    "scenario_expansion": f"""WITH r(id, "group", target_class, subtype) AS (VALUES {_ROWS}) SELECT * FROM r WHERE id = 'scenario-01' OR "group" IN ('chart', 'form')""",
+    "scenario_expansion": f"""WITH r(id, title, target_class, subtype) AS (VALUES {_ROWS}) SELECT * FROM r WHERE id = 'reddit-header' OR id = 'google-search-bar' OR target_class = 'render-scene'""",
+    "scenario_groups": f"""WITH r(id, title, target_class, subtype) AS (VALUES {_ROWS}) SELECT * FROM r WHERE id NOT IN ('google-search-bar', 'reddit-header', 'lichess-board')""",
+    "scenario_report": """WITH p AS (SELECT page_id AS i, url FROM pages),
+      h AS (SELECT i, 'Benchmark scenario' || chr(10) || 'Scenario: Page ' || i || ' (s' || i || ')' || chr(10) || 'Status: ' || CASE WHEN i % 11 = 0 THEN 'failed' WHEN i % 5 <> 0 THEN 'passed' ELSE 'skipped' END || chr(10) || 'URL: ' || url || chr(10) || 'Selector: ' || CASE WHEN i % 2 = 0 THEN 'n/a' ELSE '#s' || i END || chr(10)
+        || 'Original selector: ' || CASE WHEN i % 3 = 0 THEN 'n/a' ELSE '#o' || i END || chr(10) || 'Promoted selector: n/a' || chr(10) || 'Promotion reason: ' || CASE WHEN i % 4 = 0 THEN 'n/a' ELSE 'why' || i END || chr(10) || 'Promotion path: ' || CASE WHEN i % 3 = 0 THEN 'n/a' ELSE 'a -> b' END || chr(10) || 'Export tier: capsule' || chr(10)
+        || 'Expected target class: ' || CASE WHEN i % 5 = 0 THEN 'n/a' ELSE 'e' || i END || chr(10) || 'Expected target subtype: n/a' || chr(10) || 'Target class: ' || CASE WHEN i % 6 = 0 THEN 'n/a' ELSE 't' || i END || chr(10) || 'Target subtype: generic' || chr(10) || 'Target class reasons: ' || CASE WHEN i % 2 = 0 THEN 'n/a' ELSE 'r1, r2' END || chr(10) || 'Started: t0' || chr(10) || 'Completed: t1' AS t FROM p),
+      x AS (SELECT i, t || CASE WHEN i % 3 <> 0 THEN chr(10) || 'Baseline: /b/' || i || ' (updated=' || (i % 2 = 0) || ')' || chr(10) || 'Baseline drift: ' || CASE i % 4 WHEN 0 THEN 'not available' WHEN 1 THEN 'mismatch=0.125' WHEN 2 THEN 'mismatch=0.250' ELSE 'mismatch=0.375' END || CASE WHEN i % 4 > 0 THEN ' pixels=' || i % 7 || ' dimensionsMatch=' || (i % 3 = 1) ELSE '' END ELSE '' END
+        || CASE WHEN i % 5 <> 0 THEN chr(10) || 'Warnings: w' ELSE '' END || CASE WHEN i % 2 <> 0 THEN chr(10) || 'Notes: n1, n2' ELSE '' END
+        || CASE WHEN i % 2 <> 0 THEN chr(10) || chr(10) || 'R' || i || chr(10) || 'Replay diff: mismatch=0.500 pixels=' || i || ' dimensionsMatch=true' || chr(10) || 'Replay structure: ' || CASE WHEN i % 3 = 0 AND i % 4 = 0 AND i % 1000000000 = 0 THEN 'not available' WHEN i % 3 = 0 AND i % 4 = 0 THEN 'not available' ELSE 'warnings=' || CASE WHEN i % 3 = 0 THEN 'none' ELSE 'x' END || ' | evidence=' || CASE WHEN i % 4 = 0 THEN 'none' ELSE 'y, z' END || ' | preservation=none' END ELSE '' END
+        || CASE WHEN i % 3 <> 0 THEN chr(10) || chr(10) || 'P' || i || chr(10) || 'Portable diff: not available' || chr(10) || 'Portable structure: ' || CASE WHEN i % 7 = 0 AND i % 5 = 0 AND i % 2 = 0 THEN 'not available' ELSE 'warnings=' || CASE WHEN i % 7 = 0 THEN 'none' ELSE 'q' END || ' | evidence=' || CASE WHEN i % 5 = 0 THEN 'none' ELSE 'v' END || ' | preservation=' || CASE WHEN i % 2 = 0 THEN 'none' ELSE 'k' END END ELSE '' END || chr(10) AS report FROM h)
+      SELECT i AS capture_id, report FROM x""",
     "log_ring": "SELECT event_id AS seq, event_type FROM events ORDER BY event_id DESC LIMIT 120",
 }

@@ -99,7 +99,7 @@ VALUES_SQL = """fx_values AS (SELECT page_id AS capture_id, url AS page_url, k A
 #: What stands in for what in the pages with varied structure: (text, its replacement, on pages with this remainder of 3 or all).
 VARIED = (
     ('<div class="ad">', '<div class="board layer" id="stage1" style="top:0; position : absolute" data-k="x">', None),
-    ('<footer>', '<svg viewBox="0 0 9 9" onload="x()"><path d="M0" fill="url(#g1)"></path><use href="#g1"></use></svg><iframe src="/f"></iframe><footer role="note" aria-label="a&amp;b&#39;s" onclick="go()">', 0),
+    ('<footer>', '<svg viewBox="0 0 9 9" onload="x()"><path d="M0" fill="url(#g1)"></path><use href="#g1"></use><mask id="g1"></mask></svg><iframe src="/f"></iframe><footer role="note" aria-label="a&amp;b&#39;s" onclick="go()">', 0),
     ('<footer>', '<linearGradient id="g1"><stop></stop></linearGradient><footer style="position:absolute" data-scene="1">', 1),
     ("<li>", '<li data-state="open" tabindex="0" draggable="true">', 1),
     ("<b>", '<b class="t1 overlay" style="color:red">', 2),
