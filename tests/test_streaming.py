@@ -31,6 +31,26 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert sorted(spark.read.parquet(f"{tmp_path}/hovers").select("capture_id", "seq").collect()) == sorted(hovers)
 
 
+def test_recordings_and_registry_live(spark, sf, tmp_path):
+    from vitrail.operators import capsule
+
+    events, folder = files(spark, sf, tmp_path)
+    stream = R.read_events(spark, f"{folder}/*", events.schema)
+    R.run_once(R.record(timeline.with_controls(R.live_traces(stream), 25), 3, 4, None), f"{tmp_path}/records", f"{tmp_path}/c3")
+    want = timeline.recordings(timeline.with_controls(R.live_traces(events), 25), 3, 4)
+    got = spark.read.parquet(f"{tmp_path}/records").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+
+    def log(e):
+        op = F.when(F.col("event_id") % 3 == 0, "pop").otherwise("register")
+        return e.select((F.col("user_id") % 5).alias("request_id"), F.col("event_id").alias("seq"), op.alias("op"), F.when(op == "register", F.col("event_id") % 17).alias("tab_id"))
+
+    R.run_once(R.answer(log(stream), None), f"{tmp_path}/answers", f"{tmp_path}/c4")
+    got = spark.read.parquet(f"{tmp_path}/answers").select("request_id", "seq", "answer").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, capsule.popped(log(events)).collect())))
+    assert {r.answer is None for r in got} == {True, False}
+
+
 def test_windows_with_watermark(spark, sf, tmp_path):
     events, folder = files(spark, sf, tmp_path)
     counted = R.session_counts(R.read_events(spark, f"{folder}/*", events.schema), "3650 days")

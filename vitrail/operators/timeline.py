@@ -138,6 +138,32 @@ def trailing(traces: DataFrame, actions: int = ACTION_BUFFER, mutations: int = M
     return ranked.where((F.col("kind") == S.MUTATION) & (F.col("_r") <= mutations) | (F.col("kind") == S.ACTION) & (F.col("_r") <= actions)).drop("_r")
 
 
+def recordings(events: DataFrame, actions: int = ACTION_BUFFER, mutations: int = MUTATION_BUFFER) -> DataFrame:
+    """What each closed recording of a session holds: the last rows of each kind between a start and the
+    stop that follows it, with times since the start.
+
+    ``events`` are traces with ``control``: ``start``, ``stop`` or null.  Rows outside a recording are
+    ignored; a second start drops what the first one had; a recording that never stops gives nothing.
+    """
+    w = W.partitionBy("capture_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    numbered = events.withColumn("recording", F.sum(F.when(F.col("control") == "start", 1).otherwise(0)).over(w)).where("recording > 0")
+    bounds = numbered.groupBy("capture_id", "recording").agg(
+        F.min(F.when(F.col("control") == "start", F.col("at_ms"))).alias("began"), F.min(F.when(F.col("control") == "stop", F.col("seq"))).alias("stop")
+    )
+    held = numbered.where("control is null").join(bounds.where("stop is not null"), ["capture_id", "recording"]).where("seq < stop")
+    held = held.withColumn("at_ms", F.greatest(F.lit(0).cast("long"), F.col("at_ms") - F.col("began")))
+    newest = W.partitionBy("capture_id", "recording", "kind").orderBy(F.desc("seq"))
+    ranked = held.withColumn("_r", F.row_number().over(newest))
+    kept = ranked.where(F.col("_r") <= F.when(F.col("kind") == S.ACTION, actions).otherwise(mutations))
+    return kept.select("capture_id", F.col("recording").cast("int").alias("recording"), "kind", "seq", "type", "at_ms")
+
+
+def with_controls(traces: DataFrame, every: int = 40) -> DataFrame:
+    """``traces`` with the control rows that test inputs have: by the row's number."""
+    at = F.col("seq") % every
+    return traces.withColumn("control", F.when(at.isin(1, 2), "start").when(at.isin(every - 1, every - 9), "stop"))
+
+
 def throttle_hovers(traces: DataFrame, pause_ms: int = HOVER_MS) -> DataFrame:
     """Hovers that are recorded: another target than the last recorded one, and ``pause_ms`` after it.
 
@@ -234,6 +260,7 @@ def _q_interaction(spark, sf_dir):
 
 
 QUERIES = {
+    "recording_sessions": lambda s, d: recordings(with_controls(S.read(s, d), 25), 3, 4),
     "interaction_score": _q_interaction,
     "mutation_action_asof": _q_asof,
     "mutation_transition": _q_transition,
@@ -273,6 +300,10 @@ CONFIDENCE_SQL = N.sql_score3(
 )
 
 ORACLE = {
+    "recording_sessions": f"""WITH {S.SQL}, c AS (SELECT *, CASE WHEN seq % 25 IN (1, 2) THEN 'start' WHEN seq % 25 IN (24, 16) THEN 'stop' END AS control FROM traces),
+      n AS (SELECT *, sum((coalesce(control, '') = 'start')::INT) OVER (PARTITION BY capture_id ORDER BY seq) AS recording FROM c), b AS (SELECT capture_id, recording, min(at_ms) FILTER (control = 'start') AS began, min(seq) FILTER (control = 'stop') AS stop FROM n WHERE recording > 0 GROUP BY ALL),
+      h AS (SELECT n.*, began, row_number() OVER (PARTITION BY n.capture_id, n.recording, kind ORDER BY seq DESC) AS r FROM n JOIN b ON n.capture_id = b.capture_id AND n.recording = b.recording WHERE control IS NULL AND seq < stop)
+      SELECT capture_id, recording::INT AS recording, kind, seq, type, greatest(0, at_ms - began) AS at_ms FROM h WHERE r <= CASE WHEN kind = 'action-trace' THEN 3 ELSE 4 END""",
     "interaction_score": _LINKED + _COUNTS + f"""
 SELECT capture_id, actions, mutations, linked, total, {SCORE_SQL} AS score, {CONFIDENCE_SQL} AS confidence,
   concat_ws(',', CASE WHEN actions > 0 THEN 'interaction-action-events:' || actions END, CASE WHEN mutations > 0 THEN 'interaction-mutation-events:' || mutations END,

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +101,75 @@ def throttle(traces: DataFrame, pause_ms: int = TL.HOVER_MS, idle_ms: int | None
     return hovers.groupBy("capture_id").applyInPandasWithState(step, HOVERS, HOVER_STATE, "append", _timeout(idle_ms))
 
 
+RECORDED = "capture_id long, recording int, kind string, seq long, type string, at_ms long"
+RECORDING_STATE = "recording int, began long, held string"
+
+
+def record(events: DataFrame, actions: int = TL.ACTION_BUFFER, mutations: int = TL.MUTATION_BUFFER, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Recordings as they close: ``timeline.recordings`` live.
+
+    State is what the open recording of a session holds, which the buffers bound; a start empties it, a
+    stop sends it and closes, and rows outside a recording leave no trace.
+    """
+    room = {S.ACTION: actions, S.MUTATION: mutations}
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        number, began, held = state.get if state.exists else (0, None, "{}")
+        buffers, out = json.loads(held), []
+        for r in pd.concat(list(parts)).sort_values("seq", kind="stable").itertuples(index=False):
+            if r.control == "start":
+                number, began, buffers = number + 1, int(r.at_ms), {}
+            elif r.control == "stop":
+                if began is not None:
+                    out += [(key[0], number, kind, *row) for kind, rows in buffers.items() for row in rows]
+                began, buffers = None, {}
+            elif began is not None:
+                rows = buffers.setdefault(r.kind, [])
+                rows.append((int(r.seq), r.type, max(0, int(r.at_ms) - began)))
+                del rows[: -room[r.kind]]
+        state.update((number, began, json.dumps(buffers)))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in RECORDED.split(", ")])
+
+    rows = events.select("capture_id", "seq", "kind", "type", "at_ms", "control")
+    return rows.groupBy("capture_id").applyInPandasWithState(step, RECORDED, RECORDING_STATE, "append", _timeout(idle_ms))
+
+
+ANSWERS = "request_id long, seq long, answer long"
+
+
+def answer(log: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Answers of a request registry: ``capsule.popped`` live.  State is the tab of a request that waits;
+    an answer forgets it."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tab, out = (state.get[0] if state.exists else None), []
+        for r in pd.concat(list(parts)).sort_values("seq", kind="stable").itertuples(index=False):
+            if r.op == "register":
+                tab = int(r.tab_id)
+            else:
+                out.append((key[0], r.seq, tab))
+                tab = None
+        if tab is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((tab,))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["request_id", "seq", "answer"]).astype({"answer": "Int64"})
+
+    rows = log.select("request_id", "seq", "op", "tab_id")
+    return rows.groupBy("request_id").applyInPandasWithState(step, ANSWERS, "tab_id long", "append", _timeout(idle_ms))
+
+
 def session_counts(events: DataFrame, lateness: str = "1 hour", window: str = "6 hours") -> DataFrame:
     """Extension: traces of each kind in event-time windows, late rows dropped by a watermark."""
     e = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", lateness)
