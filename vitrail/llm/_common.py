@@ -6,6 +6,7 @@ the word pattern ``[^\\x20\\x09-\\x0D]+``; ``str.split()`` would also cut at oth
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -24,6 +25,10 @@ CACHE_WORDS = 200_000
 #: Texts are joined into runs of about this many bytes before numpy works on them.
 CHUNK_BYTES = 2_000_000
 
+#: Bytes of a batch that Python works on at once, and of those that Spark sends it for tables written here.
+SLICE_BYTES = 8_000_000
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 #: Lower-cases A-Z and turns every byte that is no letter, digit or non-ASCII byte into a space.
 ALNUM_TABLE = bytes(
@@ -51,7 +56,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, executors may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, SLICE_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
     return out
@@ -69,6 +79,26 @@ def discard(*tables: DataFrame) -> None:
             delete(t.sparkSession, t.folder)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy() -> None:
+    """Give freed memory back: workers live on from stage to stage, and so would what they once held."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidied(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map over the batches of a task that tidies up after its last one."""
+
+    def run(batches):
+        yield from task(batches)
+        tidy()
+
+    return run
+
+
 def map_rows(
     docs: DataFrame,
     out: T.StructType,
@@ -94,11 +124,13 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn()
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            step = max(1, whole.num_rows * SLICE_BYTES // max(1, whole.nbytes))
+            for s in range(0, whole.num_rows, step):
+                b = whole.slice(s, step)
                 yield pa.RecordBatch.from_arrays(b.columns[:n] + work(*b.columns[n:]), titles)
 
-    return used.mapInArrow(run, schema)
+    return used.mapInArrow(tidied(run), schema)
 
 
 def as_bytes(texts: pa.Array) -> Iterator[bytes]:

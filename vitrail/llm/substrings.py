@@ -115,7 +115,7 @@ def plan(docs: DataFrame, text: str, chars: int) -> Plan:
                     total = [slot, np.bincount(of, np.concatenate((total[1], count))).astype(np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in total], ["slot", "n"])
 
-    rows = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(C.tidied(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     full = rows.where(F.col("n") * COUNTED * 4 > PART_SUFFIXES).select("slot").collect()  # each holds a quarter of a part
     at = np.array(sorted(r.slot for r in full), np.int64)
     return Plan(parts, slots, [at[at // slots == n] % slots for n in range(len(GRAMS) - 1)])
@@ -160,9 +160,9 @@ class Batch:
     def texts(self):
         """For each part the text of its windows: neighbouring windows share a line."""
         w = self.words
-        inside = np.zeros(len(w.raw), np.int32)
+        inside = np.zeros(len(w.raw), np.int8)
         inside[w.starts], inside[w.ends] = 1, -1
-        keep = np.cumsum(inside) > 0
+        keep = np.cumsum(inside, dtype=np.int8) > 0
         keep[w.ends] = True
         plain = w.raw.copy()
         plain[w.ends] = 32
@@ -277,6 +277,7 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: li
     def send(table: pa.Table) -> pa.Table:
         batch = Batch(table["i"].combine_chunks(), table["t"].combine_chunks(), shared.value[1])
         blobs = list(batch.texts())
+        C.tidy()
         return pa.table(
             [pa.array(batch.parts, pa.int32()), pa.array([table["batch"][0].as_py()] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())],
             ["part", "batch", "lines"],
@@ -298,6 +299,8 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: li
         later = later_leaves(deep_nodes(word_numbers(w), at))
         ends = np.searchsorted(at, w.offsets[np.cumsum([0, *sizes])])
         bits = [np.packbits(later[s:e], bitorder="little").tobytes() for s, e in zip(ends, ends[1:])]
+        del w, at
+        C.tidy()
         return pa.table(
             [pa.array([b for b, _ in got], pa.int32()), pa.array([table["part"][0].as_py()] * len(got), pa.int32()), pa.array(bits, pa.binary())],
             ["batch", "part", "bits"],
@@ -320,7 +323,10 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: li
             else:
                 kept.append(left.decode("utf-8", "replace"))
                 spans.append(np.stack(C.runs(own), 1).tolist() if gone else [])
-        cols = [table.column(j).combine_chunks().take(pa.array(batch.order)) for j in range(n)]
+        order = pa.array(batch.order)
+        del batch, mask
+        C.tidy()
+        cols = [table.column(j).combine_chunks().take(order) for j in range(n)]
         cols += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
         cols += [] if digest else [pa.array(spans, pa.list_(pa.list_(pa.int64())))]
         return pa.table([*cols, pa.array(kept, pa.string())], names=arrow_out.names)
