@@ -36,6 +36,7 @@ def failure() -> Column:
         .when(F.coalesce("selector", F.lit("")) == "", "selector-missing")
         .when(~F.col("has_css_graph"), "css-graph-missing")
         .when((F.col("rule_count") == 0) & (F.col("inline_count") == 0), "css-rules-empty")
+        .when(T.present(F.col("css")).isNull(), "css-serialize-empty")
         .when(~F.col("has_target_subtree") & ~F.col("has_candidate") & (F.col("shadow_roots") > 0), "empty-shell-export")
     )
 
@@ -154,7 +155,7 @@ QUERIES = {
 
 ORACLE = {
     "export_choice": f"""WITH {X.CAPTURES_SQL}, {X.EXPORTS_SQL}, d AS (SELECT c.*, e.class_hint, CASE WHEN has_fingerprint THEN '#t' || c.capture_id WHEN has_mapped THEN 'main > .c' END AS selector FROM fx_captures c JOIN fx_exports e USING (capture_id)),
-      f AS (SELECT *, CASE WHEN NOT has_node_mapping THEN 'replay-capsule-missing' WHEN coalesce(selector, '') = '' THEN 'selector-missing' WHEN NOT has_css_graph THEN 'css-graph-missing' WHEN rule_count = 0 AND inline_count = 0 THEN 'css-rules-empty'
+      f AS (SELECT *, CASE WHEN NOT has_node_mapping THEN 'replay-capsule-missing' WHEN coalesce(selector, '') = '' THEN 'selector-missing' WHEN NOT has_css_graph THEN 'css-graph-missing' WHEN rule_count = 0 AND inline_count = 0 THEN 'css-rules-empty' WHEN trim(css) = '' THEN 'css-serialize-empty'
         WHEN NOT has_target_subtree AND NOT has_candidate AND shadow_roots > 0 THEN 'empty-shell-export' END AS failure, coalesce(class_hint = 'render-scene', false) OR scene AS is_scene FROM d)
       SELECT capture_id, selector, failure, CASE WHEN failure IS NULL AND NOT (NOT covers_descendants AND capture_id % 3 > 0) THEN 'capsule' ELSE 'portable-fallback' END AS tier, CASE WHEN is_scene THEN 'render-scene' ELSE 'semantic-ui' END AS target_class,
       CASE WHEN is_scene THEN 'render-scene-freeze' ELSE 'semantic-ui-portable' END AS export_mode FROM f""",

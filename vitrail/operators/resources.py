@@ -82,6 +82,84 @@ def edges(references: DataFrame) -> DataFrame:
     return references.select("capture_id", "origin", "kind", "label", "source", "reason").distinct()
 
 
+def shadow_references(sheets: DataFrame) -> DataFrame:
+    """Sheets (capture_id, root, idx, href, page_url) that shadow roots adopt: by address, or constructed."""
+    none = F.lit(None).cast("string")
+    url = U.resolve(F.col("href"), F.col("page_url"))
+    made = F.coalesce(F.trim("href"), F.lit("")) == ""
+    ok = sheets.where(made | (url.isNotNull() & ~F.coalesce(url, F.lit("")).startswith("#")))
+    zero = F.lit(0).cast("long")
+    place = F.array(F.lit(2).cast("long"), F.col("root").cast("long"), F.col("idx").cast("long") + 1, zero, zero, zero)
+    label = F.when(made, F.concat(F.lit("adopted-constructed:"), F.col("idx").cast("string"))).otherwise(url)
+    return ok.select(
+        "capture_id", place.alias("place"), F.concat(F.lit("shadow-root:"), F.col("root").cast("string")).alias("origin"), F.lit("stylesheet").alias("kind"),
+        F.when(~made, url).alias("url"), none.alias("ref"), label.alias("label"), F.lit("shadowTopology").alias("source"), F.concat(F.lit("adoptedStyleSheet:"), F.col("idx").cast("string")).alias("reason"), made.alias("inline"),
+    )
+
+
+def origins(rules: DataFrame, roots: DataFrame, strings: DataFrame) -> DataFrame:
+    """What references come from: rules, shadow roots with sheets, the string table."""
+    long = lambda *v: F.array(*[(x if isinstance(x, Column) else F.lit(x)).cast("long") for x in v])
+    selectors = F.trim(F.array_join("selectors", ", "))
+    rule = F.concat(F.lit("css-rule:"), F.col("seq").cast("string"))
+    host = F.concat(F.coalesce(F.nullif(F.lower(F.trim("tag")), F.lit("")), F.lit("unknown-host")), F.when(F.trim("host_id") != "", F.concat(F.lit("#"), F.trim("host_id"))).otherwise(""))
+    root = F.concat(F.lit("shadow-root:"), F.col("root").cast("string"))
+    out = rules.select("capture_id", long(1, F.col("seq"), -1, 0, 0, 0).alias("place"), rule.alias("origin"), F.concat_ws(":", rule, F.nullif(selectors, F.lit(""))).alias("label"), F.lit("cssGraph").alias("source"), F.lit("css-rule").alias("reason"))
+    out = out.unionByName(roots.select("capture_id", long(2, F.col("root"), -1, 0, 0, 0).alias("place"), root.alias("origin"), F.concat(root, F.lit(":"), host).alias("label"), F.lit("shadowTopology").alias("source"), F.lit("shadow-root").alias("reason")))
+    table = F.lit("dom-snapshot:string-table")
+    return out.unionByName(
+        strings.select("capture_id").distinct().select("capture_id", long(3, -1, 0, 0, 0, 0).alias("place"), table.alias("origin"), table.alias("label"), F.lit("domSnapshot").alias("source"), F.lit("dom-snapshot").alias("reason"))
+    )
+
+
+_KEY = ("kind", "url", "ref", "label", "source", "inline")
+
+
+def graph(captures: DataFrame, origin_rows: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (capture_id, id, ...) and edges (capture_id, from_id, to_id, kind, reason) of each capture.
+
+    Nodes are named by place of first emission: the document, then each origin and what it refers to.
+    ``captures`` are (capture_id, page_url).
+    """
+    none = F.lit(None).cast("string")
+    start = F.array(*[F.lit(0).cast("long")] * 6)
+    document = captures.select("capture_id", start.alias("place"), F.lit("document").alias("kind"), F.col("page_url").alias("url"), none.alias("ref"), F.lit("document").alias("label"), F.lit("capture").alias("source"), F.lit(False).alias("inline"))
+    from_ = origin_rows.select("capture_id", "place", F.lit("origin").alias("kind"), none.alias("url"), none.alias("ref"), "label", "source", F.lit(False).alias("inline"))
+    emitted = document.unionByName(from_).unionByName(references.select("capture_id", "place", *_KEY))
+    w = W.partitionBy("capture_id").orderBy("place", "kind", "label")
+    named = emitted.groupBy("capture_id", *_KEY).agg(F.min("place").alias("place")).withColumn("n", F.row_number().over(w) - 1)
+    named = named.withColumn("id", F.concat(F.lit("res_"), F.col("n").cast("string")))
+    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _KEY])
+    ids = named.select("capture_id", key.alias("k"), "id", *_KEY)
+    owner = origin_rows.join(named.where("kind = 'origin'").select("capture_id", "label", "source", "id"), ["capture_id", "label", "source"])
+    contains = owner.select("capture_id", F.lit("res_0").alias("from_id"), F.col("id").alias("to_id"), F.lit("contains").alias("kind"), "reason")
+    to = references.withColumn("k", key).alias("r").join(ids.alias("i"), ["capture_id", "k"])
+    for c in _KEY:
+        to = to.where(F.col(f"r.{c}").eqNullSafe(F.col(f"i.{c}")))
+    to = to.select("capture_id", "origin", F.col("i.id").alias("to_id"), F.col("r.reason").alias("reason"))
+    refers = to.join(owner.select("capture_id", "origin", F.col("id").alias("from_id")), ["capture_id", "origin"])
+    edges_ = contains.unionByName(refers.select("capture_id", "from_id", "to_id", F.lit("references").alias("kind"), "reason")).distinct()
+    return named.select("capture_id", "id", *_KEY), edges_
+
+
+def graph_warnings(captures: DataFrame, strings: DataFrame, references: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Warnings of each capture's graph, in fixed order."""
+    url = U.resolve(F.col("href"), F.col("page_url"))
+    made = F.coalesce(F.trim("href"), F.lit("")) == ""
+    flags = [
+        (sheets.where(~made & (url.isNull() | F.coalesce(url, F.lit("")).startswith("#"))), "adopted-stylesheet-invalid-href"),
+        (sheets.where(made), "adopted-stylesheet-constructed-unbundled"),
+        (references.where("source = 'domSnapshot'"), "dom-snapshot-resource-scan-heuristic"),
+    ]
+    rows = [d.select("capture_id", F.lit(w).alias("w")) for d, w in flags]
+    found = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("capture_id").agg(F.collect_set("w").alias("found"))
+    some = lambda d, c: d.select("capture_id").distinct().withColumn(c, F.lit(True))
+    d = captures.select("capture_id").join(found, "capture_id", "left").join(some(strings, "has_strings"), "capture_id", "left").join(some(references, "has_resources"), "capture_id", "left")
+    has = lambda w: F.when(F.coalesce(F.array_contains("found", w), F.lit(False)), F.lit(w))
+    parts = [has(flags[0][1]), has(flags[1][1]), F.when(F.col("has_strings").isNull(), "dom-snapshot-strings-missing"), has(flags[2][1]), F.when(F.col("has_resources").isNull(), "resource-graph-empty")]
+    return d.select("capture_id", F.array_join(F.array_compact(F.array(*parts)), " ").alias("warnings"))
+
+
 def diagnostics(resource_nodes: DataFrame) -> DataFrame:
     """Nodes of each kind, and those that can't be fetched, of each capture."""
     return resource_nodes.groupBy("capture_id").agg(
@@ -96,6 +174,31 @@ def references(spark, sf_dir) -> DataFrame:
     return rules.unionByName(string_references(X.strings(spark, sf_dir)))
 
 
+def _graph_inputs(s, d):
+    """Shadow roots with up to two sheets each: by address, constructed, or with an address that leads nowhere."""
+    pages = s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("capture_id"), F.col("url").alias("page_url"))
+    roots = X.shadow_sheets(s, d).where("capture_id % 4 > 0").select("capture_id", F.col("ordinal").alias("root"), "tag", "host_id", "sheets")
+    k = F.col("capture_id") + F.col("idx")
+    href = F.when(k % 3 == 0, F.concat(F.lit(" /ad/"), F.col("idx").cast("string"), F.lit(".css"))).when(k % 3 == 1, F.lit("#bad"))
+    sheets = roots.select("capture_id", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sheets") - 1)).alias("idx")).join(pages, "capture_id").withColumn("href", href)
+    strings = X.strings(s, d).where("capture_id % 5 > 0")
+    refs = rule_references(X.css_rules(s, d), X.css_declarations(s, d)).unionByName(string_references(strings)).withColumn("inline", F.lit(False)).unionByName(shadow_references(sheets))
+    return pages, origins(X.css_rules(s, d), roots, strings), refs, strings, sheets
+
+
+def _q_graph(which):
+    def run(s, d):
+        pages, own, refs, _, _ = _graph_inputs(s, d)
+        return graph(pages, own, refs)[which]
+
+    return run
+
+
+def _q_warnings(s, d):
+    pages, _, refs, strings, sheets = _graph_inputs(s, d)
+    return graph_warnings(pages, strings, refs, sheets)
+
+
 def _q_classes(s, d):
     return X.strings(s, d).select("capture_id", "seq", U.resolve(F.col("value"), F.col("page_url")).alias("resolved")).select(
         "capture_id", "seq", "resolved", U.kind(F.col("resolved")).alias("kind"), U.fetch_mode(F.col("resolved")).alias("fetch_mode")
@@ -109,6 +212,9 @@ def _q_tokens(s, d):
 
 
 QUERIES = {
+    "resource_graph_nodes": _q_graph(0),
+    "resource_graph_edges": _q_graph(1),
+    "resource_graph_warnings": _q_warnings,
     "url_classification": _q_classes,
     "url_tokens": _q_tokens,
     "resource_nodes": lambda s, d: nodes(references(s, d)),
@@ -147,7 +253,25 @@ nodes AS (SELECT capture_id, kind, url, ref, label, source, (row_number() OVER (
   CASE WHEN url LIKE 'data:%' THEN 'inline-data' WHEN url IS NOT NULL THEN 'network' ELSE 'unresolved' END AS fetch_mode, kind IN ('stylesheet', 'font') AS required FROM first)
 """
 
+_GRAPH = _REFS + f""", pg AS (SELECT page_id AS capture_id, url AS page_url FROM pages), {X.SHEETS_SQL},
+  rt AS (SELECT capture_id, ordinal AS root, tag, host_id, sheets FROM fx_sheets WHERE capture_id % 4 > 0),
+  sh AS (SELECT capture_id, root, k AS idx, page_url, CASE (capture_id + k) % 3 WHEN 0 THEN '/ad/' || k || '.css' WHEN 1 THEN '#bad' END AS href FROM rt JOIN pg USING (capture_id), range(2) AS t(k) WHERE k < sheets),
+  og AS (SELECT capture_id, [1, seq, -1, 0, 0, 0] AS place, 'css-rule:' || seq AS origin, 'css-rule:' || seq || coalesce(':' || nullif(array_to_string(selectors, ', '), ''), '') AS label, 'cssGraph' AS source, 'css-rule' AS reason FROM fx_css_rules
+    UNION ALL SELECT capture_id, [2, root, -1, 0, 0, 0], 'shadow-root:' || root, 'shadow-root:' || root || ':' || tag || CASE WHEN host_id <> '' THEN '#' || host_id ELSE '' END, 'shadowTopology', 'shadow-root' FROM rt
+    UNION ALL SELECT DISTINCT capture_id, [3, -1, 0, 0, 0, 0], 'dom-snapshot:string-table', 'dom-snapshot:string-table', 'domSnapshot', 'dom-snapshot' FROM fx_strings WHERE capture_id % 5 > 0),
+  rf AS (SELECT capture_id, place, origin, kind, url, ref, label, source, reason, false AS inline FROM refs WHERE source <> 'domSnapshot' OR capture_id % 5 > 0
+    UNION ALL SELECT capture_id, [2, root, idx + 1, 0, 0, 0], 'shadow-root:' || root, 'stylesheet', CASE WHEN href IS NOT NULL THEN {sql_resolve('href', 'page_url')} END, NULL, coalesce({sql_resolve('href', 'page_url')}, 'adopted-constructed:' || idx), 'shadowTopology', 'adoptedStyleSheet:' || idx, href IS NULL FROM sh WHERE href IS NULL OR href <> '#bad'),
+  em AS (SELECT capture_id, [0, 0, 0, 0, 0, 0] AS place, 'document' AS kind, page_url AS url, NULL AS ref, 'document' AS label, 'capture' AS source, false AS inline FROM pg UNION ALL SELECT capture_id, place, 'origin', NULL, NULL, label, source, false FROM og UNION ALL SELECT capture_id, place, kind, url, ref, label, source, inline FROM rf),
+  nk AS (SELECT capture_id, kind, url, ref, label, source, inline, min(place) AS place FROM em GROUP BY ALL),
+  gn AS (SELECT *, 'res_' || (row_number() OVER (PARTITION BY capture_id ORDER BY place, kind, label) - 1) AS id FROM nk)
+"""
 ORACLE = {
+    "resource_graph_nodes": _GRAPH + "SELECT capture_id, id, kind, url, ref, label, source, inline FROM gn",
+    "resource_graph_edges": _GRAPH + """SELECT og.capture_id, 'res_0' AS from_id, gn.id AS to_id, 'contains' AS kind, og.reason FROM og JOIN gn ON gn.capture_id = og.capture_id AND gn.kind = 'origin' AND gn.label = og.label
+      UNION SELECT rf.capture_id, f.id, t.id, 'references', rf.reason FROM rf JOIN og ON og.capture_id = rf.capture_id AND og.origin = rf.origin JOIN gn f ON f.capture_id = og.capture_id AND f.kind = 'origin' AND f.label = og.label
+      JOIN gn t ON t.capture_id = rf.capture_id AND t.kind = rf.kind AND t.url IS NOT DISTINCT FROM rf.url AND t.ref IS NOT DISTINCT FROM rf.ref AND t.label = rf.label AND t.source = rf.source AND t.inline = rf.inline""",
+    "resource_graph_warnings": _GRAPH + """SELECT capture_id, concat_ws(' ', CASE WHEN capture_id IN (SELECT capture_id FROM sh WHERE href = '#bad') THEN 'adopted-stylesheet-invalid-href' END, CASE WHEN capture_id IN (SELECT capture_id FROM sh WHERE href IS NULL) THEN 'adopted-stylesheet-constructed-unbundled' END,
+      CASE WHEN capture_id % 5 = 0 THEN 'dom-snapshot-strings-missing' ELSE 'dom-snapshot-resource-scan-heuristic' END) AS warnings FROM pg""",
     "url_tokens": f"""WITH {X.VALUES_SQL}, c AS (SELECT *, capture_id::VARCHAR AS p FROM fx_values),
       m AS (SELECT capture_id, seq, value, list_transform(regexp_extract_all(value, '(?i)url\\(\\s*("[^"]*"\\s*\\)|''[^'']*''\\s*\\)|[^)]*\\))'), lambda t: trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)^url\\(\\s*', ''), '\\s*\\)$', ''), '^"([^"]*)"$|^''([^'']*)''$', '\\1\\2'))) AS found FROM c),
       f AS (SELECT capture_id, seq, value, list_filter(found, lambda t: t <> '') AS urls FROM m)

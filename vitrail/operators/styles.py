@@ -139,14 +139,36 @@ def subtree_only(subtree: DataFrame, root: DataFrame) -> DataFrame:
     return distinct_rules(subtree).join(root.withColumn("fingerprint", fingerprint()).select(*key), key, "left_anti")
 
 
-def stylesheet_text(rules: DataFrame, declarations: DataFrame) -> DataFrame:
-    """CSS text of each capture: rules with selectors, in order, with their declarations in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", F.concat("name", F.lit(": "), "value", F.lit(";")).alias("t"))))
-    bodies = declarations.groupBy("capture_id", "seq").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("body"))
-    blocks = rules.where(F.size("selectors") > 0).join(bodies, ["capture_id", "seq"])
-    text = F.concat(F.array_join("selectors", ", "), F.lit(" { "), "body", F.lit(" }"))
-    lines = F.array_sort(F.collect_list(F.struct("seq", text.alias("t"))))
-    return blocks.groupBy("capture_id").agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("css"))
+def declaration_block(selectors: Column, lines: Column) -> Column:
+    """A rule as text: declarations without a name or value, and disabled ones, are left out; null if
+    nothing is left, or no selector."""
+    shown = F.filter(lines, lambda x: T.present(x["name"]).isNotNull() & T.present(x["value"]).isNotNull() & ~F.coalesce(x["disabled"], F.lit(False)))
+    written = F.transform(shown, lambda x: F.concat(F.lit("  "), T.trim(x["name"]), F.lit(": "), T.trim(x["value"]), F.when(F.coalesce(x["important"], F.lit(False)), " !important").otherwise(""), F.lit(";")))
+    names = F.filter(F.transform(selectors, T.trim), lambda x: x != "")
+    text = F.concat(F.array_join(names, ", "), F.lit(" {\n"), F.array_join(written, "\n"), F.lit("\n}\n"))
+    return F.when((F.size(names) > 0) & (F.size(written) > 0), text)
+
+
+def stylesheet_text(rules: DataFrame, declarations: DataFrame, properties: DataFrame, inline: DataFrame, keyframes: DataFrame) -> DataFrame:
+    """CSS text of each capture: custom properties, the picked element's own style, rules, keyframes.
+
+    ``declarations`` (capture_id, seq, ordinal, name, value, important, disabled); ``inline`` the same
+    with the picked ``selector`` instead of seq; ``properties`` and ``keyframes`` in order of ordinal.
+    """
+    line = F.struct("ordinal", "name", "value", "important", "disabled")
+    lines = lambda d, *keys: d.groupBy("capture_id", *keys).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    pair = F.when(T.present(F.col("name")).isNotNull() & T.present(F.col("value")).isNotNull(), F.concat(F.lit("  "), T.trim(F.col("name")), F.lit(": "), T.trim(F.col("value")), F.lit(";\n")))
+    own = properties.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce(pair, F.lit("")).alias("t")))).alias("l"))
+    part = lambda d, rank, at, text: d.select("capture_id", F.lit(rank).alias("rank"), at.cast("long").alias("at"), text.alias("text"))
+    parts = [
+        part(own, 0, F.lit(0), F.concat(F.lit(":root {\n"), F.array_join(F.transform("l", lambda x: x["t"]), ""), F.lit("}\n\n"))),
+        part(lines(inline, "selector"), 1, F.lit(0), F.concat(F.coalesce(declaration_block(F.array("selector"), F.col("lines")), F.lit("")), F.lit("\n"))),
+        part(lines(declarations, "seq").join(rules, ["capture_id", "seq"]), 2, F.col("seq"), declaration_block(F.col("selectors"), F.col("lines"))),
+        part(keyframes, 3, F.col("ordinal"), F.concat(T.present(F.col("css_text")), F.lit("\n\n"))),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).where("text is not null")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "at", "text")))
+    return every.groupBy("capture_id").agg(T.trim(F.array_join(F.transform(ordered, lambda x: x["text"]), "")).alias("css"))
 
 
 def _blanks(s, d):
@@ -161,6 +183,14 @@ def _runtime(s, d):
     return runtime_keyframes(k.select("capture_id", "ordinal", "name", F.concat(prefix, F.lit("r"), F.col("ordinal").cast("string")).alias("css_text")))
 
 
+def _css_text(s, d):
+    i = F.col("seq") + F.col("ordinal")
+    decls = X.css_declarations(s, d).withColumns({"important": i % 3 == 0, "disabled": i % 5 == 4, "value": F.when(i % 7 == 6, F.lit(" ")).otherwise(F.concat(F.col("value"), F.lit(" ")))})
+    inline = decls.where("seq = 1 and capture_id % 3 > 0").drop("seq", "page_url").withColumn("selector", F.concat(F.lit("#t"), F.col("capture_id").cast("string")))
+    frames = X.keyframes(s, d).withColumn("css_text", F.when(F.col("ordinal") == 2, F.lit(" ")).otherwise(F.col("css_text")))
+    return stylesheet_text(X.css_rules(s, d).select("capture_id", "seq", "selectors"), decls, X.computed(s, d).where("capture_id % 4 > 0"), inline, frames)
+
+
 QUERIES = {
     "css_rule_dedup": lambda s, d: distinct_rules(X.repeated_rules(s, d)).select("capture_id", "fingerprint", "seq"),
     "css_diagnostics": lambda s, d: diagnostics(X.css_rules(s, d)),
@@ -171,7 +201,7 @@ QUERIES = {
     "subtree_only_rules": lambda s, d: subtree_only(X.repeated_rules(s, d), X.css_rules(s, d).where("seq < 2")).select("capture_id", "fingerprint", "seq"),
     "computed_projection": lambda s, d: computed_projection(_blanks(s, d)),
     "keyframe_sources": lambda s, d: resolve_keyframes(animation_names(X.css_declarations(s, d)), keyframe_sources(X.keyframes(s, d), _runtime(s, d))).select("capture_id", "name", "css_text"),
-    "css_text": lambda s, d: stylesheet_text(X.css_rules(s, d), X.css_declarations(s, d)),
+    "css_text": _css_text,
 }
 
 _PRINT = "concat_ws('|', coalesce(origin, ''), coalesce(sheet_id, ''), coalesce(start_line::VARCHAR, ''), coalesce(start_column::VARCHAR, ''), array_to_string(selectors, ',')) AS fingerprint"
@@ -194,5 +224,11 @@ ORACLE = {
     "keyframe_sources": _NAMES + """, rt AS (SELECT capture_id, ordinal + 4 AS ordinal, name, capture_id % 2 = 0 AS prefixed, '@keyframes r' || ordinal AS css_text FROM fx_keyframes WHERE ordinal < 2),
       k AS (SELECT capture_id, ordinal, name, prefixed, css_text FROM fx_keyframes UNION ALL SELECT * FROM rt), best AS (SELECT capture_id, name, arg_max(css_text, (NOT prefixed)::INT * 100 + ordinal) AS css_text FROM k GROUP BY ALL)
       SELECT DISTINCT capture_id, name, css_text FROM names LEFT JOIN best USING (capture_id, name)""",
-    "css_text": f"WITH {X.RULES_SQL}, {X.DECLS_SQL}, b AS (SELECT capture_id, seq, string_agg(name || ': ' || value || ';', ' ' ORDER BY ordinal) AS body FROM fx_css_decls GROUP BY ALL) SELECT capture_id, string_agg(array_to_string(selectors, ', ') || ' {{ ' || body || ' }}', chr(10) ORDER BY seq) AS css FROM fx_css_rules JOIN b USING (capture_id, seq) WHERE len(selectors) > 0 GROUP BY capture_id",
+    "css_text": f"""WITH {X.RULES_SQL}, {X.DECLS_SQL}, {X.COMPUTED_SQL}, {X.KEYFRAMES_SQL},
+      l AS (SELECT capture_id, seq, string_agg('  ' || name || ': ' || value || CASE WHEN (seq + ordinal) % 3 = 0 THEN ' !important' ELSE '' END || ';', chr(10) ORDER BY ordinal) AS body FROM fx_css_decls WHERE (seq + ordinal) % 5 <> 4 AND (seq + ordinal) % 7 <> 6 GROUP BY ALL),
+      p AS (SELECT capture_id, 0 AS rank, 0 AS at_, ':root {{' || chr(10) || string_agg('  ' || name || ': ' || value || ';' || chr(10), '' ORDER BY ordinal) || '}}' || chr(10) || chr(10) AS t FROM fx_computed WHERE capture_id % 4 > 0 GROUP BY ALL
+        UNION ALL SELECT capture_id, 1, 0, '#t' || capture_id || ' {{' || chr(10) || body || chr(10) || '}}' || chr(10) || chr(10) FROM l WHERE seq = 1 AND capture_id % 3 > 0
+        UNION ALL SELECT capture_id, 2, seq, array_to_string(selectors, ', ') || ' {{' || chr(10) || body || chr(10) || '}}' || chr(10) FROM l JOIN fx_css_rules USING (capture_id, seq) WHERE len(selectors) > 0
+        UNION ALL SELECT capture_id, 3, ordinal, css_text || chr(10) || chr(10) FROM fx_keyframes WHERE ordinal <> 2)
+      SELECT capture_id, trim(string_agg(t, '' ORDER BY rank, at_), chr(10) || ' ') AS css FROM p GROUP BY capture_id""",
 }

@@ -234,6 +234,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
             "total": p % 5 + p % 7,
             "covers_descendants": p % 4 != 1,
             "scene": p % 6 == 5,
+            "css": F.when(p % 13 == 4, " ").otherwise("a {}"),
         }
     )
 
@@ -244,7 +245,7 @@ fx_captures AS (SELECT *, CASE WHEN has_css_graph THEN p % 4 ELSE 0 END AS rule_
   (p % 11)::DOUBLE / 10::DOUBLE AS mapping_confidence, p % 6 AS closed_roots, p % 6 + p % 2 AS shadow_roots, p % 4 AS text_length,
   CASE WHEN p % 4 = 0 THEN 0 ELSE p % 9 END AS assets, CASE WHEN p % 4 = 0 THEN 0 ELSE least(p % 9, p % 3) END AS required_assets,
   CASE WHEN p % 4 = 0 THEN 0 ELSE least(p % 9, p % 3, p % 2) END AS required_unresolved, CASE WHEN p % 4 = 0 THEN 0 ELSE greatest(p % 9 - least(p % 9, p % 3) - 2, 0) END AS optional_unresolved,
-  p % 5 AS resource_nodes, p % 7 AS graph_warnings, p % 5 AS actions, p % 7 AS mutations, least(p % 5, p % 7) AS linked, p % 5 + p % 7 AS total, p % 4 <> 1 AS covers_descendants, p % 6 = 5 AS scene FROM flags)"""
+  p % 5 AS resource_nodes, p % 7 AS graph_warnings, p % 5 AS actions, p % 7 AS mutations, least(p % 5, p % 7) AS linked, p % 5 + p % 7 AS total, p % 4 <> 1 AS covers_descendants, p % 6 = 5 AS scene, CASE WHEN p % 13 = 4 THEN ' ' ELSE 'a {{}}' END AS css FROM flags)"""
 
 
 def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
