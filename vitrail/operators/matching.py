@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..sources import fixtures as X
 from . import htmltree as H
 
 #: FIXED VALUES: points of the signals of a match by document traversal.
@@ -234,6 +235,69 @@ def target_class(nodes: DataFrame) -> DataFrame:
     )
 
 
+#: FIXED VALUES: words and elements by which targets are told apart.
+CHART_WORDS = ("chart", "graph", "plot", "series", "trend", "analytics", "axis")
+SCENE_WORDS = ("board", "piece", "square", "coord", "layer", "overlay", "highlight", "ghost", "arrow")
+SCENE_TAGS = ("piece", "square", "coord", "coords")
+LEAVES = ("button", "input", "textarea", "select", "img", "svg")
+SEARCH_WORDS = ("rnnxgb", "a8sbwf")
+SEARCH_FIELD_WORD = "glfyf"
+
+
+def classified(pages: DataFrame, pick: Column, viewport: float) -> DataFrame:
+    """Class, subtype and reasons of each capture's target, the first rule that fits.
+
+    ``pick`` names the root's tag (the first element of it); the target is the root's first element
+    child if it is a link, an input or a leaf, else the root itself.  All signals are counted inside the
+    row, over the root's subtree without itself; sizes follow from node numbers, as pages have no layout.
+    """
+    d = pages.select(F.col("page_id").alias("capture_id"), H.parse(F.col("html")).alias("nodes"), pick.alias("pick"))
+    d = d.withColumn("top", F.get(F.filter("nodes", lambda n: n["tag"] == F.col("pick")), F.lit(0))).where("top is not null")
+    d = d.withColumn("under", F.filter("nodes", lambda n: F.array_contains(n["path"], F.col("top.node_idx"))))
+    shape = lambda n: F.struct(n["node_idx"].alias("i"), n["parent_idx"].alias("up"), n["tag"].alias("tag"), H.attributes(F.coalesce(n["attrs"], F.lit(""))).alias("a"), n["text"].alias("text"))
+    d = d.select("capture_id", shape(F.col("top")).alias("root"), F.transform("under", shape).alias("below"))
+    value = lambda n, k: F.lower(F.coalesce(F.try_element_at(n["a"], F.lit(k)), F.lit("")))
+    children = F.filter("below", lambda n: (n["up"] == F.col("root.i")) & n["tag"].isNotNull())
+    first = F.get(children, F.lit(0))
+    d = d.withColumn("target", F.when(first["tag"].isin("a", *LEAVES), first).otherwise(F.col("root"))).withColumn("children", children)
+    root, target = F.col("root"), F.col("target")
+    count = lambda p: F.size(F.filter("below", lambda n: n["tag"].isNotNull() & p(n)))
+    tags = lambda *t: count(lambda n: n["tag"].isin(*t))
+    any_of = lambda text, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    button = lambda n: (n["tag"] == "button") | (value(n, "role") == "button")
+    own = lambda *t: F.when(root["tag"].isin(*t), 1).otherwise(0)
+    classes = F.concat(value(target, "class"), F.lit(" "), value(root, "class"))
+    text = F.length(T.compact(F.array_join(F.transform(F.filter("below", lambda n: n["tag"].isNull()), lambda n: n["text"]), "")))
+    width, height = root["i"] % 180 + 20, root["i"] % 60 + 10
+    search = (target["tag"].isin("textarea", "input") & ((value(target, "name") == "q") | (value(target, "role") == "combobox") | F.contains(value(target, "class"), F.lit(SEARCH_FIELD_WORD))))
+    search = search | any_of(value(root, "class"), SEARCH_WORDS) | ((root["tag"] == "form") & (value(root, "role") == "search"))
+    scene = target["tag"].isin(*SCENE_TAGS) | root["tag"].isin(*SCENE_TAGS) | any_of(value(root, "class"), SCENE_WORDS)
+    drawn = (tags("path") >= 2) | (tags("polyline", "polygon") >= 1) | (tags("line") >= 4) | (tags("rect") >= 6) | (tags("text") >= 3) | any_of(classes, CHART_WORDS)
+    chart = (tags("svg", "canvas") + own("svg", "canvas") >= 1) & drawn
+    controls = count(lambda n: button(n) | ((n["tag"] == "input") & value(n, "type").isin("button", "submit")))
+    direct = F.size(F.filter("children", button))
+    role = F.coalesce(F.nullif(value(root, "role"), F.lit("")), value(target, "role"))
+    toolbar = (role == "toolbar") | ((controls >= 3) & (direct >= 3) & (width > height * 2) & (text <= 40))
+    leaf = target["tag"].isin(*LEAVES) & (target["i"] == root["i"])
+    named = lambda w: count(lambda n: F.contains(value(n, "class"), F.lit(w)))
+    progress = count(lambda n: (n["tag"] == "progress") | (value(n, "role") == "progressbar"))
+    dense = (named("badge") + named("pill") >= 1) | (named("card") >= 1) | (progress >= 1) | (count(button) >= 2) | (tags("div") >= 8) | (text > 120)
+    ratio = F.greatest(N.dbl(1), (width * height).cast("double")) / N.dbl(viewport)
+    noisy = (ratio > 0.12) & (tags("h1", "h2", "h3") >= 1) & (tags("p") >= 1) & (F.size("children") >= 2) & dense
+    rules = (
+        (search, "semantic-shell", "search-like", "class-evidence:search-field-present class-evidence:functional-wrapper-present"),
+        (scene, "render-scene", "board-like", "class-evidence:scene-primitives-present class-evidence:frame-chain-required"),
+        (chart, "render-scene", "chart-like", "class-evidence:chart-primitives-present class-evidence:scene-visualization-dominant"),
+        (root["tag"] == "form", "interactive-composite", "form-like", "class-evidence:form-root"),
+        (toolbar, "semantic-shell", "toolbar-like", "class-evidence:toolbar-cluster-present"),
+        (leaf, "semantic-leaf", "generic", "class-evidence:leaf-interactive-node"),
+        (noisy, "noisy-container", "generic", "class-evidence:multi-region-dense-container"),
+        (F.lit(True), "semantic-shell", "generic", "class-evidence:bounded-shell-default"),
+    )
+    fits = F.coalesce(*[F.when(c, F.struct(F.lit(k).alias("target_class"), F.lit(v).alias("subtype"), F.lit(r).alias("reasons"))) for c, k, v, r in rules])
+    return d.select("capture_id", target["tag"].alias("target_tag"), text.alias("text_length"), fits.alias("f")).select("capture_id", "target_tag", "text_length", "f.*")
+
+
 def token_overlap(texts: DataFrame, previews: DataFrame, cut: float = 0.2) -> DataFrame:
     """Pairs of a text and a preview whose token overlap reaches ``cut``.
 
@@ -315,7 +379,17 @@ def _elements(s, d):
     return _nodes(s, d).where("kind = 'element'")
 
 
+_PICKS = ("div", "article", "nav", "footer", "svg", "body", "h1")
+
+
+def _classified(s, d):
+    pages = X.varied_pages(s, d)
+    pick = F.element_at(F.array(*map(F.lit, _PICKS)), (F.col("page_id") % len(_PICKS) + 1).cast("int"))
+    return classified(H.spread(pages), pick, 9_000.0)
+
+
 QUERIES = {
+    "target_classification": _classified,
     "fingerprint_match": _matched,
     "runtime_match": _runtime,
     "mapping_cascade": _cascade,
@@ -369,7 +443,22 @@ SELECT capture_id, node_idx, top::INT AS score, coalesce(top - second, top)::INT
   - greatest(0::DOUBLE, least(0.3::DOUBLE, penalty::DOUBLE / 45::DOUBLE)) - CASE WHEN near > 1 THEN least(0.22::DOUBLE, (near - 1)::DOUBLE * 0.07::DOUBLE) ELSE 0::DOUBLE END))''')} AS confidence,
   top >= 28 AS resolved, candidates::INT AS candidates, (second IS NOT NULL AND top - second < 12) OR near > 1 AS ambiguous, top3, node_idx = true_idx AS is_true FROM rk JOIN nr USING (capture_id) WHERE r = 1
 """
+_CLASS = f"""WITH RECURSIVE {X.VARIED_SQL}, {H.sql_over('vpages')},
+g AS (SELECT n.capture_id, min(node_idx) AS r FROM nodes n WHERE tag = ([{", ".join(f"'{t}'" for t in _PICKS)}])[(n.capture_id % {len(_PICKS)} + 1)::INT] GROUP BY ALL),
+w AS (SELECT n.*, g.r, lower(regexp_extract(raw, '(?:^|\\s)class\\s*=\\s*"([^"]*)"', 1)) AS cls, lower(regexp_extract(raw, '(?:^|\\s)role\\s*=\\s*"([^"]*)"', 1)) AS role FROM nodes n JOIN g USING (capture_id) WHERE node_idx = r OR list_contains(path, r)),
+rt AS (SELECT capture_id, r, any_value(tag) AS rtag, any_value(cls) AS rcls, any_value(role) AS rrole FROM w WHERE node_idx = r GROUP BY ALL),
+k AS (SELECT capture_id, count(*) AS kids, arg_min(tag, node_idx) AS ftag, arg_min(cls, node_idx) AS fcls, arg_min(role, node_idx) AS frole FROM w WHERE tag IS NOT NULL AND path[-1] = r GROUP BY ALL),
+c AS (SELECT capture_id, count(*) FILTER (tag IN ('svg', 'canvas')) AS surfaces, count(*) FILTER (tag = 'path') AS paths, count(*) FILTER (tag IN ('h1', 'h2', 'h3')) AS heads, count(*) FILTER (tag = 'p') AS ps, count(*) FILTER (tag = 'div') AS divs, count(*) FILTER (tag = 'button' OR role = 'button') AS buttons,
+  length(trim(regexp_replace(coalesce(string_agg(text, '' ORDER BY node_idx) FILTER (tag IS NULL), ''), '[\\s\\x{{00A0}}\\x{{FEFF}}]+', ' ', 'g')))::INT AS text_length FROM w WHERE node_idx <> r GROUP BY ALL),
+j AS (SELECT rt.*, coalesce(kids, 0) AS kids, CASE WHEN ftag IN ('a', 'button', 'input', 'textarea', 'select', 'img', 'svg') THEN ftag ELSE rtag END AS ttag, CASE WHEN ftag IN ('a', 'button', 'input', 'textarea', 'select', 'img', 'svg') THEN fcls ELSE rcls END AS tcls, coalesce(ftag IN ('a', 'button', 'input', 'textarea', 'select', 'img', 'svg'), false) AS moved,
+  coalesce(surfaces, 0) + (rtag IN ('svg', 'canvas'))::INT AS surfaces, coalesce(paths, 0) AS paths, coalesce(heads, 0) AS heads, coalesce(ps, 0) AS ps, coalesce(divs, 0) AS divs, coalesce(buttons, 0) AS buttons, coalesce(text_length, 0) AS text_length, greatest(1, (r % 180 + 20) * (r % 60 + 10))::DOUBLE / 9000::DOUBLE AS ratio
+  FROM rt LEFT JOIN k USING (capture_id) LEFT JOIN c USING (capture_id)),
+q AS (SELECT *, CASE WHEN regexp_matches(rcls, 'board|piece|square|coord|layer|overlay|highlight|ghost|arrow') THEN 1 WHEN surfaces >= 1 AND (paths >= 2 OR regexp_matches(tcls || ' ' || rcls, 'chart|graph|plot|series|trend|analytics|axis')) THEN 2
+  WHEN ttag IN ('button', 'input', 'textarea', 'select', 'img', 'svg') AND NOT moved THEN 3 WHEN ratio > 0.12::DOUBLE AND heads >= 1 AND ps >= 1 AND kids >= 2 AND (buttons >= 2 OR divs >= 8 OR text_length > 120) THEN 4 ELSE 5 END AS k FROM j)
+SELECT capture_id, ttag AS target_tag, text_length, (['render-scene', 'render-scene', 'semantic-leaf', 'noisy-container', 'semantic-shell'])[k] AS target_class, (['board-like', 'chart-like', 'generic', 'generic', 'generic'])[k] AS subtype,
+  (['class-evidence:scene-primitives-present class-evidence:frame-chain-required', 'class-evidence:chart-primitives-present class-evidence:scene-visualization-dominant', 'class-evidence:leaf-interactive-node', 'class-evidence:multi-region-dense-container', 'class-evidence:bounded-shell-default'])[k] AS reasons FROM q"""
 ORACLE = {
+    "target_classification": _CLASS,
     "runtime_match": _RUN,
     "fingerprint_match": _MATCH + "SELECT * FROM matched",
     "mapping_cascade": _MATCH + f"""SELECT p.page_id AS capture_id, CASE WHEN m.resolved AND p.page_id % 4 <> 0 THEN 'dom-traversal' WHEN p.page_id % 3 <> 0 THEN 'selector-fallback' ELSE 'unresolved' END AS strategy,
