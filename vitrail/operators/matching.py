@@ -15,59 +15,146 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..sources import fixtures as X
+from . import fallback as B
 from . import htmltree as H
 
 #: FIXED VALUES: points of the signals of a match by document traversal.
 POINTS = {
     "tag": 24, "id": 32, "class": 4, "class_cap": 18, "sibling": 7, "children_same": 5, "children_near": 2, "children_far": -4,
     "attribute": 4, "attribute_cap": 14, "ancestor_tag": 3, "ancestor_id": 4, "ancestor_class": 1, "ancestor_cap": 18,
+    "shadow_same": 3, "shadow_other": -10, "depth_same": 5, "depth_near": 1, "depth_far": -6, "host": 3, "host_cap": 8, "host_none": -5,
 }
-LEVELS, RESOLVED, WINDOW = 5, 32, 9
+LEVELS, SUMMARY_LEVELS, RESOLVED, WINDOW = 5, 8, 32, 9
 SELECTOR_CONFIDENCE = 0.28
 
 
-def described(nodes: DataFrame) -> DataFrame:
-    """Elements with what matching looks at: sibling and child counts, classes, ancestors' tags."""
-    # Place among all children, texts included, as a document walk counts them.
-    w = W.partitionBy("capture_id", "parent_idx").orderBy("node_idx")
-    placed = nodes.withColumn("sibling_idx", F.row_number().over(w) - 1).where("kind = 'element'")
-    children = nodes.where("parent_idx is not null").groupBy("capture_id", F.col("parent_idx").alias("node_idx")).agg(F.count(F.lit(1)).cast("int").alias("children"))
-    d = placed.join(children, ["capture_id", "node_idx"], "left")
-    up = F.slice(F.reverse("path_tags"), 1, LEVELS)
-    attr = lambda k: F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit(""))
-    return d.select(
-        "capture_id", "node_idx", "tag", "sibling_idx", F.coalesce("children", F.lit(0)).alias("children"),
-        F.lower(attr("id")).alias("id"), F.transform(T.class_tokens(attr("class")), F.lower).alias("classes"),
-        attr("href").alias("href"), up.alias("ancestors"),
-    )
+def _lower_attribute(attrs: Column, name: str) -> Column:
+    return F.lower(F.coalesce(F.try_element_at(attrs, F.lit(name)), F.lit("")))
 
 
-def fingerprints(elements: DataFrame) -> DataFrame:
-    """A fingerprint a capture: that of its second link, or its only one."""
-    links = elements.where("tag = 'a'")
-    w = W.partitionBy("capture_id").orderBy("node_idx")
-    return links.withColumn("_r", F.row_number().over(w)).where("_r <= 2").groupBy("capture_id").agg(
-        F.max_by(F.struct(*[c for c in elements.columns if c != "capture_id"]), "_r").alias("fp")
-    )
+def once(d: DataFrame, **columns: Column) -> DataFrame:
+    """``d`` with columns that are computed once a row; a plain projection would be repeated wherever a
+    lambda reads them."""
+    return d.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
 
+def described(pages: DataFrame, in_shadow=None) -> DataFrame:
+    """(capture_id, nodes, els): the elements of each page with what matching looks at, inside the row.
 
-def score(elements: DataFrame, prints: DataFrame) -> DataFrame:
-    """(capture_id, node_idx, tag, score, penalty) of every candidate with points."""
-    p, c = POINTS, elements.join(prints, "capture_id")
-    fp = lambda k: F.col(f"fp.{k}")
-    same = lambda x, y, n: F.when((x != "") & (x == y), n).otherwise(0)
-    classes = F.least(F.lit(p["class_cap"]), p["class"] * F.size(F.array_intersect(F.col("classes"), fp("classes"))))
-    apart = F.abs(F.col("children") - fp("children"))
-    children = F.when(apart == 0, p["children_same"]).when(apart <= 2, p["children_near"]).otherwise(p["children_far"])
-    levels = F.zip_with(F.col("ancestors"), fp("ancestors"), lambda a, b: F.when(a == b, p["ancestor_tag"]).otherwise(0))
-    ancestors = F.least(F.lit(p["ancestor_cap"]), F.aggregate(levels, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))))
-    total = (
-        same(F.col("tag"), fp("tag"), p["tag"]) + same(F.col("id"), fp("id"), p["id"]) + classes
-        + F.when(F.col("sibling_idx") == fp("sibling_idx"), p["sibling"]).otherwise(0) + children
-        + same(F.col("href"), fp("href"), p["attribute"]) + ancestors
+    An element has its places among all children and among the elements of its parent, its numbers of
+    children of both sorts, id, classes, attributes, its ancestors (nearest first, with id and classes)
+    and the hosts of the shadow roots around it.  ``in_shadow`` says of a node whether it hangs in its
+    parent's shadow root.
+    """
+    in_shadow = in_shadow or (lambda n: F.lit(False))
+    d = once(pages.select(F.col("page_id").alias("capture_id"), "html"), nodes=H.parse(F.col("html"))).drop("html")
+    # Nodes in order of parents: places are counted in one fold, and the last of a parent tells its children.
+    rows = F.array_sort(F.transform("nodes", lambda n: F.struct(F.coalesce(n["parent_idx"], F.lit(-1)).alias("up"), n["node_idx"].alias("i"), n["tag"].isNotNull().cast("int").alias("e"))))
+    start = F.struct(F.lit(-2).alias("up"), F.lit(0).alias("k"), F.lit(0).alias("n"), F.array().cast("array<struct<i:int,up:int,place:int,element_place:int,elements:int>>").alias("out"))
+
+    def count(a: Column, x: Column) -> Column:
+        same = x["up"] == a["up"]
+        place, before = F.when(same, a["k"]).otherwise(0), F.when(same, a["n"]).otherwise(0)
+        own = F.struct(x["i"].alias("i"), x["up"].alias("up"), place.alias("place"), before.alias("element_place"), (before + x["e"]).alias("elements"))
+        return F.struct(x["up"].alias("up"), (place + 1).alias("k"), (before + x["e"]).alias("n"), F.concat(a["out"], F.array(own)).alias("out"))
+
+    d = once(d, _places=F.aggregate(rows, start, count, lambda a: a["out"]))
+    last = F.filter("_places", lambda x, k: F.coalesce(F.get(F.col("_places"), k + 1)["up"] != x["up"], F.lit(True)))
+    d = once(d, _kids=F.map_from_entries(F.transform(last, lambda x: F.struct(x["up"], F.struct((x["place"] + 1).alias("all"), x["elements"].alias("elements"))))))
+    d = once(d, _at=F.array_sort("_places")).drop("_places")
+
+    def shape(n: Column) -> Column:
+        at, kids, attrs = F.get(F.col("_at"), n["node_idx"]), F.try_element_at("_kids", n["node_idx"]), H.attributes(F.coalesce(n["attrs"], F.lit("")))
+        return F.struct(
+            n["node_idx"].alias("i"), n["parent_idx"].alias("up"), n["tag"].alias("tag"), n["path"].alias("path"), at["place"].alias("place"), at["element_place"].alias("element_place"),
+            F.coalesce(kids["all"], F.lit(0)).alias("children"), F.coalesce(kids["elements"], F.lit(0)).alias("element_children"),
+            _lower_attribute(attrs, "id").alias("id"), F.transform(T.class_tokens(F.try_element_at(attrs, F.lit("class"))), F.lower).alias("classes"), attrs.alias("attrs"), in_shadow(n).alias("shadow"),
+        )
+
+    d = once(d, _all=F.transform("nodes", shape))
+    at = lambda i: F.get(F.col("_all"), i)
+
+    def context(e: Column) -> Column:
+        up = F.transform(F.slice(F.reverse(e["path"]), 1, SUMMARY_LEVELS), at)
+        summary = F.transform(up, lambda x: F.struct(x["tag"].alias("tag"), x["id"].alias("id"), F.slice(x["classes"], 1, 8).alias("classes")))
+        roots = F.filter(F.transform(F.reverse(F.concat(e["path"], F.array(e["i"]))), at), lambda x: x["shadow"])
+        hosts = F.transform(F.transform(roots, lambda x: at(x["up"])), lambda h: F.concat(h["tag"], F.when(h["id"] != "", F.concat(F.lit("#"), h["id"])).otherwise(""), F.array_join(F.transform(F.slice(h["classes"], 1, 2), lambda c: F.concat(F.lit("."), c)), "")))
+        return F.struct(
+            *[e[c].alias(c) for c in ("i", "tag", "place", "element_place", "children", "element_children", "id", "classes", "attrs")], summary.alias("ancestors"), hosts.alias("hosts")
+        )
+
+    els = F.transform(F.filter("_all", lambda e: e["tag"].isNotNull()), context)
+    return once(d, els=els).select("capture_id", "nodes", "els")
+
+
+def picked(els: Column, tag: str = "a") -> Column:
+    """The element that was picked: the second link, or the only one."""
+    links = F.filter(els, lambda e: e["tag"] == tag)
+    return F.coalesce(F.get(links, F.lit(1)), F.get(links, F.lit(0)))
+
+
+def _class_points(p: dict, e: Column, fp: Column) -> Column:
+    return F.least(F.lit(p["class_cap"]), p["class"] * F.size(F.array_intersect(e["classes"], fp["classes"])))
+
+
+def _hint_points(p: dict, e: Column, fp: Column) -> Column:
+    own = lambda h: F.lower(T.compact(F.coalesce(F.try_element_at(e["attrs"], h["name"]), F.lit(""))))
+    same = F.filter(fp["hints"], lambda h: (own(h) != "") & (own(h) == F.lower(h["value"])))
+    return F.least(F.lit(p["attribute_cap"]), p["attribute"] * F.size(same))
+
+
+def _ancestor_points(p: dict, e: Column, fp: Column) -> Column:
+    pairs = F.arrays_zip(F.slice(fp["ancestors"], 1, LEVELS).alias("x"), F.slice(e["ancestors"], 1, LEVELS).alias("y"))
+    level = lambda z: (
+        F.when(z["x"]["tag"] == z["y"]["tag"], p["ancestor_tag"]).otherwise(0) + F.when((z["x"]["id"] != "") & (z["x"]["id"] == z["y"]["id"]), p["ancestor_id"]).otherwise(0)
+        + p["ancestor_class"] * F.greatest(F.coalesce(F.size(F.array_intersect(z["x"]["classes"], z["y"]["classes"])), F.lit(0)), F.lit(0))
     )
-    penalty = F.when(apart > 2, -p["children_far"]).otherwise(0)
-    return c.select("capture_id", "node_idx", "tag", total.alias("score"), penalty.alias("penalty"), F.col("fp.node_idx").alias("true_idx")).where("score > 0")
+    both = F.filter(pairs, lambda z: z["x"].isNotNull() & z["y"].isNotNull())
+    return F.least(F.lit(p["ancestor_cap"]), F.aggregate(both, F.lit(0), lambda a, z: a + level(z)))
+
+
+def _child_points(p: dict, apart: Column) -> Column:
+    return F.when(apart == 0, p["children_same"]).when(apart <= 2, p["children_near"]).otherwise(p["children_far"])
+
+
+def _shadow_points(p: dict, e: Column, fp: Column) -> list[Column]:
+    """Points for the shadow roots around: inside or not, how deep, and whose."""
+    inside, own = F.size(fp["hosts"]) > 0, F.size(e["hosts"]) > 0
+    apart = F.abs(F.size(fp["hosts"]) - F.size(e["hosts"]))
+    names = F.transform(e["ancestors"], lambda x: F.concat(x["tag"], F.when(x["id"] != "", F.concat(F.lit("#"), x["id"])).otherwise("")))
+    met = F.size(F.filter(fp["hosts"], lambda h: F.exists(names, lambda x: F.contains(x, h))))
+    return [
+        F.when(inside == own, p["shadow_same"]).otherwise(p["shadow_other"]),
+        F.when(inside & own, F.when(apart == 0, p["depth_same"]).when(apart == 1, p["depth_near"]).otherwise(p["depth_far"])).otherwise(0),
+        F.when(inside & own, F.when(met > 0, F.least(F.lit(p["host_cap"]), p["host"] * met)).otherwise(p["host_none"])).otherwise(0),
+    ]
+
+
+def with_fingerprint(d: DataFrame, extra=None) -> DataFrame:
+    """``d`` with the picked element's fingerprint: the element, and hints from its attributes."""
+    d = once(d, _fp=picked(F.col("els"))).where("_fp is not null")
+    return once(d, fp=F.col("_fp").withField("hints", B.attribute_hints(F.col("_fp.attrs")))).drop("_fp")
+
+
+def score(d: DataFrame) -> DataFrame:
+    """``d`` with ``c``: score, node_idx, tag and penalty of every candidate with points, the best first.
+
+    Candidates count all children, the fingerprint counted elements, as the two sides do.
+    """
+    p, fp = POINTS, F.col("fp")
+
+    def points(e: Column) -> Column:
+        apart = F.abs(e["children"] - fp["element_children"])
+        children, shadow = _child_points(p, apart), _shadow_points(p, e, fp)
+        total = (
+            F.when(e["tag"] == fp["tag"], p["tag"]).otherwise(0) + F.when((e["id"] != "") & (e["id"] == fp["id"]), p["id"]).otherwise(0) + _class_points(p, e, fp)
+            + F.when(e["place"] == fp["element_place"], p["sibling"]).otherwise(0) + children + _hint_points(p, e, fp) + _ancestor_points(p, e, fp) + shadow[0] + shadow[1] + shadow[2]
+        )
+        lost = F.array(children, *shadow)
+        penalty = F.aggregate(lost, F.lit(0), lambda a, x: a + F.greatest(F.lit(0), -x))
+        return F.struct((-total).alias("s"), e["i"].alias("node_idx"), e["tag"].alias("tag"), penalty.alias("penalty"))
+
+    return once(d, c=F.array_sort(F.filter(F.transform("els", points), lambda x: x["s"] < 0)))
 
 
 def confidence(best: Column, margin: Column, penalty: Column, near: Column) -> Column:
@@ -91,16 +178,16 @@ def runtime_confidence(best: Column, margin: Column, penalty: Column, near: Colu
 #: FIXED VALUES: points of the signals of a match in the running page.
 RUNTIME_POINTS = {
     "tag": 26, "id": 34, "class": 4, "class_cap": 20, "text_same": 18, "text_near": 8, "text_far": -8, "sibling": 8, "children_same": 6, "children_near": 2,
-    "children_far": -6, "attribute": 5, "attribute_cap": 18, "ancestor_tag": 4, "ancestor_cap": 20, "outside_shadow": 4, "overlap_high": 26, "overlap_mid": 16, "centre": 8,
+    "children_far": -6, "attribute": 5, "attribute_cap": 18, "ancestor_tag": 4, "ancestor_id": 4, "ancestor_class": 1, "ancestor_cap": 20,
+    "shadow_same": 4, "shadow_other": -12, "overlap_high": 26, "overlap_mid": 16, "centre": 8,
 }
 RUNTIME_RESOLVED, RUNTIME_WINDOW, TEXT_OVERLAP = 28, 12, 0.45
 
 
-def texts(nodes: DataFrame, limit: int = 280) -> DataFrame:
-    """Compact lower-case text below each element, cut to ``limit``."""
-    below = nodes.where("kind = 'text'").select("capture_id", F.col("node_idx").alias("t"), "text", F.explode("path").alias("node_idx"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "text"))), lambda x: x["text"]), "")
-    return below.groupBy("capture_id", "node_idx").agg(F.substring(F.lower(T.compact(joined)), 1, limit).alias("content"))
+def content(nodes: Column, i: Column, limit: int = 280) -> Column:
+    """Compact lower-case text below a node, cut to ``limit``."""
+    below = F.filter(nodes, lambda n: n["tag"].isNull() & F.array_contains(n["path"], i))
+    return F.substring(F.lower(T.compact(F.array_join(F.transform(below, lambda n: n["text"]), ""))), 1, limit)
 
 
 def box_points(fp: Column, own: Column) -> tuple[Column, Column]:
@@ -119,42 +206,36 @@ def box_points(fp: Column, own: Column) -> tuple[Column, Column]:
     return points, drift
 
 
-def runtime_score(elements: DataFrame, prints: DataFrame) -> DataFrame:
-    """Scores among elements of the fingerprint's tag in the light document.
+def runtime_score(d: DataFrame, box) -> DataFrame:
+    """``d`` with ``c`` as ``score`` gives it, of the elements with the fingerprint's tag in the light document.
 
-    ``elements`` have content and box beside what ``described`` gives, and element_idx and
-    element_children, which count elements only.
+    ``box`` gives an element's box; ``fp`` has its own as ``box``.
     """
-    p = RUNTIME_POINTS
-    c = elements.join(prints, (elements.capture_id == prints.capture_id) & (elements.tag == prints["fp.tag"])).drop(prints.capture_id)
-    fp = lambda k: F.col(f"fp.{k}")
-    mine, theirs = F.coalesce("content", F.lit("")), F.substring(F.coalesce(fp("content"), F.lit("")), 1, 220)
-    contained = F.contains(mine, theirs) | F.contains(theirs, F.substring(mine, 1, 80))
+    p, fp = RUNTIME_POINTS, F.col("fp")
     words = lambda x: F.filter(F.split(x, " "), lambda t: t != "")
-    text = F.when((theirs == "") | (mine == ""), 0).when(contained, p["text_same"]).when(T.overlap(words(mine), words(theirs)) >= TEXT_OVERLAP, p["text_near"]).otherwise(p["text_far"])
-    apart = F.abs(F.col("element_children") - fp("element_children"))
-    children = F.when(apart == 0, p["children_same"]).when(apart <= 2, p["children_near"]).otherwise(p["children_far"])
-    levels = F.zip_with(F.col("ancestors"), fp("ancestors"), lambda a, b: F.when(a == b, p["ancestor_tag"]).otherwise(0))
-    points, drift = box_points(fp("box"), F.col("box"))
-    total = (
-        p["tag"] + F.when((F.col("id") != "") & (F.col("id") == fp("id")), p["id"]).otherwise(0)
-        + F.least(F.lit(p["class_cap"]), p["class"] * F.size(F.array_intersect(F.col("classes"), fp("classes")))) + text
-        + F.when(F.col("element_idx") == fp("element_idx"), p["sibling"]).otherwise(0) + children
-        + F.when((F.col("href") != "") & (F.col("href") == fp("href")), p["attribute"]).otherwise(0)
-        + F.least(F.lit(p["ancestor_cap"]), F.aggregate(levels, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))) + p["outside_shadow"] + points
-    )
-    penalty = F.when(text < 0, 8).otherwise(0) + F.when(apart > 2, 6).otherwise(0) + drift
-    return c.select("capture_id", "node_idx", "tag", total.alias("score"), penalty.alias("penalty"), F.col("fp.node_idx").alias("true_idx")).where("score > 0")
+    same = F.filter("els", lambda e: (e["tag"] == fp["tag"]) & (F.size(e["hosts"]) == 0))
+    d = once(d, _same=F.transform(same, lambda e: e.withField("content", content(F.col("nodes"), e["i"]))), _text=F.substring(content(F.col("nodes"), fp["i"]), 1, 220))
+
+    def points(e: Column) -> Column:
+        mine, theirs = e["content"], F.col("_text")
+        contained = F.contains(mine, theirs) | F.contains(theirs, F.substring(mine, 1, 80))
+        text = F.when((theirs == "") | (mine == ""), 0).when(contained, p["text_same"]).when(T.overlap(words(mine), words(theirs)) >= TEXT_OVERLAP, p["text_near"]).otherwise(p["text_far"])
+        children = _child_points(p, F.abs(e["element_children"] - fp["element_children"]))
+        shadow = F.when(F.size(fp["hosts"]) == 0, p["shadow_same"]).otherwise(p["shadow_other"])
+        where, drift = box_points(fp["box"], box(e["i"], 0))
+        total = (
+            p["tag"] + F.when((e["id"] != "") & (e["id"] == fp["id"]), p["id"]).otherwise(0) + _class_points(p, e, fp) + text
+            + F.when(e["element_place"] == fp["element_place"], p["sibling"]).otherwise(0) + children + _hint_points(p, e, fp) + _ancestor_points(p, e, fp) + shadow + where
+        )
+        penalty = F.aggregate(F.array(text, children, shadow), drift, lambda a, x: a + F.greatest(F.lit(0), -x))
+        return F.struct((-total).alias("s"), e["i"].alias("node_idx"), e["tag"].alias("tag"), penalty.alias("penalty"))
+
+    return once(d, c=F.array_sort(F.filter(F.transform("_same", points), lambda x: x["s"] < 0)))
 
 
 def resolve(scored: DataFrame, calibrate=None, cut: int = RESOLVED, window: int = WINDOW) -> DataFrame:
-    """The best candidate of each capture (ties: the first in the document), margin and confidence.
-
-    One aggregation: the best three are kept by a partial sort of structs, near ones are counted
-    against the best after it.
-    """
-    by_rank = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "node_idx", "tag", "penalty", "true_idx")))
-    d = scored.groupBy("capture_id").agg(by_rank.alias("c"))
+    """The best candidate of each capture (ties: the first in the document), margin and confidence."""
+    d = scored.where(F.size("c") > 0)
     best, second = F.col("c")[0], F.get(F.col("c"), F.lit(1))
     top = -best["s"]
     margin = F.coalesce(top + second["s"], top)
@@ -166,7 +247,7 @@ def resolve(scored: DataFrame, calibrate=None, cut: int = RESOLVED, window: int
         (top >= cut).alias("resolved"), F.size("c").alias("candidates"),
         ((second.isNotNull() & (margin < window)) | (near > 1)).alias("ambiguous"),
         F.array_join(F.transform(F.slice("c", 1, 3), line), ", ").alias("top3"),
-        (best["node_idx"] == best["true_idx"]).alias("is_true"),
+        (best["node_idx"] == F.col("fp.i")).alias("is_true"),
     )
 
 
@@ -351,21 +432,36 @@ def _nodes(s, d):
     return H.nodes(H._read(s, d))
 
 
+def _in_shadow(n: Column) -> Column:
+    return (n["tag"] == "li") & (n["node_idx"] % 4 == 0)
+
+
+def _described(s, d):
+    return with_fingerprint(described(H.spread(X.varied_pages(s, d)), _in_shadow))
+
+
 def _matched(s, d):
-    e = described(_nodes(s, d))
-    return resolve(score(e, fingerprints(e)))
+    return resolve(score(_described(s, d)))
+
+
+def _box(i: Column, shift: int) -> Column:
+    return F.struct((i * 7 % 900 + shift).cast("double").alias("x"), (i * 13 % 700).cast("double").alias("y"), (i % 180 + 20).cast("double").alias("width"), (i % 60 + 10).cast("double").alias("height"))
 
 
 def _runtime(s, d):
-    n = _nodes(s, d)
-    i = F.col("node_idx")
-    box = lambda shift: F.struct((i * 7 % 900 + shift).cast("double").alias("x"), (i * 13 % 700).cast("double").alias("y"), (i % 180 + 20).cast("double").alias("width"), (i % 60 + 10).cast("double").alias("height"))
-    places = H.siblings(n).select("capture_id", "node_idx", F.col("sibling_idx").alias("element_idx"))
-    kids = n.where("kind = 'element' and parent_idx is not null").groupBy("capture_id", F.col("parent_idx").alias("node_idx")).agg(F.count(F.lit(1)).cast("int").alias("element_children"))
-    key = ["capture_id", "node_idx"]
-    e = described(n).where("tag = 'a'").join(places, key).join(kids, key, "left").join(texts(n), key, "left")
-    e = e.withColumns({"element_children": F.coalesce("element_children", F.lit(0)), "box": box(0)})
-    return resolve(runtime_score(e, fingerprints(e.withColumn("box", box(9)))), runtime_confidence, RUNTIME_RESOLVED, RUNTIME_WINDOW)
+    c = _described(s, d).withColumnRenamed("fp", "_fp")
+    c = once(c, fp=F.col("_fp").withField("box", _box(F.col("_fp.i"), 9)))
+    return resolve(runtime_score(c, _box), runtime_confidence, RUNTIME_RESOLVED, RUNTIME_WINDOW)
+
+
+def _fingerprint_rows(s, d):
+    fp = F.col("fp")
+    return _described(s, d).select(
+        "capture_id", fp["i"].alias("node_idx"), fp["tag"].alias("tag"), fp["element_place"].alias("sibling_index"), fp["element_children"].alias("child_count"),
+        F.array_join(F.transform(fp["hints"], lambda h: F.concat(h["name"], F.lit("="), h["value"])), ";").alias("hints"),
+        F.array_join(F.transform(fp["ancestors"], lambda x: F.concat(x["tag"], F.lit("#"), x["id"], F.lit("."), F.array_join(x["classes"], "."))), ">").alias("ancestry"),
+        F.size(fp["hosts"]).alias("shadow_depth"), F.array_join(fp["hosts"], ">").alias("host_chain"),
+    )
 
 
 def _cascade(s, d):
@@ -390,6 +486,7 @@ def _classified(s, d):
 
 QUERIES = {
     "target_classification": _classified,
+    "target_fingerprint": _fingerprint_rows,
     "fingerprint_match": _matched,
     "runtime_match": _runtime,
     "mapping_cascade": _cascade,
@@ -408,35 +505,41 @@ el AS (SELECT p.capture_id, p.node_idx, p.tag, p.sibling_idx, coalesce(k.childre
   regexp_extract(raw, 'href\\s*=\\s*"([^"]*)"', 1) AS href, list_transform(list_reverse(path)[1:5], lambda i: names[i]) AS ancestors, raw
   FROM placed p LEFT JOIN kids k USING (capture_id, node_idx) JOIN names n USING (capture_id) WHERE tag IS NOT NULL)
 """
-_MATCH = _ELEMENTS + f""", fp AS (SELECT * FROM el WHERE tag = 'a' QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY node_idx) <= 2),
-f AS (SELECT * FROM fp QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY node_idx DESC) = 1),
-sc AS (SELECT e.capture_id, e.node_idx, e.tag, f.node_idx AS true_idx, CASE WHEN e.tag = f.tag THEN 24 ELSE 0 END + CASE WHEN e.id <> '' AND e.id = f.id THEN 32 ELSE 0 END + least(18, 4 * len(list_intersect(e.classes, f.classes)))
-  + CASE WHEN e.sibling_idx = f.sibling_idx THEN 7 ELSE 0 END + CASE WHEN e.children = f.children THEN 5 WHEN abs(e.children - f.children) <= 2 THEN 2 ELSE -4 END + CASE WHEN e.href <> '' AND e.href = f.href THEN 4 ELSE 0 END
-  + least(18, coalesce(list_sum(list_transform(list_zip(e.ancestors, f.ancestors), lambda z: CASE WHEN z[1] = z[2] THEN 3 ELSE 0 END)), 0)) AS score, CASE WHEN abs(e.children - f.children) > 2 THEN 4 ELSE 0 END AS penalty
-  FROM el e JOIN f USING (capture_id)),
+_SHADOWED = f"""WITH RECURSIVE {X.VARIED_SQL}, {H.sql_over('vpages')},
+pl AS (SELECT *, (row_number() OVER (PARTITION BY capture_id, path[-1] ORDER BY node_idx) - 1)::INT AS place, (count(tag) OVER (PARTITION BY capture_id, path[-1] ORDER BY node_idx) - (tag IS NOT NULL)::INT)::INT AS eplace FROM nodes),
+kd AS (SELECT capture_id, path[-1] AS node_idx, count(*)::INT AS kids, count(tag)::INT AS ekids FROM nodes WHERE len(path) > 0 GROUP BY ALL),
+e0 AS (SELECT p.*, coalesce(kids, 0) AS kids, coalesce(ekids, 0) AS ekids, lower(regexp_extract(raw, '(?:^|\\s)id\\s*=\\s*"([^"]*)"', 1)) AS id, list_filter(string_split_regex(lower(regexp_extract(raw, '(?:^|\\s)class\\s*=\\s*"([^"]*)"', 1)), '\\s+'), lambda x: x <> '') AS classes FROM pl p LEFT JOIN kd k ON k.capture_id = p.capture_id AND k.node_idx = p.node_idx WHERE tag IS NOT NULL),
+m AS (SELECT capture_id, map(list(node_idx), list(tag)) AS mt, map(list(node_idx), list(id)) AS mi, map(list(node_idx), list(classes)) AS mc, map(list(node_idx), list(coalesce(path[-1], -1))) AS mp, list(node_idx) FILTER (tag = 'li' AND node_idx % 4 = 0) AS sh FROM e0 GROUP BY ALL),
+el AS (SELECT e0.*, list_transform(list_reverse(path)[1:8], lambda i: mt[i]) AS at_, list_transform(list_reverse(path)[1:8], lambda i: mi[i]) AS ai, list_transform(list_reverse(path)[1:8], lambda i: mc[i]) AS ac,
+  list_transform(list_filter(list_reverse(list_append(path, node_idx)), lambda i: list_contains(coalesce(sh, []), i)), lambda i: mt[mp[i]] || CASE WHEN mi[mp[i]] <> '' THEN '#' || mi[mp[i]] ELSE '' END || CASE WHEN len(mc[mp[i]]) > 0 THEN '.' || array_to_string(mc[mp[i]][1:2], '.') ELSE '' END) AS hosts,
+  regexp_extract(raw, '(?:^|\\s)href\\s*=\\s*"([^"]*)"', 1) AS href FROM e0 JOIN m USING (capture_id)),
+f2 AS (SELECT * FROM el WHERE tag = 'a' QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY node_idx) <= 2), f AS (SELECT * FROM f2 QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY node_idx DESC) = 1),
+pr AS (SELECT e.*, f.node_idx AS true_idx, f.tag AS ftag, f.id AS fid, f.classes AS fclasses, f.eplace AS feplace, f.ekids AS fekids, f.href AS fhref, f.hosts AS fhosts, len(e.hosts) AS sd, len(f.hosts) AS fsd,
+  list_transform(range(1, least(5, len(e.at_), len(f.at_)) + 1), lambda i: [(e.at_[i] = f.at_[i])::INT, (f.ai[i] <> '' AND e.ai[i] = f.ai[i])::INT, len(list_intersect(e.ac[i], f.ac[i]))::INT]) AS lv,
+  len(list_filter(f.hosts, lambda h: len(list_filter(range(1, len(e.at_) + 1), lambda i: contains(e.at_[i] || CASE WHEN e.ai[i] <> '' THEN '#' || e.ai[i] ELSE '' END, h))) > 0)) AS met FROM el e JOIN f USING (capture_id))
+"""
+_MATCH = _SHADOWED + f""", sp AS (SELECT *, CASE WHEN kids = fekids THEN 5 WHEN abs(kids - fekids) <= 2 THEN 2 ELSE -4 END AS cp, CASE WHEN (fsd > 0) = (sd > 0) THEN 3 ELSE -10 END AS s1, CASE WHEN fsd > 0 AND sd > 0 THEN CASE abs(fsd - sd) WHEN 0 THEN 5 WHEN 1 THEN 1 ELSE -6 END ELSE 0 END AS s2,
+  CASE WHEN fsd > 0 AND sd > 0 THEN CASE WHEN met > 0 THEN least(8, 3 * met) ELSE -5 END ELSE 0 END AS s3 FROM pr),
+sc AS (SELECT capture_id, node_idx, tag, true_idx, (CASE WHEN tag = ftag THEN 24 ELSE 0 END + CASE WHEN id <> '' AND id = fid THEN 32 ELSE 0 END + least(18, 4 * len(list_intersect(classes, fclasses))) + CASE WHEN place = feplace THEN 7 ELSE 0 END + cp + CASE WHEN href <> '' AND lower(href) = lower(fhref) THEN 4 ELSE 0 END
+  + least(18, coalesce(list_sum(list_transform(lv, lambda z: z[1] * 3 + z[2] * 4 + z[3])), 0)) + s1 + s2 + s3)::INT AS score, greatest(0, -cp) + greatest(0, -s1) + greatest(0, -s2) + greatest(0, -s3) AS penalty FROM sp),
 rk AS (SELECT *, row_number() OVER w AS r, max(score) OVER (PARTITION BY capture_id) AS top, lead(score) OVER w AS second, count(*) OVER (PARTITION BY capture_id) AS candidates FROM sc WHERE score > 0 WINDOW w AS (PARTITION BY capture_id ORDER BY score DESC, node_idx)),
 nr AS (SELECT capture_id, count(*) FILTER (top - score < 9) AS near, string_agg(tag || ':' || score::INT || '(-' || penalty || ')', ', ' ORDER BY r) FILTER (r <= 3) AS top3 FROM rk GROUP BY capture_id),
 matched AS (SELECT capture_id, node_idx, top::INT AS score, coalesce(top - second, top)::INT AS margin, near::INT AS near, {N.sql_round3('''greatest(0.05::DOUBLE, least(1::DOUBLE, greatest(0.16::DOUBLE, least(0.93::DOUBLE, top::DOUBLE / 100::DOUBLE)) + greatest(0::DOUBLE, least(0.08::DOUBLE, coalesce(top - second, top)::DOUBLE / 30::DOUBLE))
   - greatest(0::DOUBLE, least(0.28::DOUBLE, penalty::DOUBLE / 35::DOUBLE)) - CASE WHEN near > 1 THEN least(0.2::DOUBLE, (near - 1)::DOUBLE * 0.06::DOUBLE) ELSE 0::DOUBLE END))''')} AS confidence,
   top >= 32 AS resolved, candidates::INT AS candidates, (second IS NOT NULL AND top - second < 9) OR near > 1 AS ambiguous, top3, node_idx = true_idx AS is_true FROM rk JOIN nr USING (capture_id) WHERE r = 1)
 """
-_RUN = _ELEMENTS + f""", tx AS (SELECT capture_id, node_idx AS t, text, unnest(path) AS node_idx FROM nodes WHERE tag IS NULL),
+_RUN = _SHADOWED + f""", tx AS (SELECT capture_id, node_idx AS t, text, unnest(path) AS node_idx FROM nodes WHERE tag IS NULL),
 ct AS (SELECT capture_id, node_idx, lower(trim(regexp_replace(string_agg(text, '' ORDER BY t), '[\\s\\x{{00A0}}\\x{{FEFF}}]+', ' ', 'g')))[1:280] AS content FROM tx GROUP BY ALL),
-ek AS (SELECT capture_id, parent_idx AS node_idx, count(*)::INT AS n FROM nodes WHERE tag IS NOT NULL AND parent_idx IS NOT NULL GROUP BY ALL),
-es AS (SELECT capture_id, node_idx, row_number() OVER (PARTITION BY capture_id, parent_idx ORDER BY node_idx) - 1 AS element_idx FROM nodes WHERE tag IS NOT NULL),
-c AS (SELECT el.*, coalesce(ek.n, 0) AS ec, element_idx, coalesce(content, '') AS content, (node_idx * 7 % 900)::DOUBLE AS x, (node_idx * 13 % 700)::DOUBLE AS y, (node_idx % 180 + 20)::DOUBLE AS w, (node_idx % 60 + 10)::DOUBLE AS h
-  FROM el LEFT JOIN ek USING (capture_id, node_idx) JOIN es USING (capture_id, node_idx) LEFT JOIN ct USING (capture_id, node_idx) WHERE tag = 'a'),
-f2 AS (SELECT * REPLACE (x + 9 AS x) FROM c QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY node_idx) <= 2), f AS (SELECT * FROM f2 QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY node_idx DESC) = 1),
-b0 AS (SELECT c.*, f.node_idx AS true_idx, f.id AS fid, f.classes AS fclasses, f.content[1:220] AS ftext, f.element_idx AS fi, f.ec AS fec, f.href AS fhref, f.ancestors AS fanc, f.w AS fw, f.h AS fh,
-  greatest(0::DOUBLE, least(f.x + f.w, c.x + c.w) - greatest(f.x, c.x)) * greatest(0::DOUBLE, least(f.y + f.h, c.y + c.h) - greatest(f.y, c.y)) AS inter, sqrt((f.x + f.w / 2 - (c.x + c.w / 2)) * (f.x + f.w / 2 - (c.x + c.w / 2)) + (f.y + f.h / 2 - (c.y + c.h / 2)) * (f.y + f.h / 2 - (c.y + c.h / 2))) AS dist
-  FROM c JOIN f USING (capture_id)),
+c AS (SELECT pr.*, coalesce(ct.content, '') AS content, coalesce(fc.content, '')[1:220] AS ftext, (pr.node_idx * 7 % 900)::DOUBLE AS x, (pr.node_idx * 13 % 700)::DOUBLE AS y, (pr.node_idx % 180 + 20)::DOUBLE AS w, (pr.node_idx % 60 + 10)::DOUBLE AS h,
+  (true_idx * 7 % 900 + 9)::DOUBLE AS fx, (true_idx * 13 % 700)::DOUBLE AS fy, (true_idx % 180 + 20)::DOUBLE AS fw, (true_idx % 60 + 10)::DOUBLE AS fh FROM pr LEFT JOIN ct ON ct.capture_id = pr.capture_id AND ct.node_idx = pr.node_idx LEFT JOIN ct fc ON fc.capture_id = pr.capture_id AND fc.node_idx = true_idx WHERE tag = ftag AND sd = 0),
+b0 AS (SELECT *, greatest(0::DOUBLE, least(fx + fw, x + w) - greatest(fx, x)) * greatest(0::DOUBLE, least(fy + fh, y + h) - greatest(fy, y)) AS inter, sqrt((fx + fw / 2 - (x + w / 2)) * (fx + fw / 2 - (x + w / 2)) + (fy + fh / 2 - (y + h / 2)) * (fy + fh / 2 - (y + h / 2))) AS dist FROM c),
 b1 AS (SELECT *, inter / greatest(1::DOUBLE, fw * fh + w * h - inter) AS iou, greatest(fw * fh, w * h) / greatest(1::DOUBLE, least(fw * fh, w * h)) AS ratio, dist / greatest(1::DOUBLE, fw, fh) <= 0.6::DOUBLE AS close,
   list_distinct(list_filter(string_split(content, ' '), lambda t: t <> '')) AS wa, list_distinct(list_filter(string_split(ftext, ' '), lambda t: t <> '')) AS wb FROM b0),
 b2 AS (SELECT *, CASE WHEN ftext = '' OR content = '' THEN 0 WHEN contains(content, ftext) OR contains(ftext, content[1:80]) THEN 18 WHEN len(list_intersect(wa, wb))::DOUBLE / greatest(len(wa), len(wb)) >= 0.45::DOUBLE THEN 8 ELSE -8 END AS tp FROM b1),
-sc AS (SELECT capture_id, node_idx, tag, true_idx, 26 + CASE WHEN id <> '' AND id = fid THEN 34 ELSE 0 END + least(20, 4 * len(list_intersect(classes, fclasses))) + tp + CASE WHEN element_idx = fi THEN 8 ELSE 0 END
-  + CASE WHEN ec = fec THEN 6 WHEN abs(ec - fec) <= 2 THEN 2 ELSE -6 END + CASE WHEN href <> '' AND href = fhref THEN 5 ELSE 0 END + least(20, coalesce(list_sum(list_transform(list_zip(ancestors, fanc), lambda z: CASE WHEN z[1] = z[2] THEN 4 ELSE 0 END)), 0)) + 4
-  + CASE WHEN iou >= 0.6::DOUBLE THEN 26 + CASE WHEN ratio <= 1.5::DOUBLE THEN 4 WHEN ratio <= 2.2::DOUBLE THEN 2 ELSE 0 END WHEN iou >= 0.35::DOUBLE THEN 16 + CASE WHEN ratio <= 1.8::DOUBLE THEN 2 ELSE 0 END WHEN close THEN 8 ELSE 0 END AS score,
-  CASE WHEN tp < 0 THEN 8 ELSE 0 END + CASE WHEN abs(ec - fec) > 2 THEN 6 ELSE 0 END + CASE WHEN iou < 0.35::DOUBLE AND NOT close THEN CASE WHEN ratio > 3 THEN 14 ELSE 8 END ELSE 0 END AS penalty FROM b2),
+sc AS (SELECT capture_id, node_idx, tag, true_idx, (26 + CASE WHEN id <> '' AND id = fid THEN 34 ELSE 0 END + least(20, 4 * len(list_intersect(classes, fclasses))) + tp + CASE WHEN eplace = feplace THEN 8 ELSE 0 END
+  + CASE WHEN ekids = fekids THEN 6 WHEN abs(ekids - fekids) <= 2 THEN 2 ELSE -6 END + CASE WHEN href <> '' AND lower(href) = lower(fhref) THEN 5 ELSE 0 END + least(20, coalesce(list_sum(list_transform(lv, lambda z: z[1] * 4 + z[2] * 4 + z[3])), 0)) + CASE WHEN fsd = 0 THEN 4 ELSE -12 END
+  + CASE WHEN iou >= 0.6::DOUBLE THEN 26 + CASE WHEN ratio <= 1.5::DOUBLE THEN 4 WHEN ratio <= 2.2::DOUBLE THEN 2 ELSE 0 END WHEN iou >= 0.35::DOUBLE THEN 16 + CASE WHEN ratio <= 1.8::DOUBLE THEN 2 ELSE 0 END WHEN close THEN 8 ELSE 0 END)::INT AS score,
+  CASE WHEN tp < 0 THEN 8 ELSE 0 END + CASE WHEN abs(ekids - fekids) > 2 THEN 6 ELSE 0 END + CASE WHEN fsd = 0 THEN 0 ELSE 12 END + CASE WHEN iou < 0.35::DOUBLE AND NOT close THEN CASE WHEN ratio > 3 THEN 14 ELSE 8 END ELSE 0 END AS penalty FROM b2),
 rk AS (SELECT *, row_number() OVER w AS r, max(score) OVER (PARTITION BY capture_id) AS top, lead(score) OVER w AS second, count(*) OVER (PARTITION BY capture_id) AS candidates FROM sc WHERE score > 0 WINDOW w AS (PARTITION BY capture_id ORDER BY score DESC, node_idx)),
 nr AS (SELECT capture_id, count(*) FILTER (top - score < 12) AS near, string_agg(tag || ':' || score::INT || '(-' || penalty || ')', ', ' ORDER BY r) FILTER (r <= 3) AS top3 FROM rk GROUP BY capture_id)
 SELECT capture_id, node_idx, top::INT AS score, coalesce(top - second, top)::INT AS margin, near::INT AS near, {N.sql_round3('''greatest(0.05::DOUBLE, least(1::DOUBLE, greatest(0.18::DOUBLE, least(0.97::DOUBLE, top::DOUBLE / 130::DOUBLE)) + greatest(0::DOUBLE, least(0.08::DOUBLE, coalesce(top - second, top)::DOUBLE / 35::DOUBLE))
@@ -459,6 +562,8 @@ SELECT capture_id, ttag AS target_tag, text_length, (['render-scene', 'render-sc
   (['class-evidence:scene-primitives-present class-evidence:frame-chain-required', 'class-evidence:chart-primitives-present class-evidence:scene-visualization-dominant', 'class-evidence:leaf-interactive-node', 'class-evidence:multi-region-dense-container', 'class-evidence:bounded-shell-default'])[k] AS reasons FROM q"""
 ORACLE = {
     "target_classification": _CLASS,
+    "target_fingerprint": _SHADOWED + """ SELECT capture_id, node_idx, tag, eplace AS sibling_index, ekids AS child_count, CASE WHEN href <> '' THEN 'href=' || href ELSE '' END AS hints,
+      array_to_string(list_transform(range(1, len(at_) + 1), lambda i: at_[i] || '#' || ai[i] || '.' || array_to_string(ac[i], '.')), '>') AS ancestry, len(hosts)::INT AS shadow_depth, array_to_string(hosts, '>') AS host_chain FROM f""",
     "runtime_match": _RUN,
     "fingerprint_match": _MATCH + "SELECT * FROM matched",
     "mapping_cascade": _MATCH + f"""SELECT p.page_id AS capture_id, CASE WHEN m.resolved AND p.page_id % 4 <> 0 THEN 'dom-traversal' WHEN p.page_id % 3 <> 0 THEN 'selector-fallback' ELSE 'unresolved' END AS strategy,

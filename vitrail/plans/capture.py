@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..operators import fidelity, htmltree, matching, resources, shadow, styles, timeline
+from ..operators import fidelity, matching, resources, shadow, styles, timeline
 from ..sources import fixtures, traces
 
 
@@ -26,9 +26,7 @@ def wide(spark: SparkSession, sf_dir: str, tolerance_ms: int = timeline.LINK_MS)
         "required_unresolved", "optional_unresolved", "resource_nodes",
     )
     events = timeline.counts(timeline.link_mutations(traces.read(spark, sf_dir), tolerance_ms))
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
-    elements = matching.described(htmltree.nodes(pages))
-    mapped = matching.resolve(matching.score(elements, matching.fingerprints(elements))).select(
+    mapped = matching._matched(spark, sf_dir).select(
         "capture_id", F.col("resolved").alias("has_mapped"), F.col("confidence").alias("mapping_confidence")
     )
     rules = styles.diagnostics(fixtures.css_rules(spark, sf_dir)).select("capture_id", F.col("rules").alias("rule_count"))
