@@ -76,6 +76,27 @@ def test_sinks(spark, tmp_path):
     sinks.write_reports(spark.createDataFrame([("one\ntwo",)], "report string"), f"{tmp_path}/reports")
 
 
+def test_screenshots_from_files_and_data_urls(spark, tmp_path):
+    import base64
+
+    import pytest
+
+    from vitrail.sources import screenshots
+
+    (tmp_path / "shots" / "deep").mkdir(parents=True)
+    (tmp_path / "shots" / "7.full.png").write_bytes(b"\x89PNG1")
+    (tmp_path / "shots" / "deep" / "8.clip.png").write_bytes(b"\x89PNG22")
+    (tmp_path / "shots" / "9.other.png").write_bytes(b"x")
+    (tmp_path / "shots" / "notes.txt").write_text("x")
+    got = sorted((r.capture_id, r.kind, bytes(r.png), r.length) for r in screenshots.read_images(spark, f"{tmp_path}/shots").collect())
+    assert got == [("7", "full", b"\x89PNG1", 5), ("8", "clip", b"\x89PNG22", 6)]
+    url = "data:image/png;base64," + base64.b64encode(b"abc").decode()
+    assert bytes(spark.range(1).select(screenshots.decoded(F.lit(url))).first()[0]) == b"abc"
+    with pytest.raises(Exception, match="not a PNG"):
+        spark.range(1).select(screenshots.decoded(F.col("id").cast("string"))).collect()
+    assert tuple(spark.range(1).select(screenshots.clip_size(F.lit(0.2), F.lit(3.0))).first()[0]) == (1.0, 3.0)
+
+
 def test_warnings_keep_their_stage(spark):
     a, b = F.array(F.lit("x"), F.lit(""), F.lit("x")), F.lit(None).cast("array<string>")
     got = spark.range(1).select(report.warnings_with_stage({"css": a, "dom": b}).alias("w")).first().w

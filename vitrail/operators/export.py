@@ -86,11 +86,44 @@ def structure_check(html: Column, script: Column) -> Column:
 
 
 def crop(d: DataFrame) -> DataFrame:
-    """Pixel rectangle of a clip: scaled by the device's ratio, kept inside the image."""
-    at = lambda c: F.floor(F.greatest(N.dbl(0), F.col(c) * F.col("ratio"))).cast("long")
-    size = lambda c, limit, start: F.greatest(F.lit(1).cast("long"), F.least(N.half_up(F.col(c) * F.col("ratio")).cast("long"), F.col(limit) - start))
-    d = d.withColumns({"crop_x": F.least(at("x"), F.col("image_width") - 1), "crop_y": F.least(at("y"), F.col("image_height") - 1)})
-    return d.withColumns({"crop_width": size("width", "image_width", F.col("crop_x")), "crop_height": size("height", "image_height", F.col("crop_y"))})
+    """Pixel rectangle of a clip: scaled by the device's ratio and rounded, its size kept inside the image."""
+    px = lambda c: N.half_up(F.col(c) * F.col("ratio")).cast("long")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    d = d.withColumns({"crop_x": F.greatest(zero, px("x")), "crop_y": F.greatest(zero, px("y"))})
+    inside = lambda size, limit, start: F.least(F.greatest(one, px(size)), F.greatest(one, F.col(limit) - F.col(start)))
+    return d.withColumns({"crop_width": inside("width", "image_width", "crop_x"), "crop_height": inside("height", "image_height", "crop_y")})
+
+
+def screenshot_source(clip: Column, is_bundle: Column, tab: Column) -> Column:
+    """Where a component's picture comes from: the capture's own clip, the visible tab, cropped, or nowhere."""
+    return F.when(is_bundle & T.present(clip).isNotNull(), "cdp-clip").when(T.present(tab).isNotNull(), "tab-crop").otherwise("none")
+
+
+#: Order of selectors, for charts in rendered scenes and for all else (fp: the fingerprint's, seed: the seed's).
+CHART_ORDER = ("fp_selected", "fp_stable", "seed_selected", "seed_stable", "fp_promoted_selected", "fp_promoted_stable", "graph_selector", "fallback_selector")
+ORDER = ("fp_promoted_selected", "fp_promoted_stable", "fp_selected", "fp_stable", "seed_selected", "seed_stable", "graph_selector", "fallback_selector")
+CLASSES = ("semantic-leaf", "semantic-shell", "interactive-composite", "noisy-container")
+
+
+def pick_selector() -> Column:
+    """The selector that an export stands under; empty if there is none."""
+    first = lambda names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names], F.lit(""))
+    chart = F.coalesce((F.col("class_hint") == "render-scene") & (F.col("subtype_hint") == "chart-like"), F.lit(False))
+    return F.when(chart, first(CHART_ORDER)).otherwise(first(ORDER))
+
+
+def portable_class() -> Column:
+    """Class of an export: the hint, else what the candidate or the subtree say of a scene."""
+    says = lambda c, *words: F.coalesce(F.exists(c, lambda w: F.contains(w, F.lit(words[0])) | F.contains(w, F.lit(words[-1]))), F.lit(False))
+    return (
+        F.when(F.col("class_hint") == "render-scene", "render-scene").when(F.col("class_hint").isin(*CLASSES), F.col("class_hint"))
+        .when(F.col("profile") == "scene-like", "render-scene").when(F.col("reconstruction") == "scene-preserving", "render-scene")
+        .when(says("candidate_warnings", "scene-like", "scene-preserving"), "render-scene").when(says("subtree_warnings", "scene"), "render-scene").otherwise("semantic-ui")
+    )
+
+
+def export_mode(target_class: Column) -> Column:
+    return F.when(target_class == "render-scene", "render-scene-freeze").otherwise("semantic-ui-portable")
 
 
 def rect(x: Column) -> Column:
@@ -138,6 +171,20 @@ def _crops(s, d):
     return crop(c).select("capture_id", "crop_x", "crop_y", "crop_width", "crop_height")
 
 
+def _picks(s, d):
+    p = F.col("page_id")
+    given = {n: F.when(p % k == 0, F.concat(F.lit(f"{n}-"), p.cast("string"))).when(p % k == 1, "") for n, k in zip(ORDER, (7, 6, 5, 4, 4, 3, 3, 2))}
+    word = lambda k, *w: F.when(p % k == 0, F.array(*map(F.lit, w)))
+    cols = {
+        **given, "class_hint": F.when(p % 3 == 0, "render-scene").when(p % 8 == 1, "semantic-leaf").when(p % 8 == 2, "other"), "subtype_hint": F.when(p % 2 == 0, "chart-like"),
+        "profile": F.when(p % 5 == 1, "scene-like"), "reconstruction": F.when(p % 5 == 2, "scene-preserving"), "candidate_warnings": word(4, "x", "has-scene-like-parts"), "subtree_warnings": word(5, "a-scene-b"),
+        "clip": F.when(p % 3 > 0, F.when(p % 3 == 1, "data:c").otherwise(" ")), "tab": F.when(p % 4 > 0, "data:t"),
+    }
+    d = s.read.parquet(f"{d}/pages.parquet").select(p.alias("capture_id"), *[c.alias(n) for n, c in cols.items()])
+    kind = portable_class()
+    return d.select("capture_id", pick_selector().alias("selector"), kind.alias("target_class"), export_mode(kind).alias("export_mode"), screenshot_source(F.col("clip"), F.col("capture_id") % 5 > 0, F.col("tab")).alias("picture"))
+
+
 def _html(s, d):
     p = F.col("page_id")
     # Every fifth page is only its footer, or a shell.
@@ -147,13 +194,18 @@ def _html(s, d):
 
 
 QUERIES = {
+    "export_picks": _picks,
     "export_choice": lambda s, d: choose(X.captures(s, d).join(X.exports(s, d).select("capture_id", "class_hint"), "capture_id")).select("capture_id", "selector", "failure", "tier", "target_class", "export_mode"),
     "export_html_counts": _html,
     "screenshot_crop": _crops,
     "viewer_state": _viewed,
 }
 
+_GIVEN = {n: f"CASE WHEN page_id % {k} = 0 THEN '{n}-' || page_id END" for n, k in zip(ORDER, (7, 6, 5, 4, 4, 3, 3, 2))}
 ORACLE = {
+    "export_picks": f"""WITH k AS (SELECT page_id, CASE WHEN page_id % 3 = 0 OR (page_id % 8 <> 1 AND (page_id % 5 IN (0, 1, 2) OR page_id % 4 = 0)) THEN 'render-scene' WHEN page_id % 8 = 1 THEN 'semantic-leaf' ELSE 'semantic-ui' END AS target_class FROM pages)
+      SELECT page_id AS capture_id, CASE WHEN page_id % 6 = 0 THEN coalesce({', '.join(_GIVEN[n] for n in CHART_ORDER)}, '') ELSE coalesce({', '.join(_GIVEN[n] for n in ORDER)}, '') END AS selector, target_class,
+        CASE WHEN target_class = 'render-scene' THEN 'render-scene-freeze' ELSE 'semantic-ui-portable' END AS export_mode, CASE WHEN page_id % 5 > 0 AND page_id % 3 = 1 THEN 'cdp-clip' WHEN page_id % 4 > 0 THEN 'tab-crop' ELSE 'none' END AS picture FROM k""",
     "export_choice": f"""WITH {X.CAPTURES_SQL}, {X.EXPORTS_SQL}, d AS (SELECT c.*, e.class_hint, CASE WHEN has_fingerprint THEN '#t' || c.capture_id WHEN has_mapped THEN 'main > .c' END AS selector FROM fx_captures c JOIN fx_exports e USING (capture_id)),
       f AS (SELECT *, CASE WHEN NOT has_node_mapping THEN 'replay-capsule-missing' WHEN coalesce(selector, '') = '' THEN 'selector-missing' WHEN NOT has_css_graph THEN 'css-graph-missing' WHEN rule_count = 0 AND inline_count = 0 THEN 'css-rules-empty' WHEN trim(css) = '' THEN 'css-serialize-empty'
         WHEN NOT has_target_subtree AND NOT has_candidate AND shadow_roots > 0 THEN 'empty-shell-export' END AS failure, coalesce(class_hint = 'render-scene', false) OR scene AS is_scene FROM d)
@@ -170,8 +222,8 @@ ORACLE = {
       SELECT capture_id, elements, text_length, primitives, absolute_layers, layer_hints, elements <= 1 AND ends <= 1 AND text_length = 0 AS only_shell, primitives + absolute_layers + layer_hints >= 2 OR primitives >= 1 AS scene_like,
         elements <= 3 AND text_length <= 8 AS thin, elements <= 3 AND text_length <= 8 AND capture_id % 2 = 1 AS fragile FROM c""",
     "screenshot_crop": """WITH c AS (SELECT page_id AS capture_id, (page_id % 50 - 5)::DOUBLE AS x, (page_id % 70)::DOUBLE AS y, (page_id % 90)::DOUBLE AS width, (page_id % 33 + 1)::DOUBLE AS height, (page_id % 3 + 1)::DOUBLE AS ratio FROM pages),
-      s AS (SELECT *, least(floor(greatest(0::DOUBLE, x * ratio))::BIGINT, 199) AS crop_x, least(floor(greatest(0::DOUBLE, y * ratio))::BIGINT, 99) AS crop_y FROM c)
-      SELECT capture_id, crop_x, crop_y, greatest(1, least(floor(width * ratio + 0.5::DOUBLE)::BIGINT, 200 - crop_x)) AS crop_width, greatest(1, least(floor(height * ratio + 0.5::DOUBLE)::BIGINT, 100 - crop_y)) AS crop_height FROM s""",
+      s AS (SELECT *, greatest(0, floor(x * ratio + 0.5::DOUBLE)::BIGINT) AS crop_x, greatest(0, floor(y * ratio + 0.5::DOUBLE)::BIGINT) AS crop_y FROM c)
+      SELECT capture_id, crop_x, crop_y, least(greatest(1, floor(width * ratio + 0.5::DOUBLE)::BIGINT), greatest(1, 200 - crop_x)) AS crop_width, least(greatest(1, floor(height * ratio + 0.5::DOUBLE)::BIGINT), greatest(1, 100 - crop_y)) AS crop_height FROM s""",
     "viewer_state": f"""WITH {X.CAPTURES_SQL}, v AS (SELECT *, CASE WHEN p % 4 <> 0 AND p % 3 > 0 THEN (p % 3)::DOUBLE WHEN p % 7 = 3 THEN 9::DOUBLE END AS width,
         CASE WHEN p % 4 <> 0 AND p % 3 > 0 THEN CASE WHEN p % 8 = 1 THEN 0::DOUBLE ELSE p::DOUBLE END WHEN p % 7 = 3 THEN p::DOUBLE END AS x, CASE WHEN has_clip THEN 'clip' WHEN has_full_page THEN 'full' ELSE 'none' END AS image_source FROM fx_captures)
       SELECT capture_id, image_source, width, x, concat_ws('|', CASE WHEN image_source = 'none' THEN 'No screenshot available in replay capsule.' END, CASE WHEN image_source = 'full' AND width IS NULL THEN 'Target crop unavailable: missing clipRect/boundingBox.' END,

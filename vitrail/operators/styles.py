@@ -25,6 +25,19 @@ def fingerprint() -> Column:
     return F.concat_ws("|", part("origin"), part("sheet_id"), part("start_line"), part("start_column"), F.array_join("selectors", ","))
 
 
+def rule_projection(raw: DataFrame) -> DataFrame:
+    """Rules as captured: origin (inline if the sheet is), selectors, sheet, and conditions without blanks.
+
+    ``raw`` has media and supports as lists of texts, and layer_text and layer_name; of these the text wins.
+    """
+    texts = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+    own = F.coalesce(inline(F.col("sheet_id"), F.col("source_url")), F.lit(False))
+    return raw.select(
+        "capture_id", "seq", F.coalesce("origin", F.when(own, "inline")).alias("origin"), "selectors", "sheet_id", "source_url", own.alias("inline"), texts("media").alias("media"),
+        texts("supports").alias("supports"), F.coalesce(F.nullif(F.col("layer_text"), F.lit("")), F.nullif(F.col("layer_name"), F.lit(""))).alias("layer"),
+    )
+
+
 def distinct_rules(rules: DataFrame) -> DataFrame:
     """The first rule of each fingerprint in a capture."""
     first = F.min_by(F.struct(*[c for c in rules.columns if c != "capture_id"]), "seq")
@@ -183,6 +196,18 @@ def _runtime(s, d):
     return runtime_keyframes(k.select("capture_id", "ordinal", "name", F.concat(prefix, F.lit("r"), F.col("ordinal").cast("string")).alias("css_text")))
 
 
+def _raw_rules(s, d):
+    i = F.col("capture_id") + F.col("seq")
+    listed = lambda k, *v: F.when(i % k > 0, F.array(*map(F.lit, v)))
+    sheet = F.when(i % 6 == 0, F.lit("inspector-inline-sheet-1")).otherwise(F.col("sheet_id"))
+    return X.css_rules(s, d).withColumns({"sheet_id": sheet, "media": listed(3, "print", ""), "supports": listed(4, "", "(a: b)"), "layer_text": F.when(i % 2 == 0, F.when(i % 4 == 0, "base").otherwise("")), "layer_name": F.when(i % 5 > 0, "named")})
+
+
+def _projected(s, d):
+    r = rule_projection(_raw_rules(s, d))
+    return r.select("capture_id", "seq", "origin", "sheet_id", "inline", F.array_join("media", ",").alias("media"), F.array_join("supports", ",").alias("supports"), "layer")
+
+
 def _css_text(s, d):
     i = F.col("seq") + F.col("ordinal")
     decls = X.css_declarations(s, d).withColumns({"important": i % 3 == 0, "disabled": i % 5 == 4, "value": F.when(i % 7 == 6, F.lit(" ")).otherwise(F.concat(F.col("value"), F.lit(" ")))})
@@ -199,6 +224,7 @@ QUERIES = {
     "animation_names": lambda s, d: animation_names(X.css_declarations(s, d)),
     "keyframe_resolution": lambda s, d: resolve_keyframes(animation_names(X.css_declarations(s, d)), X.keyframes(s, d)),
     "subtree_only_rules": lambda s, d: subtree_only(X.repeated_rules(s, d), X.css_rules(s, d).where("seq < 2")).select("capture_id", "fingerprint", "seq"),
+    "rule_projection": _projected,
     "computed_projection": lambda s, d: computed_projection(_blanks(s, d)),
     "keyframe_sources": lambda s, d: resolve_keyframes(animation_names(X.css_declarations(s, d)), keyframe_sources(X.keyframes(s, d), _runtime(s, d))).select("capture_id", "name", "css_text"),
     "css_text": _css_text,
@@ -220,6 +246,9 @@ ORACLE = {
     "keyframe_resolution": _NAMES + """, best AS (SELECT capture_id, name, arg_max(css_text, (NOT prefixed)::INT * 100 + ordinal) AS css_text FROM fx_keyframes GROUP BY ALL), w AS (SELECT capture_id, name, min(seq * 100 + ordinal) AS f FROM names GROUP BY ALL)
       SELECT capture_id, name, row_number() OVER (PARTITION BY capture_id ORDER BY f)::INT AS place, css_text, CASE WHEN css_text IS NULL THEN 'keyframes-name-undefined:' || name END AS warning FROM w LEFT JOIN best USING (capture_id, name)""",
     "subtree_only_rules": _RULES + " SELECT capture_id, fingerprint, min(seq) AS seq FROM r WHERE (capture_id, fingerprint) NOT IN (SELECT capture_id, fingerprint FROM r WHERE seq < 2) GROUP BY ALL",
+    "rule_projection": f"""WITH {X.RULES_SQL}, i AS (SELECT *, capture_id + seq AS i FROM fx_css_rules), j AS (SELECT * REPLACE (CASE WHEN i % 6 = 0 THEN 'inspector-inline-sheet-1' ELSE sheet_id END AS sheet_id) FROM i)
+      SELECT capture_id, seq, coalesce(origin, CASE WHEN i % 6 = 0 THEN 'inline' END) AS origin, sheet_id, coalesce(origin = 'inline', false) OR i % 6 = 0 AS inline, CASE WHEN i % 3 > 0 THEN 'print' ELSE '' END AS media, CASE WHEN i % 4 > 0 THEN '(a: b)' ELSE '' END AS supports,
+        CASE WHEN i % 4 = 0 THEN 'base' WHEN i % 5 > 0 THEN 'named' END AS layer FROM j""",
     "computed_projection": f"WITH {X.COMPUTED_SQL} SELECT capture_id, ordinal, name, value FROM fx_computed WHERE ordinal <> 1 AND NOT (ordinal = 2 AND capture_id % 2 = 0)",
     "keyframe_sources": _NAMES + """, rt AS (SELECT capture_id, ordinal + 4 AS ordinal, name, capture_id % 2 = 0 AS prefixed, '@keyframes r' || ordinal AS css_text FROM fx_keyframes WHERE ordinal < 2),
       k AS (SELECT capture_id, ordinal, name, prefixed, css_text FROM fx_keyframes UNION ALL SELECT * FROM rt), best AS (SELECT capture_id, name, arg_max(css_text, (NOT prefixed)::INT * 100 + ordinal) AS css_text FROM k GROUP BY ALL)

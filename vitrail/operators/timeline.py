@@ -138,6 +138,11 @@ def trailing(traces: DataFrame, actions: int = ACTION_BUFFER, mutations: int = M
     return ranked.where((F.col("kind") == S.MUTATION) & (F.col("_r") <= mutations) | (F.col("kind") == S.ACTION) & (F.col("_r") <= actions)).drop("_r")
 
 
+def together(actions: DataFrame, mutations: DataFrame) -> DataFrame:
+    """One timeline of two tables with columns of their own: what a side lacks is null there."""
+    return actions.withColumn("kind", F.lit(S.ACTION)).unionByName(mutations.withColumn("kind", F.lit(S.MUTATION)), allowMissingColumns=True)
+
+
 def recordings(events: DataFrame, actions: int = ACTION_BUFFER, mutations: int = MUTATION_BUFFER) -> DataFrame:
     """What each closed recording of a session holds: the last rows of each kind between a start and the
     stop that follows it, with times since the start.
@@ -259,7 +264,13 @@ def _q_interaction(spark, sf_dir):
     return d.select("capture_id", "actions", "mutations", "linked", "total", "score", "confidence", F.array_join("evidence", ",").alias("evidence"), F.array_join("warnings", ",").alias("warnings"))
 
 
+def _sides(s, d):
+    t = S.read(s, d)
+    return t.where(F.col("kind") == S.ACTION).select("capture_id", "seq", "type", "value"), t.where(F.col("kind") == S.MUTATION).select("capture_id", "seq", "type", "attribute_name", "added_nodes")
+
+
 QUERIES = {
+    "timeline_union": lambda s, d: together(*_sides(s, d)),
     "recording_sessions": lambda s, d: recordings(with_controls(S.read(s, d), 25), 3, 4),
     "interaction_score": _q_interaction,
     "mutation_action_asof": _q_asof,
@@ -300,6 +311,7 @@ CONFIDENCE_SQL = N.sql_score3(
 )
 
 ORACLE = {
+    "timeline_union": f"WITH {S.SQL} SELECT capture_id, seq, type, value, kind, CASE WHEN kind = 'mutation' THEN attribute_name END AS attribute_name, CASE WHEN kind = 'mutation' THEN added_nodes END AS added_nodes FROM traces",
     "recording_sessions": f"""WITH {S.SQL}, c AS (SELECT *, CASE WHEN seq % 25 IN (1, 2) THEN 'start' WHEN seq % 25 IN (24, 16) THEN 'stop' END AS control FROM traces),
       n AS (SELECT *, sum((coalesce(control, '') = 'start')::INT) OVER (PARTITION BY capture_id ORDER BY seq) AS recording FROM c), b AS (SELECT capture_id, recording, min(at_ms) FILTER (control = 'start') AS began, min(seq) FILTER (control = 'stop') AS stop FROM n WHERE recording > 0 GROUP BY ALL),
       h AS (SELECT n.*, began, row_number() OVER (PARTITION BY n.capture_id, n.recording, kind ORDER BY seq DESC) AS r FROM n JOIN b ON n.capture_id = b.capture_id AND n.recording = b.recording WHERE control IS NULL AND seq < stop)
