@@ -150,16 +150,16 @@ def capped(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MAX_DE
     )
 
 
-def removed_tags(table: DataFrame) -> DataFrame:
-    """How many subtrees of each noise element a capture loses (noise inside noise goes with it)."""
-    marks = _noise(table)
-    top = table.join(marks, "capture_id").where(F.col("tag").isin(*NOISE) & ~under(F.col("path"), F.col("noise")))
-    return top.groupBy("capture_id", "tag").agg(F.count(F.lit(1)).alias("removed"))
+def removed_tags(pages: DataFrame) -> DataFrame:
+    """How many subtrees of each noise element a capture loses (noise inside noise goes with it).
 
-
-def _noise(table: DataFrame) -> DataFrame:
-    """One row a capture with noise: the indices of its noise elements."""
-    return table.where(F.col("tag").isin(*NOISE)).groupBy("capture_id").agg(F.collect_list("node_idx").alias("noise"))
+    Found inside the row: only the roots of what goes become rows.
+    """
+    parsed = pages.select(F.col("page_id").alias("capture_id"), parse(F.col("html")).alias("nodes"))
+    noise = F.filter("nodes", lambda n: n["tag"].isin(*NOISE))
+    marked = parsed.select("capture_id", F.inline(F.array(F.struct(noise.alias("noise"), F.transform(noise, lambda n: n["node_idx"]).alias("at")))))
+    top = F.transform(F.filter("noise", lambda n: ~under(n["path"], F.col("at"))), lambda n: n["tag"])
+    return marked.select("capture_id", F.explode(top).alias("tag")).groupBy("capture_id", "tag").agg(F.count(F.lit(1)).alias("removed"))
 
 
 def anchor_html(pages: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ QUERIES = {
     "node_sibling_index": lambda s, d: siblings(nodes(_read(s, d))).select("capture_id", "node_idx", "tag", "sibling_idx"),
     "node_ancestry": lambda s, d: ancestry(nodes(_read(s, d))).select("capture_id", "node_idx", "level", "ancestor_tag"),
     "node_attributes": lambda s, d: nodes(_read(s, d)).select("capture_id", "node_idx", F.explode("attrs").alias("name", "value")),
-    "removed_tag_histogram": lambda s, d: removed_tags(nodes(_read(s, d))),
+    "removed_tag_histogram": lambda s, d: removed_tags(_read(s, d)),
     "subtree_caps": lambda s, d: capped(_read(s, d), 30, 5),
     "candidate_html": lambda s, d: anchor_html(_read(s, d)),
 }
