@@ -318,8 +318,8 @@ def target_class(nodes: DataFrame) -> DataFrame:
 
 #: FIXED VALUES: words and elements by which targets are told apart.
 CHART_WORDS = ("chart", "graph", "plot", "series", "trend", "analytics", "axis")
-SCENE_WORDS = ("board", "piece", "square", "coord", "layer", "overlay", "highlight", "ghost", "arrow")
-SCENE_TAGS = ("piece", "square", "coord", "coords")
+SCENE_WORDS = ("board", "puzzle__board", "main-board", "cg-wrap", "overlay", "coords")
+SCENE_TAGS = ("piece", "square", "coord", "coords", "cg-board", "cg-container", "cg-wrap")
 LEAVES = ("button", "input", "textarea", "select", "img", "svg")
 SEARCH_WORDS = ("rnnxgb", "a8sbwf")
 SEARCH_FIELD_WORD = "glfyf"
@@ -556,7 +556,7 @@ c AS (SELECT capture_id, count(*) FILTER (tag IN ('svg', 'canvas')) AS surfaces,
 j AS (SELECT rt.*, coalesce(kids, 0) AS kids, CASE WHEN ftag IN ('a', 'button', 'input', 'textarea', 'select', 'img', 'svg') THEN ftag ELSE rtag END AS ttag, CASE WHEN ftag IN ('a', 'button', 'input', 'textarea', 'select', 'img', 'svg') THEN fcls ELSE rcls END AS tcls, coalesce(ftag IN ('a', 'button', 'input', 'textarea', 'select', 'img', 'svg'), false) AS moved,
   coalesce(surfaces, 0) + (rtag IN ('svg', 'canvas'))::INT AS surfaces, coalesce(paths, 0) AS paths, coalesce(heads, 0) AS heads, coalesce(ps, 0) AS ps, coalesce(divs, 0) AS divs, coalesce(buttons, 0) AS buttons, coalesce(text_length, 0) AS text_length, greatest(1, (r % 180 + 20) * (r % 60 + 10))::DOUBLE / 9000::DOUBLE AS ratio
   FROM rt LEFT JOIN k USING (capture_id) LEFT JOIN c USING (capture_id)),
-q AS (SELECT *, CASE WHEN regexp_matches(rcls, 'board|piece|square|coord|layer|overlay|highlight|ghost|arrow') THEN 1 WHEN surfaces >= 1 AND (paths >= 2 OR regexp_matches(tcls || ' ' || rcls, 'chart|graph|plot|series|trend|analytics|axis')) THEN 2
+q AS (SELECT *, CASE WHEN regexp_matches(rcls, 'board|cg-wrap|overlay|coords') THEN 1 WHEN surfaces >= 1 AND (paths >= 2 OR regexp_matches(tcls || ' ' || rcls, 'chart|graph|plot|series|trend|analytics|axis')) THEN 2
   WHEN ttag IN ('button', 'input', 'textarea', 'select', 'img', 'svg') AND NOT moved THEN 3 WHEN ratio > 0.12::DOUBLE AND heads >= 1 AND ps >= 1 AND kids >= 2 AND (buttons >= 2 OR divs >= 8 OR text_length > 120) THEN 4 ELSE 5 END AS k FROM j)
 SELECT capture_id, ttag AS target_tag, text_length, (['render-scene', 'render-scene', 'semantic-leaf', 'noisy-container', 'semantic-shell'])[k] AS target_class, (['board-like', 'chart-like', 'generic', 'generic', 'generic'])[k] AS subtype,
   (['class-evidence:scene-primitives-present class-evidence:frame-chain-required', 'class-evidence:chart-primitives-present class-evidence:scene-visualization-dominant', 'class-evidence:leaf-interactive-node', 'class-evidence:multi-region-dense-container', 'class-evidence:bounded-shell-default'])[k] AS reasons FROM q"""
