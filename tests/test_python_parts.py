@@ -19,6 +19,50 @@ def test_keyframe_blocks(spark):
     assert [len(r.k) for r in df.collect()] == [2, 0]
 
 
+def _plain_smoothed(image, other, light, x, y):
+    """The slope detector for one pixel, as published."""
+    h, w = light.shape
+
+    def around(x, y):
+        return [(u, v) for u in range(max(0, x - 1), min(w, x + 2)) for v in range(max(0, y - 1), min(h, y + 2)) if (u, v) != (x, y)]
+
+    def border(x, y):
+        return int(x in (0, w - 1) or y in (0, h - 1))
+
+    def calm(p, x, y):
+        return border(x, y) + sum((p[v, u] == p[y, x]).all() for u, v in around(x, y)) > 2
+
+    steps = [(light[y, x] - light[v, u], u, v) for u, v in around(x, y)]
+    if border(x, y) + sum(s == 0 for s, _, _ in steps) > 2:
+        return False
+    low, high = min(steps, key=lambda s: s[0]), max(steps, key=lambda s: s[0])
+    if low[0] >= 0 or high[0] <= 0:
+        return False
+    return any(calm(image, u, v) and calm(other, u, v) for _, u, v in (low, high))
+
+
+def test_smoothed_edges_do_not_count():
+    rng = np.random.default_rng(2)
+    found = 0
+    for n in range(12):
+        a = np.zeros((9, 11, 4), np.uint8)
+        a[..., 3] = 255
+        a[rng.integers(0, 9) :, :, :3] = 255
+        b = np.roll(a, 1, 0)
+        for image in (a, b):
+            image[rng.integers(0, 9), :, :3] = rng.integers(0, 4) * 80
+            image[rng.integers(0, 9), rng.integers(0, 11), :3] = rng.integers(0, 4, 3) * 80
+        lights = [(255 + (x[..., :3] - 255.0) * (x[..., 3:] / 255)) @ imagediff._YIQ[0] for x in (a, b)]
+        every = imagediff.compare(a, b, edges=True)["mismatch_pixels"]
+        calm = imagediff._flat_around(a) & imagediff._flat_around(b)
+        for x, other, light in ((a, b, lights[0]), (b, a, lights[1])):
+            want = np.array([[_plain_smoothed(x, other, light, u, v) for u in range(11)] for v in range(9)])
+            assert (imagediff.smoothed(x, light, calm) == want).all()
+            found += want.sum()
+        assert imagediff.compare(a, b)["mismatch_pixels"] <= every
+    assert found > 20
+
+
 def test_css_text(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(css.variable_names(F.lit("a{--x:1;b:var(--x) var(--y-2)}"))) == ["--x", "--y-2"]
