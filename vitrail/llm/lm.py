@@ -248,44 +248,57 @@ class Trainer:
             p[u] = p.take(u, axis=0) - g
             self.moved[n][u] += times
 
-    def _contrast(self, level: int, q: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """One step of a level's vectors and biases; the gradient of ``q``.
+    def _contrast(self, q: np.ndarray, targets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """One step of the vectors and biases of both levels, words and bins; the gradient of ``q``.
 
         The loss of a logit x (less the log of its expected noise count) has the derivative
         sigma(x) - 1 for the data and sigma(x) for each noise symbol; sigma(x) = (1 + tanh(x / 2)) / 2.
         """
-        n, v = len(target), self.m.params()[3 + level]
-        cumulative, log_kp = self.noise[level]
-        noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(v) - 1)
-        of_target, of_noise = v.take(target, axis=0), v.take(noise, axis=0)
-        pos = np.einsum("nd,nd->n", q, of_target) - log_kp.take(target)
-        gp = (np.tanh(pos / 2) - 1) * np.float32(0.5 / n)
+        n, levels = len(q), self.m.params()[3:]
+        picks = [np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(v) - 1) for (cumulative, _), v in zip(self.noise, levels)]
+        of_noise = np.concatenate([v.take(k, axis=0) for v, k in zip(levels, picks)])
         half = of_noise.copy()
-        half[:, DIM] -= log_kp[noise]
+        half[:, DIM] -= np.concatenate([log_kp.take(k) for (_, log_kp), k in zip(self.noise, picks)])
         half *= 0.5
         t = q @ half.T
         np.tanh(t, out=t)
         share = np.float32(0.5 / n)
-        grad = np.empty((n + NOISE, DIM + 1), np.float32)
-        np.multiply(q, gp[:, None], out=grad[:n])
-        grad[n:] = ((q.T @ t).T + q.sum(0)) * share
-        self._step(3 + level, grad, _groups(np.concatenate((target, noise)), len(v)))
-        of_target *= gp[:, None]
+        to_noise = ((q.T @ t).T + q.sum(0)) * share
         of_noise *= share
-        of_target += t @ of_noise
-        of_target += of_noise.sum(0)
-        return of_target[:, :DIM]
+        dq = t @ of_noise
+        dq += of_noise.sum(0)
+        for level, (v, target, (_, log_kp)) in enumerate(zip(levels, targets, self.noise)):
+            of_target = v.take(target, axis=0)
+            pos = np.einsum("nd,nd->n", q, of_target) - log_kp.take(target)
+            gp = ((np.tanh(pos / 2) - 1) * share)[:, None]
+            grad = np.empty((n + NOISE, DIM + 1), np.float32)
+            np.multiply(q, gp, out=grad[:n])
+            grad[n:] = to_noise[level * NOISE : (level + 1) * NOISE]
+            self._step(3 + level, grad, _groups(np.concatenate((target, picks[level])), len(v)))
+            of_target *= gp
+            dq += of_target
+        return dq[:, :DIM]
 
     def batch(self, ctx: np.ndarray, target: np.ndarray) -> None:
-        m = self.m
+        """One step on the tokens ``target`` of a run, in order, with their ``contexts``."""
+        m, n = self.m, len(target)
         before = [m.r.take(ctx[:, j], axis=0) for j in range(CONTEXT)]
         q = m.predict(before)
-        dq = self._contrast(0, q, target) + self._contrast(1, q, m.outer.take(target))
+        dq = self._contrast(q, (target, m.outer.take(target)))
         self._step(2, dq.sum(0))
-        dr = np.concatenate([dq @ m.c[j].T for j in range(CONTEXT)])
-        self._step(0, dr, _groups(ctx.T.ravel(), len(m.r)))
+        # The words before the tokens are the run itself, so gradients are first added up by place.
+        start = len(m.r) - 1
+        dr = np.zeros((n + CONTEXT, DIM), np.float32)  # the last row is for ``start``
+        for j in range(CONTEXT):
+            g = dq @ m.c[j].T
+            first = np.flatnonzero(ctx[:, j] == start)
+            dr[-1] += g[first].sum(0)
+            g[first] = 0
+            dr[CONTEXT - 1 - j : CONTEXT - 1 - j + n] += g
+        at = np.concatenate((ctx[0, ::-1], target[:-1], [start]))
+        self._step(0, dr, _groups(at, len(m.r)))
         self._step(1, np.stack([(dq.T @ x).T for x in before]))
-        self.seen += len(target)
+        self.seen += n
 
     def weights(self) -> np.ndarray:
         """Weight of every number of the model's vector."""
