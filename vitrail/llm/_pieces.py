@@ -20,7 +20,7 @@ import numpy as np
 from . import _common as C
 
 #: At this many pieces the table is emptied (under 50 MB); longer pieces are never kept.
-TABLE_PIECES, MAX_PIECE = 500_000, 200
+TABLE_PIECES, MAX_PIECE = 400_000, 200
 #: Bytes of text handled at once.
 CHUNK_BYTES = 1_000_000
 
@@ -155,14 +155,15 @@ class PieceTable:
         starts = self._cut(raw[:-8], ends)
         stops = np.append(starts[1:], len(blob))
         sizes = stops - starts
-        h = C.hash_spans(raw, starts, sizes) | np.uint64(1)
+        h = C.hash_spans(raw, starts, sizes)
+        # Pieces of one size up to eight bytes have different hashes (but for the one that stands for 0).
+        sure = (sizes <= 8) & (h > np.uint64(1))
+        h[h == 0] = 1
         entry = self._find(h)
-        hit = np.flatnonzero(entry >= 0)
-        hit = hit[self.bytes_n[entry[hit]] == sizes[hit]]
-        hit = hit[same_spans(raw, starts[hit], self.bytes, self.bytes_at[entry[hit]], sizes[hit])]
-        found = np.zeros(len(entry), bool)
-        found[hit] = True
         taken = entry >= 0  # by another piece, if not found
+        found = taken & (self.bytes_n[entry] == sizes)
+        at = np.flatnonzero(found & ~sure)
+        found[at] = same_spans(raw, starts[at], self.bytes, self.bytes_at[entry[at]], sizes[at])
         new = np.flatnonzero(~found)
         if len(new):
             _, first, of = np.unique(h[new], return_index=True, return_inverse=True)

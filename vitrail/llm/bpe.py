@@ -6,7 +6,8 @@ rank, merges it, closes the gap, and looks up the two pairs that changed in a ha
 mergeable pairs; rows without a mergeable pair leave the matrix.  Rows of over LONG bytes would cost
 the square of their length, so a heap merges those, in the same order of pairs.
 
-Defined results: null is an empty text, an empty text has no ids, special tokens are ordinary text.
+Defined results: null is an empty text, an empty text has no ids, special tokens are ordinary text;
+repeated rows are encoded each; an input column that has the name of an output column is replaced.
 """
 
 from __future__ import annotations
@@ -85,6 +86,8 @@ class Codec:
         ]
         self.pairs = PairTable(*np.array(pairs or [(0, 0, 0)], np.int32)[: len(pairs)].T)
         self.table = PieceTable(self._pieces)
+        del pairs
+        C.tidy()
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         cut = [self.split(p) for p in pieces]

@@ -5,6 +5,7 @@ any store Spark knows).  One row is one shard of consecutive documents:
 
     bucket, shard     place of the shard; (bucket, shard) ascending is document order
     dictionary_hash   XXH64 of the shared dictionary; 0 means frames without a dictionary
+    least, greatest   least and greatest id of the shard's documents (null ids aside), to find one by
     doc_ids           ids of the documents, ascending, null first; equal ids by their bytes
     n_tokens          tokens of each document, the end id included
     offsets           n + 1 byte offsets of the frames in ``frames``
@@ -59,6 +60,8 @@ SHARD = T.StructType(
         T.StructField("bucket", T.IntegerType()),
         T.StructField("shard", T.IntegerType()),
         T.StructField("dictionary_hash", T.LongType()),
+        T.StructField("least", T.LongType()),
+        T.StructField("greatest", T.LongType()),
         T.StructField("doc_ids", T.ArrayType(T.LongType())),
         T.StructField("n_tokens", T.ArrayType(T.LongType())),
         T.StructField("offsets", T.ArrayType(T.LongType())),
@@ -241,6 +244,8 @@ def _shards(dictionary_hash: int):
                 "bucket": bucket,
                 "shard": shard,
                 "dictionary_hash": dictionary_hash,
+                "least": min((r[0] for r in rows if r[0] is not None), default=None),
+                "greatest": max((r[0] for r in rows if r[0] is not None), default=None),
                 "doc_ids": [r[0] for r in rows],
                 "n_tokens": [r[2] for r in rows],
                 "offsets": offsets,
@@ -268,6 +273,8 @@ ARROW_SHARD = pa.schema(
         ("bucket", pa.int32()),
         ("shard", pa.int32()),
         ("dictionary_hash", pa.int64()),
+        ("least", pa.int64()),
+        ("greatest", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())),
         ("n_tokens", pa.list_(pa.int64())),
         ("offsets", pa.list_(pa.int64())),
@@ -346,15 +353,21 @@ def _small(sizes: DataFrame) -> bool:
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
-    """The ids of one document (or of all with that id), by the offset index."""
+    """The ids of one document (or of all with that id), by the offset index.
+
+    Shards are left out by their least and greatest id, and of the others only the document's own
+    frames come here.
+    """
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()[0])
-    rows = spark.read.parquet(f"{path}/shards").where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).collect()
+    own = F.lit(doc_id).cast("long")
+    shards = spark.read.parquet(f"{path}/shards").where(F.col("least") <= own).where(F.col("greatest") >= own)
+    places = F.filter(F.sequence(F.lit(0), F.size("doc_ids") - 1), lambda i: F.get(F.col("doc_ids"), i) == own)
+    cut = lambda i: F.substring(F.col("frames"), F.get(F.col("offsets"), i).cast("int") + 1, (F.get(F.col("offsets"), i + 1) - F.get(F.col("offsets"), i)).cast("int"))
+    rows = shards.select("bucket", "shard", "dictionary_hash", F.transform(places, cut).alias("own")).where(F.size("own") > 0).collect()
     out = []
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r.bucket, r.shard)):
         unpack = _opener(dictionary, r.dictionary_hash)
-        for i, s, e in zip(r.doc_ids, r.offsets, r.offsets[1:]):
-            if i == doc_id:
-                out.append(np.frombuffer(unpack(bytes(r.frames[s:e])), "<u4"))
+        out += [np.frombuffer(unpack(bytes(f)), "<u4") for f in r.own]
     return out
 
 
