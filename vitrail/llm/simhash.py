@@ -173,16 +173,27 @@ def links(nodes: DataFrame) -> DataFrame:
     dealt = keyed.repartition(parts, "m", "v").sortWithinPartitions("m", "v", "fp")
 
     def run(batches):
-        rest: list[np.ndarray] = [np.zeros(0, np.uint64)] * 3
+        held: list[list[np.ndarray]] = []  # stretches of rows whose last key may go on
+
+        def done():
+            return _grouped(*(np.concatenate(c) for c in zip(*held)), masks)
+
         for b in batches:
-            cols = [np.asarray(b[c].to_numpy(zero_copy_only=False), np.int64).view(np.uint64) if c != "m" else b[c].to_numpy(zero_copy_only=False).astype(np.uint64) for c in ("fp", "m", "v")]
-            cols = [np.concatenate((r, c)) for r, c in zip(rest, cols)]
+            if not b.num_rows:
+                continue
+            cols = [b[c].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("fp", "m", "v")]
+            if held and (held[-1][1][-1], held[-1][2][-1]) != (cols[1][0], cols[2][0]):
+                yield from done()
+                held = []
             change = np.flatnonzero((np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-            cut = int(change[-1]) if len(change) else 0
-            if cut:
-                yield from _grouped(*(c[:cut] for c in cols), masks)
-            rest = [c[cut:] for c in cols]
-        yield from _grouped(*rest, masks)
+            if len(change):
+                held.append([c[: change[-1]] for c in cols])
+                yield from done()
+                held = [[c[change[-1] :] for c in cols]]
+            else:
+                held.append(cols)
+        if held:
+            yield from done()
 
     return dealt.mapInArrow(run, "a long, b long")
 
