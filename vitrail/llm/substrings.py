@@ -45,7 +45,7 @@ WINDOW = 20
 #: Words of the runs that prefixes end with; the last is the whole window.
 GRAMS = (4, 8, WINDOW)
 #: Characters in a batch, suffixes in a part; at least so many of each, for all cores.
-BATCH_CHARS, PART_SUFFIXES, LEAST = 5_000_000, 600_000, 64
+BATCH_CHARS, PART_SUFFIXES, LEAST = 5_000_000, 450_000, 64
 #: Slots a part in which suffixes are counted; one of COUNTED suffixes is.
 SLOTS, COUNTED = 64, 16
 
@@ -113,7 +113,10 @@ def plan(docs: DataFrame, text: str, chars: int) -> Plan:
                     slot, count = np.unique(empty.slot(least_runs(flat, at, k)) + n * slots, return_counts=True)
                     slot, of = np.unique(np.concatenate((total[0], slot)), return_inverse=True)
                     total = [slot, np.bincount(of, np.concatenate((total[1], count))).astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in total], ["slot", "n"])
+        # A slot that is overfull in all holds far more than its share in the tasks too.
+        mean = np.bincount(total[0] // slots, total[1], len(GRAMS)) / slots
+        much = total[1] > np.maximum(1, 4 * mean[total[0] // slots])
+        yield pa.RecordBatch.from_arrays([pa.array(x[much]) for x in total], ["slot", "n"])
 
     rows = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(C.tidied(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     full = rows.where(F.col("n") * COUNTED * 4 > PART_SUFFIXES).select("slot").collect()  # each holds a quarter of a part

@@ -311,6 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     if len(set(y.tolist())) < 2:
         return Model(None, base, {})
     net, held, z = train([r.t for r in found], y)
+    C.tidy()
     langs = np.array([found[i].l or "" for i in held])
     thresholds = {"": _threshold(z, y[held])}
     for k in set(langs.tolist()) - {""}:
