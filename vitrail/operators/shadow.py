@@ -19,6 +19,8 @@ def merge_sheets(roots: DataFrame, sheets: DataFrame) -> DataFrame:
     left over become open roots with a warning.  Closed and unknown roots pair with nothing.
     """
     named = {"tag": F.lower(F.trim("tag")), "host_id": F.trim(F.coalesce("host_id", F.lit(""))), "host_classes": F.coalesce("host_classes", F.array().cast("array<string>"))}
+    # Hosts without recorded classes have none.
+    roots, sheets = (d if "host_classes" in d.columns else d.withColumn("host_classes", F.lit(None).cast("array<string>")) for d in (roots, sheets))
     roots, sheets = roots.withColumns(named), sheets.withColumns(named)
     place = F.row_number().over(W.partitionBy(*KEY).orderBy("ordinal"))
     is_open = F.col("mode") == "open"
