@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, licenses, lm, quality, simhash, substrings, tokenfile, toxicity
+from . import bpe, decontam, langid, licenses, lm, packing, quality, simhash, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_quality_rules": quality.query,
     "op10_decontamination": decontam.query,
+    "op11_best_fit_packing": packing.query,
 }
 
 #: The other operators' results can't be written in SQL: tokenizers, models, compression, XXH64.
