@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, licenses, lm, packing, quality, simhash, substrings, tokenfile, toxicity
+from . import bpe, decontam, langid, licenses, lm, packing, quality, simhash, substrings, tokenfile, toxicity, whitening
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality.query,
     "op10_decontamination": decontam.query,
     "op11_best_fit_packing": packing.query,
+    "op13_embedding_whitening": whitening.query,
 }
 
 #: The other operators' results can't be written in SQL: tokenizers, models, compression, XXH64.
