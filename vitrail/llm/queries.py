@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, licenses, lm, packing, quality, simhash, substrings, tokenfile, toxicity, whitening
+from . import bpe, decontam, langid, licenses, lm, packing, quality, simhash, substrings, tokenfile, toxicity, trie, whitening
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality.query,
     "op10_decontamination": decontam.query,
     "op11_best_fit_packing": packing.query,
+    "op12_prefix_trie": trie.query,
     "op13_embedding_whitening": whitening.query,
 }
 
@@ -24,4 +25,5 @@ ORACLE: dict[str, str] = {
     "op2_substring_dedup": substrings.SQL,
     "op9_quality_rules": quality.SQL,
     "op10_decontamination": decontam.SQL,
+    "op12_prefix_trie": trie.SQL,
 }
