@@ -87,6 +87,15 @@ class PieceTable:
         mark[begin[ends > begin]] = True
         return np.flatnonzero(mark)
 
+    def _spans(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and stops of the pieces, ascending; ``raw`` has eight spare bytes."""
+        starts = self._cut(raw[:-8], ends)
+        return starts, np.append(starts[1:], len(raw) - 8)
+
+    def _read(self, blob: bytes) -> np.ndarray:
+        """The bytes to work on, and eight spare ones."""
+        return np.frombuffer(blob + bytes(8), np.uint8)
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 where there is none."""
         mask = self.slots - 1
@@ -149,11 +158,10 @@ class PieceTable:
         if self.n > self.limit:
             self.clear()
         blob = b"".join(texts)
-        raw, ends = np.frombuffer(blob + bytes(8), np.uint8), np.cumsum([len(t) for t in texts])
-        if not len(blob):
+        raw, ends = self._read(blob), np.cumsum([len(t) for t in texts])
+        starts, stops = self._spans(raw, ends) if len(blob) else (ends[:0], ends[:0])
+        if not len(starts):
             return [np.zeros(0, np.uint32) for _ in texts]
-        starts = self._cut(raw[:-8], ends)
-        stops = np.append(starts[1:], len(blob))
         sizes = stops - starts
         h = C.hash_spans(raw, starts, sizes)
         # Pieces of one size up to eight bytes have different hashes (but for the one that stands for 0).
@@ -172,7 +180,8 @@ class PieceTable:
             alike[alike] = same_spans(raw, starts[new[alike]], raw, starts[head[alike]], sizes[new[alike]])
             # One of each hash, and every piece whose hash another piece has.
             at = np.concatenate((new[first], new[~alike]))
-            pieces = [blob[s:e] for s, e in zip(starts[at].tolist(), stops[at].tolist())]
+            view = raw.data
+            pieces = [bytes(view[s:e]) for s, e in zip(starts[at].tolist(), stops[at].tolist())]
             own = self._add(self.encode([x.decode("utf-8", "replace") for x in pieces]))
             entry[new[alike]] = own[of[alike]]
             entry[new[~alike]] = own[len(first) :]

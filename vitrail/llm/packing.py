@@ -46,17 +46,52 @@ CACHE_MATCHES = 200_000
 #: Below this character every lower case is one character, and every text is in normal form C.
 _PLAIN = "İ"
 
-#: Marks that the pre-tokenizer writes as themselves, each a match of its own after a letter.
-_MARKS = frozenset('.,;:!?")')
+#: Kinds of bytes: white space, letters, digits, marks; an apostrophe (it may begin a match that goes on in
+#: letters) and other bytes (0) hold together with what stands beside them.
+_SPACE, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[33:127] = _MARK
+_KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KINDS[48:58] = _DIGIT
+_KINDS[39] = 0
+
+
+class WordTable(PieceTable):
+    """Pieces for tokenizers that lower-case, drop white space and match letters, digits and marks apart.
+
+    ASCII and Latin-1 letters (U+00C0 to U+00FF) are lower-cased here.  Texts are cut at ASCII white space,
+    which belongs to no piece, and wherever letters, digits and marks meet.
+    """
+
+    def _read(self, blob: bytes) -> np.ndarray:
+        raw = C._LOWER[np.frombuffer(blob + bytes(8), np.uint8)]
+        two = np.flatnonzero(raw == 0xC3) + 1
+        upper = two[(raw[two] >= 0x80) & (raw[two] <= 0x9E) & (raw[two] != 0x97)]
+        raw[upper] += 0x20
+        return raw
+
+    def _spans(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kind = _KINDS[raw[:-8]]
+        two = np.flatnonzero(raw[:-9] == 0xC3)
+        two = two[(raw[two + 1] != 0x97) & (raw[two + 1] != 0xB7)]
+        kind[two] = kind[two + 1] = _LETTER
+        a, b = kind[:-1], kind[1:]
+        edge = np.ones(len(kind) + 1, bool)
+        edge[1:-1] = (a != b) & ((a != 0) & (b != 0) | (a == _SPACE) | (b == _SPACE))
+        edge[1:-1] |= (a == _DIGIT) & (b == _DIGIT)
+        edge[ends] = True
+        at = np.flatnonzero(edge)
+        word = kind[at[:-1]] != _SPACE
+        return at[:-1][word], at[1:][word]
 
 
 @lru_cache(2)
 def _encoder(path: str) -> Encoder:
     """The tokenizer of a file, one a worker process, over a table of pieces.
 
-    For tokenizers that drop white space, such as those with word ends: what stands between two spaces
-    is encoded by itself.  Words of plain letters go straight to the library's model, everything else
-    through its normalizer and pre-tokenizer first.
+    Words of plain letters go straight to the library's model, everything else through its normalizer
+    and pre-tokenizer first.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -70,14 +105,16 @@ def _encoder(path: str) -> Encoder:
     normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
     split, merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
     whole = lambda t: [m for m, _ in split(normal(t))]
-    probe = " It's 12  a.m.,\n\n  Über\t日本! "
-    if [m for w in probe.split() for m in whole(w)] != whole(probe):
-        raise ValueError("pieces between spaces are independent only if white space is dropped")
+    # The table's cuts hold for such tokenizers only.
+    probe = " It's 12  a.m.,(x1-y)...\n\n  Über\t日本!!é…. "
+    cuts = WordTable(lambda pieces: [], 1)
+    raw = cuts._read(probe.encode())
+    if [m for s, e in zip(*cuts._spans(raw, np.array([len(raw) - 8]))) for m in whole(raw[s:e].tobytes().decode())] != whole(probe):
+        raise ValueError("pieces are independent only if letters are lowered, white space is dropped, and digits and marks stand apart")
     if hasattr(tokenizer.model, "_resize_cache"):
         tokenizer.model._resize_cache(0)  # distinct words never hit the model's own cache
-    # How the pre-tokenizer writes each byte of plain characters, and whether plain letters are lowered.
+    # How the pre-tokenizer writes plain letters.
     table = {c: "".join(whole(chr(c))) for c in range(0xAA, 0x130) if chr(c).isalpha() and chr(c).islower()}
-    lowers = whole("AÄ") == whole("aä")
     matches: dict[str, bytes] = {}
 
     def merged(match: str) -> bytes:
@@ -86,14 +123,10 @@ def _encoder(path: str) -> Encoder:
         return ids
 
     def one(piece: str) -> bytes:
-        word = piece[1:] if piece[0] == " " else piece
-        if lowers and word.isalpha() and max(word) < _PLAIN:
-            word = word.lower()
-            return array("I", [t.id for t in merge(word if word.isascii() else word.translate(table))]).tobytes()
-        mark = word[-1:]
-        if lowers and mark in _MARKS and word[:-1].isalpha() and max(word) < _PLAIN:
-            word = word[:-1].lower()
-            return array("I", [t.id for t in merge(word if word.isascii() else word.translate(table))]).tobytes() + merged(mark)
+        if piece.isascii() and (piece.isalpha() or len(piece) == 1):
+            return array("I", [t.id for t in merge(piece)]).tobytes()
+        if piece.isalpha() and max(piece) < _PLAIN:
+            return array("I", [t.id for t in merge(piece.lower().translate(table))]).tobytes()
         return b"".join([merged(m) for m in whole(piece)])
 
     def encode(pieces: list[str]) -> list[bytes]:
@@ -101,7 +134,7 @@ def _encoder(path: str) -> Encoder:
             matches.clear()
         return [one(p) for p in pieces]
 
-    return Encoder(PieceTable(encode), added)
+    return Encoder(WordTable(encode), added)
 
 
 PIECE = T.StructType(
