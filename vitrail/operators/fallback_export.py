@@ -99,7 +99,7 @@ def statistics(elements: DataFrame, shadow_hosts: DataFrame, found: DataFrame, s
 
 def _elements(s, d):
     pages = S._pages(s, d)
-    nodes = H.nodes(pages).where("kind = 'element'").select("capture_id", "node_idx", "parent_idx", "tag", "attrs")
+    nodes = H.nodes(pages, paths=False).where("kind = 'element'").select("capture_id", "node_idx", "parent_idx", "tag", "attrs")
     return placed(nodes, S.flattened(pages, S._shadow_items))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.arrays import CHUNK, let, once, scan
 
 #: FIXED VALUES: elements without content, subtrees dropped as noise, elements kept as anchors, and
 #: wrappers that carry no meaning of their own.
@@ -61,45 +62,122 @@ def attributes(raw: Column) -> Column:
     return F.map_from_entries(F.arrays_zip(names.alias("k"), values.alias("v")))
 
 
-_NODE = "struct<node_idx:int,parent_idx:int,depth:int,tag:string,attrs:string,text:string,path:array<int>,path_tags:array<string>>"
+_PLACE = "struct<parent_idx:int,depth:int,closed:array<struct<i:int,end_idx:int>>>"
+_PATH = "struct<path:array<int>,path_tags:array<string>>"
+
+#: Open elements are text, \x01 tag \x02 index of each: Spark copies text as one block.
+_BEFORE, _AFTER = "\x01", "\x02"
+
+
+def _walked(found: Column, finish) -> Column:
+    """Of each token: its parent and depth, and the elements that it closes with the last node in each.
+
+    The top of the stack is at hand; what lies deeper is in blocks, of which the last is fetched when the
+    top is used up and searched only for an end tag whose element the top does not hold.
+    """
+    near = F.struct(F.lit("").alias("top"), F.lit(0).alias("held"), F.lit(0).alias("blocks"), F.lit(0).alias("n"))
+    key = lambda t: F.concat(F.lit(_BEFORE), F.translate(t["tag"], _BEFORE + _AFTER, ""), F.lit(_AFTER))
+    entries = lambda text: F.filter(F.split(text, _BEFORE), lambda x: x != "")
+    index = lambda entry: F.substring_index(entry, _AFTER, -1).cast("int")
+    state = lambda top, held, blocks, n: F.struct(top.alias("top"), held.alias("held"), blocks.alias("blocks"), n.alias("n"))
+    cut = lambda text, own: F.substring(text, F.lit(1), F.length(text) - F.length(F.call_function("substring_index", text, own, F.lit(-1))) - F.length(own))
+
+    def step(far: Column, s: Column, t: Column) -> Column:
+        return F.when(t["close"], let(key(t), lambda own: let(left(far, s, own), lambda x: close(far, s, x)))).otherwise(add(s, t))
+
+    def add(s: Column, t: Column) -> Column:
+        parent = F.when(s["held"] > 0, index(s["top"]))
+        now = state(
+            F.when(opens(t), F.concat(s["top"], key(t), s["n"].cast("string"))).otherwise(s["top"]), s["held"] + opens(t).cast("int"), s["blocks"], s["n"] + 1
+        )
+        place = F.struct(parent.alias("parent_idx"), (s["blocks"] * CHUNK + s["held"] + 1).alias("depth"), F.lit(None).cast("array<struct<i:int,end_idx:int>>").alias("closed"))
+        return F.struct(now.alias("s"), place.alias("o"))
+
+    def left(far: Column, s: Column, own: Column) -> Column:
+        """What an end tag leaves: the top, and how many blocks; nothing if it has no element."""
+        here = F.struct(cut(s["top"], own).alias("top"), s["blocks"].alias("blocks"))
+        holding = F.when(s["blocks"] > 0, F.array_max(F.filter(F.sequence(F.lit(1), s["blocks"]), lambda k: F.contains(F.get(far, k - 1), own))))
+        deeper = let(holding, lambda k: F.struct(F.coalesce(cut(F.get(far, k - 1), own), F.lit("")).alias("top"), F.coalesce(k - 1, F.lit(0)).alias("blocks")))
+        return F.when(F.contains(s["top"], own), here).otherwise(deeper)
+
+    def close(far: Column, s: Column, x: Column) -> Column:
+        same = x["blocks"] == s["blocks"]
+        was = F.when(same, s["top"]).otherwise(F.concat(F.array_join(F.slice(far, x["blocks"] + 1, s["blocks"] - x["blocks"]), ""), s["top"]))
+        gone = F.transform(entries(F.substring(was, F.length(x["top"]) + 1, F.length(was))), lambda e: F.struct(index(e).alias("i"), (s["n"] - 1).alias("end_idx")))
+        fetch = (x["top"] == "") & (x["blocks"] > 0)
+        now = F.when(fetch, state(F.get(far, x["blocks"] - 1), F.lit(CHUNK), x["blocks"] - 1, s["n"])).otherwise(state(x["top"], F.size(entries(x["top"])), x["blocks"], s["n"]))
+        return F.struct(now.alias("s"), F.struct(F.lit(None).cast("int").alias("parent_idx"), F.lit(None).cast("int").alias("depth"), gone.alias("closed")).alias("o"))
+
+    def between(far: Column, s: Column) -> Column:
+        kept = F.when(F.size(far) > s["blocks"], F.slice(far, F.lit(1), s["blocks"])).otherwise(far)
+        block = F.substring_index(s["top"], _BEFORE, CHUNK + 1)
+        deep = F.struct(F.concat(kept, F.array(block)).alias("f"), state(F.substring(s["top"], F.length(block) + 1, F.length(s["top"])), s["held"] - CHUNK, s["blocks"] + 1, s["n"]).alias("s"))
+        return F.when(s["held"] > 2 * CHUNK, deep).otherwise(F.struct(kept.alias("f"), s.alias("s")))
+
+    def ended(far: Column, s: Column, places: Column) -> Column:
+        left = F.transform(entries(F.concat(F.array_join(far, ""), s["top"])), lambda e: F.struct(index(e).alias("i"), (s["n"] - 1).alias("end_idx")))
+        return finish(left, places)
+
+    return scan(found, near, step, _PLACE, F.array().cast("array<string>"), between, ended)
+
+
+def opens(t: Column) -> Column:
+    """Whether a token opens an element that later tokens may lie in."""
+    return t["tag"].isNotNull() & ~t["close"] & ~t["selfclosed"] & ~t["tag"].isin(*VOID)
 
 
 def parse(html: Column) -> Column:
-    """Nodes of a page in document order; path and path_tags are a node's open ancestors."""
-    start = F.struct(
-        F.array().cast("array<struct<i:int,tag:string>>").alias("stack"),
-        F.lit(0).alias("n"),
-        F.array().cast(f"array<{_NODE}>").alias("nodes"),
-    )
+    """Nodes of a page in document order: node_idx, parent_idx, depth, end_idx (the last node inside it,
+    itself if none), tag, attrs, text.  An ancestor is one with node_idx below and end_idx not below."""
+
+    def assembled(found: Column):
+        def of(left: Column, places: Column) -> Column:
+            shown = F.filter(F.arrays_zip(found.alias("t"), places.alias("p")), lambda x: ~x["t"]["close"])
+            return let(shown, lambda given: let(ends(left, places, given), lambda last: F.transform(given, lambda x, i: node(x, i, F.get(last, i)["end_idx"]))))
 
-    def step(a: Column, t: Column) -> Column:
-        stack = a["stack"]
-        tags = F.transform(stack, lambda s: s["tag"])
-        own = F.array_position(F.reverse(tags), t["tag"])
-        cut = F.when(own > 0, F.slice(stack, F.lit(1), F.size(stack) - own.cast("int"))).otherwise(F.slice(stack, 1, 0))
-        closed = F.struct(cut.alias("stack"), a["n"].alias("n"), a["nodes"].alias("nodes"))
-        node = F.struct(
-            a["n"].alias("node_idx"),
-            F.try_element_at(stack, F.lit(-1))["i"].alias("parent_idx"),
-            (F.size(stack) + 1).alias("depth"),
-            t["tag"].alias("tag"),
-            t["attrs"].alias("attrs"),
-            t["text"].alias("text"),
-            F.transform(stack, lambda s: s["i"]).alias("path"),
-            tags.alias("path_tags"),
+        return of
+
+    def ends(left: Column, places: Column, given: Column) -> Column:
+        closed = F.flatten(F.array_compact(F.transform(places, lambda p: p["closed"])))
+        alone = F.array_compact(F.transform(given, lambda x, i: F.when(~opens(x["t"]), F.struct(i.alias("i"), i.alias("end_idx")))))
+        return F.array_sort(F.concat(closed, left, alone))
+
+    def node(x: Column, i: Column, end: Column) -> Column:
+        t, p = x["t"], x["p"]
+        return F.struct(
+            i.alias("node_idx"), p["parent_idx"].alias("parent_idx"), p["depth"].alias("depth"), end.alias("end_idx"), t["tag"].alias("tag"), t["attrs"].alias("attrs"), t["text"].alias("text")
         )
-        opens = t["tag"].isNotNull() & ~t["selfclosed"] & ~t["tag"].isin(*VOID)
-        pushed = F.when(opens, F.concat(stack, F.array(F.struct(a["n"].alias("i"), t["tag"].alias("tag"))))).otherwise(stack)
-        grown = F.struct(pushed.alias("stack"), (a["n"] + 1).alias("n"), F.concat(a["nodes"], F.array(node)).alias("nodes"))
-        return F.when(t["close"], closed).otherwise(grown)
 
-    return F.aggregate(tokens(html), start, step, lambda a: a["nodes"])
+    return let(tokens(html), lambda found: _walked(found, assembled(found)))
+
+
+def with_paths(parsed: Column) -> Column:
+    """Parsed nodes with path and path_tags, their open ancestors from the root on.  As long as the sum of
+    all depths, so only for those who ask."""
+    start = F.array().cast("array<struct<i:int,tag:string>>")
+
+    def step(_: Column, chain: Column, n: Column) -> Column:
+        up = F.slice(chain, F.lit(1), n["depth"] - 1)
+        path = F.struct(F.transform(up, lambda x: x["i"]).alias("path"), F.transform(up, lambda x: x["tag"]).alias("path_tags"))
+        down = F.when(n["end_idx"] > n["node_idx"], F.concat(up, F.array(F.struct(n["node_idx"].alias("i"), n["tag"].alias("tag"))))).otherwise(chain)
+        return F.struct(down.alias("s"), path.alias("o"))
+
+    def joined(nodes: Column) -> Column:
+        return let(scan(nodes, start, step, _PATH), lambda paths: F.transform(nodes, lambda n, i: n.withField("path", F.get(paths, i)["path"]).withField("path_tags", F.get(paths, i)["path_tags"])))
+
+    return let(parsed, joined)
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(capture_id, node_idx, parent_idx, depth, kind, tag, attrs, text, path, path_tags): one row a node."""
-    parsed = pages.select(F.col(key).alias("capture_id"), parse(F.col(html)).alias("nodes"))
-    return parsed.select("capture_id", F.inline("nodes")).withColumns(
+def parsed(pages: DataFrame, key: str = "page_id", html: str = "html", paths: bool = False, **more: Column) -> DataFrame:
+    """(capture_id, nodes) and ``more`` of each page, parsed once whatever reads the nodes."""
+    found = parse(F.col("html"))
+    return once(pages.select(F.col(key).alias("capture_id"), F.col(html).alias("html"), *(c.alias(k) for k, c in more.items())), nodes=with_paths(found) if paths else found).drop("html")
+
+
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", paths: bool = True) -> DataFrame:
+    """(capture_id, node_idx, parent_idx, depth, end_idx, kind, tag, attrs, text): one row a node; with
+    path and path_tags if asked for."""
+    return parsed(pages, key, html, paths).select("capture_id", F.inline("nodes")).withColumns(
         {"kind": F.when(F.col("tag").isNotNull(), "element").otherwise("text"), "attrs": attributes(F.coalesce("attrs", F.lit("")))}
     )
 
@@ -129,9 +207,14 @@ def ancestry(table: DataFrame, limit: int = 8) -> DataFrame:
     return table.where("kind = 'element'").select("capture_id", "node_idx", up)
 
 
-def under(path: Column, marked: Column) -> Column:
-    """Whether a node has an ancestor among the indices ``marked``."""
-    return F.arrays_overlap(path, marked)
+def under(nodes: Column, marked) -> Column:
+    """Of each node, in document order, whether it has an ancestor that is ``marked``."""
+
+    def step(_: Column, end: Column, n: Column) -> Column:
+        reach = F.when(marked(n), F.greatest(end, n["end_idx"])).otherwise(end)
+        return F.struct(reach.alias("s"), (n["node_idx"] <= end).alias("o"))
+
+    return scan(nodes, F.lit(-1), step, "boolean")
 
 
 def capped(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -139,9 +222,8 @@ def capped(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MAX_DE
 
     Cut inside the row: nodes beyond the limits never become rows.
     """
-    parsed = pages.select(F.col("page_id").alias("capture_id"), parse(F.col("html")).alias("nodes"))
     shallow = F.filter("nodes", lambda n: n["depth"] <= max_depth)
-    return parsed.select(
+    return parsed(pages).select(
         "capture_id",
         F.size("nodes").alias("nodes"),
         F.least(F.size(shallow), F.lit(max_nodes)).alias("kept"),
@@ -155,39 +237,31 @@ def removed_tags(pages: DataFrame) -> DataFrame:
 
     Found inside the row: only the roots of what goes become rows.
     """
-    parsed = pages.select(F.col("page_id").alias("capture_id"), parse(F.col("html")).alias("nodes"))
-    noise = F.filter("nodes", lambda n: n["tag"].isin(*NOISE))
-    marked = parsed.select("capture_id", F.inline(F.array(F.struct(noise.alias("noise"), F.transform(noise, lambda n: n["node_idx"]).alias("at")))))
-    top = F.transform(F.filter("noise", lambda n: ~under(n["path"], F.col("at"))), lambda n: n["tag"])
-    return marked.select("capture_id", F.explode(top).alias("tag")).groupBy("capture_id", "tag").agg(F.count(F.lit(1)).alias("removed"))
+    noise = lambda n: n["tag"].isin(*NOISE)
+    d = once(parsed(pages), inside=under(F.col("nodes"), noise))
+    top = F.transform(F.filter("nodes", lambda n, i: noise(n) & ~F.get(F.col("inside"), i)), lambda n: n["tag"])
+    return d.select("capture_id", F.explode(top).alias("tag")).groupBy("capture_id", "tag").agg(F.count(F.lit(1)).alias("removed"))
 
 
 def anchor_html(pages: DataFrame) -> DataFrame:
     """The cleaned subtree of pages without scenes, custom elements or labels: links and text.
 
     For such pages normalising and reconstructing come down to a filter: nodes below noise go, links
-    and texts stay, other elements are unwrapped.  Serialised inside the row, in document order.
+    and texts stay, other elements are unwrapped.  Serialised inside the row: starts and ends of links
+    and texts are sorted by the nodes that they stand at.
     """
-    parsed = pages.select(F.col("page_id").alias("capture_id"), parse(F.col("html")).alias("nodes"))
-    noise = F.transform(F.filter("nodes", lambda n: n["tag"].isin(*NOISE)), lambda n: n["node_idx"])
-    kept = F.filter("nodes", lambda n: ~F.arrays_overlap(n["path"], F.col("noise")) & (n["tag"].isNull() | (n["tag"] == "a")))
-    d = parsed.withColumn("noise", noise).withColumn("kept", kept)
-    links = F.transform(F.filter("kept", lambda n: n["tag"].isNotNull()), lambda n: n["node_idx"])
-    d = d.withColumn("links", links)
-    # A link's end comes before the first later node that is not inside it.
-    def write(a: Column, n: Column) -> Column:
-        open_links = F.filter(a["open"], lambda i: F.array_contains(n["path"], i))
-        closing = F.array_join(F.transform(F.sequence(F.lit(1), F.size(a["open"]) - F.size(open_links) + 1), lambda i: F.lit("")), "</a>")
-        href = attributes(n["attrs"])["href"]
-        start = F.when(F.coalesce(href, F.lit("")) == "", F.lit("<a>")).otherwise(F.concat(F.lit('<a href="'), X.escape_attribute(href), F.lit('">')))
-        body = F.when(n["tag"].isNull(), X.escape_text(X.compact(n["text"]))).otherwise(start)
-        return F.struct(
-            F.concat(a["out"], closing, body).alias("out"),
-            F.when(n["tag"].isNull(), open_links).otherwise(F.concat(open_links, F.array(n["node_idx"]))).alias("open"),
-        )
-
-    end = lambda a: F.concat(a["out"], F.array_join(F.transform(F.sequence(F.lit(0), F.size(a["open"])), lambda i: F.lit("")), "</a>"))
-    written = F.aggregate("kept", F.struct(F.lit("").alias("out"), F.array().cast("array<int>").alias("open")), write, end)
+    d = once(parsed(pages), inside=under(F.col("nodes"), lambda n: n["tag"].isin(*NOISE)))
+    kept = F.filter("nodes", lambda n, i: ~F.get(F.col("inside"), i) & (n["tag"].isNull() | (n["tag"] == "a")))
+    d = once(d.select("capture_id", "nodes", "inside"), kept=kept)
+    part = lambda at, rank, text: F.struct(at.alias("at"), F.lit(rank).alias("rank"), text.alias("text"))
+
+    def start(n: Column) -> Column:
+        href = F.try_element_at(attributes(n["attrs"]), F.lit("href"))
+        link = F.when(F.coalesce(href, F.lit("")) == "", F.lit("<a>")).otherwise(F.concat(F.lit('<a href="'), X.escape_attribute(href), F.lit('">')))
+        return part(n["node_idx"], 0, F.when(n["tag"].isNull(), X.escape_text(X.compact(n["text"]))).otherwise(link))
+
+    ends = F.transform(F.filter("kept", lambda n: n["tag"].isNotNull()), lambda n: part(n["end_idx"], 1, F.lit("</a>")))
+    written = F.array_join(F.transform(F.array_sort(F.concat(F.transform("kept", start), ends)), lambda x: x["text"]), "")
     return d.select("capture_id", written.alias("html"), F.size("kept").alias("nodes"))
 
 
@@ -203,10 +277,10 @@ def _read(spark, sf_dir):
 
 
 QUERIES = {
-    "html_node_counts": lambda s, d: counts(nodes(_read(s, d))),
-    "node_sibling_index": lambda s, d: siblings(nodes(_read(s, d))).select("capture_id", "node_idx", "tag", "sibling_idx"),
+    "html_node_counts": lambda s, d: counts(nodes(_read(s, d), paths=False)),
+    "node_sibling_index": lambda s, d: siblings(nodes(_read(s, d), paths=False)).select("capture_id", "node_idx", "tag", "sibling_idx"),
     "node_ancestry": lambda s, d: ancestry(nodes(_read(s, d))).select("capture_id", "node_idx", "level", "ancestor_tag"),
-    "node_attributes": lambda s, d: nodes(_read(s, d)).select("capture_id", "node_idx", F.explode("attrs").alias("name", "value")),
+    "node_attributes": lambda s, d: nodes(_read(s, d), paths=False).select("capture_id", "node_idx", F.explode("attrs").alias("name", "value")),
     "removed_tag_histogram": lambda s, d: removed_tags(_read(s, d)),
     "subtree_caps": lambda s, d: capped(_read(s, d), 30, 5),
     "candidate_html": lambda s, d: anchor_html(_read(s, d)),

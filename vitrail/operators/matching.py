@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..functions.arrays import once, scan
 from ..sources import fixtures as X
 from . import fallback as B
 from . import htmltree as H
@@ -32,12 +33,6 @@ def _lower_attribute(attrs: Column, name: str) -> Column:
     return F.lower(F.coalesce(F.try_element_at(attrs, F.lit(name)), F.lit("")))
 
 
-def once(d: DataFrame, **columns: Column) -> DataFrame:
-    """``d`` with columns that are computed once a row; a plain projection would be repeated wherever a
-    lambda reads them."""
-    return d.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-
-
 def described(pages: DataFrame, in_shadow=None) -> DataFrame:
     """(capture_id, nodes, els): the elements of each page with what matching looks at, inside the row.
 
@@ -47,18 +42,18 @@ def described(pages: DataFrame, in_shadow=None) -> DataFrame:
     parent's shadow root.
     """
     in_shadow = in_shadow or (lambda n: F.lit(False))
-    d = once(pages.select(F.col("page_id").alias("capture_id"), "html"), nodes=H.parse(F.col("html"))).drop("html")
-    # Nodes in order of parents: places are counted in one fold, and the last of a parent tells its children.
+    d = H.parsed(pages, paths=True)
+    # Nodes in order of parents: places are counted along them, and the last of a parent tells its children.
     rows = F.array_sort(F.transform("nodes", lambda n: F.struct(F.coalesce(n["parent_idx"], F.lit(-1)).alias("up"), n["node_idx"].alias("i"), n["tag"].isNotNull().cast("int").alias("e"))))
-    start = F.struct(F.lit(-2).alias("up"), F.lit(0).alias("k"), F.lit(0).alias("n"), F.array().cast("array<struct<i:int,up:int,place:int,element_place:int,elements:int>>").alias("out"))
 
-    def count(a: Column, x: Column) -> Column:
+    def count(_: Column, a: Column, x: Column) -> Column:
         same = x["up"] == a["up"]
         place, before = F.when(same, a["k"]).otherwise(0), F.when(same, a["n"]).otherwise(0)
         own = F.struct(x["i"].alias("i"), x["up"].alias("up"), place.alias("place"), before.alias("element_place"), (before + x["e"]).alias("elements"))
-        return F.struct(x["up"].alias("up"), (place + 1).alias("k"), (before + x["e"]).alias("n"), F.concat(a["out"], F.array(own)).alias("out"))
+        return F.struct(F.struct(x["up"].alias("up"), (place + 1).alias("k"), (before + x["e"]).alias("n")).alias("s"), own.alias("o"))
 
-    d = once(d, _places=F.aggregate(rows, start, count, lambda a: a["out"]))
+    start = F.struct(F.lit(-2).alias("up"), F.lit(0).alias("k"), F.lit(0).alias("n"))
+    d = once(d, _places=scan(rows, start, count, "struct<i:int,up:int,place:int,element_place:int,elements:int>"))
     last = F.filter("_places", lambda x, k: F.coalesce(F.get(F.col("_places"), k + 1)["up"] != x["up"], F.lit(True)))
     d = once(d, _kids=F.map_from_entries(F.transform(last, lambda x: F.struct(x["up"], F.struct((x["place"] + 1).alias("all"), x["elements"].alias("elements"))))))
     d = once(d, _at=F.array_sort("_places")).drop("_places")
@@ -186,7 +181,8 @@ RUNTIME_RESOLVED, RUNTIME_WINDOW, TEXT_OVERLAP = 28, 12, 0.45
 
 def content(nodes: Column, i: Column, limit: int = 280) -> Column:
     """Compact lower-case text below a node, cut to ``limit``."""
-    below = F.filter(nodes, lambda n: n["tag"].isNull() & F.array_contains(n["path"], i))
+    inside = F.slice(nodes, i + 1, F.get(nodes, i)["end_idx"] - i + 1)
+    below = F.filter(inside, lambda n: n["tag"].isNull())
     return F.substring(F.lower(T.compact(F.array_join(F.transform(below, lambda n: n["text"]), ""))), 1, limit)
 
 
@@ -332,9 +328,9 @@ def classified(pages: DataFrame, pick: Column, viewport: float) -> DataFrame:
     child if it is a link, an input or a leaf, else the root itself.  All signals are counted inside the
     row, over the root's subtree without itself; sizes follow from node numbers, as pages have no layout.
     """
-    d = pages.select(F.col("page_id").alias("capture_id"), H.parse(F.col("html")).alias("nodes"), pick.alias("pick"))
+    d = H.parsed(pages, pick=pick)
     d = d.withColumn("top", F.get(F.filter("nodes", lambda n: n["tag"] == F.col("pick")), F.lit(0))).where("top is not null")
-    d = d.withColumn("under", F.filter("nodes", lambda n: F.array_contains(n["path"], F.col("top.node_idx"))))
+    d = d.withColumn("under", F.slice("nodes", F.col("top.node_idx") + 2, F.col("top.end_idx") - F.col("top.node_idx")))
     shape = lambda n: F.struct(n["node_idx"].alias("i"), n["parent_idx"].alias("up"), n["tag"].alias("tag"), H.attributes(F.coalesce(n["attrs"], F.lit(""))).alias("a"), n["text"].alias("text"))
     d = d.select("capture_id", shape(F.col("top")).alias("root"), F.transform("under", shape).alias("below"))
     value = lambda n, k: F.lower(F.coalesce(F.try_element_at(n["a"], F.lit(k)), F.lit("")))
@@ -429,7 +425,7 @@ def _boxes(s, d):
 
 
 def _nodes(s, d):
-    return H.nodes(H._read(s, d))
+    return H.nodes(H._read(s, d), paths=False)
 
 
 def _in_shadow(n: Column) -> Column:

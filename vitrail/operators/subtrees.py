@@ -33,9 +33,9 @@ def allowed_attributes(attrs: Column) -> Column:
 
 def _parsed(pages: DataFrame, tag: str) -> DataFrame:
     """Each capture's nodes, with the first element ``tag`` as root and the nodes from it down."""
-    d = pages.select(F.col("page_id").alias("capture_id"), H.parse(F.col("html")).alias("nodes"))
+    d = H.parsed(pages)
     d = d.withColumn("root", F.get(F.filter("nodes", lambda n: n["tag"] == tag), F.lit(0))).where("root is not null")
-    below = F.filter("nodes", lambda n: (n["node_idx"] == F.col("root.node_idx")) | F.array_contains(n["path"], F.col("root.node_idx")))
+    below = F.slice("nodes", F.col("root.node_idx") + 1, F.col("root.end_idx") - F.col("root.node_idx") + 1)
     return d.select("capture_id", "nodes", "root", below.alias("below"))
 
 
@@ -92,7 +92,7 @@ def flattened(pages: DataFrame, in_shadow) -> DataFrame:
     ``in_shadow`` says of a node whether it hangs in its parent's shadow root; such children come
     before the others.
     """
-    d = pages.select(F.col("page_id").alias("capture_id"), H.parse(F.col("html")).alias("nodes"))
+    d = H.parsed(pages, paths=True)
     light = F.transform("nodes", lambda n: F.when(in_shadow(n), 0).otherwise(1))
     d = d.withColumn("light", light)
     step = lambda i: F.struct(F.get(F.col("light"), i).alias("light"), i.alias("i"))
@@ -110,7 +110,7 @@ def _pages(s, d):
 
 
 QUERIES = {
-    "allowed_attributes": lambda s, d: H.nodes(_pages(s, d)).select("capture_id", "node_idx", F.explode(allowed_attributes(F.col("attrs"))).alias("name", "value")),
+    "allowed_attributes": lambda s, d: H.nodes(_pages(s, d), paths=False).select("capture_id", "node_idx", F.explode(allowed_attributes(F.col("attrs"))).alias("name", "value")),
     "descendant_walk": lambda s, d: walk(_pages(s, d), "body", 12, 3),
     "target_subtree_html": lambda s, d: written(_pages(s, d), "body", 25, 4),
     "shadow_flatten": lambda s, d: flattened(_pages(s, d), _shadow_items),
