@@ -6,8 +6,10 @@ that carries a deep stack, takes the square of the array.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,21 @@ from pyspark.sql import functions as F
 CHUNK = 32
 
 
+def built(make: Callable[..., Column]) -> Callable[..., Column]:
+    """Long expressions over columns of fixed names are put together once a JVM, not once a query: that
+    takes thousands of calls to it."""
+    made: dict = {}
+
+    @functools.wraps(make)
+    def get(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in made:
+            made[key] = make(*args)
+        return made[key]
+
+    return get
+
+
 def once(d: DataFrame, **columns: Column) -> DataFrame:
     """``d`` with columns that are computed once a row; a plain projection would be repeated wherever a
     lambda, a filter or a generator reads them."""
@@ -58,3 +75,14 @@ def scan(values: Column, near: Column, step: Callable[[Column, Column, Column],
 
     start = F.struct(far.alias("f"), near.alias("s"), nothing.alias("o"))
     return let(values, lambda v: let(chunked(v), lambda c: F.aggregate(chunked(c), start, chunks, lambda a: finish(a["f"], a["s"], F.flatten(a["o"])))))
+
+
+def grouped(pairs: Column) -> Column:
+    """Structs (k, v) as a map from each k to its values, in ascending order; by one sort."""
+
+    def cut(p: Column) -> Column:
+        first = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (F.get(p, i - 1)["k"] != x["k"]), i)), lambda i: i.isNotNull())
+        run = lambda f: lambda b, j: F.slice(p, b + 1, F.coalesce(F.get(f, j + 1), F.size(p)) - b)
+        return let(first, lambda f: F.map_from_entries(F.transform(f, lambda b, j: F.struct(F.get(p, b)["k"], F.transform(run(f)(b, j), lambda x: x["v"])))))
+
+    return let(F.array_sort(F.filter(pairs, lambda x: x["k"].isNotNull())), cut)

@@ -110,7 +110,7 @@ def selector_parts(x: Column) -> Column:
 
 def without_states(x: Column) -> Column:
     """A selector without the pseudo classes of interaction states."""
-    return trim(F.regexp_replace(x, ":(?:hover|focus-within|focus-visible|focus|active)\\b", ""))
+    return trim(F.regexp_replace(x, ":(?:hover|focus-within|focus-visible|focus|active)", ""))
 
 
 def css_escape(x: Column) -> Column:

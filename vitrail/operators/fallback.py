@@ -18,7 +18,6 @@ EXPORTED = (
 CRITICAL = ("display", "position", "width", "height", "color", "background-color", "font-size", "font-family", "font-weight", "line-height")
 FAMILIES = ("flex", "grid", "animation", "transition", "transform")
 NO_CONTENT = ("none", "", '""', "''", "normal")
-STATES = ("hover", "focus", "focus-visible", "focus-within", "active")
 HINTS = ("data-testid", "data-test", "role", "name", "type", "aria-label", "placeholder", "title", "alt", "href", "src", "for")
 HINT_COUNT, HINT_CHARS = 12, 160
 
@@ -50,30 +49,6 @@ def differing_styles(computed: DataFrame, defaults: DataFrame) -> DataFrame:
     return j.where(F.col("name").isin(*CRITICAL) | family | ~F.col("value").eqNullSafe(F.col("default"))).drop("default")
 
 
-def states(rules: DataFrame) -> DataFrame:
-    """Rules by interaction state: a row for each selector and state, the state taken off."""
-    one = rules.withColumn("selector", F.explode(T.selector_list(F.col("selector_text"))))
-    named = F.array_compact(F.array(*[F.when(F.col("selector").rlike(f":{s}(?![a-z-])"), F.lit(s)) for s in STATES]))
-    return one.withColumn("state", F.explode(named)).withColumn("base", T.without_states(F.col("selector")))
-
-
-def matched_states(elements: DataFrame, by_state: DataFrame) -> DataFrame:
-    """Declarations that each element gets in each state: of a property the last rule's.
-
-    Compound selectors join on their tag, id or first class, whichever is most selective, and the
-    rest is compared; so elements and rules are never paired at large.
-    """
-    parts = T.selector_parts(F.col("base"))
-    r = by_state.withColumn("p", parts).withColumn("first", F.coalesce(F.get(F.col("p.classes"), F.lit(0)), F.lit("")))
-    r = r.withColumn("key", F.when(F.col("p.id") != "", F.concat(F.lit("#"), "p.id")).when(F.col("first") != "", F.concat(F.lit("."), "first")).otherwise(F.col("p.tag"))).where("key <> ''")
-    keys = F.concat(F.array("tag", F.concat(F.lit("#"), "id")), F.transform("classes", lambda c: F.concat(F.lit("."), c)))
-    e = elements.withColumn("key", F.explode(F.array_distinct(keys)))
-    fits = ((F.col("p.tag") == "") | (F.col("p.tag") == F.col("tag"))) & ((F.col("p.id") == "") | (F.col("p.id") == F.col("id")))
-    fits = fits & (F.size(F.array_except("p.classes", "classes")) == 0)
-    j = e.join(r, ["capture_id", "key"]).where(fits)
-    return j.groupBy("capture_id", "node_idx", "state", "name").agg(F.max_by("value", "ordinal").alias("value"))
-
-
 def nearest_values(declared: DataFrame, paths: DataFrame) -> DataFrame:
     """Value of each custom property at each target: that of the nearest element on its path."""
     up = paths.select("capture_id", "node_idx", F.posexplode(F.concat("path", F.array("node_idx"))).alias("depth", "at"))
@@ -115,22 +90,9 @@ def _nearest(s, d):
     return nearest_values(declared, nodes.where("tag = 'a'").select("capture_id", "node_idx", "path"))
 
 
-def _matched(s, d):
-    nodes = H.nodes(H._read(s, d)).where("kind = 'element'")
-    attr = lambda k: F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit(""))
-    elements = nodes.select("capture_id", "node_idx", "tag", attr("id").alias("id"), T.class_tokens(attr("class")).alias("classes"))
-    k = F.col("k")
-    text = F.when(k == 0, "a:hover, p:active").when(k == 1, "a:hover").when(k == 2, "div:focus").otherwise("div.nav:focus-within")
-    rules = s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("capture_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select(
-        "capture_id", text.alias("selector_text"), k.alias("ordinal"), F.lit("color").alias("name"), F.concat(F.lit("c"), k.cast("string")).alias("value")
-    )
-    return matched_states(elements, states(rules))
-
-
 QUERIES = {
     "asset_inlining": lambda s, d: inline_assets(_values(s, d), _assets(s, d)),
     "nearest_variables": _nearest,
-    "state_styles": _matched,
 }
 
 ORACLE = {
@@ -139,7 +101,4 @@ ORACLE = {
     "nearest_variables": f"""WITH RECURSIVE {H.SQL}, e AS (SELECT * FROM nodes WHERE tag IS NOT NULL), dec AS (SELECT capture_id, node_idx, '--v' || node_idx % 2 AS name, node_idx::VARCHAR AS value FROM e WHERE node_idx % 3 = 0),
       up AS (SELECT capture_id, node_idx, unnest(list_append(path, node_idx)) AS at_idx, generate_subscripts(list_append(path, node_idx), 1) AS depth FROM e WHERE tag = 'a')
       SELECT u.capture_id, u.node_idx, d.name, arg_max(d.value, u.depth) AS value FROM up u JOIN dec d ON d.capture_id = u.capture_id AND d.node_idx = u.at_idx GROUP BY ALL""",
-    "state_styles": f"""WITH RECURSIVE {H.SQL}, e AS (SELECT capture_id, node_idx, tag, list_contains(string_split_regex(regexp_extract(raw, '(?:^|\\s)class\\s*=\\s*"([^"]*)"', 1), '\\s+'), 'nav') AS nav FROM nodes WHERE tag IS NOT NULL)
-      SELECT capture_id, node_idx, 'hover' AS state, 'color' AS name, 'c1' AS value FROM e WHERE tag = 'a' UNION ALL SELECT capture_id, node_idx, 'active', 'color', 'c0' FROM e WHERE tag = 'p'
-      UNION ALL SELECT capture_id, node_idx, 'focus', 'color', 'c2' FROM e WHERE tag = 'div' UNION ALL SELECT capture_id, node_idx, 'focus-within', 'color', 'c3' FROM e WHERE tag = 'div' AND nav""",
 }

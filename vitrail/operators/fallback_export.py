@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import url as U
 from ..sources import fixtures as X
+from . import cascade as K
 from . import fallback as B
 from . import fidelity as Q
 from . import htmltree as H
@@ -118,14 +119,13 @@ def _defaults(s):
 
 
 def _states(s, d, e):
-    attr = lambda k: F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit(""))
-    flat = e.select("capture_id", F.col("place").alias("node_idx"), "tag", attr("id").alias("id"), T.class_tokens(attr("class")).alias("classes"))
     k = F.col("k")
     rules = X._series(s, d, 2).select(
-        F.col("p").alias("capture_id"), F.when(k == 0, "a:hover, #stage1:focus").when(k == 1, "div.board:focus-within").otherwise("b.overlay:hover, a:hover").alias("selector_text"),
+        F.col("p").alias("capture_id"), F.when(k == 0, "a:hover, #stage1:focus").when(k == 1, "div.board:focus-within, nav li:active").otherwise("b.overlay:hover, a:hover, li:foo:hover").alias("selector_text"),
         k.alias("ordinal"), F.lit("color").alias("name"), F.concat(F.lit("s"), k.cast("string")).alias("value"),
     )
-    return B.matched_states(flat, B.states(rules)).withColumnRenamed("node_idx", "place")
+    found = K.given_state_styles(S._pages(s, d), rules)
+    return found.join(e.select("capture_id", "node_idx", "place"), ["capture_id", "node_idx"]).drop("node_idx")
 
 
 def _parts(s, d):
@@ -157,7 +157,7 @@ QUERIES = {
 
 _EXPORTED = "(" + ", ".join(f"'{a}'" for a in B.EXPORTED) + ")"
 _BASE = S._TREE + f""", sh AS (SELECT capture_id, list(node_idx) AS items FROM nodes WHERE tag = 'li' AND node_idx % 2 = 0 GROUP BY ALL),
-e AS (SELECT capture_id, node_idx, path[-1] AS parent_idx, tag, raw, (row_number() OVER (PARTITION BY capture_id ORDER BY list_transform(list_append(path, node_idx), lambda i: CASE WHEN list_contains(coalesce(items, []), i) THEN i ELSE 1000000 + i END)) - 1)::INT AS place FROM nodes LEFT JOIN sh USING (capture_id) WHERE tag IS NOT NULL),
+e AS (SELECT capture_id, node_idx, path[-1] AS parent_idx, path_tags, tag, raw, (row_number() OVER (PARTITION BY capture_id ORDER BY list_transform(list_append(path, node_idx), lambda i: CASE WHEN list_contains(coalesce(items, []), i) THEN i ELSE 1000000 + i END)) - 1)::INT AS place FROM nodes LEFT JOIN sh USING (capture_id) WHERE tag IS NOT NULL),
 atr AS (SELECT capture_id, node_idx, k, arg_max({S._DECODED}, i) AS v FROM a GROUP BY ALL),
 ids AS (SELECT capture_id, min(node_idx) AS node_idx, v AS id FROM atr WHERE k = 'id' GROUP BY capture_id, v),
 syms AS (SELECT DISTINCT r.capture_id, ids.id, ids.node_idx FROM (SELECT capture_id, coalesce(nullif(regexp_extract(v, 'url\\(#([^)]+)\\)', 1), ''), nullif(regexp_extract(v, '^#(.+)$', 1), '')) AS id FROM atr) r JOIN ids ON ids.capture_id = r.capture_id AND ids.id = r.id),
@@ -165,8 +165,9 @@ st AS (SELECT capture_id, place, 'color' AS name, CASE WHEN tag = 'a' THEN 'c' |
   UNION ALL SELECT capture_id, place, 'float', CASE WHEN node_idx % 4 = 0 THEN 'left' ELSE 'none' END, 0, 0 FROM e WHERE node_idx % 4 = 0 OR tag NOT IN ('a', 'li', 'p')
   UNION ALL SELECT capture_id, place, 'mask', CASE WHEN capture_id % 2 = 0 THEN 'url(data:image/png;base64,' || base64(encode(capture_id::VARCHAR)) || ')' ELSE 'url(/i/' || capture_id || '.png)' END, 1, capture_id % 2 FROM e WHERE tag = 'div'),
 cl AS (SELECT e.*, string_split_regex(coalesce(c.v, ''), '\\s+') AS classes, i.v AS id FROM e LEFT JOIN atr c ON c.capture_id = e.capture_id AND c.node_idx = e.node_idx AND c.k = 'class' LEFT JOIN atr i ON i.capture_id = e.capture_id AND i.node_idx = e.node_idx AND i.k = 'id'),
-ps AS (SELECT capture_id, place, 'hover' AS state, 's2' AS value FROM cl WHERE tag = 'a' OR (tag = 'b' AND list_contains(classes, 'overlay')) UNION ALL SELECT capture_id, place, 'focus', 's0' FROM cl WHERE id = 'stage1'
-  UNION ALL SELECT capture_id, place, 'focus-within', 's1' FROM cl WHERE tag = 'div' AND list_contains(classes, 'board')),
+ps AS (SELECT capture_id, place, 'hover' AS state, 's2' AS value FROM cl WHERE tag = 'a' OR (tag = 'b' AND list_contains(classes, 'overlay'))
+  UNION ALL SELECT capture_id, place, 'focus', CASE WHEN tag = 'div' AND list_contains(classes, 'board') THEN 's1' ELSE 's0' END FROM cl WHERE id = 'stage1' OR (tag = 'div' AND list_contains(classes, 'board'))
+  UNION ALL SELECT capture_id, place, 'active', 's1' FROM cl WHERE tag = 'li' AND list_contains(path_tags, 'nav')),
 kf AS (SELECT e.capture_id, e.place, k.ordinal, k.css_text FROM e JOIN (WITH {X.KEYFRAMES_SQL} SELECT * FROM fx_keyframes) k ON k.capture_id = e.capture_id AND k.name = 'kf' || e.place % 3 WHERE e.tag = 'li')"""
 _PEN = "least(0.92::DOUBLE, greatest(0::DOUBLE, ((((((0.32::DOUBLE + least(0.2::DOUBLE, shadow_hosts::DOUBLE * 0.04::DOUBLE)) + least(0.1::DOUBLE, removed_attributes::DOUBLE * 0.002::DOUBLE)) + least(0.2::DOUBLE, asset_failures::DOUBLE * 0.03::DOUBLE)) + CASE WHEN pseudo_rules = 0 THEN 0.02::DOUBLE ELSE 0::DOUBLE END) + CASE WHEN keyframe_rules = 0 THEN 0.02::DOUBLE ELSE 0::DOUBLE END) + CASE WHEN nodes > 160 THEN 0.05::DOUBLE ELSE 0::DOUBLE END)))"
 ORACLE = {

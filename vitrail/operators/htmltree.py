@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.arrays import CHUNK, let, once, scan
+from ..functions.arrays import CHUNK, built, let, once, scan
 
 #: FIXED VALUES: elements without content, subtrees dropped as noise, elements kept as anchors, and
 #: wrappers that carry no meaning of their own.
@@ -168,10 +168,15 @@ def with_paths(parsed: Column) -> Column:
     return let(parsed, joined)
 
 
+@built
+def _tree(paths: bool) -> Column:
+    found = parse(F.col("html"))
+    return with_paths(found) if paths else found
+
+
 def parsed(pages: DataFrame, key: str = "page_id", html: str = "html", paths: bool = False, **more: Column) -> DataFrame:
     """(capture_id, nodes) and ``more`` of each page, parsed once whatever reads the nodes."""
-    found = parse(F.col("html"))
-    return once(pages.select(F.col(key).alias("capture_id"), F.col(html).alias("html"), *(c.alias(k) for k, c in more.items())), nodes=with_paths(found) if paths else found).drop("html")
+    return once(pages.select(F.col(key).alias("capture_id"), F.col(html).alias("html"), *(c.alias(k) for k, c in more.items())), nodes=_tree(paths)).drop("html")
 
 
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", paths: bool = True) -> DataFrame:

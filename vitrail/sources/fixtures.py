@@ -109,23 +109,48 @@ VARIED = (
 
 def varied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` with attributes, scenes, graphics and references put into their HTML."""
+    return _replaced(spark, sf_dir, VARIED)
+
+
+def _replaced(spark: SparkSession, sf_dir: str, changes: tuple) -> DataFrame:
     html = F.col("html")
-    for old, new, only in VARIED:
+    for old, new, only in changes:
         changed = F.replace(html, F.lit(old), F.lit(new))
         html = changed if only is None else F.when(F.col("page_id") % 3 == only, changed).otherwise(html)
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", html.alias("html"))
 
 
-def _varied_sql() -> str:
+def _replaced_sql(name: str, changes: tuple) -> str:
     html = "html"
-    for old, new, only in VARIED:
+    for old, new, only in changes:
         quoted = [x.replace("'", "''") for x in (old, new)]
         changed = f"replace({html}, '{quoted[0]}', '{quoted[1]}')"
         html = changed if only is None else f"CASE WHEN page_id % 3 = {only} THEN {changed} ELSE {html} END"
-    return f"vpages AS (SELECT page_id, url, {html} AS html FROM pages)"
+    return f"{name} AS (SELECT page_id, url, {html} AS html FROM pages)"
+
+
+VARIED_SQL = _replaced_sql("vpages", VARIED)
+
+
+#: The sheet that stands in for the pages' own: combinators, attributes, lists, media, states, and what is not valid.
+SHEET = (
+    "p{margin:0;color:black} nav li:hover{color:red;top:1px} nav > ul > li:first-child a:focus-visible{color:blue} article *:active{outline:0}"
+    " [title]:hover, h1[title^='x']:active{cursor:pointer} b + br, p ~ p:hover{left:2px} a[href^='/E' i]:focus-within{left:3px} div:not(.ad):active{x:1}"
+    " a > :hover{bad:1} li:hover:focus{top:2px} p:nope, p{margin:9px} article br{left:4px;--gap:1} @media print{li{color:gray}} @media screen{li{color:teal!important}}"
+    " nav ul .open{color:olive;top:5px} body{color:#111;font-size:12px;margin:8px} h1{color:inherit;font-size:initial} @keyframes k{from{top:0}} @font-face{font-family:W;src:url(/w.woff2)}"
+)
+STYLED = (
+    ("<style>p{margin:0}</style>", f"<style>{SHEET}</style>", None), ("<h1>", '<h1 title="x">', 0), ("<h1>", '<h1 title="y" style="color:navy;margin:1px!important">', 1),
+    ("<li>", '<li class="a open">', 2), ("<b>", "<b><i></i></b><br><b>", 1),
+)
+
+
+def styled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with a larger sheet and some style attributes and classes."""
+    return _replaced(spark, sf_dir, STYLED)
 
 
-VARIED_SQL = _varied_sql()
+STYLED_SQL = _replaced_sql("spages", STYLED)
 
 
 def css_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
