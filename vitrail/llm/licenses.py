@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from . import license_rules as L
 
 #: Runs of word characters, before lowering (A-Z then count as word characters).
@@ -37,17 +38,63 @@ def _places(norm: Column, pattern: Column) -> Column:
     between = F.transform(F.split(norm, pattern, -1), _spaces)
     sizes = F.transform(F.regexp_extract_all(norm, pattern, 0), _spaces)
     pairs = F.zip_with(between, sizes, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["b"]
-        place = F.array(F.struct(s.alias("s"), (s + x["m"]).alias("e")))
-        return F.struct(
-            (s + F.coalesce(x["m"], F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], place)).alias("out"),
-        )
 
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    def step(_: Column, at: Column, x: Column) -> Column:
+        s = at + x["b"]
+        e = s + F.coalesce(x["m"], F.lit(0))
+        return F.struct(e.alias("s"), F.when(x["m"].isNotNull(), F.struct(s.alias("s"), e.alias("e"))).alias("o"))
+
+    return F.array_compact(arrays.scan(pairs, F.lit(0), step, "struct<s:int,e:int>"))
+
+
+def _runs(ordered: Column) -> Column:
+    """Intervals, in order of their starts, as runs that hang together by overlaps."""
+
+    def step(_: Column, end: Column, x: Column) -> Column:
+        return F.struct(F.greatest(end, x["e"]).alias("s"), (x["s"] >= end).alias("o"))
+
+    def cut(opens: Column) -> Column:
+        first = F.filter(F.transform(opens, lambda o, i: F.when(o, i)), lambda i: i.isNotNull())
+        return arrays.let(first, lambda f: F.transform(f, lambda b, j: F.slice(ordered, b + 1, F.coalesce(F.get(f, j + 1), F.size(ordered)) - b)))
+
+    return arrays.let(arrays.scan(ordered, F.lit(-1), step, "boolean"), cut)
+
+
+def _resolved(run: Column) -> Column:
+    """What stays of one run, rule by rule: a rule's own matches never overlap, so all that are left when
+    its turn comes are kept, and what they overlap goes.
+
+    Around an interval only those are looked at that start within a detection's width of it.
+    """
+    status = lambda: F.transform(run, lambda x: F.lit(0))
+    base, widest = F.get(run, F.lit(0))["s"], F.array_max(F.transform(run, lambda x: x["e"] - x["s"]))
+    # Of each word from the run's first on: the first interval that starts there or later.
+    gaps = F.transform(run, lambda x, i: F.array_repeat(i, F.when(i == 0, 1).otherwise(x["s"] - F.get(run, i - 1)["s"])))
+    levels = F.array_sort(F.array_distinct(F.transform(run, lambda x: x["priority"])))
+
+    def around(firsts: Column, width: Column) -> Column:
+        lo = lambda x: F.get(firsts, F.greatest(x["s"] - width + 1 - base, F.lit(0)))
+        return F.transform(run, lambda x: F.struct(lo(x).alias("lo"), F.coalesce(F.get(firsts, x["e"] - base), F.size(run)).alias("hi")))
+
+    def turn(near: Column):
+        def one(before: Column, rule: Column) -> Column:
+            kept = F.transform(before, lambda v, i: F.when((v == 0) & (F.get(run, i)["priority"] == rule), 1).otherwise(v))
+
+            def gone(now: Column) -> Column:
+                hit = lambda i: F.exists(
+                    F.sequence(F.get(near, i)["lo"], F.get(near, i)["hi"] - 1),
+                    lambda k: (F.get(now, k) == 1) & (F.get(run, k)["priority"] == rule) & (F.get(run, k)["s"] < F.get(run, i)["e"]) & (F.get(run, i)["s"] < F.get(run, k)["e"]),
+                )
+                return F.transform(now, lambda v, i: F.when((v == 0) & hit(i), 2).otherwise(v))
+
+            return arrays.let(kept, gone)
+
+        return F.aggregate(levels, status(), one)
+
+    def settled(firsts: Column) -> Column:
+        return arrays.let(widest, lambda w: arrays.let(around(firsts, w), turn))
+
+    return arrays.let(arrays.let(F.flatten(gaps), settled), lambda done: F.filter(run, lambda x, i: F.get(done, i) == 1))
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -85,33 +132,11 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     base = F.concat(*[contract(*b) for b in L.BASE])
     none = F.array().cast("array<struct<s:int,e:int,priority:int,label:string,weight:double>>")
     every = F.flatten(F.transform("_m", found))
-    ordered = F.array_sort(
-        every,
-        lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).when(a["e"] != b["e"], b["e"] - a["e"]).otherwise(a["priority"] - b["priority"]),
-    )
-
-    def cluster(a: Column, x: Column) -> Column:
-        """Runs of intervals that hang together; ``x`` starts no earlier than those before it."""
-        last = F.concat(F.element_at(a["out"], -1), F.array(x))
-        joined = F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(last))
-        more = x["s"] < a["end"]
-        out = F.when(more, joined).otherwise(F.concat(a["out"], F.array(F.array(x))))
-        return F.struct(F.greatest(a["end"], x["e"]).alias("end"), out.alias("out"))
-
-    def resolve(found: Column) -> Column:
-        """What stays of one run."""
-        by_rule = F.array_sort(
-            found,
-            lambda a, b: F.when(a["priority"] != b["priority"], a["priority"] - b["priority"])
-            .when(a["e"] - a["s"] != b["e"] - b["s"], (b["e"] - b["s"]) - (a["e"] - a["s"])).otherwise(a["s"] - b["s"]),
-        )
-        over = lambda x: lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"])
-        kept = F.aggregate(by_rule, none, lambda a, x: F.when(F.exists(a, over(x)), a).otherwise(F.concat(a, F.array(x))))
-        return F.when(F.size(found) == 1, found).otherwise(F.array_sort(kept))
-
-    start = F.struct(F.lit(-1).alias("end"), F.array(none).alias("out"))
-    clusters = F.aggregate(ordered, start, cluster, lambda a: F.slice(a["out"], F.lit(2), F.greatest(F.size(a["out"]) - 1, F.lit(0))))
-    kept = F.when(F.size("_m") > 0, F.flatten(F.transform(clusters, resolve)))
+    # By start, then the longer first; runs, and what stays of each.
+    keyed = F.array_sort(F.transform(every, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("t"), x["priority"].alias("priority"), x["label"].alias("label"), x["weight"].alias("weight"))))
+    ordered = F.transform(keyed, lambda x: F.struct(x["s"].alias("s"), (-x["t"]).alias("e"), *(x[c].alias(c) for c in ("priority", "label", "weight"))))
+    stays = lambda runs: F.flatten(F.transform(runs, lambda run: F.when(F.size(run) == 1, run).otherwise(_resolved(run))))
+    kept = F.when(F.size("_m") > 0, arrays.let(ordered, lambda o: arrays.let(_runs(o), stays)))
     return d.select(
         *cols,
         "n_words",
