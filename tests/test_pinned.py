@@ -142,3 +142,15 @@ def test_text_functions(spark):
     assert (p.tag, p.id, p.classes) == ("div", "x", ["a", "b"])
     assert one(spark, T.data_url_bytes(F.lit("data:text/plain,a%20+b"))) == b"a +b"
     assert one(spark, T.data_url_bytes(T.data_url(F.lit("hé"), "text/plain"))) == "hé".encode()
+
+
+def test_deep_and_wide_pages_are_rewritten():
+    c = rewrite.Rewriter().candidate
+    deep = c('<div class="w">' * 60_000 + "<a href='/x'>t</a>" + "</div>" * 60_000)
+    assert (deep["html"], deep["collapsed_wrappers"], deep["nodes"]) == ("<a>t</a>", 60_000, 2)
+    assert c("<svg>" * 30_000 + "<path>")["html"].count("<svg>") == 3  # the inner ones are small once theirs are replaced
+    wide = c('<div role="x"><a href="y">k</a></div>' * 30_000)
+    assert wide["nodes"] == 60_000 and wide["html"].startswith('<a href="y">k</a><a')
+    scene = "".join(f'<x-piece style="position:absolute;left:{i}px"></x-piece>' for i in range(9))
+    found = c('<div id="k">' * 20_000 + f'<div class="board">{scene}</div>')
+    assert found["mode"] == "scene-preserving" and (found["scene_custom"], found["scene_primitives"]) == (9, 9) and found["scene_containers"] >= 1

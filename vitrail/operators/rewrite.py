@@ -1,8 +1,8 @@
 """Cleaning captured subtrees: scene detection, normalising, reconstruction, pruning.
 
 These rewrites look at a node's original children in some rules and at its rewritten children in
-others, and scene rules look two levels down, so they run bottom-up over one page's tree in Python,
-batch by batch through Arrow, without a shuffle.  Pages without scenes need none of this: for them
+others, and scene rules look two levels down, so they run bottom-up over one page's tree in Python, by a
+fold that keeps its own stack (pages of any depth), batch by batch through Arrow, without a shuffle.  Pages without scenes need none of this: for them
 ``htmltree.anchor_html`` gives the same candidate with built-in functions.
 
 What is particular to some sites (wrapper tags, class tokens) is configuration, not code.
@@ -59,11 +59,20 @@ class Config:
     search_labels: tuple = ()
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
+    """An element and, once its children are complete, what the rules ask of the subtree below it."""
+
     tag: str
     attrs: dict
     children: list = field(default_factory=list)  # of Element and str
+    text: bool = False  #: any text in it
+    anchor: bool = False  #: any anchor below it
+    meaning: bool = False  #: any text, or an element of a drawing that has a meaning, below it
+    long: bool = False  #: a long path in it or below
+    count: int = 1  #: elements, with itself
+    size: int = 0  #: characters of attributes, with its own
+    likely: bool = False  #: likely part of a scene
 
 
 _TOKEN = re.compile(r"<!--.*?-->|</?[a-zA-Z][^>]*>|[^<]+", re.S)
@@ -120,11 +129,36 @@ def elements(nodes: list) -> list:
     return [n for n in nodes if isinstance(n, Element)]
 
 
+def folded(nodes: list, leave, enter=lambda n, given: given, given=None) -> list:
+    """``nodes`` rewritten from the leaves up, however deep they lie.
+
+    ``enter`` of an element and what its parent was given gives what its children are given, or None to
+    drop it; ``leave`` of the element, its rewritten children and what it was given says what stands in
+    its place.  Texts are squeezed, blank ones go.
+    """
+    done: list = []
+    work = [(None, given, iter(nodes), done)]
+    while work:
+        node, own, todo, out = work[-1]
+        for n in todo:
+            if isinstance(n, str):
+                if text := squeeze(n):
+                    out.append(text)
+            elif (below := enter(n, own)) is not None:
+                work.append((n, below, iter(n.children), []))
+                break
+        else:
+            work.pop()
+            if work:
+                work[-1][3].extend(leave(node, out, own))
+    return done
+
+
 class Scene:
     """Predicates of rendered scenes (boards, layered figures)."""
 
     def __init__(self, config: Config):
-        self.config = config
+        self.config, self.on, self.drawn = config, True, True  # what is asked of a page: scene parts, drawings
 
     def classed(self, attrs: dict) -> bool:
         name = attrs.get("class", "").lower()
@@ -145,16 +179,26 @@ class Scene:
         """Marked, and without content."""
         return not any(isinstance(c, Element) or squeeze(c) for c in n.children) and self.marked(n)
 
-    def likely(self, n: Element) -> bool:
-        return n.tag == "svg" or self.marked(n) or sum(self.likely(c) for c in elements(n.children)) >= 2
+    def settled(self, n: Element) -> Element:
+        """``n`` with what is known of its subtree, from its children alone."""
+        inner = elements(n.children)
+        n.text = len(inner) < len(n.children) and any(isinstance(c, str) and squeeze(c) for c in n.children) or any([c.text for c in inner])
+        n.anchor = any([c.anchor or c.tag in ANCHORS for c in inner])
+        if self.drawn:
+            n.meaning = n.text or any([c.meaning or c.tag in SVG_MEANING for c in inner])
+            n.long = any(len(n.attrs.get(k, "")) > 120 for k in ("d", "points")) or any([c.long for c in inner])
+            n.count = 1 + sum([c.count for c in inner])
+            n.size = sum([len(k) + len(v) for k, v in n.attrs.items()]) + sum([c.size for c in inner])
+        n.likely = self.on and (n.tag == "svg" or self.marked(n) or sum(c.likely for c in inner) >= 2)
+        return n
 
     def payload(self, n: Element) -> bool:
         """A bare wrapper around one scene element."""
         inner = elements(n.children)
-        return n.tag in WRAPPERS and len(inner) == 1 and not visible(n) and self.likely(inner[0])
+        return n.tag in WRAPPERS and len(inner) == 1 and not n.text and inner[0].likely
 
     def carrier(self, n: Element) -> bool:
-        return self.likely(n) or self.payload(n)
+        return n.likely or self.payload(n)
 
     def container(self, n: Element) -> bool:
         """Whether a wrapper must stay for the scene inside it."""
@@ -166,12 +210,12 @@ class Scene:
         carriers = [c for c in inner if self.carrier(c)]
         if len(carriers) >= 2:
             return True
-        if carriers and (n.attrs or (len(n.children) == 1 and not visible(n))):
+        if carriers and (n.attrs or (len(n.children) == 1 and not n.text)):
             return True
         return len(inner) >= 3 and len(carriers) == len(inner)
 
     def relevant(self, n: Element) -> bool:
-        return self.likely(n) or self.container(n)
+        return n.likely or self.container(n)
 
     def counts(self, nodes: list) -> dict:
         own = [n for n in walk(nodes) if isinstance(n, Element)]
@@ -197,10 +241,6 @@ class Scene:
         )
 
 
-def visible(n: Element) -> bool:
-    return any(isinstance(x, str) and squeeze(x) for x in walk([n]))
-
-
 def _collapsible(attrs: dict) -> bool:
     return all(k in SAFE_WRAPPER or k.startswith(DROPPED_PREFIXES) for k in attrs)
 
@@ -216,12 +256,16 @@ class Rewriter:
         self.tags, self.names, self.collapsed, self.compacted = Counter(), Counter(), 0, 0
         tree = parse(html)
         counts = self.scene.counts(tree)
-        self.in_scene = self.scene.is_scene(counts)
-        normal = self.each(self.normal, tree)
-        rebuilt = self.each(self.rebuilt, normal)
+        own = elements(list(walk(tree)))
+        self.in_scene = self.scene.on = self.scene.is_scene(counts)
+        self.scene.drawn = any(n.tag == "svg" for n in own)
+        for n in reversed(own):
+            self.scene.settled(n)
+        normal = folded(tree, self.normal, self.noiseless, True)
+        rebuilt = folded(normal, self.rebuilt, lambda n, drawing: drawing or n.tag == "svg", False)
         out = rebuilt or normal
         if not self.in_scene and self.is_search(out):
-            out = self.each(self.searched, out)
+            out = folded(out, lambda n, children, _: [self.made(n.tag, n.attrs, children)], lambda n, _: None if self.search_noise(n) else True, True)
         kept = [n for n in walk(out)]
         own = [n for n in kept if isinstance(n, Element)]
         anchors, wrappers = sum(n.tag in ANCHORS for n in own), sum(n.tag in WRAPPERS for n in own)
@@ -233,7 +277,7 @@ class Rewriter:
             profile = "wrapper-heavy" if wrappers >= max(3, 2 * anchors) else "balanced"
         third = lambda a, b: int(a / b * 1000 + 0.5) / 1000 if b else None
         return {
-            "html": "".join(serialise(n) for n in out),
+            "html": serialise(out),
             "source": "reconstructed-subtree" if rebuilt else "normalized-subtree",
             "removed_tags": dict(self.tags),
             "removed_attributes": dict(self.names),
@@ -250,36 +294,31 @@ class Rewriter:
             "mode": "scene-preserving" if self.in_scene else "semantic",
             "scene_primitives": sum(self.scene.primitive(n) for n in own) if self.in_scene else 0,
             "scene_containers": sum(self.scene.container(n) for n in own) if self.in_scene else 0,
+            "scene_custom": sum("-" in n.tag for n in own) if self.in_scene else 0,
         }
 
-    @staticmethod
-    def each(rule, nodes: list) -> list:
-        out: list = []
-        for n in nodes:
-            if isinstance(n, Element):
-                out += rule(n)
-            elif text := squeeze(n):
-                out.append(text)
-        return out
+    def made(self, tag: str, attrs: dict, children: list) -> Element:
+        return self.scene.settled(Element(tag, attrs, children))
 
     def unwrapped(self, attrs: dict, children: list) -> list:
         self.names.update(attrs.keys())
         self.collapsed += 1
         return children
 
-    def normal(self, n: Element) -> list:
-        """One element without noise, with fewer attributes, and without wrappers that hold nothing
-        but one child."""
-        if n.tag in NOISE:
-            self.tags[n.tag] += 1
-            return []
-        children = self.each(self.normal, n.children)
+    def noiseless(self, n: Element, _) -> bool | None:
+        if n.tag not in NOISE:
+            return True
+        self.tags[n.tag] += 1
+        return None
+
+    def normal(self, n: Element, children: list, _) -> list:
+        """One element with fewer attributes, and without wrappers that hold nothing but one child."""
         if n.tag in self.config.wrapper_tags:
             return self.unwrapped(n.attrs, children)
         styled = self.in_scene and ("style" in n.attrs or "class" in n.attrs) and self.scene.relevant(n)
         gone = [k for k in n.attrs if not (styled and k in ("style", "class")) and (k in DROPPED or k.startswith(DROPPED_PREFIXES) or (k == "class" and n.tag in CLASSLESS))]
         self.names.update(gone)
-        out = Element(n.tag, {k: v for k, v in n.attrs.items() if k not in gone}, children)
+        out = self.made(n.tag, {k: v for k, v in n.attrs.items() if k not in gone}, children)
         if n.tag == "svg":
             inner = elements(children)
             if not inner:
@@ -287,7 +326,7 @@ class Rewriter:
                 return []
             if self.heavy(n, inner):
                 self.compacted += 1
-                return [Element("svg", {k: v for k, v in out.attrs.items() if k in SVG_KEPT}, [self.placeholder(inner)])]
+                return [self.made("svg", {k: v for k, v in out.attrs.items() if k in SVG_KEPT}, [self.placeholder(inner)])]
         if n.tag not in WRAPPERS:
             return [out]
         # A wrapper that is left: bare ones go, unless a scene needs them.
@@ -308,28 +347,20 @@ class Rewriter:
     @staticmethod
     def heavy(n: Element, inner: list) -> bool:
         """Whether a drawing is replaced: much geometry, and no text, image or title."""
-        below = [x for x in walk(n.children)]
-        if any(isinstance(x, str) and squeeze(x) or isinstance(x, Element) and x.tag in SVG_MEANING for x in below):
-            return False
-        drawn = [x for x in [n, *below] if isinstance(x, Element)]
-        size = sum(len(k) + len(v) for x in drawn for k, v in x.attrs.items())
-        long = any(len(x.attrs.get(k, "")) > 120 for x in drawn for k in ("d", "points"))
-        return sum(isinstance(x, Element) for x in walk(inner)) > 3 or size > 280 or long
+        return not n.meaning and (sum(x.count for x in inner) > 3 or n.size > 280 or n.long)
 
-    @staticmethod
-    def placeholder(inner: list) -> Element:
+    def placeholder(self, inner: list) -> Element:
         tags = {x.tag for x in inner}
         shape, attrs = next((t, a) for of, t, a in PLACEHOLDERS if not of or tags & set(of))
-        return Element(shape, dict(attrs))
+        return self.made(shape, dict(attrs), [])
 
-    def rebuilt(self, n: Element, drawing: bool = False) -> list:
+    def rebuilt(self, n: Element, children: list, drawing: bool) -> list:
         """Anchors, drawings, scene elements and labelled containers; the rest is unwrapped."""
         attrs = {k: v for k, v in n.attrs.items() if v and k in KEPT}
-        drawing = drawing or n.tag == "svg"
-        out = Element(n.tag, attrs, self.each(lambda c: self.rebuilt(c, drawing), n.children))
+        out = self.made(n.tag, attrs, children)
         if drawing or n.tag in ANCHORS or (self.in_scene and self.scene.relevant(out)):
             return [out]
-        bare = n.tag in WRAPPERS and (not out.children or _collapsible(attrs) or any(isinstance(x, Element) and x.tag in ANCHORS for x in walk(out.children)))
+        bare = n.tag in WRAPPERS and (not out.children or _collapsible(attrs) or out.anchor)
         return [out] if out.children and not bare and LABELLED & attrs.keys() else out.children
 
     def is_search(self, nodes: list) -> bool:
@@ -340,25 +371,32 @@ class Rewriter:
         )
         return fields and any((n.tag == "form" and low(n, "role") == "search") or any(t in low(n, "class") for t in self.config.search_roots) for n in own)
 
-    def searched(self, n: Element) -> list:
+    def search_noise(self, n: Element) -> bool:
         low = lambda k: n.attrs.get(k, "").lower()
-        noise = (
+        return (
             n.tag in ("script", "style")
             or (n.tag == "input" and low("type") == "file")
             or low("role") in ("menu", "menuitem", "dialog")
             or any(t in low("class") for t in self.config.search_noise)
             or any(t in low("aria-label") for t in self.config.search_labels)
         )
-        return [] if noise else [Element(n.tag, n.attrs, self.each(self.searched, n.children))]
 
 
-def serialise(n: Element | str) -> str:
+def serialise(nodes: list) -> str:
     text = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    if isinstance(n, str):
-        return text(n)
-    attrs = "".join(' {}="{}"'.format(k, text(v).replace('"', "&quot;")) for k, v in n.attrs.items() if v)
-    head = f"<{n.tag}{attrs}>"
-    return head if n.tag in VOID else f"{head}{''.join(map(serialise, n.children))}</{n.tag}>"
+    out, todo = [], list(reversed(nodes))  # of nodes, and of end tags as tuples
+    while todo:
+        n = todo.pop()
+        if isinstance(n, tuple):
+            out.append(n[0])
+        elif isinstance(n, str):
+            out.append(text(n))
+        else:
+            out.append(f"<{n.tag}{''.join(' {}="{}"'.format(k, text(v).replace('"', "&quot;")) for k, v in n.attrs.items() if v)}>")
+            if n.tag not in VOID:
+                todo.append((f"</{n.tag}>",))
+                todo += reversed(n.children)
+    return "".join(out)
 
 
 FIELDS = pa.schema(
@@ -366,7 +404,7 @@ FIELDS = pa.schema(
         ("html", pa.string()), ("source", pa.string()), ("removed_tags", pa.map_(pa.string(), pa.int64())), ("removed_attributes", pa.map_(pa.string(), pa.int64())),
         ("collapsed_wrappers", pa.int64()), ("compacted_svgs", pa.int64()), ("nodes", pa.int64()), ("text_length", pa.int64()), ("anchors", pa.int64()),
         ("wrappers", pa.int64()), ("anchor_density", pa.float64()), ("wrapper_density", pa.float64()), ("wrapper_ratio", pa.float64()), ("profile", pa.string()),
-        ("mode", pa.string()), ("scene_primitives", pa.int64()), ("scene_containers", pa.int64()),
+        ("mode", pa.string()), ("scene_primitives", pa.int64()), ("scene_containers", pa.int64()), ("scene_custom", pa.int64()),
     ]
 )
 
@@ -376,7 +414,7 @@ def candidates(pages: DataFrame, config: Config = Config(), key: str = "page_id"
     schema = (
         "capture_id long, html string, source string, removed_tags map<string,long>, removed_attributes map<string,long>, collapsed_wrappers long,"
         " compacted_svgs long, nodes long, text_length long, anchors long, wrappers long, anchor_density double, wrapper_density double, wrapper_ratio double,"
-        " profile string, mode string, scene_primitives long, scene_containers long"
+        " profile string, mode string, scene_primitives long, scene_containers long, scene_custom long"
     )
 
     def run(batches):
