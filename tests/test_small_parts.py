@@ -68,3 +68,21 @@ def test_declarations_and_usable_rules(spark):
     usable = lambda selectors, *rows: one(spark, projections.usable(selectors, raw(*rows)).alias("u")).u
     on, off = ("a", "b", False, False), ("a", "b", False, True)
     assert usable(strings("p"), off, on) and not usable(strings("p"), off) and not usable(strings(), on) and not usable(strings("p"))
+
+
+def test_assets_are_inlined_by_place(spark):
+    from vitrail.operators import fallback
+
+    values = [(1, "url(a.png) url(/x/a.png)"), (2, "url('a.png'), a.png url(\"a.png\")"), (3, "none"), (4, None), (5, "url() url(#g) url(data:x)"), (6, "url(a.png)" * 3000), (7, "URL(a.png) url(a b)")]
+    df = spark.createDataFrame(values, "place int, value string")
+    assets = spark.createDataFrame([("a.png", "data:A"), ("unused", "data:U")], "url string, data string")
+    got = {r.place: (r.value, r.requested, r.failed) for r in fallback.inline_assets(df, assets).collect()}
+    assert got == {
+        1: ('url("data:A") url("/x/a.png")', 2, 1), 2: ('url("data:A"), a.png url("data:A")', 2, 0), 3: ("none", 0, 0), 4: (None, 0, 0),
+        5: ('url("") url("#g") url("data:x")', 3, 2), 6: ('url("data:A")' * 3000, 3000, 0), 7: ('URL(a.png) url("a b")', 1, 1),
+    }
+    from pyspark.sql import functions as F
+
+    based = spark.createDataFrame([(1, "https://h/p/q", "url(a.png) url(//c/d) url(#e)")], "id int, page string, value string")
+    one = fallback.inline_assets(based, spark.createDataFrame([("https://h/p/a.png", "data:A")], "url string, data string"), F.col("page")).first()
+    assert (one.value, one.requested, one.failed) == ('url("data:A") url("//c/d") url("#e")', 3, 2)

@@ -56,18 +56,43 @@ def nearest_values(declared: DataFrame, paths: DataFrame) -> DataFrame:
     return j.groupBy("capture_id", "node_idx", "name").agg(F.max_by("value", "depth").alias("value"))
 
 
-def inline_assets(values: DataFrame, assets: DataFrame) -> DataFrame:
-    """Values with the targets of ``url(...)`` replaced by fetched data; misses keep their address.
+#: FIXED VALUE: a token whose target is inlined, with its target.
+TOKEN = r"""url\(['"]?([^'")]*)['"]?\)"""
+#: An address that has this share of all tokens is hot; there are as many such addresses at most.
+HOT = 1_000
 
-    Adds how many targets were asked for and how many were not there.
+
+def inline_assets(values: DataFrame, assets: DataFrame, base: Column | None = None) -> DataFrame:
+    """``values`` with each ``url(...)`` token rewritten at its place to the fetched data, quoted; a miss gets
+    its own address, quoted.  ``requested`` and ``failed`` count tokens.
+
+    ``assets`` are (url, data), one row an address; addresses are resolved against ``base`` if given.  Data
+    URLs are there already, fragments and empty targets never are.  All columns but ``value`` together tell
+    rows apart.  Each address is looked up once; what a hot address has is spread over as many groups as
+    it has shares, so no task gets all its tokens.
     """
     key = [c for c in values.columns if c != "value"]
-    v = values.withColumn("_urls", F.array_distinct(U.css_urls(F.col("value"))))
-    each = v.select(*key, "value", F.explode_outer("_urls").alias("url")).join(assets, "url", "left")
-    pairs = F.array_sort(F.collect_list(F.when(F.col("url").isNotNull(), F.struct("url", F.coalesce("data", "url").alias("data"), F.col("data").isNull().alias("missed")))))
-    g = each.groupBy(*key, "value").agg(pairs.alias("p"))
-    replaced = F.aggregate("p", F.col("value"), lambda a, x: F.replace(a, x["url"], x["data"]))
-    return g.select(*key, replaced.alias("value"), F.size("p").alias("requested"), F.size(F.filter("p", lambda x: x["missed"])).alias("failed"))
+    target = F.regexp_extract_all("value", F.lit(TOKEN), 1)
+    if base is not None:
+        plain = lambda u: (u == "") | F.exists(F.array(*map(F.lit, ("data:", "http", "//", "#"))), lambda x: u.startswith(x))
+        target = F.transform(target, lambda u: F.when(plain(u), u).otherwise(F.coalesce(U.resolve(u, base), u)))
+    rows = values.select(F.struct(*key).alias("_key"), "value", target.alias("_targets"))
+    tokens = rows.select("_key", F.posexplode("_targets").alias("place", "url"))
+    asked = ~F.col("url").startswith("data:") & ~F.col("url").startswith("#") & (F.col("url") != "")
+    n = tokens.where(asked).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.greatest(F.lit(1.0), F.sum("n") / HOT).alias("share"))  # one row
+    hot = n.join(F.broadcast(total), F.col("n") > F.col("share")).select("url", F.ceil(F.col("n") / F.col("share")).alias("parts"))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    found = n.join(assets, "url", "left").join(F.broadcast(hot), "url", "left")
+    found = found.select("url", "data", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
+    salted = tokens.join(F.broadcast(hot), "url", "left").withColumn("salt", F.when(asked, F.pmod(F.xxhash64("_key", "place"), parts)))
+    text = F.concat(F.lit('url("'), F.coalesce("data", "url"), F.lit('")'))
+    part = F.struct("place", text.alias("text"), (~F.col("url").startswith("data:") & F.col("data").isNull()).alias("missed"))
+    done = salted.join(found, ["url", "salt"], "left").groupBy("_key").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    some = F.size("_targets") > 0
+    written = F.array_join(F.transform(F.split("value", TOKEN, -1), lambda b, i: F.concat(b, F.coalesce(F.get("p", i)["text"], F.lit("")))), "")
+    changed = rows.where(some).join(done, "_key").select("_key.*", written.alias("value"), F.size("p").alias("requested"), F.size(F.filter("p", lambda x: x["missed"])).alias("failed"))
+    return changed.unionByName(rows.where(~F.coalesce(some, F.lit(False))).select("_key.*", "value", F.lit(0).alias("requested"), F.lit(0).alias("failed")))
 
 
 def written_pseudo(content: Column) -> Column:
@@ -75,8 +100,26 @@ def written_pseudo(content: Column) -> Column:
     return ~F.coalesce(F.trim(content), F.lit("")).isin(*NO_CONTENT)
 
 
+def _links(s, d):
+    return s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("capture_id"), "url", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("ordinal", "href"))
+
+
 def _values(s, d):
-    return X.css_declarations(s, d).where("value like '%url(%'").select("capture_id", "seq", "ordinal", "value")
+    """Tokens over the pages' links: repeated, quoted, inside one another, beside plain words, fragments, data."""
+    h, word = F.col("href"), lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    k = F.col("ordinal") % 4
+    value = (
+        F.when(k == 0, word("url(", h, ")")).when(k == 1, word('url("', h, '") ', h, " url(/x", h, ")"))
+        .when(k == 2, word("url(", h, "), url(", h, ") url('#", F.substring(h, 2, 20), "')")).otherwise(word("url(data:image/gif;base64,AA) url() url('/logo.png') none ", h))
+    )
+    return _links(s, d).select("capture_id", "ordinal", value.alias("value"))
+
+
+def _fetched(s, d):
+    """The links with an even number of characters were fetched, and the logo."""
+    data = F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("url").cast("binary")))
+    links = _links(s, d).where("length(href) % 2 = 0").select(F.col("href").alias("url")).union(s.range(1).select(F.lit("/logo.png"))).distinct()
+    return links.select("url", data.alias("data"))
 
 
 def _assets(s, d):
@@ -91,13 +134,17 @@ def _nearest(s, d):
 
 
 QUERIES = {
-    "asset_inlining": lambda s, d: inline_assets(_values(s, d), _assets(s, d)),
+    "asset_inlining": lambda s, d: inline_assets(_values(s, d), _fetched(s, d)),
     "nearest_variables": _nearest,
 }
 
 ORACLE = {
-    "asset_inlining": f"""WITH {X.DECLS_SQL} SELECT capture_id, seq, ordinal, CASE WHEN capture_id % 2 = 0 THEN 'url(data:image/png;base64,' || base64(encode(capture_id::VARCHAR)) || ')' ELSE value END AS value, 1 AS requested, (capture_id % 2)::INT AS failed
-      FROM fx_css_decls WHERE value LIKE '%url(%'""",
+    "asset_inlining": """WITH l AS (SELECT page_id AS capture_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS ordinal FROM pages),
+      t AS (SELECT *, length(h) % 2 = 0 AS got, 'url("' || CASE WHEN length(h) % 2 = 0 THEN 'data:image/png;base64,' || base64(encode(h)) ELSE h END || '")' AS d, '/x' || h AS x FROM l),
+      u AS (SELECT *, 'url("' || CASE WHEN x IN (SELECT h FROM t WHERE got) THEN 'data:image/png;base64,' || base64(encode(x)) ELSE x END || '")' AS dx, x NOT IN (SELECT h FROM t WHERE got) AS lost FROM t)
+      SELECT capture_id, ordinal::INT AS ordinal, CASE ordinal % 4 WHEN 0 THEN d WHEN 1 THEN d || ' ' || h || ' ' || dx WHEN 2 THEN d || ', ' || d || ' url("#' || h[2:21] || '")'
+          ELSE 'url("data:image/gif;base64,AA") url("") url("data:image/png;base64,' || base64(encode('/logo.png')) || '") none ' || h END AS value,
+        CASE ordinal % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS requested, (CASE ordinal % 4 WHEN 0 THEN (NOT got)::INT WHEN 1 THEN (NOT got)::INT + lost::INT WHEN 2 THEN 2 * (NOT got)::INT + 1 ELSE 1 END)::INT AS failed FROM u""",
     "nearest_variables": f"""WITH RECURSIVE {H.SQL}, e AS (SELECT * FROM nodes WHERE tag IS NOT NULL), dec AS (SELECT capture_id, node_idx, '--v' || node_idx % 2 AS name, node_idx::VARCHAR AS value FROM e WHERE node_idx % 3 = 0),
       up AS (SELECT capture_id, node_idx, unnest(list_append(path, node_idx)) AS at_idx, generate_subscripts(list_append(path, node_idx), 1) AS depth FROM e WHERE tag = 'a')
       SELECT u.capture_id, u.node_idx, d.name, arg_max(d.value, u.depth) AS value FROM up u JOIN dec d ON d.capture_id = u.capture_id AND d.node_idx = u.at_idx GROUP BY ALL""",

@@ -163,7 +163,7 @@ ids AS (SELECT capture_id, min(node_idx) AS node_idx, v AS id FROM atr WHERE k =
 syms AS (SELECT DISTINCT r.capture_id, ids.id, ids.node_idx FROM (SELECT capture_id, coalesce(nullif(regexp_extract(v, 'url\\(#([^)]+)\\)', 1), ''), nullif(regexp_extract(v, '^#(.+)$', 1), '')) AS id FROM atr) r JOIN ids ON ids.capture_id = r.capture_id AND ids.id = r.id),
 st AS (SELECT capture_id, place, 'color' AS name, CASE WHEN tag = 'a' THEN 'c' || node_idx % 3 ELSE 'c0' END AS value, 0 AS asked, 0 AS lost FROM e
   UNION ALL SELECT capture_id, place, 'float', CASE WHEN node_idx % 4 = 0 THEN 'left' ELSE 'none' END, 0, 0 FROM e WHERE node_idx % 4 = 0 OR tag NOT IN ('a', 'li', 'p')
-  UNION ALL SELECT capture_id, place, 'mask', CASE WHEN capture_id % 2 = 0 THEN 'url(data:image/png;base64,' || base64(encode(capture_id::VARCHAR)) || ')' ELSE 'url(/i/' || capture_id || '.png)' END, 1, capture_id % 2 FROM e WHERE tag = 'div'),
+  UNION ALL SELECT capture_id, place, 'mask', CASE WHEN capture_id % 2 = 0 THEN 'url("data:image/png;base64,' || base64(encode(capture_id::VARCHAR)) || '")' ELSE 'url("/i/' || capture_id || '.png")' END, 1, capture_id % 2 FROM e WHERE tag = 'div'),
 cl AS (SELECT e.*, string_split_regex(coalesce(c.v, ''), '\\s+') AS classes, i.v AS id FROM e LEFT JOIN atr c ON c.capture_id = e.capture_id AND c.node_idx = e.node_idx AND c.k = 'class' LEFT JOIN atr i ON i.capture_id = e.capture_id AND i.node_idx = e.node_idx AND i.k = 'id'),
 ps AS (SELECT capture_id, place, 'hover' AS state, 's2' AS value FROM cl WHERE tag = 'a' OR (tag = 'b' AND list_contains(classes, 'overlay'))
   UNION ALL SELECT capture_id, place, 'focus', CASE WHEN tag = 'div' AND list_contains(classes, 'board') THEN 's1' ELSE 's0' END FROM cl WHERE id = 'stage1' OR (tag = 'div' AND list_contains(classes, 'board'))
