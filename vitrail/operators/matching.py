@@ -131,12 +131,12 @@ def with_fingerprint(d: DataFrame, extra=None) -> DataFrame:
     return once(d, fp=F.col("_fp").withField("hints", B.attribute_hints(F.col("_fp.attrs")))).drop("_fp")
 
 
-def score(d: DataFrame) -> DataFrame:
-    """``d`` with ``c``: score, node_idx, tag and penalty of every candidate with points, the best first.
+def candidates(els: Column, fp: Column) -> Column:
+    """Score, node_idx, tag and penalty of every element with points, the best first.
 
     Candidates count all children, the fingerprint counted elements, as the two sides do.
     """
-    p, fp = POINTS, F.col("fp")
+    p = POINTS
 
     def points(e: Column) -> Column:
         apart = F.abs(e["children"] - fp["element_children"])
@@ -149,7 +149,12 @@ def score(d: DataFrame) -> DataFrame:
         penalty = F.aggregate(lost, F.lit(0), lambda a, x: a + F.greatest(F.lit(0), -x))
         return F.struct((-total).alias("s"), e["i"].alias("node_idx"), e["tag"].alias("tag"), penalty.alias("penalty"))
 
-    return once(d, c=F.array_sort(F.filter(F.transform("els", points), lambda x: x["s"] < 0)))
+    return F.array_sort(F.filter(F.transform(els, points), lambda x: x["s"] < 0))
+
+
+def score(d: DataFrame) -> DataFrame:
+    """``d`` with ``c``, the candidates for its fingerprint."""
+    return once(d, c=candidates(F.col("els"), F.col("fp")))
 
 
 def confidence(best: Column, margin: Column, penalty: Column, near: Column) -> Column:
