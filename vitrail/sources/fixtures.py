@@ -153,6 +153,16 @@ def styled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 STYLED_SQL = _replaced_sql("spages", STYLED)
 
 
+def sheet_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with linked sheets and shadow roots before their navigation."""
+    name = lambda n: F.concat(F.lit("/s"), ((F.col("page_id") + n) % 7).cast("string"), F.lit(".css"))
+    parts = (
+        F.lit('<link rel="stylesheet" href="'), name(0), F.lit('"><x-a><template shadowrootmode="open"><style>@import "'), name(2), F.lit('"; i{a:b}</style><x-b><template shadowrootmode="open"><link rel="stylesheet" href="'),
+        name(4), F.lit('"></template></x-b><link href="/t.css" rel="alternate StyleSheet"></template></x-a><nav>'),
+    )
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.replace("html", F.lit("<nav>"), F.concat(*parts)).alias("html"))
+
+
 def css_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _series(spark, sf_dir, 4).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     i = (F.col("k") + F.col("d")) % 4
