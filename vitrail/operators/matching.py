@@ -6,8 +6,6 @@ there is no cross join, and each pair is scored in one projection.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -391,8 +389,8 @@ def token_overlap(texts: DataFrame, previews: DataFrame, cut: float = 0.2) -> Da
     # Generated columns are computed once; a plain projection would be repeated in filter and joins.
     a = texts.select("doc_id", F.inline(F.array(F.struct(F.array_distinct(T.tokens(F.col("text"))).alias("a")))))
     b = previews.select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("b"))
-    longest = b.agg(F.max(F.size("b"))).first()[0] or 0
-    a = a.where(F.size("a") <= math.floor(longest / cut))
+    longest = b.agg(F.max(F.size("b")).alias("longest"))  # one row
+    a = a.join(F.broadcast(longest), F.size("a") <= F.floor(F.col("longest") / cut)).drop("longest")
     terms = b.select("item_id", F.size("b").alias("nb"), F.explode("b").alias("t"))
     rarity = terms.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     order = F.row_number().over(W.partitionBy("item_id").orderBy("f", "t"))
