@@ -86,3 +86,16 @@ def test_assets_are_inlined_by_place(spark):
     based = spark.createDataFrame([(1, "https://h/p/q", "url(a.png) url(//c/d) url(#e)")], "id int, page string, value string")
     one = fallback.inline_assets(based, spark.createDataFrame([("https://h/p/a.png", "data:A")], "url string, data string"), F.col("page")).first()
     assert (one.value, one.requested, one.failed) == ('url("data:A") url("//c/d") url("#e")', 3, 2)
+
+
+def test_scenarios_expand_by_names_and_groups(spark):
+    import pytest
+
+    from vitrail.operators import report
+
+    suite = report.registry(spark)
+    of = lambda *names: sorted(r.id for r in report.expand(spark.createDataFrame([(n,) for n in names], "name string"), suite).collect())
+    assert of("reddit-header", "reddit-header") == ["reddit-header"] and of("all") == of("matrix:extended") == sorted(r[0] for r in report.SCENARIOS)
+    assert of("matrix:core") == sorted(report.LIVE) and len(of("class:render-scene", "matrix:core")) == 7
+    with pytest.raises(Exception, match="unknown scenario: nobody"):
+        of("all", "nobody")

@@ -9,6 +9,8 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..sources import fixtures as X
 from . import fidelity as Q
+from . import htmltree as H
+from . import matching as M
 
 #: FIXED VALUES: the scenarios (id, title, expected class, expected subtype), and which are in a matrix.
 SCENARIOS = (
@@ -29,32 +31,29 @@ SCENARIOS = (
 LIVE = ("google-search-bar", "reddit-header", "lichess-board")
 
 
-def groups(scenarios=SCENARIOS, live=LIVE) -> dict[str, list[str]]:
-    """Named groups: one for each expected class, the scenarios on live sites, those that are not, all."""
-    out: dict[str, list[str]] = {}
-    for id_, _, kind, _ in scenarios:
-        out.setdefault(f"class:{kind}", []).append(id_)
-        out.setdefault("matrix:extended", []).append(id_)
-        out.setdefault("matrix:core" if id_ in live else "matrix:deterministic", []).append(id_)
-    return out
-
-
 def _relation(spark: SparkSession, rows, names: tuple[str, ...]) -> DataFrame:
     """Rows of literals."""
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])))
 
 
-def registry(spark: SparkSession, scenarios=SCENARIOS) -> DataFrame:
-    return _relation(spark, scenarios, ("id", "title", "target_class", "subtype"))
+def registry(spark: SparkSession, scenarios=SCENARIOS, live=LIVE) -> DataFrame:
+    """The suite's own scenarios as a table (id, title, target_class, subtype, live)."""
+    return _relation(spark, [(*r, r[0] in live) for r in scenarios], ("id", "title", "target_class", "subtype", "live"))
+
+
+def members(scenarios: DataFrame) -> DataFrame:
+    """(name, id): each scenario under its id, its class, its part of the matrix, and what names all."""
+    part = F.when(F.coalesce("live", F.lit(False)), F.lit("matrix:core")).otherwise(F.lit("matrix:deterministic"))
+    names = F.array("id", F.lit("all"), F.lit("matrix:extended"), F.concat(F.lit("class:"), "target_class"), part)
+    return scenarios.select(F.explode(F.array_compact(names)).alias("name"), "id")
 
 
-def expand(spark: SparkSession, wanted: DataFrame, scenarios=SCENARIOS) -> DataFrame:
+def expand(wanted: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Distinct scenarios named by ``name``: an id, a group, or ``all``.  Unknown names raise."""
-    ids = [r[0] for r in scenarios]
-    members = [(g, i) for g, of in groups(scenarios).items() for i in of] + [(x, i) for i in ids for x in (i, "all")]
-    found = wanted.join(_relation(spark, members, ("name", "id")), "name", "left")
+    names = wanted.select("name").distinct()
+    found = names.join(members(scenarios), "name", "left")
     checked = F.when(F.col("id").isNull(), F.raise_error(F.concat(F.lit("unknown scenario: "), "name"))).otherwise(F.col("id"))
-    return found.select(checked.alias("id")).distinct().join(registry(spark, scenarios), "id")
+    return scenarios.join(found.select(checked.alias("id")).distinct(), "id")
 
 
 def status(structural_failure: Column, scored: Column) -> Column:
@@ -165,25 +164,41 @@ def _scenario_rows(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select(p.alias("capture_id"), "url", *[c.alias(n) for n, c in cols.items()])
 
 
+def _page_scenarios(s, d):
+    """Each page as a scenario: its class by its content; pages on secure hosts are live."""
+    p = s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("capture_id"), F.col("url").alias("title"))
+    kinds = M.target_class(H.nodes(H._read(s, d), paths=False)).select("capture_id", "target_class", "subtype")
+    rows = p.join(kinds, "capture_id")
+    return rows.select(F.concat(F.lit("p"), F.col("capture_id").cast("string")).alias("id"), "title", "target_class", "subtype", F.col("title").startswith("https:").alias("live"))
+
+
+def _wanted(s, d):
+    """One class, the live part, and every tenth page by name."""
+    ids = s.read.parquet(f"{d}/pages.parquet").where("page_id % 10 = 0").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"))
+    return ids.unionByName(ids.select(F.lit("class:noisy-container").alias("name"))).unionByName(ids.select(F.lit("matrix:core").alias("name")))
+
+
 QUERIES = {
     "scenario_report": lambda s, d: _scenario_rows(s, d).select("capture_id", scenario_report(None).alias("report")),
     "suite_summary": lambda s, d: suite(_results(s, d)),
     "baseline_drift": _drift,
-    "scenario_expansion": lambda s, d: expand(s, s.range(3).select(F.element_at(F.array(F.lit("class:render-scene"), F.lit("google-search-bar"), F.lit("matrix:core")), (F.col("id") + 1).cast("int")).alias("name"))),
-    "scenario_groups": lambda s, d: expand(s, s.range(1).select(F.lit("matrix:deterministic").alias("name"))),
+    "scenario_expansion": lambda s, d: expand(_wanted(s, d), _page_scenarios(s, d)),
+    "scenario_groups": lambda s, d: members(_page_scenarios(s, d)).groupBy("name").agg(F.count(F.lit(1)).alias("scenarios")).where("name like '%:%' or name = 'all'"),
     "log_ring": lambda s, d: log_ring(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), "event_type")),
 }
 
 _R = Q._SCORED + f""", res AS (SELECT capture_id, capture_id % 4 AS suite, {N.sql_score3('raw_score')} AS score, CASE WHEN capture_id % 11 = 0 THEN 'failed' WHEN capture_id % 5 <> 0 THEN 'passed' ELSE 'skipped' END AS status FROM raw)
 """
-_ROWS = ", ".join(str(r) for r in SCENARIOS)
 ORACLE = {
     "suite_summary": _R + f"""SELECT suite, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, {N.sql_round3('avg(score)')} AS mean_score,
       'passed ' || count(*) FILTER (status = 'passed') || ', failed ' || count(*) FILTER (status = 'failed') || ', skipped ' || count(*) FILTER (status = 'skipped') AS line FROM res GROUP BY suite""",
     "baseline_drift": _R + f""", o AS (SELECT capture_id, {N.sql_round3('score - (capture_id % 5)::DOUBLE / 100')} AS old FROM res WHERE capture_id % 6 <> 0),
       j AS (SELECT capture_id, score, old, {N.sql_round3('abs(score - old)')} AS drift FROM res LEFT JOIN o USING (capture_id)) SELECT *, CASE WHEN old IS NULL THEN 'new' WHEN drift > 0.02::DOUBLE THEN 'drifted' ELSE 'same' END AS state FROM j""",
-    "scenario_expansion": f"""WITH r(id, title, target_class, subtype) AS (VALUES {_ROWS}) SELECT * FROM r WHERE id = 'reddit-header' OR id = 'google-search-bar' OR target_class = 'render-scene'""",
-    "scenario_groups": f"""WITH r(id, title, target_class, subtype) AS (VALUES {_ROWS}) SELECT * FROM r WHERE id NOT IN ('google-search-bar', 'reddit-header', 'lichess-board')""",
+    "scenario_expansion": f"""SELECT 'p' || c.capture_id AS id, url AS title, target_class, subtype, starts_with(url, 'https:') AS live FROM ({M.ORACLE["target_class"]}) c JOIN pages ON page_id = capture_id
+      WHERE target_class = 'noisy-container' OR starts_with(url, 'https:') OR page_id % 10 = 0""",
+    "scenario_groups": f"""WITH c AS (SELECT capture_id, target_class, starts_with(url, 'https:') AS live FROM ({M.ORACLE["target_class"]}) t JOIN pages ON page_id = capture_id)
+      SELECT 'class:' || target_class AS name, count(*) AS scenarios FROM c GROUP BY ALL UNION ALL SELECT 'matrix:' || CASE WHEN live THEN 'core' ELSE 'deterministic' END, count(*) FROM c GROUP BY ALL
+      UNION ALL SELECT unnest(['all', 'matrix:extended']), (SELECT count(*) FROM c)""",
     "scenario_report": """WITH p AS (SELECT page_id AS i, url FROM pages),
       h AS (SELECT i, 'Benchmark scenario' || chr(10) || 'Scenario: Page ' || i || ' (s' || i || ')' || chr(10) || 'Status: ' || CASE WHEN i % 11 = 0 THEN 'failed' WHEN i % 5 <> 0 THEN 'passed' ELSE 'skipped' END || chr(10) || 'URL: ' || url || chr(10) || 'Selector: ' || CASE WHEN i % 2 = 0 THEN 'n/a' ELSE '#s' || i END || chr(10)
         || 'Original selector: ' || CASE WHEN i % 3 = 0 THEN 'n/a' ELSE '#o' || i END || chr(10) || 'Promoted selector: n/a' || chr(10) || 'Promotion reason: ' || CASE WHEN i % 4 = 0 THEN 'n/a' ELSE 'why' || i END || chr(10) || 'Promotion path: ' || CASE WHEN i % 3 = 0 THEN 'n/a' ELSE 'a -> b' END || chr(10) || 'Export tier: capsule' || chr(10)
