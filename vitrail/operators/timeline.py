@@ -143,15 +143,24 @@ def together(actions: DataFrame, mutations: DataFrame) -> DataFrame:
     return actions.withColumn("kind", F.lit(S.ACTION)).unionByName(mutations.withColumn("kind", F.lit(S.MUTATION)), allowMissingColumns=True)
 
 
-def recordings(events: DataFrame, actions: int = ACTION_BUFFER, mutations: int = MUTATION_BUFFER) -> DataFrame:
+def recordings(events: DataFrame, actions: int = ACTION_BUFFER, mutations: int = MUTATION_BUFFER, span: int = 50_000) -> DataFrame:
     """What each closed recording of a session holds: the last rows of each kind between a start and the
     stop that follows it, with times since the start.
 
     ``events`` are traces with ``control``: ``start``, ``stop`` or null.  Rows outside a recording are
     ignored; a second start drops what the first one had; a recording that never stops gives nothing.
+
+    Starts are counted in spans of ``seq``, and the counts of earlier spans added, so a session of any
+    length is many small windows; the newest rows are taken with a limit, which Spark applies before the
+    shuffle.
     """
-    w = W.partitionBy("capture_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    numbered = events.withColumn("recording", F.sum(F.when(F.col("control") == "start", 1).otherwise(0)).over(w)).where("recording > 0")
+    starts = F.when(F.col("control") == "start", 1).otherwise(0)
+    spans = events.withColumn("_span", F.floor(F.col("seq") / span).cast("long"))
+    in_span = W.partitionBy("capture_id", "_span").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    before = F.sum("_n").over(W.partitionBy("capture_id").orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+    earlier = spans.groupBy("capture_id", "_span").agg(F.sum(starts).alias("_n")).select("capture_id", "_span", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = spans.withColumn("_own", F.sum(starts).over(in_span)).join(earlier, ["capture_id", "_span"])
+    numbered = numbered.withColumn("recording", F.col("_own") + F.col("_before")).where("recording > 0").drop("_span", "_own", "_before")
     bounds = numbered.groupBy("capture_id", "recording").agg(
         F.min(F.when(F.col("control") == "start", F.col("at_ms"))).alias("began"), F.min(F.when(F.col("control") == "stop", F.col("seq"))).alias("stop")
     )
@@ -159,7 +168,7 @@ def recordings(events: DataFrame, actions: int = ACTION_BUFFER, mutations: int =
     held = held.withColumn("at_ms", F.greatest(F.lit(0).cast("long"), F.col("at_ms") - F.col("began")))
     newest = W.partitionBy("capture_id", "recording", "kind").orderBy(F.desc("seq"))
     ranked = held.withColumn("_r", F.row_number().over(newest))
-    kept = ranked.where(F.col("_r") <= F.when(F.col("kind") == S.ACTION, actions).otherwise(mutations))
+    kept = ranked.where((F.col("_r") <= max(actions, mutations)) & (F.col("_r") <= F.when(F.col("kind") == S.ACTION, actions).otherwise(mutations)))
     return kept.select("capture_id", F.col("recording").cast("int").alias("recording"), "kind", "seq", "type", "at_ms")
 
 
@@ -271,7 +280,7 @@ def _sides(s, d):
 
 QUERIES = {
     "timeline_union": lambda s, d: together(*_sides(s, d)),
-    "recording_sessions": lambda s, d: recordings(with_controls(S.read(s, d), 25), 3, 4),
+    "recording_sessions": lambda s, d: recordings(with_controls(S.read(s, d), 25), 3, 4, 60),
     "interaction_score": _q_interaction,
     "mutation_action_asof": _q_asof,
     "mutation_transition": _q_transition,
