@@ -86,16 +86,17 @@ def statistics(elements: DataFrame, shadow_hosts: DataFrame, found: DataFrame, s
     """Counters of one export: elements, shadow hosts, attributes removed, symbols, state rules,
     keyframes, assets asked for and missed; and what they make of its confidence."""
     removed = F.size("attrs") - F.size(B.exported_attributes(F.col("attrs")))
-    d = elements.groupBy("capture_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum(removed).alias("removed_attributes"))
-    count = lambda df, name: df.groupBy("capture_id").agg(F.count(F.lit(1)).alias(name))
-    more = [
-        count(shadow_hosts, "shadow_hosts"), count(found, "symbols"), count(states.select("capture_id", "place", "state").distinct(), "pseudo_rules"),
-        count(frames, "keyframe_rules"), values.groupBy("capture_id").agg(F.sum("requested").alias("asset_requests"), F.sum("failed").alias("asset_failures")),
-    ]
-    for m in more:
-        d = d.join(m, "capture_id", "left")
-    names = ("shadow_hosts", "symbols", "pseudo_rules", "keyframe_rules", "asset_requests", "asset_failures")
-    return Q.fallback_confidence(d.withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in names}))
+    one = lambda df, name: df.select("capture_id", F.lit(1).alias(name))
+    # All counters as rows of one table, so that they meet in one aggregate.
+    rows = elements.select("capture_id", F.lit(1).alias("nodes"), removed.alias("removed_attributes"))
+    for more in (
+        one(shadow_hosts, "shadow_hosts"), one(found, "symbols"), one(states.select("capture_id", "place", "state").distinct(), "pseudo_rules"),
+        one(frames, "keyframe_rules"), values.select("capture_id", F.col("requested").alias("asset_requests"), F.col("failed").alias("asset_failures")),
+    ):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    names = [c for c in rows.columns if c != "capture_id"]
+    d = rows.groupBy("capture_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names)).where("nodes > 0")
+    return Q.fallback_confidence(d)
 
 
 def _elements(s, d):
