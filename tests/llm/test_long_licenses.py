@@ -44,7 +44,7 @@ def test_long_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     began = time.time()
     got = {r.doc_id: r for r in licenses.scan(df).select("doc_id", "n_words", F.size("base").alias("base"), F.size("detections").alias("kept"), F.get("detections", F.lit(0))["s"].alias("first")).collect()}
-    assert time.time() - began < 150
+    assert time.time() - began < 600  # a square of the matches would take hours
     assert got[0].n_words == 300_000 and got[0].base == 150_000 and got[0].kept == 150_000
     assert got[1].base == 99_999 and got[2].base == 60_000 and got[2].kept == 60_000
     assert (got[3].n_words, got[3].base, got[3].first) == (300_004, 1, 300_000)
