@@ -78,7 +78,7 @@ def test_large_pages_take_seconds(spark, html, n, depth, ends):
     began = time.time()
     got = H.nodes(df, paths=False).agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.sum("end_idx").alias("e")).first()
     assert (got.n, got.d) == (n, depth) and (ends is None or got.e == ends)
-    assert time.time() - began < 60
+    assert time.time() - began < 180  # the square of the nodes would take hours
 
 
 def test_scan_sums_up(spark):
