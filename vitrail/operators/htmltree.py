@@ -29,6 +29,8 @@ WRAPPERS = ("div", "span")
 
 TOKEN = r"(?s)<!--.*?-->|</?[a-zA-Z][^>]*>|[^<]+"
 ATTRIBUTE = r'([:@a-zA-Z0-9_-]+)(?:\s*=\s*"([^"]*)")?'
+#: Rows of one task (``spread``).
+PAGES_A_TASK = 2_000
 #: Limits of a captured subtree.
 MAX_NODES, MAX_DEPTH = 300, 6
 
@@ -41,25 +43,26 @@ def tokens(html: Column) -> Column:
         tagged, close = t.startswith("<"), t.startswith("</")
         selfclosed = t.endswith("/>")
         end = F.when(selfclosed, 2).otherwise(1)
-        inner = X.trim(F.when(close, F.substring(t, F.lit(3), F.length(t) - 3)).otherwise(F.substring(t, F.lit(2), F.length(t) - 1 - end)))
-        tag = F.lower(F.when(close, inner).otherwise(F.regexp_extract(inner, r"^(\S*)", 1)))
+        bare = F.when(close, F.substring(t, F.lit(3), F.length(t) - 3)).otherwise(F.substring(t, F.lit(2), F.length(t) - 1 - end))
+        inner, plain = X.trim(bare), ~t.rlike(X.SPACES)
+        tag = F.lower(F.when(plain, bare).when(close, inner).otherwise(F.regexp_extract(inner, r"^(\S*)", 1)))
         body = X.decode_entities(X.collapse(t))
         return F.struct(
             close.alias("close"),
             F.when(tagged, tag).alias("tag"),
             (selfclosed & ~close).alias("selfclosed"),
-            F.when(tagged & ~close, F.regexp_extract(inner, r"(?s)^\S*\s(.*)$", 1)).alias("attrs"),
+            F.when(tagged & ~close, F.when(plain, F.lit("")).otherwise(F.regexp_extract(inner, r"(?s)^\S*\s(.*)$", 1))).alias("attrs"),
             F.when(~tagged, body).alias("text"),
         )
 
-    return F.filter(F.transform(found, read), lambda t: t["text"].isNull() | (X.trim(t["text"]) != ""))
+    return F.filter(F.transform(found, read), lambda t: t["text"].isNull() | t["text"].rlike(r"[^\s\u00a0\ufeff]"))
 
 
 def attributes(raw: Column) -> Column:
     """Attribute map of a raw attribute string."""
     names = F.regexp_extract_all(raw, F.lit(ATTRIBUTE), 1)
     values = F.transform(F.regexp_extract_all(raw, F.lit(ATTRIBUTE), 2), X.decode_entities)
-    return F.map_from_entries(F.arrays_zip(names.alias("k"), values.alias("v")))
+    return F.when(raw == "", F.create_map().cast("map<string,string>")).otherwise(F.map_from_entries(F.arrays_zip(names.alias("k"), values.alias("v"))))
 
 
 _PLACE = "struct<parent_idx:int,depth:int,closed:array<struct<i:int,end_idx:int>>>"
@@ -154,12 +157,13 @@ def parse(html: Column) -> Column:
 def with_paths(parsed: Column) -> Column:
     """Parsed nodes with path and path_tags, their open ancestors from the root on.  As long as the sum of
     all depths, so only for those who ask."""
-    start = F.array().cast("array<struct<i:int,tag:string>>")
+    start = F.struct(F.array().cast("array<int>").alias("i"), F.array().cast("array<string>").alias("tag"))
 
     def step(_: Column, chain: Column, n: Column) -> Column:
-        up = F.slice(chain, F.lit(1), n["depth"] - 1)
-        path = F.struct(F.transform(up, lambda x: x["i"]).alias("path"), F.transform(up, lambda x: x["tag"]).alias("path_tags"))
-        down = F.when(n["end_idx"] > n["node_idx"], F.concat(up, F.array(F.struct(n["node_idx"].alias("i"), n["tag"].alias("tag"))))).otherwise(chain)
+        up, tags = (F.slice(chain[c], F.lit(1), n["depth"] - 1) for c in ("i", "tag"))
+        path = F.struct(up.alias("path"), tags.alias("path_tags"))
+        longer = F.struct(F.concat(up, F.array(n["node_idx"])).alias("i"), F.concat(tags, F.array(n["tag"])).alias("tag"))
+        down = F.when(n["end_idx"] > n["node_idx"], longer).otherwise(chain)
         return F.struct(down.alias("s"), path.alias("o"))
 
     def joined(nodes: Column) -> Column:
@@ -271,10 +275,10 @@ def anchor_html(pages: DataFrame) -> DataFrame:
 
 
 def spread(pages: DataFrame) -> DataFrame:
-    """``pages`` over all cores: parsing costs far more than moving a page, so an input of fewer
-    partitions than cores (one small file) is dealt out; larger ones stay as they are."""
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+    """``pages`` dealt over all cores, in tasks of PAGES_A_TASK: parsing costs far more than moving a page,
+    and with tasks as large as files are cut the longest one would grow with the input."""
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-pages.count() // PAGES_A_TASK))
+    return pages.repartition(tasks) if pages.rdd.getNumPartitions() < tasks else pages
 
 
 def _read(spark, sf_dir):
