@@ -54,7 +54,10 @@ def _parts(c: Column) -> Column:
 
 def _simple(c: Column) -> Column:
     """Type, ids, classes and attributes of a compound without its pseudo parts."""
-    parts = _parts(c)
+    return let(_parts(c), lambda parts: _simple_of(c, parts))
+
+
+def _simple_of(c: Column, parts: Column) -> Column:
     own = lambda sign: F.transform(F.filter(parts, lambda p: p.startswith(sign)), lambda p: _plain(F.substring(p, F.lit(2), F.length(p))))
     value = lambda p: F.regexp_extract(p, _ATTRIBUTE, 3)
     attrs = F.transform(
@@ -66,12 +69,12 @@ def _simple(c: Column) -> Column:
     return F.struct(F.lower(_plain(F.regexp_extract(c, rf"^(?:\*|({_IDENT}))?", 1))).alias("tag"), own("#").alias("ids"), own(".").alias("classes"), attrs.alias("attrs"))
 
 
-def _pseudos(c: Column) -> Column:
-    parts = F.filter(_parts(c), lambda p: p.startswith(":"))
-
+def _pseudos(parts: Column) -> Column:
     def one(p: Column) -> Column:
-        name = F.lower(F.regexp_extract(p, rf"^::?({_IDENT})", 1))
-        arg = X.trim(F.regexp_extract(p, r"(?s)^[^(]*\((.*)\)$", 1))
+        named = lambda arg: let(F.lower(F.regexp_extract(p, rf"^::?({_IDENT})", 1)), lambda name: read(p, name, arg))
+        return let(X.trim(F.regexp_extract(p, r"(?s)^[^(]*\((.*)\)$", 1)), named)
+
+    def read(p: Column, name: Column, arg: Column) -> Column:
         nth = F.lower(F.regexp_replace(arg, r"\s+", ""))
         a = F.when(nth == "odd", 2).when(nth == "even", 2).when(F.contains(nth, F.lit("n")), F.regexp_replace(F.regexp_replace(F.substring_index(nth, "n", 1), r"^\+?$", "1"), r"^-$", "-1").try_cast("int")).otherwise(0)
         b = F.when(nth == "odd", 1).when(nth == "even", 0).when(F.contains(nth, F.lit("n")), F.regexp_replace(F.substring_index(nth, "n", -1), r"^$", "0").try_cast("int")).otherwise(nth.try_cast("int"))
@@ -86,7 +89,7 @@ def _pseudos(c: Column) -> Column:
             F.coalesce(valid, F.lit(False)).alias("valid"),
         )
 
-    return F.transform(parts, one)
+    return F.transform(F.filter(parts, lambda p: p.startswith(":")), one)
 
 
 def _weight(c: Column) -> Column:
@@ -111,8 +114,9 @@ def compile(selector: Column) -> Column:
         texts = F.transform(at, lambda i: F.coalesce(F.get(t, n - 1 - i), F.lit("")))
         formed = F.forall(texts, lambda c: (c != "") & c.rlike(rf"^{_COMPOUND}$"))
         combs = F.forall(F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))), lambda i: F.get(t, i + 1).rlike(r"^\s*[>+~]\s*$|^\s+$"))
-        step = lambda c, i: F.struct(
-            F.when(i == 0, F.lit("")).otherwise(F.coalesce(F.nullif(F.trim(F.regexp_replace(F.get(t, n - i * 2), r"\s+", " ")), F.lit("")), F.lit(" "))).alias("comb"), _simple(c).alias("own"), _pseudos(c).alias("pseudos")
+        step = lambda c, i: let(_parts(c), lambda parts: of_parts(c, i, parts))
+        of_parts = lambda c, i, parts: F.struct(
+            F.when(i == 0, F.lit("")).otherwise(F.coalesce(F.nullif(F.trim(F.regexp_replace(F.get(t, n - i * 2), r"\s+", " ")), F.lit("")), F.lit(" "))).alias("comb"), _simple_of(c, parts).alias("own"), _pseudos(parts).alias("pseudos")
         )
         return let(F.transform(texts, step), lambda s: described(s, shaped & formed & combs))
 

@@ -52,11 +52,15 @@ def lines(css: Column) -> Column:
 
 def declaration(text: Column) -> Column:
     """(name, value, important) of a declaration; null if it is none.  Names are lower case but for ``--x``."""
-    name, rest = X.trim(F.substring_index(text, ":", 1)), X.trim(F.regexp_replace(text, r"(?s)^[^:]*:", ""))
-    important = rest.rlike(r"(?i)!\s*important$")
-    value = F.when(important, X.trim(F.regexp_replace(rest, r"(?i)!\s*important$", ""))).otherwise(rest)
-    own = F.struct(F.when(name.startswith("--"), name).otherwise(F.lower(name)).alias("name"), value.alias("value"), important.alias("important"))
-    return F.when(F.contains(text, F.lit(":")) & name.rlike(_NAME) & (value != ""), own)
+
+    def read(name: Column, rest: Column) -> Column:
+        important = F.contains(rest, F.lit("!")) & rest.rlike(r"(?i)!\s*important$")
+        value = F.when(important, X.trim(F.regexp_replace(rest, r"(?i)!\s*important$", ""))).otherwise(rest)
+        own = F.struct(F.when(name.startswith("--"), name).otherwise(F.lower(name)).alias("name"), value.alias("value"), important.alias("important"))
+        return let(own, lambda d: F.when(name.rlike(_NAME) & (d["value"] != ""), d))
+
+    rest = X.trim(F.substring(text, F.locate(":", text) + 1, F.length(text)))
+    return F.when(F.contains(text, F.lit(":")), let(X.trim(F.substring_index(text, ":", 1)), lambda name: let(rest, lambda r: read(name, r))))
 
 
 def rules(css: Column) -> Column:
