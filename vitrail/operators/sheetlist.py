@@ -32,15 +32,16 @@ def imports(css: Column) -> Column:
 
 def page_sheets(pages: DataFrame) -> DataFrame:
     """(capture_id, rank, depth, node_idx, address, css): style and link elements; ``depth`` is how many shadow roots deep."""
-    d = H.parsed(pages, paths=True)
+    d = H.parsed(pages)
     attr = lambda n, k: F.try_element_at(H.attributes(F.coalesce(n["attrs"], F.lit(""))), F.lit(k))
-    hosts = F.transform(F.filter("nodes", lambda n: (n["tag"] == "template") & attr(n, "shadowrootmode").isNotNull()), lambda n: n["node_idx"])
+    hosts = F.transform(F.filter("nodes", lambda n: (n["tag"] == "template") & attr(n, "shadowrootmode").isNotNull()), lambda n: F.struct(n["node_idx"].alias("i"), n["end_idx"].alias("end")))
     d = once(d, _roots=hosts)
+    around = lambda n: F.transform(F.filter("_roots", lambda r: (r["i"] < n["node_idx"]) & (n["node_idx"] <= r["end"])), lambda r: r["i"])
     link = lambda n: (n["tag"] == "link") & F.array_contains(F.split(F.lower(F.coalesce(attr(n, "rel"), F.lit(""))), r"\s+"), "stylesheet")
     text = lambda n: F.array_join(F.transform(F.filter(F.slice("nodes", n["node_idx"] + 2, n["end_idx"] - n["node_idx"]), lambda x: x["tag"].isNull()), lambda x: x["text"]), "")
     own = F.transform(
         F.filter("nodes", lambda n: (n["tag"] == "style") | link(n)),
-        lambda n: F.struct(F.array_intersect(n["path"], "_roots").alias("root"), n["node_idx"].alias("node_idx"), F.when(n["tag"] == "link", attr(n, "href")).alias("address"), F.when(n["tag"] == "style", text(n)).alias("css")),
+        lambda n: F.struct(around(n).alias("root"), n["node_idx"].alias("node_idx"), F.when(n["tag"] == "link", attr(n, "href")).alias("address"), F.when(n["tag"] == "style", text(n)).alias("css")),
     )
     rows = once(d.select("capture_id", "nodes", "_roots"), _own=F.array_sort(own)).select("capture_id", F.posexplode("_own").alias("rank", "x"))
     return rows.select("capture_id", "rank", F.size("x.root").alias("depth"), "x.node_idx", "x.address", "x.css")
@@ -67,18 +68,23 @@ def listing(pages: DataFrame, fetched: DataFrame, rounds: int = ROUNDS) -> DataF
     """
     own = page_sheets(pages)
     none = F.array().cast("array<int>")
-    styles = own.where("address is null").select("capture_id", "rank", "depth", none.alias("at"), F.lit("style").alias("source"), F.lit(None).cast("string").alias("address"))
-    links = own.where("address is not null").select("capture_id", "rank", "depth", none.alias("at"), F.col("address").alias("first"))
-    named = own.where("address is null").select("capture_id", "rank", "depth", F.posexplode(imports(F.col("css"))).alias("k", "first"))
-    asked = links.withColumn("linked", F.lit(True)).unionByName(named.select("capture_id", "rank", "depth", F.array("k").alias("at"), "first", F.lit(False).alias("linked")))
-    reach = reachable(fetched, rounds).withColumnRenamed("address", "first")
-    found = asked.join(reach, "first", "left").select(
-        "capture_id", "rank", "depth", F.concat("at", F.coalesce("place", none)).alias("at"), F.coalesce("target", "first").alias("address"),
-        F.when(F.col("linked") & (F.size(F.coalesce("place", none)) == 0), "link").otherwise("import").alias("source"),
+    # What a sheet names (links themselves, styles their imports) and the styles are rows of one table: pages are parsed once.
+    name = lambda k, a, linked: F.struct(k.alias("at"), a.alias("first"), linked.alias("linked"), F.lit(None).cast("int").alias("style"))
+    link = F.array(name(none, F.col("address"), F.lit(True)))
+    style = F.array(F.struct(none.alias("at"), F.lit(None).cast("string").alias("first"), F.lit(False).alias("linked"), F.col("rank").alias("style")))
+    named = F.transform(imports(F.col("css")), lambda a, k: name(F.array(k), a, F.lit(False)))
+    asked = own.select("capture_id", "rank", "depth", F.inline(F.when(F.col("address").isNotNull(), link).otherwise(F.concat(style, F.coalesce(named, F.slice(style, 1, 0))))))
+    # Styles look nothing up; keys of their own keep them from meeting in one task.
+    asked = asked.withColumn("_key", F.coalesce("first", F.concat(F.lit("\0"), F.col("capture_id").cast("string"))))
+    reach = reachable(fetched, rounds).withColumnRenamed("address", "_from")
+    found = asked.join(reach, (F.col("_key") == F.col("_from")) & F.col("style").isNull(), "left").select(
+        "capture_id", "rank", "depth", F.concat("at", F.coalesce("place", none)).alias("at"), F.coalesce("target", "first").alias("address"), "style",
+        F.when(F.col("style").isNotNull(), "style").when(F.col("linked") & (F.size(F.coalesce("place", none)) == 0), "link").otherwise("import").alias("source"),
     )
-    first = found.groupBy("capture_id", "address").agg(F.min(F.struct("rank", "at", "depth", "source")).alias("x")).select("capture_id", "x.*", "address")
-    have = fetched.select("address", F.lit(False).alias("missing"))
-    rows = first.join(have, "address", "left").withColumn("missing", F.coalesce("missing", F.lit(True))).unionByName(styles.withColumn("missing", F.lit(False)))
+    first = found.groupBy("capture_id", "address", "style").agg(F.min(F.struct("rank", "at", "depth", "source")).alias("x")).select("capture_id", "x.*", "address", "style")
+    have = fetched.select(F.col("address").alias("_have"))
+    known = (F.coalesce("address", F.concat(F.lit("\0"), F.col("capture_id").cast("string"))) == F.col("_have")) & F.col("style").isNull()
+    rows = first.join(have, known, "left").withColumn("missing", F.col("style").isNull() & F.col("_have").isNull())
     place = F.row_number().over(W.partitionBy("capture_id").orderBy("rank", "at")) - 1
     return rows.select("capture_id", place.alias("place"), "source", "depth", "address", "missing")
 
