@@ -2,6 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from vitrail.operators import fallback_export as X
+from vitrail.operators import mapping as G
+from vitrail.operators import matching as M
+from vitrail.operators import sheetlist as L
 from vitrail.operators import subtree_choice as C
 
 
@@ -15,3 +19,22 @@ def test_a_fragment_is_cut_once(spark):
     made = d.select("k", C.sanitise(F.col("h"), F.col("k")).alias("out"))
     assert plan(made).count("regexp_extract_all") == 1
     assert {r["k"]: r["out"] for r in made.collect()} == {"form": "<div><div></div></div>", "leaf": html[5:-6], "": html}
+
+
+def test_pages_are_parsed_once(spark):
+    pages = spark.createDataFrame([(1, '<style>@import "/a";p{b:c}</style><link rel="stylesheet" href="/a"><p id="k">x</p>')], "page_id long, html string")
+    fetched = spark.createDataFrame([("/a", "p{}")], "address string, css string")
+    listed = L.listing(pages, fetched, 1)
+    assert plan(listed).count("regexp_extract_all(html") == 1
+    assert [(r.source, r.address, r.missing) for r in listed.orderBy("place").collect()] == [("style", None, False), ("import", "/a", False)]
+    tried = G.mapped(pages, lambda n: F.lit(False), M._box, lambda i: M._box(i, 9), F.lit(True), F.lit(True))
+    assert plan(tried).count("regexp_extract_all(html") <= 1 and "Join" not in plan(tried)
+
+
+def test_an_export_reads_its_pages_once(spark):
+    pages = spark.createDataFrame([(1, "<ul><li>a<b>t</b></li></ul>"), (2, "<p>x</p>")], "page_id long, html string")
+    rules = spark.createDataFrame([(1, 0, "li:hover", "color", "red")], "capture_id long, ordinal long, selector_text string, name string, value string")
+    elements, states = X.elements_and_states(pages, rules, lambda n: n["tag"] == "b")
+    assert "regexp_extract_all(html" not in plan(elements.join(states, ["capture_id", "place"]))
+    assert [(r.capture_id, r.place, r.tag) for r in elements.orderBy("capture_id", "place").collect()] == [(1, 0, "ul"), (1, 1, "li"), (1, 2, "b"), (2, 0, "p")]
+    assert [tuple(r) for r in states.collect()] == [(1, 1, "hover", "color", "red")]

@@ -8,12 +8,14 @@ comes together in one row.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
+from ..functions.arrays import once
 from ..sources import fixtures as X
 from . import cascade as K
 from . import fallback as B
@@ -25,6 +27,7 @@ from . import subtrees as S
 RESET = "*,*::before,*::after{box-sizing:border-box;}"
 #: Attribute that carries an element's number.
 NUMBER = "data-part"
+_RULES = "array<struct<selector:string,place:bigint,declarations:array<struct<name:string,value:string>>>>"
 
 
 def placed(elements: DataFrame, order: DataFrame) -> DataFrame:
@@ -33,6 +36,37 @@ def placed(elements: DataFrame, order: DataFrame) -> DataFrame:
     return elements.join(order, ["capture_id", "node_idx"]).withColumn("place", F.row_number().over(w) - 1).drop("position")
 
 
+def exported(d: DataFrame, in_shadow) -> DataFrame:
+    """``d`` (nodes with their paths, ...) with ``elements``, structs (place, node_idx, parent_idx, tag, raw) in the
+    order of their copies.  A page's order is found in its row, where its nodes are."""
+    d = once(S.ordered(d, in_shadow), _shown=F.filter("order", lambda i: F.get(F.col("nodes"), i)["tag"].isNotNull()))
+    at = lambda i: F.get(F.col("nodes"), i)
+    each = F.transform("_shown", lambda i, k: F.struct(k.alias("place"), i.alias("node_idx"), at(i)["parent_idx"].alias("parent_idx"), at(i)["tag"].alias("tag"), at(i)["attrs"].alias("raw")))
+    return once(d, elements=each).drop("order", "_shown")
+
+
+def element_rows(d: DataFrame) -> DataFrame:
+    """(capture_id, place, node_idx, parent_idx, tag, attrs) of ``elements``."""
+    return d.select("capture_id", F.inline("elements")).withColumn("attrs", H.attributes(F.coalesce("raw", F.lit("")))).drop("raw")
+
+
+def elements_and_states(pages: DataFrame, rules: DataFrame, in_shadow) -> tuple[DataFrame, DataFrame]:
+    """Rows of the elements, and (capture_id, place, state, name, value) of the given rules' states.
+
+    Both come from one parse.  The parts of an export read them many times (each asset's tokens alone five
+    times), so what the parse gives is kept on the executors' disks while anything refers to it.
+    """
+    d = K.trees(K.given_rules(pages, rules), read=F.coalesce("given", F.array().cast(_RULES)))
+    d = exported(K.with_state_hits(d).select("capture_id", "nodes", "by_state"), in_shadow)
+    # Places by node number: elements have one, texts none.
+    pair = lambda i, place: F.struct(i.alias("i"), place.cast("int").alias("place"))
+    texts = F.transform(F.filter("nodes", lambda n: n["tag"].isNull()), lambda n: pair(n["node_idx"], F.lit(None)))
+    d = once(d, _places=F.array_sort(F.concat(F.transform("elements", lambda e: pair(e["node_idx"], e["place"])), texts)))
+    states = F.transform("by_state", lambda x: F.struct(F.get(F.col("_places"), x["node_idx"])["place"].alias("place"), x["state"].alias("state"), x["name"].alias("name"), x["value"].alias("value")))
+    whole = d.select("capture_id", "elements", states.alias("states")).localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+    return element_rows(whole), whole.select("capture_id", F.inline("states"))
+
+
 def referenced_ids(attrs: Column) -> Column:
     """Ids that attribute values refer to: in a url token, or as the whole value."""
     return F.array_distinct(F.transform(F.flatten(F.transform(F.map_values(attrs), U.fragments)), lambda r: F.substring(r, F.lit(2), F.length(r))))
@@ -100,9 +134,7 @@ def statistics(elements: DataFrame, shadow_hosts: DataFrame, found: DataFrame, s
 
 
 def _elements(s, d):
-    pages = S._pages(s, d)
-    nodes = H.nodes(pages, paths=False).where("kind = 'element'").select("capture_id", "node_idx", "parent_idx", "tag", "attrs")
-    return placed(nodes, S.flattened(pages, S._shadow_items))
+    return element_rows(exported(H.parsed(S._pages(s, d), paths=True), S._shadow_items))
 
 
 def _computed(e):
@@ -119,21 +151,19 @@ def _defaults(s):
     return s.range(1).select(F.explode(F.array(F.lit("a"), F.lit("li"), F.lit("p"))).alias("tag"), F.lit("float").alias("name"), F.lit("none").alias("value"))
 
 
-def _states(s, d, e):
+def _rules(s, d):
     k = F.col("k")
-    rules = X._series(s, d, 2).select(
+    return X._series(s, d, 2).select(
         F.col("p").alias("capture_id"), F.when(k == 0, "a:hover, #stage1:focus").when(k == 1, "div.board:focus-within, nav li:active").otherwise("b.overlay:hover, a:hover, li:foo:hover").alias("selector_text"),
         k.alias("ordinal"), F.lit("color").alias("name"), F.concat(F.lit("s"), k.cast("string")).alias("value"),
     )
-    found = K.given_state_styles(S._pages(s, d), rules)
-    return found.join(e.select("capture_id", "node_idx", "place"), ["capture_id", "node_idx"]).drop("node_idx")
 
 
 def _parts(s, d):
-    e = _elements(s, d)
+    e, states = elements_and_states(S._pages(s, d), _rules(s, d), S._shadow_items)
     styles = inlined(B.differing_styles(_computed(e), _defaults(s)).select("capture_id", "place", "name", "value"), B._assets(s, d))
     named = e.where("tag = 'li'").select("capture_id", "place", F.concat(F.lit("kf"), (F.col("place") % 3).cast("string"), F.lit(", none")).alias("names"))
-    return e, styles, _states(s, d, e), animations(named, X.keyframes(s, d))
+    return e, styles, states, animations(named, X.keyframes(s, d))
 
 
 def _css(s, d):

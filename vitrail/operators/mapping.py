@@ -1,8 +1,8 @@
 """A target is mapped by stages: in the running page, then in the document, then by its selector.
 
-A later stage works only on what the earlier ones left.  The first two share a page's row: once a capture
-is resolved the second has no elements to score.  Only captures that both leave unresolved meet their page
-a second time, with the selector compiled and held against its elements.
+A later stage works only on what the earlier ones left.  All share a page's row, parsed once: when a capture
+is resolved the second has no elements to score, and the third, which compiles the selector and holds it
+against the elements, has no nodes to look at.
 """
 
 from __future__ import annotations
@@ -70,10 +70,8 @@ def mapped(pages: DataFrame, in_shadow, box, drifted, runtime_fails: Column, doc
     second = let(F.col("fp"), lambda fp: let(M.candidates(F.col("els"), fp), lambda c: attempt(c, "document", DOCUMENT, M.confidence, M.RESOLVED, M.WINDOW)))
     d = once(d, document=F.when(open_ & ~document_fails, second))
     settled = F.coalesce(F.col("runtime.resolved"), F.lit(False)) | F.coalesce(F.col("document.resolved"), F.lit(False))
-    d = d.select("capture_id", "hints", "runtime", "document", settled.alias("settled"), open_.alias("open"), let(F.col("fp"), lambda fp: M.stable_selector(fp["tag"], fp["attrs"])).alias("selector"))
-    left = d.where(~F.col("settled")).select(F.col("capture_id").alias("page_id"), "selector")
-    asked = K.trees(pages.join(left, "page_id"), selector=F.col("selector"))
-    d = d.join(_selected(asked), "capture_id", "left")
+    d = d.select("capture_id", "nodes", "hints", "runtime", "document", settled.alias("settled"), open_.alias("open"), let(F.col("fp"), lambda fp: M.stable_selector(fp["tag"], fp["attrs"])).alias("selector"))
+    d = _selected(K.shaped(once(d, _left=F.filter("nodes", lambda n: ~F.col("settled"))).drop("nodes").withColumnRenamed("_left", "nodes")))
     failed = lambda stage, tried, condition: F.when(tried & condition, F.lit(WARNINGS[stage][0]))
     warnings = F.array_compact(F.array(
         failed("runtime", F.lit(True), runtime_fails), F.col("runtime.warning"), failed("document", F.col("open"), document_fails), F.col("document.warning"), F.col("fallback.warning"),
@@ -89,15 +87,15 @@ def mapped(pages: DataFrame, in_shadow, box, drifted, runtime_fails: Column, doc
 
 
 def _selected(d: DataFrame) -> DataFrame:
-    """The attempt by selector: the first element that it matches."""
-    d = once(d, _compiled=Z.compile(F.col("selector")))
+    """The attempt by selector: the first element that it matches; none for captures that are settled."""
+    d = once(d, _compiled=F.when(~F.col("settled"), Z.compile(F.col("selector"))))
     at = F.filter(F.transform("els", lambda e, i: F.when(e.isNotNull() & Z.matches(F.col("els"), F.col("children"), i, F.col("_compiled.steps")), i)), lambda i: i.isNotNull())
     first = F.when(F.col("_compiled.valid"), F.get(at, F.lit(0)))
     made = lambda i: F.struct(
         F.when(i.isNotNull(), F.lit(SELECTOR)).otherwise(F.lit(NONE)).alias("strategy"), i.isNotNull().alias("resolved"), F.when(i.isNotNull(), N.dbl(M.SELECTOR_CONFIDENCE)).otherwise(N.dbl(0)).alias("confidence"),
         F.lit(None).cast("int").alias("candidates"), i.alias("node_idx"), F.when(i.isNotNull(), F.lit(WARNINGS["selector"])).otherwise(F.lit(WARNINGS["missed"])).alias("warning"),
     ).cast(_ATTEMPT)
-    return once(d, fallback=let(first, made)).select("capture_id", "fallback")
+    return once(d, fallback=F.when(~F.col("settled"), let(first, made))).drop("nodes", "els", "children")
 
 
 def _mapped(s, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.arrays import once
 from ..sources import fixtures as S
 from . import htmltree as H
 
@@ -92,13 +93,15 @@ def flattened(pages: DataFrame, in_shadow) -> DataFrame:
     ``in_shadow`` says of a node whether it hangs in its parent's shadow root; such children come
     before the others.
     """
-    d = H.parsed(pages, paths=True)
-    light = F.transform("nodes", lambda n: F.when(in_shadow(n), 0).otherwise(1))
-    d = d.withColumn("light", light)
-    step = lambda i: F.struct(F.get(F.col("light"), i).alias("light"), i.alias("i"))
+    return ordered(H.parsed(pages, paths=True), in_shadow).select("capture_id", F.posexplode("order").alias("position", "node_idx"))
+
+
+def ordered(d: DataFrame, in_shadow) -> DataFrame:
+    """``d`` (nodes with their paths, ...) with ``order``, the numbers of all nodes in that order."""
+    d = once(d, _light=F.transform("nodes", lambda n: F.when(in_shadow(n), 0).otherwise(1)))
+    step = lambda i: F.struct(F.get(F.col("_light"), i).alias("light"), i.alias("i"))
     keyed = F.transform("nodes", lambda n: F.struct(F.transform(F.concat(n["path"], F.array(n["node_idx"])), step).alias("key"), n["node_idx"].alias("i")))
-    order = F.transform(F.array_sort(keyed), lambda k: k["i"])
-    return d.select("capture_id", F.posexplode(order).alias("position", "node_idx"))
+    return once(d, order=F.transform(F.array_sort(keyed), lambda k: k["i"])).drop("_light")
 
 
 def _shadow_items(n: Column) -> Column:
