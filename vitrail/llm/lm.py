@@ -53,8 +53,8 @@ BATCH, RATE, START, ROUNDS = 4096, 0.1, 1e-6, 2
 UNIT_CHARS_A_WORD, STEPS = 4000, 1600
 #: Tokens worked on at once; models added up in one task.
 RUN_TOKENS, FAN = 400_000, 32
-#: Rows of a logit matrix.
-BLOCK = 2048
+#: Rows of a logit matrix, when scoring and when training; training's stay in the processor's cache.
+BLOCK, ROWS = 2048, 512
 ALPHA = 0.1
 #: Characters in a batch; parts of the word space; at least so many batches.
 BATCH_CHARS, LEAST = 4_000_000, 64
@@ -237,8 +237,8 @@ class Trainer:
             p -= self.rate * grad / np.sqrt(g2)
             self.moved[n] += 1
         else:
-            order, first, u, times = groups
-            g = np.add.reduceat(grad.take(order, axis=0), first, axis=0)
+            u, times = groups[2:]
+            g = _sums(grad, *groups)
             own = g2.take(u, axis=0)
             own += g * g
             g2[u] = own
@@ -252,29 +252,39 @@ class Trainer:
         """One step of the vectors and biases of both levels, words and bins; the gradient of ``q``.
 
         The loss of a logit x (less the log of its expected noise count) has the derivative
-        sigma(x) - 1 for the data and sigma(x) for each noise symbol; sigma(x) = (1 + tanh(x / 2)) / 2.
+        sigma(x) - 1 for the data and sigma(x) for each noise symbol.  A symbol drawn more than once
+        is worked on once, and its gradient counts as often as it was drawn.
         """
         n, levels = len(q), self.m.params()[3:]
-        picks = [np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(v) - 1) for (cumulative, _), v in zip(self.noise, levels)]
-        of_noise = np.concatenate([v.take(k, axis=0) for v, k in zip(levels, picks)])
-        half = of_noise.copy()
-        half[:, DIM] -= np.concatenate([log_kp.take(k) for (_, log_kp), k in zip(self.noise, picks)])
-        half *= 0.5
-        t = q @ half.T
-        np.tanh(t, out=t)
-        share = np.float32(0.5 / n)
-        to_noise = ((q.T @ t).T + q.sum(0)) * share
-        of_noise *= share
-        dq = t @ of_noise
-        dq += of_noise.sum(0)
-        for level, (v, target, (_, log_kp)) in enumerate(zip(levels, targets, self.noise)):
+        share = np.float32(1 / n)
+        draws = [
+            np.unique(np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(v) - 1), return_counts=True)
+            for (cumulative, _), v in zip(self.noise, levels)
+        ]
+        of_noise = np.concatenate([v.take(k, axis=0) for v, (k, _) in zip(levels, draws)])
+        against = -of_noise.T
+        against[DIM] += np.concatenate([log_kp.take(k) for (_, log_kp), (k, _) in zip(self.noise, draws)])
+        weight = np.concatenate([drawn for _, drawn in draws])[:, None] * share
+        of_noise *= weight
+        to_noise, dq = np.zeros_like(of_noise), np.empty((n, DIM + 1), np.float32)
+        with np.errstate(over="ignore"):  # sigma is 0 there
+            for a in range(0, n, ROWS):
+                own = q[a : a + ROWS]
+                x = _sigma(own @ against)
+                to_noise += x.T @ own
+                np.matmul(x, of_noise, out=dq[a : a + ROWS])
+        to_noise *= weight
+        at = 0
+        for level, (v, target, (k, drawn), (_, log_kp)) in enumerate(zip(levels, targets, draws, self.noise)):
             of_target = v.take(target, axis=0)
             pos = np.einsum("nd,nd->n", q, of_target) - log_kp.take(target)
-            gp = ((np.tanh(pos / 2) - 1) * share)[:, None]
-            grad = np.empty((n + NOISE, DIM + 1), np.float32)
+            gp = ((np.tanh(pos / 2) - 1) * (share / 2))[:, None]
+            grad = np.empty((n + len(k), DIM + 1), np.float32)
             np.multiply(q, gp, out=grad[:n])
-            grad[n:] = to_noise[level * NOISE : (level + 1) * NOISE]
-            self._step(3 + level, grad, _groups(np.concatenate((target, picks[level])), len(v)))
+            grad[n:] = to_noise[at : at + len(k)]
+            self._step(3 + level, grad, _groups(np.concatenate((target, k)), len(v)))
+            self.moved[3 + level][k] += drawn - 1
+            at += len(k)
             of_target *= gp
             dq += of_target
         return dq[:, :DIM]
@@ -305,6 +315,30 @@ class Trainer:
         return np.concatenate([np.repeat(w, p.size // len(w)) for w, p in zip(self.moved, self.m.params())])
 
 
+def _sigma(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place of ``x``; faster than tanh."""
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray, _, times: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each of the ``_groups``.
+
+    ``reduceat`` costs a call a group and column, so rows alone in their group are only taken, and
+    columns are added two at a time, as parts of complex numbers.
+    """
+    out, width = rows.take(order.take(first), axis=0), rows.shape[1]
+    several = times > 1
+    if several.any():
+        at, size = order[np.repeat(several, times)], times[several]
+        own = np.zeros((len(at), width + width % 2), rows.dtype)
+        own[:, :width] = rows.take(at, axis=0)
+        sums = np.add.reduceat(own.view(np.result_type(rows, np.complex64)), np.cumsum(size) - size, axis=0)
+        out[several] = sums.view(rows.dtype)[:, :width]
+    return out
+
+
 def _groups(at: np.ndarray, below: int) -> tuple:
     """Order by place, starts of equal places, the places, and how often each occurs."""
     order = np.argsort(_narrow(at, below), kind="stable")
