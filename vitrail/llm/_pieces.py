@@ -22,7 +22,7 @@ from . import _common as C
 #: At this many pieces the table is emptied (under 50 MB); longer pieces are never kept.
 TABLE_PIECES, MAX_PIECE = 400_000, 200
 #: Bytes of text handled at once.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 
 #: First bytes of characters before which a space may not be cut: white space, and all of the
 #: blocks E1 to E3, in which the other Unicode spaces lie (too few cuts do no harm).
