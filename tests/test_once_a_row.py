@@ -38,3 +38,12 @@ def test_an_export_reads_its_pages_once(spark):
     assert "regexp_extract_all(html" not in plan(elements.join(states, ["capture_id", "place"]))
     assert [(r.capture_id, r.place, r.tag) for r in elements.orderBy("capture_id", "place").collect()] == [(1, 0, "ul"), (1, 1, "li"), (1, 2, "b"), (2, 0, "p")]
     assert [tuple(r) for r in states.collect()] == [(1, 1, "hover", "color", "red")]
+
+
+def test_attributes_of_a_node_are_read_once(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, '<p><a id="X" class="B c">t</a></p>')], "page_id long, html string")
+    monkeypatch.setattr(M.H, "attributes", lambda raw: F.create_map(F.lit("id"), F.concat(F.lit("MARK"), raw)))
+    assert plan(M.described(pages)).count("MARK") == 1
+    monkeypatch.undo()
+    e = M.described(pages).select(F.get("els", F.lit(1)).alias("e")).first()["e"]
+    assert (e["tag"], e["id"], e["classes"], e["attrs"], e["element_place"]) == ("a", "x", ["b", "c"], {"id": "X", "class": "B c"}, 0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..functions.arrays import once, scan
+from ..functions.arrays import let, once, scan
 from ..sources import fixtures as X
 from . import fallback as B
 from . import htmltree as H
@@ -57,12 +57,18 @@ def described(pages: DataFrame, in_shadow=None) -> DataFrame:
     d = once(d, _at=F.array_sort("_places")).drop("_places")
 
     def shape(n: Column) -> Column:
-        at, kids, attrs = F.get(F.col("_at"), n["node_idx"]), F.try_element_at("_kids", n["node_idx"]), H.attributes(F.coalesce(n["attrs"], F.lit("")))
-        return F.struct(
-            n["node_idx"].alias("i"), n["parent_idx"].alias("up"), n["tag"].alias("tag"), n["path"].alias("path"), at["place"].alias("place"), at["element_place"].alias("element_place"),
-            F.coalesce(kids["all"], F.lit(0)).alias("children"), F.coalesce(kids["elements"], F.lit(0)).alias("element_children"),
-            _lower_attribute(attrs, "id").alias("id"), F.transform(T.class_tokens(F.try_element_at(attrs, F.lit("class"))), F.lower).alias("classes"), attrs.alias("attrs"), in_shadow(n).alias("shadow"),
-        )
+        # What is read more than once is computed once a node: lambdas repeat it otherwise.
+        read = F.struct(F.get(F.col("_at"), n["node_idx"]).alias("at"), F.try_element_at("_kids", n["node_idx"]).alias("kids"), H.attributes(F.coalesce(n["attrs"], F.lit(""))).alias("attrs"))
+
+        def own(x: Column) -> Column:
+            at, kids, attrs = x["at"], x["kids"], x["attrs"]
+            return F.struct(
+                n["node_idx"].alias("i"), n["parent_idx"].alias("up"), n["tag"].alias("tag"), n["path"].alias("path"), at["place"].alias("place"), at["element_place"].alias("element_place"),
+                F.coalesce(kids["all"], F.lit(0)).alias("children"), F.coalesce(kids["elements"], F.lit(0)).alias("element_children"),
+                _lower_attribute(attrs, "id").alias("id"), F.transform(T.class_tokens(F.try_element_at(attrs, F.lit("class"))), F.lower).alias("classes"), attrs.alias("attrs"), in_shadow(n).alias("shadow"),
+            )
+
+        return let(read, own)
 
     d = once(d, _all=F.transform("nodes", shape))
     at = lambda i: F.get(F.col("_all"), i)
@@ -92,7 +98,7 @@ def _class_points(p: dict, e: Column, fp: Column) -> Column:
 
 def _hint_points(p: dict, e: Column, fp: Column) -> Column:
     own = lambda h: F.lower(T.compact(F.coalesce(F.try_element_at(e["attrs"], h["name"]), F.lit(""))))
-    same = F.filter(fp["hints"], lambda h: (own(h) != "") & (own(h) == F.lower(h["value"])))
+    same = F.filter(fp["hints"], lambda h: (F.lower(h["value"]) != "") & (own(h) == F.lower(h["value"])))
     return F.least(F.lit(p["attribute_cap"]), p["attribute"] * F.size(same))
 
 
@@ -138,14 +144,16 @@ def candidates(els: Column, fp: Column) -> Column:
 
     def points(e: Column) -> Column:
         apart = F.abs(e["children"] - fp["element_children"])
-        children, shadow = _child_points(p, apart), _shadow_points(p, e, fp)
-        total = (
-            F.when(e["tag"] == fp["tag"], p["tag"]).otherwise(0) + F.when((e["id"] != "") & (e["id"] == fp["id"]), p["id"]).otherwise(0) + _class_points(p, e, fp)
-            + F.when(e["place"] == fp["element_place"], p["sibling"]).otherwise(0) + children + _hint_points(p, e, fp) + _ancestor_points(p, e, fp) + shadow[0] + shadow[1] + shadow[2]
-        )
-        lost = F.array(children, *shadow)
-        penalty = F.aggregate(lost, F.lit(0), lambda a, x: a + F.greatest(F.lit(0), -x))
-        return F.struct((-total).alias("s"), e["i"].alias("node_idx"), e["tag"].alias("tag"), penalty.alias("penalty"))
+
+        def own(parts: Column) -> Column:
+            total = (
+                F.when(e["tag"] == fp["tag"], p["tag"]).otherwise(0) + F.when((e["id"] != "") & (e["id"] == fp["id"]), p["id"]).otherwise(0) + _class_points(p, e, fp)
+                + F.when(e["place"] == fp["element_place"], p["sibling"]).otherwise(0) + _hint_points(p, e, fp) + _ancestor_points(p, e, fp) + F.aggregate(parts, F.lit(0), lambda a, x: a + x)
+            )
+            penalty = F.aggregate(parts, F.lit(0), lambda a, x: a + F.greatest(F.lit(0), -x))
+            return F.struct((-total).alias("s"), e["i"].alias("node_idx"), e["tag"].alias("tag"), penalty.alias("penalty"))
+
+        return let(F.array(_child_points(p, apart), *_shadow_points(p, e, fp)), own)
 
     return F.array_sort(F.filter(F.transform(els, points), lambda x: x["s"] < 0))
 
