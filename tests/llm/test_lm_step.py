@@ -53,3 +53,24 @@ def test_sums_of_groups():
 def test_sigma_of_large_numbers():
     with np.errstate(over="ignore"):
         assert lm._sigma(np.array([0, 200, -200], np.float32)).tolist() == [0.5, 0, 1]
+
+
+def test_distinct_keys_by_a_sort_with_places_in_the_low_bits(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    near = np.uint64(7 << 40) + np.arange(9, dtype=np.uint64)  # these differ in the low bits alone
+    for keys, again in ((rng.choice(words, 5000), 0), (rng.choice(near, 5000), 1), (words[:1], 0), (words[:0], 0)):
+        want, number = np.unique(keys, return_inverse=True)
+        calls, argsort = [], np.argsort
+        monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append(1) or argsort(*a, **k))
+        first, got = lm._distinct(keys)
+        monkeypatch.setattr(np, "argsort", argsort)
+        assert len(calls) == again
+        assert np.array_equal(keys[first], want) and np.array_equal(got, number)
+
+
+def test_log_sums_that_overflow_or_vanish():
+    for rows in ([[0, 1, 2]], [[100, 100, 1]], [[-200, -201, -300]], [[0, 1, 2], [200, -200, 0], [-90, -90, -90]]):
+        x = np.array(rows, np.float32)
+        want = [np.logaddexp.reduce(r.astype(float)) for r in x]
+        assert np.allclose(lm._log_sum(x), want, rtol=1e-6, atol=1e-5)

@@ -51,10 +51,10 @@ VOCABULARY, CONTEXT, DIM, NOISE = 1000, 2, 24, 100
 BATCH, RATE, START, ROUNDS = 4096, 0.1, 1e-6, 2
 #: Characters of a training unit for each word of the vocabulary; steps a round at least, if texts allow.
 UNIT_CHARS_A_WORD, STEPS = 4000, 1600
-#: Tokens worked on at once; models added up in one task.
-RUN_TOKENS, FAN = 400_000, 32
-#: Rows of a logit matrix, when scoring and when training; training's stay in the processor's cache.
-BLOCK, ROWS = 2048, 512
+#: Tokens worked on at once, when training and when scoring; models added up in one task.
+RUN_TOKENS, SCORE_TOKENS, FAN = 400_000, 1_600_000, 32
+#: Numbers of a logit matrix when scoring, its rows when training: they stay in the processor's cache.
+BLOCK, ROWS = 65_536, 512
 ALPHA = 0.1
 #: Characters in a batch; parts of the word space; at least so many batches.
 BATCH_CHARS, LEAST = 4_000_000, 64
@@ -95,7 +95,33 @@ class Tokens:
             offsets.append(n + np.cumsum(size + 1))
             n += len(flat)
         self.offsets = np.concatenate(offsets)
-        self.hashes, self.numbers = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_inverse=True)
+        flat = np.concatenate([*parts, np.zeros(0, np.uint64)])
+        first, self.numbers = _distinct(flat)
+        self.hashes = flat[first]
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct 64-bit keys, ascending, and of each key its number among them.
+
+    Keys are sorted as numbers with their places in the low bits, which is much faster than
+    ``argsort``; only where keys differ in those bits alone does the order have to be found again.
+    """
+    bits = np.uint64(len(keys).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = np.arange(len(keys), dtype=np.uint64)
+    order |= keys & ~low
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
+    own = keys.take(order)
+    if (own[1:] < own[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        own = keys.take(order)
+    new = np.ones(len(keys), bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
 def _symbols(flat: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -150,34 +176,41 @@ class Model:
             p[...] = vector[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def predict(self, before: list[np.ndarray]) -> np.ndarray:
+    def before(self, ctx: np.ndarray) -> np.ndarray:
+        """The vectors of the words before each token, side by side."""
+        return self.r.take(ctx, axis=0).reshape(len(ctx), CONTEXT * DIM)
+
+    def predict(self, before: np.ndarray) -> np.ndarray:
         """The predicted vector from the vectors of the words before, and a last column of ones."""
-        q = np.empty((len(before[0]), DIM + 1), np.float32)
-        q[:, DIM] = 1
-        np.add(before[0] @ self.c[0], self.d, out=q[:, :DIM])
-        for x, c in zip(before[1:], self.c[1:]):
-            q[:, :DIM] += x @ c
+        c = np.zeros((CONTEXT * DIM, DIM + 1), np.float32)
+        c[:, :DIM] = self.c.reshape(CONTEXT * DIM, DIM)
+        q = before @ c
+        q += np.append(self.d, np.float32(1))
         return q
 
     def log_probability(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target, normalised over bins and inside its bin."""
         s = len(self.v)
-        key = np.zeros(len(ctx), np.int64)
+        key = np.zeros(len(ctx), np.uint64)
         for j in range(CONTEXT):
-            key = key * (s + 1) + ctx[:, j]
-        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+            key *= np.uint64(s + 1)
+            key += ctx[:, j].astype(np.uint64)
+        first, of = _distinct(key << np.uint64(max(0, 64 - ((s + 1) ** CONTEXT).bit_length())))
         z, q = np.empty(len(first), np.float32), np.empty((len(first), DIM + 1), np.float32)
-        for a in range(0, len(first), BLOCK):
-            q[a : a + BLOCK] = self.predict([self.r.take(ctx[first[a : a + BLOCK], j], axis=0) for j in range(CONTEXT)])
-            z[a : a + BLOCK] = _log_sum(q[a : a + BLOCK] @ self.u.T)
+        step = BLOCK // DIM
+        for a in range(0, len(first), step):
+            q[a : a + step] = self.predict(self.before(ctx.take(first[a : a + step], axis=0)))
+        step, u = max(1, BLOCK // len(self.u)), np.ascontiguousarray(self.u.T)
+        for a in range(0, len(first), step):
+            z[a : a + step] = _log_sum(q[a : a + step] @ u)
         outer = self.outer.take(target)
         out = np.empty(len(ctx))
         order = np.argsort(_narrow(outer, len(self.u)), kind="stable")
         ends = np.searchsorted(outer[order], np.arange(len(self.u) + 1))
         for k in np.flatnonzero(np.diff(ends) > 0):
             words = k < len(self.first) - 1 and self.first[k + 1] > self.first[k] + 1
-            v = self.v[self.members[self.first[k] : self.first[k + 1]]].T if words else None
-            step = max(1, BLOCK * 256 // v.shape[1]) if words else 16 * BLOCK
+            v = np.ascontiguousarray(self.v[self.members[self.first[k] : self.first[k + 1]]].T) if words else self.u[k, :, None]
+            step = max(1, BLOCK // max(DIM, v.shape[1]))
             for a in range(ends[k], ends[k + 1], step):
                 rows = order[a : min(a + step, ends[k + 1])]
                 at = of.take(rows)
@@ -185,7 +218,7 @@ class Model:
                 got = own @ self.u[k] - z.take(at)
                 if words:
                     x = own @ v
-                    got += x[np.arange(len(rows)), self.place.take(target.take(rows))]  # read before _log_sum overwrites x
+                    got += x.take(np.arange(0, x.size, x.shape[1]) + self.place.take(target.take(rows)))  # read before _log_sum overwrites x
                     got -= _log_sum(x)
                 out[rows] = got
         return out
@@ -193,11 +226,10 @@ class Model:
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """Log of the sum of exponentials of each row; ``x`` is overwritten."""
-    m = x.max()
-    if -40 < m < 60:  # no sum can overflow; one that vanishes is done again below
-        total = np.exp(x).sum(1)
-        if total.min() > 0:
-            return np.log(total)
+    with np.errstate(over="ignore"):
+        total = np.exp(x) @ np.ones(x.shape[1], x.dtype)
+    if 1e-30 < total.min() and total.max() < np.inf:  # sums that overflow or vanish are done again below
+        return np.log(total)
     m = x.max(1)
     x -= m[:, None]
     np.exp(x, out=x)
@@ -262,7 +294,7 @@ class Trainer:
             for (cumulative, _), v in zip(self.noise, levels)
         ]
         of_noise = np.concatenate([v.take(k, axis=0) for v, (k, _) in zip(levels, draws)])
-        against = -of_noise.T
+        against = np.negative(of_noise.T, order="C")
         against[DIM] += np.concatenate([log_kp.take(k) for (_, log_kp), (k, _) in zip(self.noise, draws)])
         weight = np.concatenate([drawn for _, drawn in draws])[:, None] * share
         of_noise *= weight
@@ -292,22 +324,23 @@ class Trainer:
     def batch(self, ctx: np.ndarray, target: np.ndarray) -> None:
         """One step on the tokens ``target`` of a run, in order, with their ``contexts``."""
         m, n = self.m, len(target)
-        before = [m.r.take(ctx[:, j], axis=0) for j in range(CONTEXT)]
+        before = m.before(ctx)
         q = m.predict(before)
         dq = self._contrast(q, (target, m.outer.take(target)))
         self._step(2, dq.sum(0))
         # The words before the tokens are the run itself, so gradients are first added up by place.
         start = len(m.r) - 1
         dr = np.zeros((n + CONTEXT, DIM), np.float32)  # the last row is for ``start``
+        every = dq @ m.c.reshape(CONTEXT * DIM, DIM).T
         for j in range(CONTEXT):
-            g = dq @ m.c[j].T
+            g = every[:, j * DIM : (j + 1) * DIM]
             first = np.flatnonzero(ctx[:, j] == start)
             dr[-1] += g[first].sum(0)
             g[first] = 0
             dr[CONTEXT - 1 - j : CONTEXT - 1 - j + n] += g
         at = np.concatenate((ctx[0, ::-1], target[:-1], [start]))
         self._step(0, dr, _groups(at, len(m.r)))
-        self._step(1, np.stack([(dq.T @ x).T for x in before]))
+        self._step(1, (dq.T @ before).T.reshape(CONTEXT, DIM, DIM))
         self.seen += n
 
     def weights(self) -> np.ndarray:
@@ -342,9 +375,9 @@ def _sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray, _, times: np.n
 def _groups(at: np.ndarray, below: int) -> tuple:
     """Order by place, starts of equal places, the places, and how often each occurs."""
     order = np.argsort(_narrow(at, below), kind="stable")
-    own = at[order]
-    first = np.flatnonzero(np.diff(own, prepend=-1))
-    return order, first, own[first], np.diff(np.append(first, len(at)))
+    own = at.take(order)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return order, first, own.take(first), np.diff(np.append(first, len(at)))
 
 
 def _trained(doc_id: str):
@@ -562,7 +595,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
         if tokens_in_all:
             sums, s, n_tokens = [], 0, np.cumsum([len(t) for t in texts])
             while s < len(texts):
-                e = max(s + 1, int(np.searchsorted(n_tokens, (n_tokens[s - 1] if s else 0) + RUN_TOKENS, "right")))
+                e = max(s + 1, int(np.searchsorted(n_tokens, (n_tokens[s - 1] if s else 0) + SCORE_TOKENS, "right")))
                 sym, offsets = _flat(texts[s:e])
                 p = m.log_probability(contexts(sym, offsets, len(m.v)), sym)
                 sums.append(np.add.reduceat(p, offsets[:-1]))
